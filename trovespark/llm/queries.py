@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trovespark.llm.common import documents
+from trovespark.llm.language_id import language_of_documents
 from trovespark.llm.near_dedup import near_duplicates
+from trovespark.llm.simhash import fingerprints_with_edits
+
+
+def op4_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of_documents(documents(spark, sf_dir), folds=4, held_out=2, per_language=500)
+
+
+def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_with_edits(documents(spark, sf_dir), radius=3, query_every=20)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +25,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_string_kernel_language": op4_string_kernel_language,
+    "op5_simhash_fingerprints": op5_simhash_fingerprints,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
