@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trovespark.llm.common import documents
+from trovespark.llm.common import documents, labels
 from trovespark.llm.language_id import language_of_documents
+from trovespark.llm.mixing import mix_documents
 from trovespark.llm.near_dedup import near_duplicates
+from trovespark.llm.sharding import shard_documents
 from trovespark.llm.simhash import fingerprints_with_edits
+from trovespark.llm.toxicity import toxicity_of_documents
+
+
+def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir), shards=16)
+
+
+def op3_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(documents(spark, sf_dir), shards=16)
 
 
 def op4_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +35,16 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=4, radius=4)
 
 
+def op10_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_of_documents(documents(spark, sf_dir), labels(spark, sf_dir), folds=3, held_out=1, threshold=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minimax_shards": op1_minimax_shards,
+    "op3_sainte_lague_mix": op3_sainte_lague_mix,
     "op4_string_kernel_language": op4_string_kernel_language,
     "op5_simhash_fingerprints": op5_simhash_fingerprints,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_recurrent_toxicity": op10_recurrent_toxicity,
 }
 ORACLES: dict[str, str] = {}

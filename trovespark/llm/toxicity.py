@@ -1,12 +1,12 @@
 """Toxicity by a small recurrent network, written and trained in numpy.
 
 A word's input is its own vector, if the training sample knows it, beside the mean vector of its
-hashed character trigrams, which every word has. A gated recurrent unit runs over each window of 32
+hashed character 5-grams, which every word has. A gated recurrent unit runs over each window of 32
 words in both directions; attention pools the states; a logistic unit scores the window. Windows
 overlap by half, all windows of the whole text are scored, and a text's score is its highest.
 Labels belong to texts, so training is multiple-instance: of a toxic text the window that scores
 highest is taken as toxic, of others the highest windows and some random ones as clean; word vectors
-start from the log-odds of the word in the sample.
+start from the log-odds of the word or 5-gram in the sample.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from trovespark.llm.common import fold_of, label_sample
 
 WINDOW, STRIDE = 32, 16
-HIDDEN, WORD, CHAR, BINS = 8, 12, 8, 1 << 12
+HIDDEN, WORD, CHAR, BINS = 8, 12, 8, 1 << 15
 #: Words are runs of ASCII letters and digits, lower-cased, and of anything beyond ASCII.
 WORDS = bytes(c | 0x20 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 else 0x20 for c in range(256))
 
@@ -31,15 +31,19 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
 
-def trigram_bins(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bins of all words' character trigrams (a mark at either end), and where each word's start."""
-    data = np.frombuffer(b"^" + b"$^".join(words) + b"$", np.uint8).astype(np.uint32)
-    grams = (data[:-2] * 65599 + data[1:-1] * 257 + data[2:]) * np.uint32(0x9E3779B1) >> np.uint32(20)
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    ends = np.cumsum(size)
+def gram_bins(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of all words' character 5-grams (two marks at either end: one for each byte), and where each word's start."""
+    data = np.frombuffer(b"^^" + b"$$^^".join(words) + b"$$", np.uint8).astype(np.uint32)
+    grams = data[:-4]
+    for k in range(1, 5):
+        grams = grams * np.uint32(0x01000193) + data[k : len(data) - 4 + k]
+    grams = grams * np.uint32(0x9E3779B1) >> np.uint32(17)
+    size = np.fromiter(map(len, words), np.int64, len(words))
     keep = np.ones(len(data), bool)
-    keep[ends - 1] = keep[ends - 2] = False  # trigrams that would run into the next word
-    return grams[keep[:-2]], np.concatenate([[0], np.cumsum(size - 2)[:-1]])
+    ends = np.cumsum(size + 4)
+    for k in range(1, 5):
+        keep[ends - k] = False  # grams that would run into the next word
+    return grams[keep[:-4]], np.concatenate([[0], np.cumsum(size)[:-1]])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -84,7 +88,7 @@ class ToxicityModel:
         return {"p": self.p, "ids": self.ids, "most_words": self.most_words, "_seen": {}, "_rows": []}
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
-        bins, at = trigram_bins(words)
+        bins, at = gram_bins(words)
         chars = np.add.reduceat(self.p["chars"][bins], at, axis=0) / np.diff(np.append(at, len(bins)))[:, None]
         own = np.fromiter((self.ids.get(w, -1) for w in words), np.int64, len(words))
         vectors = np.where(own[:, None] >= 0, self.p["words"][own], 0)
@@ -129,7 +133,7 @@ class ToxicityModel:
         return np.clip(out, 0, 1)
 
 
-def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: int = 6, most_own: int = 20_000) -> ToxicityModel | None:
+def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: int = 4, most_own: int = 20_000, decay: float = 1e-3) -> ToxicityModel | None:
     """None unless the sample holds both labels."""
     if not len(texts) or toxic.all() or not toxic.any():
         return None
@@ -138,24 +142,37 @@ def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: in
     names = sorted({w for x in lists for w in x})
     index = {w: i for i, w in enumerate(names)}
     docs = [np.fromiter((index[w] for w in x), np.int64, len(x)) for x in lists]
-    held = np.zeros((2, len(names)))
-    for d, y in zip(docs, toxic, strict=True):
-        held[int(y), np.unique(d)] += 1
-    odds = np.log((held[1] + 0.5) / (toxic.sum() + 1)) - np.log((held[0] + 0.5) / ((~toxic).sum() + 1))
+    bins, at = gram_bins(names)
+    ends = np.append(at[1:], len(bins))
+
+    def odds_of(sets: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds in toxic texts of each of n things, 0 unless sure and of more than a few texts; how many texts of either label hold it."""
+        held = np.zeros((2, n))
+        for d, y in zip(sets, toxic, strict=True):
+            held[int(y), d] += 1
+        rate = held / [[(~toxic).sum()], [toxic.sum()]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            evidence = 2 * np.nansum(held * np.log(rate / (held.sum(axis=0) / len(sets))), axis=0)
+        odds = np.log((held[1] + 0.5) / (toxic.sum() + 1)) - np.log((held[0] + 0.5) / ((~toxic).sum() + 1))
+        return odds * (evidence > 12) * np.minimum(1, rate.max(axis=0) / 0.03), held
+
+    unique = [np.unique(d) for d in docs]
+    odds, held = odds_of(unique, len(names))
+    gram_odds, _ = odds_of([np.unique(np.concatenate([bins[at[w] : ends[w]] for w in u] or [bins[:0]])) for u in unique], BINS)
     df = held.sum(axis=0)
-    odds *= df / (df + 3)
-    own = np.flatnonzero(df >= 2)
+    own = np.flatnonzero((df >= 2) & ((odds > 0) | (df >= 0.05 * len(docs))))
     own = own[np.argsort(-np.abs(odds[own]) - np.log(df[own]) / 100, kind="stable")][:most_own]
     active = np.zeros(len(names), np.float32)
     active[own] = 1
     g = lambda *s, k=0.3: (rng.standard_normal(s) * k).astype(np.float32)
-    p = {"chars": g(BINS, CHAR), "out": g(2 * HIDDEN), "att": g(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
+    p = {"chars": g(BINS, CHAR, k=0.05), "out": g(2 * HIDDEN), "att": g(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
     p |= {f"x{d}": g(WORD + CHAR, 3 * HIDDEN) for d in (0, 1)} | {f"u{d}": g(HIDDEN, 3 * HIDDEN) for d in (0, 1)} | {f"b{d}": np.zeros(3 * HIDDEN, np.float32) for d in (0, 1)}
     vectors = g(len(names), WORD, k=0.05)
-    vectors[:, 0] = np.clip(odds, -3, 5) / 2
+    vectors[:, 0] = np.clip(odds, -2, 4)
     vectors *= active[:, None]
-    bins, at = trigram_bins(names)
-    ends = np.append(at[1:], len(bins))
+    p["chars"][:, 0] = 2 * np.clip(gram_odds, -1, 5)
+    word_grams = np.add.reduceat(gram_odds[bins], at) / (ends - at)
+    evident = odds + word_grams
 
     windows, owner = [], []
     for i, d in enumerate(docs):
@@ -166,7 +183,7 @@ def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: in
                 windows.append(w)
                 owner.append(i)
     windows, owner = np.array(windows), np.array(owner)
-    best_first = np.where(windows >= 0, odds[windows], -9).max(axis=1)
+    best_first = np.where(windows >= 0, evident[windows], -9).max(axis=1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()} | {"words": [np.zeros_like(vectors), np.zeros_like(vectors)]}
     step = 0
 
@@ -224,8 +241,8 @@ def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: in
         np.add.at(dchars, flat, np.repeat(dx[:, WORD:] / sizes[:, None], sizes, axis=0))
         grads["chars"] = dchars
         for k, gr in grads.items():
-            adam(k, gr, p[k], 0.02)
-        adam("words", dx[:, :WORD] * (active * dropped)[ids][:, None], vectors, 0.02, ids)
+            adam(k, gr + decay * p[k], p[k], 0.02)
+        adam("words", dx[:, :WORD] * (active * dropped)[ids][:, None], vectors, 0.01, ids)
 
     def all_logits() -> np.ndarray:
         return np.concatenate([forward(windows[i : i + 2048], None, False)[0] for i in range(0, len(windows), 2048)])
@@ -238,12 +255,15 @@ def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: in
         chosen = (y & (place < 1)) | (~y & ((place < 2) | (rng.random(len(order)) < 0.1)))
         chosen = order[chosen]
         y = toxic[owner[chosen]].astype(np.float32)
-        weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-        passes = max(4, 40 * 128 // len(chosen))
+        # labels err: a toxic text counts by how far its best window bears the label out
+        sure = np.clip(rank[chosen] / max(1e-3, np.quantile(rank[chosen][y > 0], 0.75)), 0, 1) if not k else sigmoid(rank[chosen])
+        sure = np.where(y > 0, sure, 1.0) + 1e-3
+        weight = np.where(y > 0, 0.5 * sure / (sure * y).sum(), 0.5 / max(1, (1 - y).sum()))
+        passes = max(2, 40 * 128 // len(chosen))
         for _ in range(passes):
             shuffled = rng.permutation(len(chosen))
-            for i in range(0, len(shuffled), 128):
-                b = shuffled[i : i + 128]
+            for i in range(0, len(shuffled), 256):
+                b = shuffled[i : i + 256]
                 learn(windows[chosen[b]], y[b], weight[b])
     p["words"] = vectors[own] if len(own) else np.zeros((1, WORD), np.float32)
     return ToxicityModel(p, {names[j]: i for i, j in enumerate(own)})
