@@ -269,10 +269,15 @@ def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: in
     return ToxicityModel(p, {names[j]: i for i, j in enumerate(own)})
 
 
-def train(labelled: DataFrame, per_label: int = 800, most_chars: int = 100_000) -> ToxicityModel | None:
-    """From labelled rows (doc_id, text, toxic), about per_label of each label and texts of most_chars at most; whole texts, as bytes."""
-    usable = labelled.where(F.col("toxic").isin(0, 1) & (F.char_length("text") <= most_chars)).select("doc_id", "toxic", F.col("text").cast("binary").alias("text"))
-    rows = sorted(label_sample(usable, "toxic", per_label).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["text"]))
+def train(docs: DataFrame, marked: DataFrame, per_label: int = 1200, most_chars: int = 100_000) -> ToxicityModel | None:
+    """From the texts of docs that marked (doc_id, toxic) labels: about per_label of each label, and texts of most_chars at most.
+
+    Labels are sampled before their texts are looked up, so the lookup's table is bounded and can be broadcast.
+    """
+    chosen = label_sample(marked.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct(), "toxic", per_label)
+    usable = docs.where(F.char_length("text") <= most_chars).select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = usable.join(F.broadcast(chosen), "doc_id").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["text"]), r["toxic"]))
     return train_model([bytes(r["text"]) for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
 
 
@@ -296,13 +301,13 @@ def score_texts(docs: DataFrame, model: ToxicityModel | None, *more: str) -> Dat
     return rows.mapInArrow(batches, f"{schema}, score double")
 
 
-def toxicity_of_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, per_label: int = 800) -> DataFrame:
+def toxicity_of_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, per_label: int = 1200) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs, learnt from the labels of the other folds.
 
     Repeated rows come back as often as they stand; labels that contradict each other for a doc_id
     both count in training; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select("doc_id", "text", F.coalesce(fold_of("doc_id", folds) == held_out, F.lit(False)).alias("held_out"))
-    marked = rows.where("not held_out and text is not null").join(labels.select("doc_id", "toxic").where("toxic is not null").distinct(), "doc_id")
-    scored = score_texts(rows, train(marked, per_label), "held_out")
+    marked = labels.where(fold_of("doc_id", folds) != held_out)
+    scored = score_texts(rows, train(docs, marked, per_label), "held_out")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
