@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,25 @@ def part_of(key: str, cuts: list[int]) -> Column:
     return F.when(F.col(key).isNull(), F.lit(0)).otherwise(tree(0, len(cuts)))
 
 
+def range_parts(ids: DataFrame, key: str, rows_each: int, coarse_ranges: int = 128) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds coarse and part to a table with the long column key: parts follow its order and hold about rows_each rows.
+
+    Quantiles of key give at most coarse_ranges coarse ranges, equal widths the parts of each, so the
+    number of parts grows with the table; the ranges themselves are the only thing broadcast.
+    """
+    n = ids.count()
+    cuts = cut_points(ids, key, min(coarse_ranges, -(-n // rows_each)))
+    inner = max(1, -(-n // (rows_each * (len(cuts) + 1))))
+    spans = ids.withColumn("coarse", part_of(key, cuts)).groupBy("coarse").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    spans = F.broadcast(written(spans.select("coarse", "lo", ((F.col("hi") - F.col("lo") + 1) / inner).alias("width")), "spans"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        fine = F.coalesce(F.floor((F.col(key) - F.col("lo")) / F.col("width")), F.lit(0))
+        return df.withColumn("coarse", part_of(key, cuts)).join(spans, "coarse", "left").withColumn("part", F.col("coarse").cast("long") * inner + F.least(fine, F.lit(inner - 1))).drop("lo", "width")
+
+    return placed
+
+
 def fold_of(doc_id: str, n: int) -> Column:
     """crc32 of doc_id as text, mod n."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))

@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import cut_points, part_of, with_text, written
+from trovespark.llm.common import range_parts, with_text, written
 
 PAIR = (1 << 32) + 1  # the lowest bit of either counter
 LOW = (1 << 32) - 1
@@ -83,7 +83,7 @@ def within(queries: DataFrame, rows: DataFrame, radius: int = 3) -> DataFrame:
     return q.join(r, ["block_table", "key"]).where(F.bit_count(differs) <= radius).where(first == F.col("block_table")).select("q", "fp")
 
 
-def with_next(docs: DataFrame, rows_each: int = 1500, coarse_ranges: int = 128) -> DataFrame:
+def with_next(docs: DataFrame, rows_each: int = 1500) -> DataFrame:
     """part and pos (which name the row), doc_id, th (a hash of the text), text, and next_id, next_th, next_text of the next row by descending doc_id; the last row's next is the first.
 
     Rows are dealt by ranges of doc_id and sorted within each. The ranges follow quantiles of doc_id,
@@ -92,16 +92,7 @@ def with_next(docs: DataFrame, rows_each: int = 1500, coarse_ranges: int = 128)
     """
     base = with_text(docs).withColumn("th", F.xxhash64("text"))
     ids = docs.select("doc_id")
-    n = ids.count()
-    cuts = cut_points(ids, "doc_id", min(coarse_ranges, -(-n // rows_each)))
-    inner = max(1, -(-n // (rows_each * (len(cuts) + 1))))
-    spans = ids.withColumn("coarse", part_of("doc_id", cuts)).groupBy("coarse").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    spans = F.broadcast(written(spans.select("coarse", "lo", ((F.col("hi") - F.col("lo") + 1) / inner).alias("width")), "spans"))  # coarse_ranges rows at most
-
-    def placed(df: DataFrame) -> DataFrame:
-        fine = F.coalesce(F.floor((F.col("doc_id") - F.col("lo")) / F.col("width")), F.lit(0))
-        return df.withColumn("coarse", part_of("doc_id", cuts)).join(spans, "coarse", "left").withColumn("part", F.col("coarse").cast("long") * inner + F.least(fine, F.lit(inner - 1)))
-
+    placed = range_parts(ids, "doc_id", rows_each)
     tops = written(placed(ids).groupBy("coarse", "part").agg(F.max("doc_id").alias("top")), "tops")
     firsts = tops.groupBy("coarse").agg(F.min("part").alias("low")).select("coarse", F.lead("low").over(Window.orderBy("coarse")).alias("above"), F.min("low").over(Window.partitionBy(F.lit(0))).alias("lowest"))
     above = F.lead("part").over(Window.partitionBy("coarse").orderBy("part"))
