@@ -10,6 +10,7 @@ so a batch costs one sparse product. N-grams are hashed to ORDERS x BINS bins.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -120,6 +121,21 @@ def identify(docs: DataFrame, model: LanguageModel | None, *more: str) -> DataFr
     return rows.mapInArrow(batches, f"{schema}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel | None, least: float) -> DataFrame:
+    """The rows of docs, all columns, in whose text a learned language scores least or more; null texts and those without letters go. Nothing is shuffled."""
+    place, letter = docs.columns.index("text"), re.compile(r"[^\W\d_]")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = b.column(place).to_pylist()
+            for at in range(0, len(texts), 256):
+                some = [t.encode() if t and letter.search(t) else b"" for t in texts[at : at + 256]]
+                keep = model.scores(some).max(axis=1) >= least if model else np.zeros(len(some), bool)
+                yield b.slice(at, len(some)).filter(pa.array(keep & np.array([bool(t) for t in some], bool)))
+
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def language_of_documents(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int = 500) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): trained on the rows outside fold held_out, applied to all.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trovespark.llm.common import documents, labels
 from trovespark.llm.language_id import language_of_documents
+from trovespark.llm.licenses import scan_licences
 from trovespark.llm.media import media_of_documents
 from trovespark.llm.mixing import mix_documents
 from trovespark.llm.near_dedup import near_duplicates
@@ -44,6 +45,10 @@ def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_edits(documents(spark, sf_dir), radius=3, query_every=20)
 
 
+def op6_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(documents(spark, sf_dir))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=4, radius=4)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sainte_lague_mix": op3_sainte_lague_mix,
     "op4_string_kernel_language": op4_string_kernel_language,
     "op5_simhash_fingerprints": op5_simhash_fingerprints,
+    "op6_licence_automaton": op6_licence_automaton,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_token_files": op8_token_files,
     "op9_jpeg_media": op9_jpeg_media,

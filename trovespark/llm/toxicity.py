@@ -281,19 +281,24 @@ def train(docs: DataFrame, marked: DataFrame, per_label: int = 1200, most_chars:
     return train_model([bytes(r["text"]) for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
 
 
+def scored_batches(texts: pa.Array, model: ToxicityModel | None) -> np.ndarray:
+    score, at = np.zeros(len(texts)), 0
+    while model and at < len(texts):
+        some, size = [], 0
+        while at + len(some) < len(texts) and size < 1 << 20:
+            some.append(texts[at + len(some)].as_py() or b"")
+            size += len(some[-1])
+        score[at : at + len(some)] = model.score(some)
+        at += len(some)
+    return score
+
+
 def score_texts(docs: DataFrame, model: ToxicityModel | None, *more: str) -> DataFrame:
     """(doc_id, more, score) of every row; 0 for null texts, texts without words, or no model."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts, score, at = b.column(b.num_columns - 1).cast(pa.binary()), np.zeros(b.num_rows), 0
-            while model and at < len(texts):
-                some, size = [], 0
-                while at + len(some) < len(texts) and size < 1 << 20:
-                    some.append(texts[at + len(some)].as_py() or b"")
-                    size += len(some[-1])
-                score[at : at + len(some)] = model.score(some)
-                at += len(some)
+            score = scored_batches(b.column(b.num_columns - 1).cast(pa.binary()), model)
             yield pa.record_batch([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], "score"])
 
     rows = docs.select("doc_id", *more, "text")
@@ -301,6 +306,17 @@ def score_texts(docs: DataFrame, model: ToxicityModel | None, *more: str) -> Dat
     return rows.mapInArrow(batches, f"{schema}, score double")
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel | None, most: float) -> DataFrame:
+    """The rows of docs, all columns, that score below most. Nothing is shuffled."""
+    place = docs.columns.index("text")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield b.filter(pa.array(scored_batches(b.column(place).cast(pa.binary()), model) < most))
+
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def toxicity_of_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, per_label: int = 1200) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs, learnt from the labels of the other folds.
 
