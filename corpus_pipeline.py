@@ -3,20 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from trovespark.llm.common import new_scratch
+from trovespark.llm.common import labels, new_scratch
+from trovespark.llm.language_id import keep_identified
+from trovespark.llm.language_id import train as train_language
+from trovespark.llm.mixing import mixed
 from trovespark.llm.near_dedup import near_duplicates
+from trovespark.llm.packing import pack_documents
+from trovespark.llm.queries import tokenizer_path
+from trovespark.llm.toxicity import keep_clean
+from trovespark.llm.toxicity import train as train_toxicity
+
+#: Scores run from 0 to 1. Text of the learned languages scores 0.4 and more, what none of them claims about 0.25 or less.
+LEAST_LANGUAGE, TOXIC = 0.25, 0.7
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, and those that no learned language claims, go."""
+    return keep_identified(docs, train_language(docs), LEAST_LANGUAGE)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which any window scores as toxic go."""
+    return keep_clean(docs, train_toxicity(docs, labels(spark, sf_dir)), TOXIC)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal texts one document stays: the one that names it, the smallest doc_id."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of each component of near-equal texts one document stays, the one with the smallest doc_id."""
+    found = near_duplicates(docs)
+    kept = found.where(found.doc_id.eqNullSafe(found.component_id)).select(found.doc_id.alias("kept_id")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi").dropDuplicates(["doc_id"])
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stand in the result as often as the mix takes them."""
+    return mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all sequences."""
+    return pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("near_dedup", near_dedup)]
-#: SQL can't express the trained stages; tests/llm compares the stages with brute-force versions.
+STAGES = [("language", language), ("toxicity", toxicity), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+#: SQL can't express the trained stages; tests/llm compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
