@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +32,7 @@ def pieces(text: str) -> list[str]:
 class Encoder:
     """Ids of whole texts as little-endian bytes of dtype; path names a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, end_id: int | None = 0, most_pieces: int = 600_000) -> None:
+    def __init__(self, path: str, end_id: int | None = 0, most_pieces: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -41,23 +42,23 @@ class Encoder:
         self.most, self.known = most_pieces, {}
 
     def learn(self, new: list[str]) -> None:
-        dtype = self.dtype
+        kind = "H" if self.dtype.itemsize == 2 else "I"
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, dtype).tobytes()
+                self.known[piece] = array(kind, e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """With the end id behind each text."""
+        """With the end id behind each text. A full table keeps what it has, mostly frequent pieces, and forgets later ones."""
         cut = [pieces(t) for t in texts]
-        known = self.known
-        met = set().union(*cut)
-        new = met - known.keys()
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = met
-        self.learn(list(new))
-        return [b"".join(map(known.__getitem__, c)) + self.end for c in cut]
+        new = list(set().union(*cut) - self.known.keys())
+        self.learn(new)
+        known = self.known.__getitem__
+        out = [b"".join(map(known, c)) + self.end for c in cut]
+        if len(self.known) > self.most:
+            for p in new:
+                del self.known[p]
+        return out
 
 
 @lru_cache(maxsize=2)
