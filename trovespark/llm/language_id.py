@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import fold_of, label_sample
+from trovespark.llm.common import fold_of, in_arrow, label_sample
 
 ORDERS = (2, 3, 4)
 BINS = 1 << 15
@@ -96,7 +96,7 @@ def train(labelled: DataFrame, per_language: int = 500, landmarks: int = 256) ->
             yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "lang", "bins"])
 
     usable = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    rows = label_sample(usable, "lang", per_language).mapInArrow(bins, "doc_id long, lang string, bins array<int>").toArrow()
+    rows = in_arrow(label_sample(usable, "lang", per_language), bins, "doc_id long, lang string, bins array<int>").toArrow()
     order = sorted(range(len(rows)), key=lambda i: rows["doc_id"][i].as_py() or 0)
     return fit([(rows["lang"][i].as_py(), rows["bins"][i].values.to_numpy()) for i in order], landmarks)
 
@@ -118,7 +118,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, *more: str) -> DataFr
 
     rows = docs.select("doc_id", *more, "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_lettered"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
-    return rows.mapInArrow(batches, f"{schema}, lang_pred string, score double")
+    return in_arrow(rows, batches, f"{schema}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None, least: float) -> DataFrame:
@@ -133,7 +133,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None, least: float)
                 keep = model.scores(some).max(axis=1) >= least if model else np.zeros(len(some), bool)
                 yield b.slice(at, len(some)).filter(pa.array(keep & np.array([bool(t) for t in some], bool)))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return in_arrow(docs, batches, docs.schema)
 
 
 def language_of_documents(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int = 500) -> DataFrame:

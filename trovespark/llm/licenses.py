@@ -17,7 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trovespark.llm.common import with_text
+from trovespark.llm.common import in_arrow, with_text
 
 #: Phrases and their labels.
 PHRASES = {
@@ -201,7 +201,7 @@ def licence_spans(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(hits, base), pa.array(spans, span)], ["doc_id", "n_words", "base", "spans"])
 
     schema = "doc_id long, n_words long, base array<struct<start:long,label:string>>, spans array<struct<label:string,first:long,last:long,covered:double>>"
-    return with_text(docs).mapInArrow(batches, schema)
+    return in_arrow(with_text(docs), batches, schema)
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:

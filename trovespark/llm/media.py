@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from trovespark.llm import jpeg
-from trovespark.llm.common import with_text
+from trovespark.llm.common import in_arrow, with_text
 from trovespark.llm.tokens import batches_of
 
 UNIT = 64
@@ -30,7 +30,7 @@ def as_jpeg(docs: DataFrame) -> DataFrame:
                 media = jpeg.store([padded(t) for t in texts[at:to]])
                 yield pa.record_batch([b.column(0)[at:to], pa.array([len(t) for t in texts[at:to]], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return with_text(docs).mapInArrow(batches, "doc_id long, n_bytes long, media binary")
+    return in_arrow(with_text(docs), batches, "doc_id long, n_bytes long, media binary")
 
 
 def jpeg_features(media: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def jpeg_features(media: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.record_batch([b.column(0)[at:to], b.column(1)[at:to], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], [x.split()[0] for x in schema.split(", ")])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(batches, schema)
+    return in_arrow(media.select("doc_id", "n_bytes", "media"), batches, schema)
 
 
 def media_of_documents(docs: DataFrame) -> DataFrame:

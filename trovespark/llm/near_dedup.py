@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import components, with_text, written
+from trovespark.llm.common import components, in_arrow, with_text, written
 
 ODD_BITS = 0x5555555555555555
 GROUPS = 8
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.int64, len(texts))
             yield pa.record_batch([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return with_text(docs).mapInArrow(batches, "doc_id long, fp long")
+    return in_arrow(with_text(docs), batches, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:

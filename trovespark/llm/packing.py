@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import with_text, written
+from trovespark.llm.common import in_arrow, with_text, written
 from trovespark.llm.tokens import batches_of, crc32_of, encoder
 
 CODE_BITS = 16
@@ -46,7 +46,7 @@ def items_of(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataF
                     code.append(int(((signs[ids[whole:]].sum(axis=0, dtype=np.int64) > 0) * bit).sum()))
                 yield pa.record_batch([b.column(0)[at:to], pa.array(n), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array(code, pa.int32()), pa.array([enc.dtype.itemsize] * len(n), pa.int32())], ["doc_id", "doc_tokens", "crcs", "rest", "code", "width"])
 
-    return with_text(docs).mapInArrow(batches, "doc_id long, doc_tokens long, crcs array<long>, rest binary, code int, width int")
+    return in_arrow(with_text(docs), batches, "doc_id long, doc_tokens long, crcs array<long>, rest binary, code int, width int")
 
 
 def shard_plan(counts: list[tuple[int, int]], items_each: int) -> list[tuple[int, int, int]]:

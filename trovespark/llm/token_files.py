@@ -18,7 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import new_scratch, range_parts, with_text, written
+from trovespark.llm.common import in_arrow, new_scratch, range_parts, with_text, written
 from trovespark.llm.tokens import batches_of, crc32_of, encoder
 
 MANIFEST = "part long, documents long, ids long, width int, path string"
@@ -91,7 +91,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["part", "documents", "ids", "width", "path"])
 
     placed = range_parts(docs.select("doc_id"), "doc_id", rows_each)(with_text(docs)).select("part", "doc_id", "text")
-    ids = placed.mapInArrow(encode, "part long, doc_id long, ids binary")
+    ids = in_arrow(placed, encode, "part long, doc_id long, ids binary")
     return written(ids.repartition("part").sortWithinPartitions("part", "doc_id", "ids").mapInArrow(write, MANIFEST), "token-manifest")
 
 
@@ -108,8 +108,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array(docs[at : at + 8192]), pa.array(o[:-1] + r["base"]), pa.array(np.diff(o)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     before = F.sum("ids").over(Window.orderBy("part")) - F.col("ids")  # a row for each part
-    based = manifest.withColumn("base", before).repartition("part")
-    return based.select("path", "width", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    based = manifest.withColumn("base", before).repartition(max(1, manifest.count()), "part")
+    return in_arrow(based.select("path", "width", "base"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, rows_each: int = 2000) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import fold_of, label_sample
+from trovespark.llm.common import fold_of, in_arrow, label_sample
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD, CHAR, BINS = 8, 12, 8, 1 << 15
@@ -303,7 +303,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel | None, *more: str) -> Dat
 
     rows = docs.select("doc_id", *more, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(batches, f"{schema}, score double")
+    return in_arrow(rows, batches, f"{schema}, score double")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel | None, most: float) -> DataFrame:
@@ -314,7 +314,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel | None, most: float) -> Dat
         for b in it:
             yield b.filter(pa.array(scored_batches(b.column(place).cast(pa.binary()), model) < most))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return in_arrow(docs, batches, docs.schema)
 
 
 def toxicity_of_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, per_label: int = 1200) -> DataFrame:
