@@ -1,0 +1,57 @@
+"""Redaction by rules (id, pattern, action): fail_closed, drop or mask, in that order.
+
+Rules are a bounded list on the driver; each becomes an expression, so bodies are read once.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from trovespark.functions.text import excerpt
+
+MASK = "***"
+Rule = tuple[str, str, str]
+
+#: The baseline rules, patterns of credentials and private data.
+BASELINE: list[Rule] = [
+    ("private-key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "fail_closed"),
+    ("aws-access-key", "AKIA[0-9A-Z]{16}", "drop"),
+    ("secret-key", "sk-[A-Za-z0-9]{20,}", "drop"),
+    ("github-token", "gh[pousr]_[A-Za-z0-9]{36}", "drop"),
+    ("bearer", "[Bb]earer [A-Za-z0-9._-]{20,}", "drop"),
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "mask"),
+    ("ipv4", "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "mask"),
+    ("phone", "[+][0-9]{1,3}[ -][0-9][0-9 -]{6,14}[0-9]", "mask"),
+]
+
+
+def matches(text: Column, rule: Rule) -> Column:
+    return F.regexp_count(text, F.lit(rule[1]))
+
+
+def sanitize(bodies: DataFrame, rules: list[Rule] = BASELINE, text: str = "text") -> DataFrame:
+    """bodies with text cleaned and two more columns: redactions (array of rule, action, matches, excerpt) and aborted.
+
+    aborted: a fail_closed rule matched; the caller refuses the whole pack. A text that a drop rule
+    matches becomes empty, all drop rules that match being reported; else mask rules replace in turn.
+    """
+    body = F.col(text)
+    found = lambda r: F.struct(F.lit(r[0]).alias("rule"), F.lit(r[2]).alias("action"), matches(body, r).alias("matches"), excerpt(F.lit(r[0]), matches(body, r)).alias("excerpt"))
+    by = {a: [r for r in rules if r[2] == a] for a in ("fail_closed", "drop", "mask")}
+    closed = F.array(*[found(r) for r in by["fail_closed"]])
+    hit = lambda arr: F.filter(arr, lambda x: x["matches"] > 0)
+    out = bodies.withColumn("_closed", hit(closed)).withColumn("_drop", hit(F.array(*[found(r) for r in by["drop"]])))
+    masked = reduce(lambda t, r: F.regexp_replace(t, r[1], MASK.replace("$", "\\$")), by["mask"], body)
+    reported = (
+        F.when(F.size("_closed") > 0, F.slice("_closed", 1, 1)).when(F.size("_drop") > 0, F.col("_drop")).otherwise(hit(F.array(*[found(r) for r in by["mask"]])))
+    )
+    out = out.withColumn("redactions", reported).withColumn("aborted", F.size("_closed") > 0)
+    return out.withColumn(text, F.when(F.col("aborted") | (F.size("_drop") > 0), F.lit("")).otherwise(masked)).drop("_closed", "_drop")
+
+
+def redaction_counts(clean: DataFrame) -> DataFrame:
+    """(rule, action, texts, matches) over all bodies."""
+    return clean.select(F.explode("redactions").alias("r")).groupBy(F.col("r.rule").alias("rule"), F.col("r.action").alias("action")).agg(F.count("*").alias("texts"), F.sum("r.matches").alias("matches"))

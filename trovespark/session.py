@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +28,21 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each application, for functions that run in Python there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here, folder = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="trovespark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # Spark serves the file from here as long as the driver lives
+    archive = Path(folder) / f"{here.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
