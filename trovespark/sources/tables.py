@@ -11,9 +11,9 @@ _TYPE_OF = " ".join(f"when {i} then '{t}'" for i, t in enumerate(EDGE_TYPES))
 VIEWS = {
     "nodes": """select 'n' || cast(p_partkey as string) as id,
         case p_partkey % 5 when 0 then 'function' when 1 then 'method' when 2 then 'type' when 3 then 'interface' else 'const' end as type,
-        'Sym' || cast(p_partkey % 40 as string) as name,
-        'pkg' || cast(p_size as string) || '.Sym' || cast(p_partkey % 40 as string) || case when p_partkey % 5 = 1 then '.M' || cast(p_partkey % 7 as string) else '' end as qualified_name,
-        'example.com/' || p_brand || '/pkg' || cast(p_size as string) || '.Sym' || cast(p_partkey % 40 as string) as canonical_id,
+        'Sym' || cast(p_partkey % 37 as string) as name,
+        'pkg' || cast(p_size as string) || '.Sym' || cast(p_partkey % 37 as string) || case when p_partkey % 5 = 1 then '.M' || cast(p_partkey % 7 as string) else '' end as qualified_name,
+        'example.com/' || p_brand || '/pkg' || cast(p_size as string) || '.Sym' || cast(p_partkey % 37 as string) as canonical_id,
         'src/pkg' || cast(p_size as string) || '/f' || cast(p_partkey % 40 as string) || case when p_partkey % 9 = 0 then '_test.go' else '.go' end as file_path,
         cast(1 + (p_partkey % 100) * 10 as int) as start_line, cast(6 + (p_partkey % 100) * 10 + p_partkey % 20 as int) as end_line, 'go' as language
         from {part}""",
