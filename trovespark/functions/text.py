@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 #: Enumerations of the evidence contract.
 INTENTS = ("", "bug_fix", "feature_add", "refactor", "arch_explain", "test_add", "concurrency_safety", "security", "docs_update", "qa_review")
 RELATIONS = ("calls", "called_by", "implements", "imports", "references", "tested_by", "embeds", "defines")
-SOURCES = ("ckg", "ckv", "fused")
 REDACTIONS = ("mask", "drop", "fail_closed")
 
 SNIPPET_MARK = "\n… [truncated]"
@@ -155,3 +154,49 @@ def contains_any(text: Column, needles: list[str]) -> Column:
 def excerpt(rule: Column, count: Column) -> Column:
     """What a redaction reports: the rule and how often it matched, none of the text."""
     return F.format_string("%s: %d match%s", rule, count, F.when(count == 1, F.lit("")).otherwise(F.lit("es")))
+
+
+#: What each intent looks for: symbol kinds (none: any), relations, hops.
+INTENT_SHAPE = {
+    "bug_fix": (("function", "method"), ("called_by", "calls"), 2),
+    "feature_add": (("function", "method", "type", "interface"), ("imports", "implements", "references"), 1),
+    "refactor": ((), ("called_by", "calls", "references", "implements"), 2),
+    "arch_explain": (("type", "interface", "const", "function", "method"), ("imports", "defines", "calls", "implements", "embeds"), 2),
+    "test_add": (("function", "method"), ("tested_by", "calls", "called_by"), 1),
+    "concurrency_safety": (("function", "method"), ("called_by", "references", "calls"), 2),
+    "security": (("function", "method", "interface"), ("called_by", "calls", "references"), 2),
+    "docs_update": (("type", "interface", "function", "method"), ("defines", "implements"), 1),
+    "qa_review": ((), RELATIONS, 1),
+    "": ((), RELATIONS, 1),
+}
+
+
+def kinds_allowed(intent: Column, kind: Column) -> Column:
+    """Whether a symbol kind, in any case, is one the intent looks for."""
+    out = F.lit(True)
+    for name, (kinds, _, _) in INTENT_SHAPE.items():
+        if kinds:
+            out = F.when(intent == name, F.lower(kind).isin(*kinds)).otherwise(out)
+    return out
+
+
+def edge_valid(source: Column, target: Column, relation: Column, distance: Column) -> Column:
+    return F.coalesce((source != "") & (target != "") & relation.isin(*RELATIONS) & (distance >= 1), F.lit(False))
+
+
+def pack_valid(query: Column, intent: Column, citations: Column, bodies: Column, edges: Column) -> Column:
+    """A query, a known intent, bodies among the citations and both ends of every edge among them."""
+    inside = F.forall(bodies, lambda b: F.array_contains(citations, b))
+    linked = F.forall(edges, lambda e: F.array_contains(citations, e["source"]) & F.array_contains(citations, e["target"]))
+    return F.coalesce((query != "") & intent.isin(*INTENTS) & inside & linked, F.lit(False))
+
+
+def plain_words(text: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Lower-case ASCII words of three characters or more, in order, without stop words."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*stop) if stop else F.length(w) >= 3)
+
+
+def hashed_vector(text: Column, dimensions: int = 64) -> Column:
+    """A deterministic stand-in for an embedder: signed counts of hashed words, as floats."""
+    slots = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(slots, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dimensions)) == i, F.when(h < 0, F.lit(-1.0)).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))).cast("float"))

@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trovespark.functions.text import citation_key
-from trovespark.operators.ranking import top_k
 
 EDGE_ONLY = 16
 
 
+EDGES = "prompt_id string, pos long, source string, target string, relation string, distance int"
+
+
+def admit(rows: list[dict], known: set[str], most: int = EDGE_ONLY) -> list[dict]:
+    """Edges, in order, whose source is known; the first most targets that aren't become known, and so may be later edges' sources."""
+    out, added, seen = [], 0, set(known)
+    for r in rows:
+        if r["source"] not in seen:
+            continue
+        if r["target"] not in seen:
+            if added >= most:
+                continue
+            seen.add(r["target"])
+            added += 1
+        out.append(r)
+    return out
+
+
 def admitted_edges(edges: DataFrame, cited: DataFrame, most: int = EDGE_ONLY) -> DataFrame:
-    """Edges whose source is cited; of targets that aren't, the first most new ones of a prompt in edge order.
+    """admit() for each prompt: edges (prompt_id, pos, source, target, relation, distance), cited (prompt_id, key).
 
-    edges (prompt_id, pos, source, target, relation, distance); cited (prompt_id, key).
+    What is admitted depends on what was before, so a prompt's edges are folded in order; they are
+    bounded by the caps of the expansion, and cited keys by the body cap.
     """
-    src = edges.join(cited.withColumnRenamed("key", "source"), ["prompt_id", "source"], "left_semi")
-    marked = src.join(cited.select("prompt_id", F.col("key").alias("target"), F.lit(True).alias("known")), ["prompt_id", "target"], "left")
-    new = marked.where("known is null").groupBy("prompt_id", "target").agg(F.min("pos").alias("first_pos"))
-    new = top_k(new, ["prompt_id"], [F.asc("first_pos"), F.asc("target")], most, "_r").select("prompt_id", "target", F.lit(True).alias("admitted"))
-    out = marked.join(new, ["prompt_id", "target"], "left").where("known or admitted")
-    return out.select("prompt_id", "pos", "source", "target", "relation", "distance")
+    names = [c.split()[0] for c in EDGES.split(", ")]
+
+    def fold(key: tuple, e: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        rows = e.sort_values(["pos", "source", "target", "relation"], kind="stable").to_dict("records")
+        return pd.DataFrame(admit(rows, set(c["key"]), most), columns=names)
+
+    left = edges.select(F.col("prompt_id").cast("string").alias("prompt_id"), F.col("pos").cast("long").alias("pos"), *names[2:])
+    right = cited.select(F.col("prompt_id").cast("string").alias("prompt_id"), "key")
+    return left.groupBy("prompt_id").cogroup(right.groupBy("prompt_id")).applyInPandas(fold, EDGES)
 
 
 def assemble(prompts: DataFrame, bodies: DataFrame, edges: DataFrame, usable: int) -> DataFrame:

@@ -16,6 +16,7 @@ from trovespark.operators import audit, graph, inventory, pack, ranking, sanitiz
 from trovespark.operators.budget import Budget, allocate, usage
 from trovespark.plans import compose
 from trovespark.sources import readers
+from trovespark.sources.scratch import kept
 from trovespark.sources.tables import table, view, view_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,7 +154,7 @@ _BM25 = f"""tok as (select doc, {_TERMS.format("text")} from corpus),
 )
 def bm25_(spark: SparkSession, sf: str) -> DataFrame:
     c = view(spark, sf, "corpus")
-    found = search.bm25(view(spark, sf, "prompts"), search.postings(c, "doc"), search.index_stats(c))
+    found = search.bm25(view(spark, sf, "prompts"), kept(search.postings(c, "doc"), "postings"), search.index_stats(c))
     return rounded(found.select("query_id", "doc", F.col("rank").cast("long").alias("rank"), "score"), "score")
 
 
@@ -701,14 +702,14 @@ def budget_slack(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "w10_j6_j7_p3_edge_admission",
-    """with e as (select 'p' || (l_orderkey % 300) as prompt_id, l_partkey * 10 + l_linenumber as pos, 'n' || l_suppkey as source, 'n' || (l_partkey % 400) as target from lineitem), c as (select distinct 'p' || (o_orderkey % 300) as prompt_id, 'n' || (o_custkey % 60) as key from orders),
+    """with e as (select 'p' || (l_orderkey % 300) as prompt_id, l_partkey * 10 + l_linenumber as pos, 'n' || l_suppkey as source, 'm' || (l_partkey % 400) as target from lineitem), c as (select distinct 'p' || (o_orderkey % 300) as prompt_id, case when o_orderkey % 2 = 0 then 'n' else 'm' end || (o_custkey % 60) as key from orders),
     s as (select * from e where (prompt_id, source) in (select (prompt_id, key) from c)), n as (select prompt_id, target, min(pos) as fp from s where (prompt_id, target) not in (select (prompt_id, key) from c) group by all),
     k as (select *, row_number() over (partition by prompt_id order by fp, target) as r from n) select s.prompt_id, s.pos, s.source, s.target from s where (prompt_id, target) in (select (prompt_id, key) from c) or (prompt_id, target) in (select (prompt_id, target) from k where r <= 16)""",
 )
 def edge_admission(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    e = li.select(F.concat(F.lit("p"), F.col("l_orderkey") % 300).alias("prompt_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("n"), "l_suppkey").alias("source"), F.concat(F.lit("n"), F.col("l_partkey") % 400).alias("target"), F.lit("calls").alias("relation"), F.lit(1).alias("distance"))
-    c = table(spark, sf, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey") % 300).alias("prompt_id"), F.concat(F.lit("n"), F.col("o_custkey") % 60).alias("key")).distinct()
+    e = li.select(F.concat(F.lit("p"), F.col("l_orderkey") % 300).alias("prompt_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("n"), "l_suppkey").alias("source"), F.concat(F.lit("m"), F.col("l_partkey") % 400).alias("target"), F.lit("calls").alias("relation"), F.lit(1).alias("distance"))
+    c = table(spark, sf, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey") % 300).alias("prompt_id"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "n").otherwise("m"), F.col("o_custkey") % 60).alias("key")).distinct()
     return pack.admitted_edges(e, c).select("prompt_id", "pos", "source", "target")
 
 
@@ -736,6 +737,116 @@ def audit_chain(spark: SparkSession, sf: str) -> DataFrame:
     return audit.chain_breaks(log, "trace_id", "seq", "body")
 
 
+@query(
+    "f4_f11_f21_edge_rules",
+    r"""select e.src, e.dst, e.type, e.type in ('calls','called_by','implements','imports','references','tested_by','embeds','defines') and e.src <> '' and e.dst <> '' as valid,
+    a.type in ('function', 'method') as kind_ok, regexp_matches(a.file_path, '_test\.go$') or regexp_matches(b.file_path, '_test\.go$') as touches_test from edges e join nodes a on a.id = e.src join nodes b on b.id = e.dst""",
+    ("nodes", "edges"),
+)
+def edge_rules(spark: SparkSession, sf: str) -> DataFrame:
+    e, n = view(spark, sf, "edges"), view(spark, sf, "nodes")
+    a, b = n.select(F.col("id").alias("src"), F.col("type").alias("kind"), F.col("file_path").alias("fa")), n.select(F.col("id").alias("dst"), F.col("file_path").alias("fb"))
+    valid = T.edge_valid(F.col("src"), F.col("dst"), F.col("type"), F.lit(1))
+    return e.join(a, "src").join(b, "dst").select("src", "dst", "type", valid.alias("valid"), T.kinds_allowed(F.lit("bug_fix"), F.col("kind")).alias("kind_ok"), (T.is_test_path(F.col("fa")) | T.is_test_path(F.col("fb"))).alias("touches_test"))
+
+
+@query(
+    "f5_pack_validity",
+    """with p as (select o_orderkey, o_custkey, o_orderpriority as query, case o_orderstatus when 'F' then 'bug_fix' when 'O' then '' else 'nonsense' end as intent from orders)
+    select o_orderkey, intent <> 'nonsense' and o_custkey % 3 <> 0 and o_custkey % 5 <> 0 as valid from p""",
+)
+def pack_validity(spark: SparkSession, sf: str) -> DataFrame:
+    o, k = table(spark, sf, "orders"), F.col("o_custkey")
+    intent = F.when(F.col("o_orderstatus") == "F", "bug_fix").when(F.col("o_orderstatus") == "O", "").otherwise("nonsense")
+    bodies = F.when(k % 3 == 0, F.array(F.lit("z"))).otherwise(F.array(F.lit("a")))
+    edges = F.array(F.struct(F.lit("a").alias("source"), F.when(k % 5 == 0, "z").otherwise("b").alias("target")))
+    return o.select("o_orderkey", T.pack_valid(F.col("o_orderpriority"), intent, F.array(F.lit("a"), F.lit("b")), bodies, edges).alias("valid"))
+
+
+@query(
+    "f9_r16_vector_filter",
+    """with s as (select a.vec_id as query_id, b.vec_id as doc, list_inner_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_inner_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_inner_product(b.embedding::double[], b.embedding::double[]))) as score
+      from embeddings a, embeddings b where a.label = 1 and b.label in (2, 3)), r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc) as rank from s) select query_id, doc, rank, round(score, 6) as score from r where rank <= 6""",
+)
+def vector_filter(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    found = search.knn(e.where("label = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.where("label in (2, 3)").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")), k=6)
+    return rounded(found.select("query_id", "doc", F.col("rank").cast("long").alias("rank"), "score"), "score")
+
+
+@query(
+    "j1_bridge_rate",
+    """with h as (select doc, 'example.com/Brand#' || (length(text) % 25) || '/pkg' || (length(text) % 50) || '.Sym' || (length(text) % 37) as canonical_id from corpus)
+    select count(*) as hits, cast(sum(case when canonical_id in (select canonical_id from nodes) then 1 else 0 end) as bigint) as resolved from h""",
+    ("corpus", "nodes"),
+)
+def bridge_rate(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.length("text")
+    h = view(spark, sf, "corpus").select("doc", F.concat(F.lit("example.com/Brand#"), n % 25, F.lit("/pkg"), n % 50, F.lit(".Sym"), n % 37).alias("canonical_id"))
+    known = view(spark, sf, "nodes").select("canonical_id", F.lit(1).alias("known")).distinct()
+    return h.join(known, "canonical_id", "left").agg(F.count("*").alias("hits"), F.count("known").alias("resolved"))
+
+
+@query(
+    "j17_anchor_uniqueness",
+    """with d as (select file_path as file, name as symbol, start_line from nodes), a as (select distinct id, file, regexp_replace(symbol, '^pkg[0-9]+\\.', '') as symbol from entries)
+    select id, a.file, a.symbol, count(distinct start_line) as definitions, case count(distinct start_line) when 0 then 'warning' when 1 then 'ok' else 'error' end as verdict from a left join d on d.file = a.file and d.symbol = a.symbol group by all""",
+    ("nodes", "entries"),
+)
+def anchor_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
+    d = view(spark, sf, "nodes").select(F.col("file_path").alias("file"), F.col("name").alias("symbol"), "start_line")
+    a = view(spark, sf, "entries").select("id", "file", F.regexp_replace("symbol", r"^pkg[0-9]+\.", "").alias("symbol")).distinct()
+    out = a.join(d, ["file", "symbol"], "left").groupBy("id", "file", "symbol").agg(F.count_distinct("start_line").alias("definitions"))
+    return out.withColumn("verdict", F.when(F.col("definitions") == 0, "warning").when(F.col("definitions") == 1, "ok").otherwise("error"))
+
+
+@query(
+    "a19_x26_best_anchor",
+    """with w as (select conv_id, turn, list_distinct([x for x in string_split_regex(lower(text), '[^a-z0-9]+') if length(x) >= 3]) as w from conversations),
+    s as (select a.conv_id, a.turn, b.item_id, len(list_intersect(a.w, b.w)) as overlap from w a join (select item_id, list_distinct([x for x in string_split_regex(lower(text), '[^a-z0-9]+') if length(x) >= 3]) as w from benchmark) b on a.conv_id % 40 >= b.item_id - 2 and a.conv_id % 40 <= b.item_id + 2),
+    r as (select *, row_number() over (partition by conv_id, turn order by overlap desc, item_id) as n from s) select conv_id, turn, item_id, overlap from r where n = 1""",
+)
+def best_anchor(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.array_distinct(T.plain_words(F.col("text")))
+    a = table(spark, sf, "conversations").select("conv_id", "turn", words.alias("w"), F.explode(F.sequence(F.col("conv_id") % 40 - 2, F.col("conv_id") % 40 + 2)).alias("item_id"))
+    b = table(spark, sf, "benchmark").select("item_id", words.alias("v"))
+    s = a.join(b, "item_id").select("conv_id", "turn", "item_id", F.size(F.array_intersect("w", "v")).cast("long").alias("overlap"))
+    return ranking.top_k(s, ["conv_id", "turn"], [F.desc("overlap"), F.asc("item_id")], 1, "_r").drop("_r")
+
+
+@query("a25_redaction_counts")
+def redaction_counts_(spark: SparkSession, sf: str) -> DataFrame:
+    return sanitize.redaction_counts(sanitize.sanitize(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+@query("x1_hashed_vectors")
+def hashed_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "prompts").select("query_id", T.hashed_vector(F.col("text")).alias("vec"))
+
+
+@query("r8_r9_search_tools", f"with {_BM25} select query_id, doc, rank from tk where doc not in (select doc from corpus where regexp_matches(file, '_test\\.go$'))", ("corpus", "prompts"))
+def search_tools(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword search, then without test files."""
+    c = view(spark, sf, "corpus")
+    found = search.bm25(view(spark, sf, "prompts"), search.postings(c, "doc"), search.index_stats(c), scale=False)
+    tests = c.where(T.is_test_path(F.col("file"))).select("doc")
+    return found.join(tests, "doc", "left_anti").select("query_id", "doc", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "s15_s26_flow_notes_in_scope",
+    """select o_orderkey as id, 'F' || (o_custkey % 9) as flow, 'F.' || o_orderkey as step, 'pkg.S' || o_custkey as symbol from orders where o_custkey % 9 < 6""",
+)
+def flow_notes_(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes of one step each, kept if their path is on the file list."""
+    o, group = table(spark, sf, "orders"), F.col("o_custkey") % 9
+    note = F.concat(F.lit("---\nflow_id: F"), group, F.lit("\n---\n### STEP F."), "o_orderkey", F.lit("\n- symbol: pkg.S"), "o_custkey", F.lit("\n"))
+    files = o.select(F.concat(F.lit("notes/"), group, F.lit("/"), "o_orderkey", F.lit(".md")).alias("path"), note.alias("text"), group.alias("dir"))
+    listed = files.where("dir < 6").select("path")
+    notes = readers.flow_notes(files.join(listed, "path", "left_semi"))
+    return notes.select(F.substring("step", 3, 20).cast("long").alias("id"), "flow", "step", "symbol")
+
+
 # --- freshness, health, events -------------------------------------------------------------------
 
 

@@ -17,6 +17,7 @@ from trovespark.operators.pack import assemble
 from trovespark.operators.ranking import WEIGHTS, citation_order, demote_tests, reciprocal_rank_fusion, top_k
 from trovespark.operators.sanitize import BASELINE, Rule, sanitize
 from trovespark.operators.search import bm25, index_stats, knn, postings
+from trovespark.sources.scratch import kept
 
 #: Words that are no keywords.
 STOPWORDS = "the and for with that this from are was has have not but can how what why when where which who does all".split()
@@ -51,7 +52,7 @@ def reranked_keywords(candidates: DataFrame, hits: DataFrame, most: int = 8) ->
 
 def search(prompts: DataFrame, corpus: DataFrame, settings: Settings = Settings(), intent: str | None = None) -> DataFrame:
     """(prompt_id, file, start_line, end_line, score, evidence, n_lists, ...): the vector list of each prompt, BM25 lists and symbol lists of its keywords, fused; test paths demoted."""
-    index, stats = postings(corpus, "doc"), index_stats(corpus)
+    index, stats = kept(postings(corpus, "doc"), "postings"), kept(index_stats(corpus), "index-stats")  # read several times
     words = keywords(prompts).where(F.col("pos") < settings.keywords).withColumn("query_id", F.concat_ws("|", "prompt_id", "keyword"))
     place = corpus.select("doc", "file", "start_line", "end_line", "commit_hash", "chunk_kind")
     by_word = words.select("query_id", F.col("keyword").alias("text")).distinct()
