@@ -26,10 +26,10 @@ def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def normalised(df: DataFrame, group: list[str], score: str = "score") -> DataFrame:
-    """score scaled to 0..1 within each group; 1 where all are equal."""
-    bounds = df.groupBy(*group).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(1.0))
-    return df.join(bounds, group).withColumn(score, scaled).drop("_lo", "_hi")
+    """score scaled to 0..1 within each group, 1 where all are equal; for groups a top-k has bounded, whose partitioning it reuses."""
+    w = Window.partitionBy(*group)
+    lo, hi = F.min(score).over(w), F.max(score).over(w)
+    return df.withColumn(score, F.when(hi > lo, (F.col(score) - lo) / (hi - lo)).otherwise(F.lit(1.0)))
 
 
 def reciprocal_rank_fusion(lists: DataFrame, group: list[str], key: list[str], k: int = RRF_K) -> DataFrame:

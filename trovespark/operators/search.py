@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trovespark.functions.text import code_terms, cosine
 from trovespark.operators.ranking import normalised, top_k
+from trovespark.sources.scratch import kept
 
 K1, B = 1.5, 0.75
 UNKNOWN_BELOW = 0.55
@@ -31,7 +32,7 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, query: str = "q
     The index is cut down to the queries' terms before anything is scored. Document frequencies come
     from the same postings. The one row of stats is broadcast.
     """
-    asked = queries.select(F.col(query), F.explode(F.array_distinct(code_terms(F.col(text)))).alias("term"))
+    asked = kept(queries.select(F.col(query), F.explode(F.array_distinct(code_terms(F.col(text)))).alias("term")), "query-terms")
     hit = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     s = F.broadcast(stats)
