@@ -156,6 +156,27 @@ def excerpt(rule: Column, count: Column) -> Column:
     return F.format_string("%s: %d match%s", rule, count, F.when(count == 1, F.lit("")).otherwise(F.lit("es")))
 
 
+def health(graph_up: Column, vector_up: Column) -> Column:
+    """Without the graph nothing can be served; without vectors less."""
+    return F.when(~graph_up, F.lit("down")).when(~vector_up, F.lit("degraded")).otherwise(F.lit("ok"))
+
+
+def alignment_errors(graph_commit: Column, vector_commit: Column, graph_schema: Column, graph_digest: Column, vector_digest: Column) -> Column:
+    """Why two snapshots don't belong together."""
+    return F.array_compact(
+        F.array(
+            F.when(graph_commit != vector_commit, F.lit("commit mismatch")),
+            F.when(~version_at_least(graph_schema, 1, 19), F.lit("graph schema too old")),
+            F.when(graph_digest != vector_digest, F.lit("digest mismatch")),
+        )
+    )
+
+
+def path_trail(file: Column, relation: Column, distance: Column) -> Column:
+    """Evidence of a neighbour: the seed's file, the relation and how far."""
+    return F.format_string("seed:%s:%s:dist=%d", file, relation, distance)
+
+
 #: What each intent looks for: symbol kinds (none: any), relations, hops.
 INTENT_SHAPE = {
     "bug_fix": (("function", "method"), ("called_by", "calls"), 2),
@@ -180,6 +201,28 @@ def kinds_allowed(intent: Column, kind: Column) -> Column:
     return out
 
 
+def _by_intent(intent: Column, value, default: Column) -> Column:  # noqa: ANN001
+    out = default
+    for name, shape in INTENT_SHAPE.items():
+        out = F.when(intent == name, value(shape)).otherwise(out)
+    return out
+
+
+def intent_relations(intent: Column) -> Column:
+    """The relations to walk for an intent; all for an unknown one."""
+    names = lambda relations: F.array(*[F.lit(r) for r in relations])
+    return _by_intent(intent, lambda s: names(s[1]), names(RELATIONS))
+
+
+def intent_hops(intent: Column) -> Column:
+    return _by_intent(intent, lambda s: F.lit(s[2]), F.lit(1))
+
+
+def intent_glob(intent: Column) -> Column:
+    """A path glob to search besides; only tests have one."""
+    return F.when(intent == "test_add", F.lit("*_test.go")).otherwise(F.lit(""))
+
+
 def edge_valid(source: Column, target: Column, relation: Column, distance: Column) -> Column:
     return F.coalesce((source != "") & (target != "") & relation.isin(*RELATIONS) & (distance >= 1), F.lit(False))
 

@@ -142,6 +142,26 @@ def flow_order(steps: DataFrame, roots: DataFrame, hops: int = 16) -> DataFrame:
     return seen
 
 
+def enforcement(steps: DataFrame, most: int = 20) -> DataFrame:
+    """(inv, pos, flow, step): where each invariant is enforced, most places of each; steps (flow, step, invariants array)."""
+    sites = steps.select(F.explode("invariants").alias("inv"), "flow", "step").distinct()
+    return top_k(sites, ["inv"], [F.asc("flow"), F.asc("step")], most, "pos").select("inv", "pos", "flow", "step")
+
+
+def closure(steps: DataFrame, changed: DataFrame, hops: int = 2) -> DataFrame:
+    """(seed, kind, item): what a change to a step (seed, step) puts at risk: the steps that reach it over calls, and the invariants it or they enforce."""
+    back = steps.select(F.explode("calls").alias("at"), F.col("step").alias("to"), F.lit("calls").alias("type"))
+    met = reach(changed.select("seed", F.col("step").alias("node")), back, hops)
+    claims = steps.select(F.col("step").alias("node"), F.explode("invariants").alias("item"))
+    risked = met.join(claims, "node").select("seed", F.lit("invariant").alias("kind"), "item").distinct()
+    return met.where("distance > 0").select("seed", F.lit("step").alias("kind"), F.col("node").alias("item")).unionByName(risked)
+
+
+def merged_edges(found: DataFrame, group: list[str]) -> DataFrame:
+    """Edges (group, src, dst, type, distance) of several seeds, each edge once, at its least distance."""
+    return found.groupBy(*group, "src", "dst", "type").agg(F.min("distance").alias("distance"))
+
+
 def integrity(steps: DataFrame, invariants: DataFrame) -> DataFrame:
     """(finding, item, target): calls to steps that aren't there, unknown invariants, invariants no step enforces, and calls whose callee doesn't name the caller."""
     calls = steps.select("step", F.explode("calls").alias("target"))

@@ -99,6 +99,25 @@ def anchor_drift(anchors: DataFrame, definitions: DataFrame, most: int = 15) ->
     return found.select("file", "symbol", "line", F.col("n.start_line").alias("new_line"), bucket.alias("bucket"))
 
 
+def refreshed_anchors(entries: DataFrame, drift: DataFrame) -> DataFrame:
+    """entries (id, file, symbol, line, ...) with the new line where drift, from anchor_drift, says that an anchor moved a little."""
+    moved = drift.where("bucket = 'drift'").select("file", "symbol", "line", "new_line")
+    joined = entries.join(moved, ["file", "symbol", "line"], "left")
+    return joined.withColumns({"refreshed": F.col("new_line").isNotNull(), "line": F.coalesce("new_line", "line")}).drop("new_line").select(*entries.columns, "refreshed")
+
+
+def promoted(entries: DataFrame, subsystems: DataFrame, chosen: DataFrame, date: str) -> DataFrame:
+    """entries with the chosen ones (id) verified at date, but those whose changed row would break a rule stay as they are; with promoted and the number of errors."""
+    wanted = entries.join(chosen.select("id").distinct().withColumn("_chosen", F.lit(True)), "id", "left")
+    changed = wanted.where("_chosen").withColumns({"status": F.lit("verified"), "last_verified_at": F.lit(date)})
+    rest = wanted.where("_chosen is null")
+    errors = issues(changed.unionByName(rest), subsystems).where("severity = 'error'").groupBy("id").agg(F.count("*").alias("errors"))
+    out = wanted.join(errors, "id", "left").withColumn("errors", F.when(F.col("_chosen"), F.coalesce("errors", F.lit(0))).otherwise(F.lit(0)))
+    ok = F.coalesce(F.col("_chosen"), F.lit(False)) & (F.col("errors") == 0)
+    out = out.withColumn("promoted", ok).withColumns({"status": F.when(F.col("promoted"), "verified").otherwise(F.col("status")), "last_verified_at": F.when(F.col("promoted"), date).otherwise(F.col("last_verified_at"))})
+    return out.select(*entries.columns, "promoted", "errors")
+
+
 def markdown(entries: DataFrame) -> DataFrame:
     """(id, text): one Markdown page for each embeddable entry; empty sections are left out."""
     section = lambda title, items: F.when(F.size(items) > 0, F.concat(F.lit(f"\n\n## {title}\n\n- "), F.array_join(items, "\n- "))).otherwise(F.lit(""))

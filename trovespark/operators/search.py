@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,13 +53,17 @@ MOST_QUERIES = 20_000
 
 
 def knn(queries: DataFrame, vectors: DataFrame, query: str = "query_id", k: int = 10) -> DataFrame:
-    """(query, doc, score, rank): the k nearest by cosine, exactly. queries (query, vec) is a batch of MOST_QUERIES at most, broadcast to the
-    vectors' partitions; callers split larger ones. Each partition keeps its k best of a query before anything is shuffled."""
-    if queries.count() > MOST_QUERIES:
-        raise ValueError(f"split the batch: more than {MOST_QUERIES} queries")
-    q = F.broadcast(queries.select(F.col(query), F.col("vec").alias("qvec")))
-    scored = vectors.join(q, how="inner").select(query, "doc", cosine(F.col("qvec"), F.col("vec")).alias("score"))
-    return top_k(scored, [query], [F.desc(F.round("score", 9)), F.asc("doc")], k)
+    """(query, doc, score, rank): the k nearest by cosine, exactly. queries (query, vec) are broadcast to the vectors' partitions in blocks of
+    MOST_QUERIES at most, by hash. Each partition keeps its k best of a query before anything is shuffled."""
+    n = queries.count()
+    blocks = 1 if n <= MOST_QUERIES else -(-n * 5 // (4 * MOST_QUERIES))
+    q = queries.select(F.col(query), F.col("vec").alias("qvec"))
+
+    def best(some: DataFrame) -> DataFrame:
+        scored = vectors.join(F.broadcast(some), how="inner").select(query, "doc", cosine(F.col("qvec"), F.col("vec")).alias("score"))
+        return top_k(scored, [query], [F.desc(F.round("score", 9)), F.asc("doc")], k)
+
+    return reduce(DataFrame.unionByName, [best(q.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == i) if blocks > 1 else q) for i in range(blocks)])
 
 
 def classify(prompts: DataFrame, anchors: DataFrame, least: float = UNKNOWN_BELOW) -> DataFrame:

@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovespark.evaluation import metrics
+from trovespark.evaluation import metrics, validation
 from trovespark.functions import text as T
-from trovespark.operators import audit, graph, inventory, pack, ranking, sanitize, search
+from trovespark.operators import audit, graph, inventory, pack, ranking, render, sanitize, search
 from trovespark.operators.budget import Budget, allocate, usage
 from trovespark.plans import compose
 from trovespark.sources import readers
@@ -163,13 +163,13 @@ _VEC = "select vec_id, embedding, label from embeddings"
 
 @query(
     "r4_x2_knn",
-    """with q as (select vec_id as q, embedding as a from embeddings where label = 0), s as (select q, vec_id as doc, list_inner_product(a::double[], embedding::double[])
+    """with q as (select vec_id as q, embedding as a from embeddings where vec_id % 20 = 0), s as (select q, vec_id as doc, list_inner_product(a::double[], embedding::double[])
       / (sqrt(list_inner_product(a::double[], a::double[])) * sqrt(list_inner_product(embedding::double[], embedding::double[]))) as score from q, embeddings),
     r as (select *, row_number() over (partition by q order by round(score, 9) desc, doc) as rank from s) select q as query_id, doc, rank, round(score, 6) as score from r where rank <= 10""",
 )
 def knn_(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    found = search.knn(e.where("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")))
+    found = search.knn(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")))
     return rounded(found.select("query_id", "doc", F.col("rank").cast("long").alias("rank"), "score"), "score")
 
 
@@ -766,11 +766,11 @@ def pack_validity(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "f9_r16_vector_filter",
     """with s as (select a.vec_id as query_id, b.vec_id as doc, list_inner_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_inner_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_inner_product(b.embedding::double[], b.embedding::double[]))) as score
-      from embeddings a, embeddings b where a.label = 1 and b.label in (2, 3)), r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc) as rank from s) select query_id, doc, rank, round(score, 6) as score from r where rank <= 6""",
+      from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.label in (2, 3)), r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc) as rank from s) select query_id, doc, rank, round(score, 6) as score from r where rank <= 6""",
 )
 def vector_filter(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    found = search.knn(e.where("label = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.where("label in (2, 3)").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")), k=6)
+    found = search.knn(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.where("label in (2, 3)").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")), k=6)
     return rounded(found.select("query_id", "doc", F.col("rank").cast("long").alias("rank"), "score"), "score")
 
 
@@ -864,13 +864,14 @@ def changed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "x19_x20_health_and_alignment",
-    """select r_regionkey, r_regionkey % 2 = 0 and r_regionkey <> 3 as ok, case when r_regionkey = 4 then 'down' when r_regionkey = 1 then 'degraded' else 'ok' end as status from region""",
+    """select s_suppkey, case when s_nationkey % 4 = 0 then 'down' when s_nationkey % 3 = 0 then 'degraded' else 'ok' end as status,
+    array_to_string([e for e in [case when s_nationkey % 2 = 1 then 'commit mismatch' end, case when s_suppkey % 25 < 19 then 'graph schema too old' end, case when s_nationkey % 5 = 4 then 'digest mismatch' end] if e is not null], ', ') as errors from supplier""",
 )
 def health(spark: SparkSession, sf: str) -> DataFrame:
-    r = table(spark, sf, "region")
-    status = F.when(F.col("r_regionkey") == 4, "down").when(F.col("r_regionkey") == 1, "degraded").otherwise("ok")
-    matched = F.col("r_regionkey") % 2 == 0
-    return r.select("r_regionkey", matched.alias("ok"), status.alias("status"))
+    s, n = table(spark, sf, "supplier"), F.col("s_nationkey")
+    schema = F.concat(F.lit("1."), F.col("s_suppkey") % 25)
+    errors = T.alignment_errors(F.lit("0"), (n % 2).cast("string"), schema, (n % 5).cast("string"), F.least(n % 5, F.lit(3)).cast("string"))
+    return s.select("s_suppkey", T.health(n % 4 != 0, n % 3 != 0).alias("status"), F.array_join(errors, ", ").alias("errors"))
 
 
 @query(
@@ -884,6 +885,203 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return windowed_counts(e, "1 hour").select("window_start", "event", "n")
 
 
+# --- keywords, validation, rendering, upkeep -------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in compose.STOPWORDS)
+_HITS = "hits as (select * from (select cast(doc::bigint % 40 as varchar) as query_id, case when chunk_kind = 'doc' then regexp_replace(regexp_replace(regexp_extract(file, '[^/]*$', 0), '\\.[^.]*$', ''), '_test$', '') else symbol end as name, row_number() over (partition by doc::bigint % 40 order by doc::bigint) as rank from corpus) where rank <= 20)"
+_OWN = f"""own as (select query_id, list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]{{2,}}'), lambda x: lower(x) not in ({_STOP})) as a from prompts),
+    pr as (select query_id, a[1:10] as w, unnest(generate_series(1, greatest(len(a[1:10]) - 1, 0))) as i from own),
+    wc as (select query_id, i, upper(w[i][1]) || w[i][2:] as a, lower(w[i][1]) || w[i][2:] as l, upper(w[i+1][1]) || w[i+1][2:] as b, upper(w[i+2][1]) || w[i+2][2:] as c from pr),
+    al as (select query_id, i * 4 as o, a || b as name from wc union all select query_id, i * 4 + 1, l || b from wc union all select query_id, i * 4 + 2, a || b || c from wc union all select query_id, i * 4 + 3, l || b || c from wc
+      union all select query_id, 1000 + generate_subscripts(a, 1), unnest(a) from own union all select query_id, 1000000000 + rank, name from hits),
+    kw as (select query_id, name, row_number() over (partition by query_id order by min(o)) - 1 as pos from al where name is not null and query_id in (select query_id from prompts) group by query_id, name)"""
+
+
+def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    c, doc = view(spark, sf, "corpus"), F.col("doc").cast("long")
+    symbol = F.when(F.col("chunk_kind") == "doc", "").otherwise(F.col("symbol"))
+    hits = ranking.top_k(c.select((doc % 40).cast("string").alias("prompt_id"), doc.alias("doc"), symbol.alias("symbol"), "file"), ["prompt_id"], [F.asc("doc")], compose.Settings().recall)
+    prompts = view(spark, sf, "prompts").withColumnRenamed("query_id", "prompt_id")
+    return prompts, compose.candidates(prompts, hits)
+
+
+@query("f12_x5_keyword_candidates", f"with {_HITS}, {_OWN} select query_id as prompt_id, pos, name as keyword from kw", ("prompts", "corpus"))
+def keyword_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return _candidates(spark, sf)[1].withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("x6_augmented_prompts", f"with {_HITS}, {_OWN} select p.query_id as prompt_id, text || ' ' || coalesce(string_agg(name, ' ' order by pos), '') as augmented from prompts p left join kw on kw.query_id = p.query_id and pos < 3 group by p.query_id, text", ("prompts", "corpus"))
+def augmented_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return compose.augmented(*_candidates(spark, sf)).select("prompt_id", "augmented")
+
+
+@query(
+    "p5_trace_steps",
+    """with r as (select cast(user_id as varchar) as prompt_id, event_id % 2 as round, count(*) as hits from events group by all), l as (select cast(user_id as varchar) as prompt_id, count(*) as hits from events where event_type = 'click' group by all),
+    m as (select prompt_id, max(round) as last from r group by prompt_id)
+    select prompt_id, cast(round as int) as pos, 'recall' as kind, case when round = last then 'accept' else 'augment' end as decision, hits from r join m using (prompt_id)
+    union all select prompt_id, cast(last + 1 as int), 'keyword', 'expand', hits from l join m using (prompt_id)""",
+)
+def trace_steps_(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("prompt_id"), (F.col("event_id") % 2).alias("round"), "event_type")
+    counted = lambda df, *key: df.groupBy("prompt_id", *key).agg(F.count("*").alias("hits"))
+    return compose.trace_steps(counted(e, "round"), counted(e.where("event_type = 'click'")))
+
+
+@query(
+    "f16_scenario_issues",
+    """with s as (select o_orderkey, case when o_custkey % 7 = 0 then ' ' else 's' || o_orderkey end as name, case when o_custkey % 11 = 0 then '' else o_orderpriority end as prompt, case o_orderstatus when 'F' then 'bug_fix' when 'O' then '' else 'nonsense' end as intent,
+      case o_custkey % 3 when 0 then 'overlap' when 1 then 'strict' else 'fuzzy' end as mode, o_orderkey % 4 as runs, o_custkey % 50 as s, 20 as e from orders)
+    select name, m as message from (select name, unnest([case when trim(name) = '' then 'name is missing' end, case when prompt = '' then 'prompt is missing' end, case when mode = 'fuzzy' then 'match mode unknown' end, case when intent = 'nonsense' then 'intent unknown' end,
+      case when runs < 1 then 'no runs' end, case when s < 1 or s > e then 'citation invalid' end]) as m from s) where m is not null""",
+)
+def scenario_issues_(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_custkey")
+    cited = F.array(F.struct(F.lit("a.go").alias("file"), (k % 50).cast("int").alias("start_line"), F.lit(20).alias("end_line")))
+    s = table(spark, sf, "orders").select(
+        F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("s"), "o_orderkey")).alias("name"),
+        F.when(k % 11 == 0, "").otherwise(F.col("o_orderpriority")).alias("prompt"),
+        F.when(F.col("o_orderstatus") == "F", "bug_fix").when(F.col("o_orderstatus") == "O", "").otherwise("nonsense").alias("intent"),
+        F.when(k % 3 == 0, "overlap").when(k % 3 == 1, "strict").otherwise("fuzzy").alias("match_mode"),
+        (F.col("o_orderkey") % 4).alias("runs"),
+        cited.alias("expected_citations"),
+    )
+    return validation.scenario_issues(s)
+
+
+@query(
+    "f17_anchor_map_issues",
+    """with m as (select p_partkey, case when p_size % 4 = 0 then 'security' when p_size % 4 = 1 then 'other' else '' end as intent, case when p_partkey % 3 = 0 then []::varchar[] when p_partkey % 3 = 1 then [p_name, ' '] else [p_name] end as texts from part)
+    select intent, i as message from (select intent, unnest([case when intent = 'other' then 'intent unknown' end, case when len(texts) = 0 then 'no anchors' end, case when len(list_filter(texts, lambda t: trim(t) = '')) > 0 then 'anchor is blank' end]) as i from m) where i is not null""",
+)
+def anchor_map_issues(spark: SparkSession, sf: str) -> DataFrame:
+    p, k = table(spark, sf, "part"), F.col("p_partkey") % 3
+    intent = F.when(F.col("p_size") % 4 == 0, "security").when(F.col("p_size") % 4 == 1, "other").otherwise("")
+    texts = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array("p_name", F.lit(" "))).otherwise(F.array("p_name"))
+    return validation.anchor_issues(p.select(intent.alias("intent"), texts.alias("texts")))
+
+
+def _claimed(spark: SparkSession, sf: str) -> DataFrame:
+    s = view(spark, sf, "steps")
+    return s.withColumn("invariants", F.array(F.concat(F.lit("i"), F.length("step") % 5), F.concat(F.lit("i"), F.length("flow"))))
+
+
+_CLAIMS = "cl as (select distinct flow, step, unnest(['i' || (length(step) % 5), 'i' || length(flow)]) as inv from steps)"
+
+
+@query("g11_t8_enforcement", f"with {_CLAIMS}, r as (select *, row_number() over (partition by inv order by flow, step) as pos from cl) select inv, pos, flow, step from r where pos <= 20", ("steps",))
+def enforcement_(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.enforcement(_claimed(spark, sf)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(
+    "g12_closure",
+    f"""with {_CLAIMS}, c as (select step as f, unnest(calls) as g from steps), s as (select step as seed from steps), h1 as (select distinct seed, f as node from s join c on c.g = seed where f <> seed), h2 as (select distinct h1.seed, f as node from h1 join c on c.g = h1.node where f <> h1.seed),
+    m as (select seed, seed as node from s union select * from h1 union select * from h2)
+    select seed, 'step' as kind, node as item from m where seed <> node union all select distinct m.seed, 'invariant', inv from m join cl on cl.step = m.node""",
+    ("steps",),
+)
+def closure_(spark: SparkSession, sf: str) -> DataFrame:
+    s = _claimed(spark, sf)
+    return graph.closure(s, s.select(F.col("step").alias("seed"), "step"))
+
+
+@query(
+    "w4_w5_merged_subgraphs",
+    """with n as (select seed, node, 0 as d from seeds union all select s.seed, e.dst, 1 from seeds s join edges e on e.src = s.node), r as (select seed, node, min(d) as d from n group by seed, node)
+    select src, dst, type, cast(min(d) + 1 as int) as distance from r join edges e on e.src = r.node group by all""",
+    ("edges", "seeds"),
+)
+def merged_subgraphs(spark: SparkSession, sf: str) -> DataFrame:
+    e = view(spark, sf, "edges")
+    near = graph.reach(view(spark, sf, "seeds"), graph.arrows(e, "forward"), 1)
+    found = near.join(e, near["node"] == e["src"]).select("seed", "src", "dst", "type", (F.col("distance") + 1).alias("distance"))
+    return graph.merged_edges(found, [])
+
+
+@query(
+    "f22_f23_x18_intent_routes",
+    """with s as (select o_orderkey, case o_orderstatus when 'F' then 'bug_fix' when 'O' then 'test_add' else '' end as intent, o_custkey from orders)
+    select o_orderkey, intent, case intent when 'bug_fix' then 'called_by,calls' when 'test_add' then 'tested_by,calls,called_by' else 'calls,called_by,implements,imports,references,tested_by,embeds,defines' end as relations,
+    case intent when 'bug_fix' then 2 else 1 end as hops, case intent when 'test_add' then '*_test.go' else '' end as extra_glob, 'seed:f' || o_custkey || '.go:calls:dist=' || (o_custkey % 3 + 1) as trail from s""",
+)
+def intent_routes(spark: SparkSession, sf: str) -> DataFrame:
+    o, intent = table(spark, sf, "orders"), F.col("intent")
+    o = o.withColumn("intent", F.when(F.col("o_orderstatus") == "F", "bug_fix").when(F.col("o_orderstatus") == "O", "test_add").otherwise(""))
+    trail = T.path_trail(F.concat(F.lit("f"), "o_custkey", F.lit(".go")), F.lit("calls"), F.col("o_custkey") % 3 + 1)
+    return o.select("o_orderkey", "intent", F.array_join(T.intent_relations(intent), ",").alias("relations"), T.intent_hops(intent).alias("hops"), T.intent_glob(intent).alias("extra_glob"), trail.alias("trail"))
+
+
+@query(
+    "s5_s6_j15_r18_cited_bodies",
+    """with f as (select file as path, string_split(replace(text, ' ', chr(10)), chr(10)) as lines from corpus), c as (select file, cast(doc::bigint % 7 as int) as start_line, cast(doc::bigint % 13 as int) as end_line from corpus union all select '../' || file, 1, 2 from corpus)
+    select file, start_line, end_line, case when path is not null and start_line >= 1 and start_line <= least(end_line, len(lines)) then array_to_string(lines[start_line:end_line], chr(10)) else '' end as text from c left join f on path = file""",
+    ("corpus",),
+)
+def cited_bodies_(spark: SparkSession, sf: str) -> DataFrame:
+    c, n = view(spark, sf, "corpus"), F.col("doc").cast("long")
+    files = c.select(F.col("file").alias("path"), F.translate("text", " ", "\n").alias("text"))
+    asked = c.select("file", (n % 7).cast("int").alias("start_line"), (n % 13).cast("int").alias("end_line"))
+    outside = c.select(F.concat(F.lit("../"), "file").alias("file"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))
+    return readers.cited_bodies(asked.unionByName(outside), files).select("file", "start_line", "end_line", "text")
+
+
+@query(
+    "p9_j8_pack_markdown",
+    """with p as (select cast(o_orderkey as varchar) as prompt_id, o_orderpriority as query, case o_orderstatus when 'F' then 'bug_fix' else '' end as intent, o_custkey as used from orders),
+    c as (select cast(l_orderkey as varchar) as prompt_id, l_linenumber as pos, 'src/f' || l_linenumber || case when l_suppkey % 2 = 0 then '.go' else '.txt' end as file, l_linenumber as s, l_linenumber + l_suppkey % 2 as e, case when l_partkey % 3 = 0 then '' else 'body ' || l_partkey end as text, l_suppkey from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey from lineitem group by all)),
+    b as (select prompt_id, string_agg('## ' || file || ':' || s || case when e > s then '-' || e else '' end || chr(10) || chr(10) || case when text = '' then '_body redacted by sanitize policy_' else '```' || case when file like '%.go' then 'go' else '' end || chr(10) || text || chr(10) || '```' end, chr(10) || chr(10) order by pos) as blocks,
+      string_agg('- `' || file || '` —calls→ `s' || l_suppkey || '`', chr(10) order by '- `' || file || '` —calls→ `s' || l_suppkey || '`') as lines from c group by prompt_id)
+    select prompt_id, '# Task' || chr(10) || chr(10) || query || chr(10) || chr(10) || case when intent <> '' then '**Detected intent**: ' || intent || chr(10) || chr(10) else '' end || coalesce('# Relevant code' || chr(10) || chr(10) || blocks || chr(10) || chr(10), '') || coalesce('# Call graph' || chr(10) || chr(10) || lines || chr(10) || chr(10), '')
+      || '# Pack metadata' || chr(10) || chr(10) || '- Tokens used/budget: ' || used || '/8000' || chr(10) as markdown from p left join b using (prompt_id)""",
+)
+def pack_markdown_(spark: SparkSession, sf: str) -> DataFrame:
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    packs = o.select(F.col("o_orderkey").cast("string").alias("prompt_id"), F.col("o_orderpriority").alias("query"), F.when(F.col("o_orderstatus") == "F", "bug_fix").otherwise("").alias("intent"), F.col("o_custkey").alias("used_tokens"), F.lit(8000).alias("budget_tokens"))
+    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    n, odd = F.col("l_linenumber"), F.col("l_suppkey") % 2
+    c = li.select(F.col("l_orderkey").cast("string").alias("prompt_id"), n.alias("pos"), F.concat(F.lit("src/f"), n, F.when(odd == 0, ".go").otherwise(".txt")).alias("file"), n.alias("start_line"), (n + odd).cast("int").alias("end_line"), F.lit("").alias("commit_hash"), F.when(F.col("l_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("body "), "l_partkey")).alias("text"), F.concat(F.lit("s"), "l_suppkey").alias("target"))
+    edges = c.select("prompt_id", F.col("file").alias("source"), F.lit("calls").alias("relation"), "target")
+    return render.pack_markdown(packs, c.drop("text", "target"), c, edges)
+
+
+@query(
+    "p11_worksheets",
+    """select subsystem, count(*) as n, '## ' || subsystem || chr(10) || string_agg('- [ ] ' || id || ': ' || case when trim(title) = '' then '—' else title end || '; ' || file || ':' || line || ' (' || symbol || ')', chr(10) order by id, file, line) as worksheet from entries where status = 'needs_verification' group by subsystem""",
+    ("entries",),
+)
+def worksheets(spark: SparkSession, sf: str) -> DataFrame:
+    return render.worksheet(view(spark, sf, "entries"))
+
+
+@query(
+    "s21_refreshed_anchors",
+    """with d as (select file_path as file, name as symbol, start_line from nodes), a as (select id, c_custkey, file, regexp_replace(symbol, '^pkg[0-9]+\\.', '') as symbol, line from entries),
+    n as (select file, symbol, line, start_line, row_number() over (partition by file, symbol, line order by abs(start_line - line), start_line) as r from (select distinct file, symbol, line from a) join d using (file, symbol)),
+    m as (select * from n where r = 1 and start_line <> line and abs(start_line - line) <= 15)
+    select c_custkey, coalesce(m.start_line, a.line) as line, m.start_line is not null as refreshed from a left join m using (file, symbol, line)""",
+    ("nodes", "entries"),
+)
+def refreshed_anchors_(spark: SparkSession, sf: str) -> DataFrame:
+    d = view(spark, sf, "nodes").select(F.col("file_path").alias("file"), F.col("name").alias("symbol"), "start_line")
+    e = view(spark, sf, "entries").select("c_custkey", "file", F.regexp_replace("symbol", r"^pkg[0-9]+\.", "").alias("symbol"), "line")
+    drift = inventory.anchor_drift(e.select("file", "symbol", "line").distinct(), d)
+    return inventory.refreshed_anchors(e, drift).select("c_custkey", "line", "refreshed")
+
+
+@query(
+    "p12_f20_promotion",
+    r"""with k as (select *, count(*) over (partition by id) as copies from entries), x as (select *, (not regexp_matches(id, '^[A-Z][0-9]+(\.[a-z0-9_]+)*$') or trim(title) = '' or trim(summary) = '' or knowledge_type not in ('B1','B2','B3','B4','B5','B6','B7')
+      or subsystem not in (select id from subsystems) or other not in (select id from entries) or other = id or copies > 1) as bad from k)
+    select c_custkey, status = 'needs_verification' and not bad as promoted, case when status = 'needs_verification' and not bad then 'verified' else status end as status from x""",
+    ("entries", "subsystems"),
+)
+def promotion(spark: SparkSession, sf: str) -> DataFrame:
+    e = _entries(spark, sf)
+    out = inventory.promoted(e, view(spark, sf, "subsystems"), e.where("status = 'needs_verification'"), "2026-02-01")
+    return out.select("c_custkey", "promoted", "status")
+
+
 def composed(spark: SparkSession, sf: str) -> DataFrame:
     prompts = view(spark, sf, "prompts").select(F.col("query_id").alias("prompt_id"), F.lit("bug_fix").alias("intent"), "text")
     packs = compose.compose(prompts, view(spark, sf, "corpus"))

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trovespark.functions.text import citation_key, compounds, identifiers
+from trovespark.functions.text import basename, citation_key, compounds, identifiers
 from trovespark.operators import graph
 from trovespark.operators.budget import Budget, allocate
 from trovespark.operators.pack import assemble
@@ -20,7 +20,7 @@ from trovespark.operators.search import bm25, index_stats, knn, postings
 from trovespark.sources.scratch import kept
 
 #: Words that are no keywords.
-STOPWORDS = "the and for with that this from are was has have not but can how what why when where which who does all".split()
+STOPWORDS = "the and for but with this that from into have are was were been being what when where which who how why does did doing".split()
 
 
 @dataclass(frozen=True)
@@ -36,12 +36,41 @@ class Settings:
     hops: int = 1
 
 
+def keyword_array(text: Column) -> Column:
+    words = F.filter(identifiers(text), lambda w: ~F.lower(w).isin(STOPWORDS))
+    return F.concat(compounds(words), words)
+
+
 def keywords(prompts: DataFrame, most: int = 8) -> DataFrame:
     """(prompt_id, pos, keyword): compounds of adjacent identifiers, then identifiers; stop words go, the first of repeats stays."""
-    words = F.filter(identifiers(F.col("text")), lambda w: ~F.lower(w).isin(STOPWORDS))
-    listed = prompts.select("prompt_id", words.alias("w"))
-    both = listed.select("prompt_id", F.array_distinct(F.concat(compounds(F.col("w")), F.col("w"))).alias("k"))
-    return both.select("prompt_id", F.posexplode("k").alias("pos", "keyword"))
+    return prompts.select("prompt_id", F.posexplode(F.array_distinct(keyword_array(F.col("text")))).alias("pos", "keyword"))
+
+
+def candidates(prompts: DataFrame, hits: DataFrame) -> DataFrame:
+    """(prompt_id, pos, keyword): the prompt's own keywords, then of each hit (prompt_id, rank, symbol, file), at most Settings.recall of a prompt, its symbol or its file's stem."""
+    stem = F.regexp_replace(F.regexp_replace(basename(F.col("file")), r"\.[^.]*$", ""), "_test$", "")
+    name = F.when(F.coalesce("symbol", F.lit("")) == "", stem).otherwise(F.col("symbol"))
+    named = hits.groupBy("prompt_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", name.alias("name")))), lambda x: x["name"]).alias("named"))
+    listed = prompts.select("prompt_id", keyword_array(F.col("text")).alias("own")).join(named, "prompt_id", "left")
+    all_ = F.array_distinct(F.concat("own", F.coalesce("named", F.array().cast("array<string>"))))
+    return listed.select("prompt_id", F.posexplode(all_).alias("pos", "keyword"))
+
+
+def augmented(prompts: DataFrame, words: DataFrame, most: int = 3) -> DataFrame:
+    """prompts with augmented: the text and its first keywords (prompt_id, pos, keyword)."""
+    first = words.where(F.col("pos") < most).groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct("pos", "keyword"))).alias("w"))
+    joined = prompts.join(first, "prompt_id", "left")
+    return joined.withColumn("augmented", F.concat_ws(" ", "text", F.array_join(F.transform("w", lambda x: x["keyword"]), " "))).drop("w")
+
+
+def trace_steps(rounds: DataFrame, lexical: DataFrame) -> DataFrame:
+    """(prompt_id, pos, kind, decision, hits): a recall step for each round (prompt_id, round, hits), the last accepted, then a keyword step (prompt_id, hits)."""
+    w = Window.partitionBy("prompt_id").orderBy(F.desc("round"))
+    recall = rounds.withColumn("_n", F.row_number().over(w))  # rounds are two at most
+    recall = recall.select("prompt_id", F.col("round").cast("int").alias("pos"), F.lit("recall").alias("kind"), F.when(F.col("_n") == 1, "accept").otherwise("augment").alias("decision"), "hits")
+    last = rounds.groupBy("prompt_id").agg((F.max("round") + 1).cast("int").alias("pos"))
+    words = lexical.join(last, "prompt_id").select("prompt_id", "pos", F.lit("keyword").alias("kind"), F.lit("expand").alias("decision"), "hits")
+    return recall.unionByName(words)
 
 
 def reranked_keywords(candidates: DataFrame, hits: DataFrame, most: int = 8) -> DataFrame:

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trovespark.functions.text import alignment_errors, line_slice
+
 NODE = "id string, type string, name string, qualified_name string, canonical_id string, file_path string, start_line int, end_line int, language string"
 EDGE = "src string, dst string, type string, count int"
 CHUNK = "chunk_id string, file string, start_line int, end_line int, commit_hash string, language string, symbol string, symbol_kind string, chunk_kind string, canonical_id string, text string, vec array<float>"
@@ -136,14 +138,13 @@ def changed_files(indexed: DataFrame, now: DataFrame) -> DataFrame:
 def aligned(graph: DataFrame, vector: DataFrame) -> DataFrame:
     """One row (ok, errors): whether two snapshots' manifests belong together."""
     g, v = graph.select(*[F.col(c).alias(f"g_{c}") for c in ("src_commit", "schema_version", "graph_digest")]), vector.select(*[F.col(c).alias(f"v_{c}") for c in ("src_commit", "graph_digest")])
-    from trovespark.functions.text import version_at_least
-
-    errors = F.filter(
-        F.array(
-            F.when(F.col("g_src_commit") != F.col("v_src_commit"), F.lit("commit mismatch")),
-            F.when(~version_at_least(F.col("g_schema_version"), 1, 19), F.lit("graph schema too old")),
-            F.when(F.col("g_graph_digest") != F.col("v_graph_digest"), F.lit("digest mismatch")),
-        ),
-        lambda e: e.isNotNull(),
-    )
+    errors = alignment_errors(*[F.col(c) for c in ("g_src_commit", "v_src_commit", "g_schema_version", "g_graph_digest", "v_graph_digest")])
     return g.join(F.broadcast(v), how="inner").select((F.size(errors) == 0).alias("ok"), errors.alias("errors"))  # one row each
+
+
+def cited_bodies(citations: DataFrame, files: DataFrame) -> DataFrame:
+    """citations with the lines they cite as text, from files (path, text); empty if the file is missing or the path leaves its root."""
+    inside = ~F.concat(F.lit("/"), F.col("file"), F.lit("/")).contains("/../")
+    joined = citations.join(files.select(F.col("path").alias("file"), F.col("text").alias("_all")), "file", "left")
+    text = F.when(inside & F.col("_all").isNotNull(), line_slice(F.col("_all"), F.col("start_line"), F.col("end_line"))).otherwise(F.lit(""))
+    return joined.withColumn("text", text).drop("_all")
