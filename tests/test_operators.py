@@ -143,3 +143,44 @@ def test_compose_is_whole_and_stamped(spark):
     r = got.first()
     assert "a/f3.go:1-3" in r["citations"] and len(r["integrity_hash"]) == 64
     assert pack.verified(got, ["intent", "query", "citations", "bodies", "edges", "used_tokens"]).first()["status"] == "ok"
+
+
+def test_knn_in_blocks_is_knn(spark, monkeypatch):
+    from trovespark.operators import search
+
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "doc long, vec array<float>")
+    q = v.where("doc < 20").withColumnRenamed("doc", "query_id")
+    whole = sorted(map(tuple, search.knn(q, v, k=3).collect()))
+    monkeypatch.setattr(search, "MOST_QUERIES", 6)
+    assert sorted(map(tuple, search.knn(q, v, k=3).collect())) == whole
+
+
+def test_pack_markdown_leaves_out_empty_sections(spark):
+    from trovespark.operators.render import REDACTED, pack_markdown
+
+    packs = spark.createDataFrame([("p", "why", "", 5, 10), ("q", "how", "bug_fix", 0, 10)], "prompt_id string, query string, intent string, used_tokens int, budget_tokens int")
+    cited = spark.createDataFrame([("p", 2, "a.py", 1, 1, ""), ("p", 1, "b", 3, 4, "c0")], "prompt_id string, pos int, file string, start_line int, end_line int, commit_hash string")
+    bodies = spark.createDataFrame([("p", "a.py", 1, 1, "x = 1")] * 2, "prompt_id string, file string, start_line int, end_line int, text string")
+    edges = spark.createDataFrame([], "prompt_id string, source string, relation string, target string")
+    got = dict(map(tuple, pack_markdown(packs, cited, bodies, edges).collect()))
+    assert got["p"] == f"# Task\n\nwhy\n\n# Relevant code\n\n## b:3-4@c0\n\n{REDACTED}\n\n## a.py:1\n\n```python\nx = 1\n```\n\n# Pack metadata\n\n- Tokens used/budget: 5/10\n"
+    assert got["q"] == "# Task\n\nhow\n\n**Detected intent**: bug_fix\n\n# Pack metadata\n\n- Tokens used/budget: 0/10\n"
+
+
+def test_cited_bodies_stay_inside_their_root(spark):
+    from trovespark.sources.readers import cited_bodies
+
+    files = spark.createDataFrame([("a/b.go", "1\n2\n3")], "path string, text string")
+    c = spark.createDataFrame([("a/b.go", 2, 9), ("a/../a/b.go", 1, 1), ("gone", 1, 1), ("a/b.go", 4, 5)], "file string, start_line int, end_line int")
+    assert sorted(r["text"] for r in cited_bodies(c, files).collect()) == ["", "", "", "2\n3"]
+
+
+def test_candidates_of_a_prompt_without_hits_are_its_own_words(spark):
+    from trovespark.plans.compose import augmented, candidates
+
+    p = spark.createDataFrame([("p", "fix the parser"), ("q", "¿")], "prompt_id string, text string")
+    hits = spark.createDataFrame([("q", 1, "", "x/load_test.go"), ("q", 2, "Sym", "y")], "prompt_id string, rank int, symbol string, file string")
+    words = candidates(p, hits)
+    assert [r["keyword"] for r in words.where("prompt_id = 'p'").sort("pos").collect()] == ["FixParser", "fixParser", "fix", "parser"]
+    assert [r["keyword"] for r in words.where("prompt_id = 'q'").sort("pos").collect()] == ["load", "Sym"]
+    assert {r["augmented"] for r in augmented(p, words).collect()} == {"fix the parser FixParser fixParser fix", "¿ load Sym"}
