@@ -8,7 +8,7 @@ from trovespark.llm.common import labels, new_scratch
 from trovespark.llm.language_id import keep_identified
 from trovespark.llm.language_id import train as train_language
 from trovespark.llm.mixing import mixed
-from trovespark.llm.near_dedup import near_duplicates
+from trovespark.llm.near_copies import one_of_each
 from trovespark.llm.packing import pack_documents
 from trovespark.llm.queries import tokenizer_path
 from trovespark.llm.toxicity import keep_clean
@@ -29,10 +29,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal texts one document stays, the one with the smallest doc_id."""
-    found = near_duplicates(docs)
-    kept = found.where(found.doc_id.eqNullSafe(found.component_id)).select(found.doc_id.alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi").dropDuplicates(["doc_id"])
+    """Of each component of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more one document stays, the one with the smallest doc_id."""
+    return one_of_each(docs, words=5, least=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
