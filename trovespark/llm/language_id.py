@@ -52,15 +52,21 @@ def present(text: bytes, flags: np.ndarray) -> np.ndarray:
 class LanguageModel:
     names: tuple[str, ...]
     weights: np.ndarray  # bins x languages: B A
+    met: np.ndarray  # the bins that any landmark holds
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Regression values of each text and language, in 0..1."""
-        flags, out = np.zeros(len(ORDERS) * BINS, bool), np.zeros((len(texts), len(self.names)), np.float64)
+    def measured(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Regression values of each text and language, in 0..1 (no n-grams: 0.5), and of each text the share of its n-grams that any landmark holds."""
+        flags, out, share = np.zeros(len(ORDERS) * BINS, bool), np.zeros((len(texts), len(self.names)), np.float64), np.zeros(len(texts))
         for i, t in enumerate(texts):
             found = present(t, flags)
             if len(found):
                 out[i] = self.weights[found].sum(axis=0, dtype=np.float64) / np.sqrt(len(found))
-        return np.clip((out + 1) / 2, 0, 1)
+                share[i] = self.met[found].mean()
+        return np.clip((out + 1) / 2, 0, 1), share
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """Regression values of each text and language, in 0..1."""
+        return self.measured(texts)[0]
 
 
 def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = 256, ridge: float = 0.1) -> LanguageModel | None:
@@ -83,7 +89,7 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = 256, ridge: float
     share = np.array([len(by[n]) for n, _ in sample], float)
     phi_w = phi / share[:, None]  # languages weigh the same, however many texts they have
     a = np.linalg.solve(phi_w.T @ phi + ridge / len(sample) * np.eye(phi.shape[1]), phi_w.T @ y)
-    return LanguageModel(names, (b @ (root @ a).astype(np.float32)).astype(np.float32))
+    return LanguageModel(names, (b @ (root @ a).astype(np.float32)).astype(np.float32), b.any(axis=1))
 
 
 def train(labelled: DataFrame, per_language: int = 500, landmarks: int = 256) -> LanguageModel | None:
@@ -121,8 +127,12 @@ def identify(docs: DataFrame, model: LanguageModel | None, *more: str) -> DataFr
     return in_arrow(rows, batches, f"{schema}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel | None, least: float) -> DataFrame:
-    """The rows of docs, all columns, in whose text a learned language scores least or more; null texts and those without letters go. Nothing is shuffled."""
+def keep_identified(docs: DataFrame, model: LanguageModel | None, least: float, margin: float = 0.0, met: float = 0.0) -> DataFrame:
+    """The rows of docs, all columns, in whose text a learned language scores least or more, and margin or more above the mean of the
+    languages, and of whose n-grams the landmarks hold met or more; null texts and those without letters go. Nothing is shuffled.
+
+    With a single language there is nothing to stand out from, and margin isn't asked.
+    """
     place, letter = docs.columns.index("text"), re.compile(r"[^\W\d_]")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +140,14 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None, least: float)
             texts = b.column(place).to_pylist()
             for at in range(0, len(texts), 256):
                 some = [t.encode() if t and letter.search(t) else b"" for t in texts[at : at + 256]]
-                keep = model.scores(some).max(axis=1) >= least if model else np.zeros(len(some), bool)
-                yield b.slice(at, len(some)).filter(pa.array(keep & np.array([bool(t) for t in some], bool)))
+                keep = np.array([bool(t) for t in some], bool)
+                if model:
+                    scores, share = model.measured(some)
+                    top = scores.max(axis=1)
+                    keep &= (top >= least) & (share >= met)
+                    if len(model.names) > 1:
+                        keep &= top - scores.mean(axis=1) >= margin
+                yield b.slice(at, len(some)).filter(pa.array(keep & bool(model)))
 
     return in_arrow(docs, batches, docs.schema)
 
