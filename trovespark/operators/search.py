@@ -113,3 +113,18 @@ def match_citations(citations: DataFrame, nodes: DataFrame) -> DataFrame:
 def change_history(hunks: DataFrame, node_prs: DataFrame, symbols: DataFrame, most: int = 10) -> DataFrame:
     """Per symbol the pull requests that touched it, newest first."""
     return top_k(node_prs.join(symbols, "symbol", "left_semi"), ["symbol"], [F.desc("merged_at"), F.asc("number")], most)
+
+
+def evidence_for_intents(hunks: DataFrame, intents: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, hunk columns, score, rank): the hunks (hunk, symbol, number, file, start_line, end_line, patch) nearest to each intent (query_id, text) by BM25 over their patches."""
+    found = bm25(intents, postings(hunks, "hunk", "patch"), index_stats(hunks, "patch"), k=most)
+    return found.join(hunks.withColumnRenamed("hunk", "doc"), "doc").withColumnRenamed("doc", "hunk")
+
+
+def change_evidence(hunks: DataFrame, node_prs: DataFrame, symbols: DataFrame, intents: DataFrame, most: int = 10) -> DataFrame:
+    """(way, asked, symbol, number, file, start_line, end_line, patch, rank): the pull requests of each symbol asked, newest first, and the hunks of each intent, best first."""
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (("file", "string"), ("start_line", "int"), ("end_line", "int"), ("patch", "string"))]
+    prs = change_history(hunks, node_prs, symbols, most).select(F.lit("symbol").alias("way"), F.col("symbol").cast("string").alias("asked"), "symbol", "number", *blank, "rank")
+    place = [F.col(c).cast(t).alias(c) for c, t in (("start_line", "int"), ("end_line", "int"))]
+    near = evidence_for_intents(hunks, intents, most).select(F.lit("intent").alias("way"), F.col("query_id").cast("string").alias("asked"), "symbol", "number", "file", *place, "patch", "rank")
+    return prs.unionByName(near)

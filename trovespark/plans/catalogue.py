@@ -244,6 +244,15 @@ def change_history_(spark: SparkSession, sf: str) -> DataFrame:
     return search.change_history(o, o, s).select("symbol", "number", F.col("rank").cast("long").alias("rank"))
 
 
+@query("r11_t9_change_evidence")
+def change_evidence_(spark: SparkSession, sf: str) -> DataFrame:
+    """Both ways over all symbols: pull requests by symbol, hunks by intent."""
+    o = table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("symbol"), F.col("o_orderkey").alias("number"), F.col("o_orderdate").alias("merged_at"))
+    s = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("symbol"))
+    hunks = view(spark, sf, "corpus").select(F.col("doc").alias("hunk"), "symbol", F.crc32(F.col("doc").cast("binary")).alias("number"), "file", "start_line", "end_line", F.col("text").alias("patch"))
+    return search.change_evidence(hunks, o, s, view(spark, sf, "prompts")).withColumn("number", F.col("number").cast("long"))
+
+
 @query(
     "r12_find_branches",
     f"with {_BM25} select query_id, doc as branch, rank from tk",
