@@ -1,4 +1,4 @@
-"""Change evidence by symbol and by intent."""
+"""Change evidence by symbol and by intent, and the best anchor of all."""
 
 from trovespark.operators import search
 
@@ -11,3 +11,11 @@ def test_change_evidence_ranks_hunks_for_an_intent(spark):
     got = search.change_evidence(hunks, prs, asked, intents).collect()
     assert [(r["symbol"], r["number"]) for r in sorted(got, key=lambda r: r["rank"]) if r["way"] == "symbol"] == [("a", 8), ("a", 7)]
     assert [(r["asked"], r["number"], r["file"], r["start_line"], r["end_line"], r["patch"]) for r in got if r["way"] == "intent"] == [("q", 1, "a.go", 3, 9, "slashing of the validator")]
+
+
+def test_best_anchor_is_of_all_anchors(spark):
+    texts = spark.createDataFrame([(1, "e", "the quick brown fox"), (2, "f", "what this was"), (3, "e", "lazy dogs and dogs"), (4, "g", None)], "id long, entry string, text string")
+    anchors = spark.createDataFrame([(1, "e", "this was the what"), (90, "e", "brown fox, the"), (91, "f", "brown fox, quick"), (150, "e", "dogs")], "anchor long, entry string, text string")
+    stop = ("the", "this", "was", "what", "and")
+    assert sorted(map(tuple, search.best_anchors(texts, anchors, ["id"], stop).collect())) == [(1, 91, 3), (3, 150, 1)]
+    assert sorted(map(tuple, search.best_anchors(texts, anchors, ["id"], stop, ["entry"]).collect())) == [(1, 90, 2), (3, 150, 1)]

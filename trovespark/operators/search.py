@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trovespark.functions.text import code_terms, cosine
+from trovespark.functions.text import code_terms, cosine, plain_words
 from trovespark.operators.ranking import normalised, top_k
 from trovespark.sources.scratch import kept
 
@@ -128,3 +128,13 @@ def change_evidence(hunks: DataFrame, node_prs: DataFrame, symbols: DataFrame, i
     place = [F.col(c).cast(t).alias(c) for c, t in (("start_line", "int"), ("end_line", "int"))]
     near = evidence_for_intents(hunks, intents, most).select(F.lit("intent").alias("way"), F.col("query_id").cast("string").alias("asked"), "symbol", "number", "file", *place, "patch", "rank")
     return prs.unionByName(near)
+
+
+def best_anchors(texts: DataFrame, anchors: DataFrame, key: list[str], stop: tuple[str, ...] = (), within: list[str] | None = None) -> DataFrame:
+    """(key, anchor, overlap) of each of texts (key, text): of all anchors (anchor, text), or those with the same values in within, the one that
+    shares most distinct words with it, ties to the first; a text that shares none has no row. Stop words don't count."""
+    same = within or []
+    words = F.explode(F.array_distinct(plain_words(F.coalesce(F.col("text"), F.lit("")), stop))).alias("_word")
+    met = texts.select(*dict.fromkeys([*key, *same]), words).join(anchors.select("anchor", *same, words), [*same, "_word"])
+    counted = met.groupBy(*key, "anchor").agg(F.count("*").alias("overlap"))
+    return top_k(counted, key, [F.desc("overlap"), F.asc("anchor")], 1, "_r").drop("_r")

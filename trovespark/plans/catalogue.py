@@ -823,6 +823,14 @@ def best_anchor(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.top_k(s, ["conv_id", "turn"], [F.desc("overlap"), F.asc("item_id")], 1, "_r").drop("_r")
 
 
+@query("a19_x26_best_anchor_of_all")
+def best_anchor_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn against all items, without stop words; turns that share no word have no row."""
+    anchors = table(spark, sf, "benchmark").select(F.col("item_id").alias("anchor"), "text")
+    found = search.best_anchors(table(spark, sf, "conversations").select("conv_id", "turn", "text"), anchors, ["conv_id", "turn"], tuple(compose.STOPWORDS))
+    return found.withColumnRenamed("anchor", "item_id")
+
+
 @query("a25_redaction_counts")
 def redaction_counts_(spark: SparkSession, sf: str) -> DataFrame:
     return sanitize.redaction_counts(sanitize.sanitize(table(spark, sf, "documents").select("doc_id", "text")))
