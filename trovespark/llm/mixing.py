@@ -65,8 +65,8 @@ def sainte_lague(weights: list[Fraction], blocks: int, limits: list[int] | None
     return out
 
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, shards: int = 16, seed: int = 3, most_blocks: int = 1 << 20, rows_each: int = 4000) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, quota, first_shard, last_shard) of every row.
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, shards: int = 16, seed: int = 3, most_blocks: int = 1 << 20, rows_each: int = 4000, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, quota, first_shard, last_shard, more) of every row.
 
     size counts runs of other characters than ASCII white space (null: 0). Sources in code point order,
     null last, weigh weights in turn. taken is a document's words in the mix, repeats counted; the mix
@@ -75,7 +75,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats:
     itself; an empty table gives no rows; other columns are ignored. The driver holds a row for each
     source, no more.
     """
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.octet_length("text")).alias("h"))
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.octet_length("text")).alias("h"), *more)
     rows = written(rows, "mix-rows")
     named = sorted(((r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in named]
@@ -96,7 +96,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats:
     order = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("upto", F.sum("size").over(order))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    placed = placed.select("doc_id", "source", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
+    placed = placed.select("doc_id", "source", "size", *more, (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
     plan = plan.withColumnRenamed("source", "s")
     placed = placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")))  # a row for each source, which the driver has just held
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(F.lit(0))
@@ -114,11 +114,14 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats:
         "quota",
         F.when(F.col("part") > 0, shard(last_pass)).alias("first_shard"),
         F.when(F.col("part") > 0, shard(last_pass + F.col("part") - 1)).alias("last_shard"),
+        *more,
     )
 
 
 def mixed(docs: DataFrame, **how: object) -> DataFrame:
-    """The mix itself: rows of docs as often as the mix takes them, to the nearest whole number."""
-    times = mix_documents(docs, **how).where("size > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0").groupBy("_id").agg(F.max("_times").alias("_times"))
-    kept = docs.join(times, docs.doc_id.eqNullSafe(F.col("_id")))
-    return kept.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: rows of docs as often as the mix takes them, to the nearest whole number. Rows are told apart by doc_id, source and a hash of their text."""
+    keyed = docs.withColumn("_th", F.xxhash64("text"))
+    times = mix_documents(keyed, more=("_th",), **how).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("_th").alias("_t"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    times = times.where("_times > 0").groupBy("_id", "_of", "_t").agg(F.max("_times").alias("_times"))
+    kept = keyed.join(times, keyed.doc_id.eqNullSafe(F.col("_id")) & keyed.source.eqNullSafe(F.col("_of")) & (F.col("_th") == F.col("_t")))
+    return kept.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[keyed[c] for c in docs.columns])
