@@ -157,6 +157,15 @@ def test_neighbours_follow_bm25():
     assert ix.neighbours(0, 24).tolist() == want
 
 
+def test_weights_are_those_of_all_items(spark):
+    items = [[1, 2, 3], [1, 1], [], [70_000, 1]]
+    df = spark.createDataFrame([(bytearray(np.array(x, "<u4").tobytes()), 4) for x in items], "rest binary, width int").repartition(3)
+    got, want = packing.corpus_of(df), packing.Corpus.of([np.array(x, np.int64) for x in items])
+    assert (got.n, got.mean) == (4, 7 / 4) and np.array_equal(got.df, want.df)
+    part, whole = packing.Bm25Index([np.array([1, 2, 3])], got), packing.Bm25Index([np.array([1, 2, 3])])
+    assert not np.allclose(part.weight, whole.weight)
+
+
 def test_hot_codes_are_split():
     plan = packing.shard_plan([(0, 10), (1, 5000), (2, 30), (3, 1980)], 2000)
     assert plan == [(0, 0, 1), (1, 1, 3), (2, 4, 1), (3, 5, 1)]

@@ -4,9 +4,11 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -224,17 +226,41 @@ def test_jpeg_with_ac_coefficients():
 # --- tokens --------------------------------------------------------------------------------------
 
 
+@lru_cache
 def slow_ids():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
 
 
-@given(st.lists(st.text(st.sampled_from(" \n\taBé's!9日\x1c²_ ñ"), max_size=14), max_size=6))
-@settings(max_examples=200, deadline=None)
+def encoded(enc, texts):
+    ids, upto = enc.encode(pa.array(texts, pa.string()))
+    return [ids[i:j].tolist() for i, j in zip(upto[:-1], upto[1:], strict=True)]
+
+
+@given(st.lists(st.text(st.sampled_from(" \n\taBé's!9日\x1c²_\xa0ñ\x00\x7f\xad\u3000"), max_size=14) | st.sampled_from(["a <|endoftext|> b", "<|endoftext|>"]), max_size=6))
+@settings(max_examples=300, deadline=None)
 def test_encoder_is_the_library(texts):
     ids = slow_ids()
-    assert [np.frombuffer(x, "<u2").tolist() for x in tokens.encoder(PATH).encode(texts)] == [ids(t).tolist() for t in texts]
+    assert encoded(tokens.encoder(PATH), texts) == [ids(t).tolist() for t in texts]
+
+
+def test_encoder_with_full_tables():
+    ids, enc = slow_ids(), tokens.Encoder(PATH, most=5)
+    for texts in (["one two three", "four five"], ["six seven eight nine, ten", "one two six"], ["two six", "  odd  spaces "]):
+        assert encoded(enc, texts) == [ids(t).tolist() for t in texts] and len(enc.size) <= 12 and len(enc.pieces) <= 12
+
+
+def test_special_tokens_as_text():
+    ids = Tokenizer.from_file(PATH)
+    ids.encode_special_tokens = True
+    t = "a <|endoftext|> b"
+    assert encoded(tokens.Encoder(PATH, None, special_as_text=True), [t]) == [ids.encode(t, add_special_tokens=False).ids]
+
+
+def test_vocabulary_of_another_kind():
+    other = public_tokenizers.path("word_bpe_49k.json")
+    t = ["Some Words, here", ""]
+    assert encoded(tokens.Encoder(other, None), t) == [Tokenizer.from_file(other).encode(x, add_special_tokens=False).ids for x in t]
 
 
 def test_token_files(small, odd, nothing):
@@ -245,11 +271,18 @@ def test_token_files(small, odd, nothing):
         at = 0
         for g, r in zip(got, rows, strict=True):
             x = ids(r["text"])
-            assert (g["doc_id"], g["start"], g["n_tokens"], g["ids_crc32"]) == (-1 if r["doc_id"] is None else r["doc_id"], at, len(x), zlib.crc32(x.tobytes()))
+            assert (g["doc_id"], g["start"], g["n_tokens"], g["ids_crc32"]) == (r["doc_id"], at, len(x), zlib.crc32(x.tobytes()))
             at += len(x)
     assert token_files.token_files(nothing, PATH).count() == 0
 
 
+def test_token_files_of_far_ids(spark):
+    ids = [-9 * 10**18, None, -1, 9 * 10**18]
+    got = token_files.token_files(spark.createDataFrame([(i, "text") for i in ids], "doc_id long, text string"), PATH, rows_each=2).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, *sorted(i for i in ids if i is not None)]
+    assert simhash.fingerprints_with_edits(spark.createDataFrame([(i, "text") for i in ids], "doc_id long, text string")).count() == 4
+
+
 # --- trained models ------------------------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _LOCAL_SCRATCH: list[str] = []
+BATCH_BYTES = 32 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -39,10 +40,14 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def in_arrow(df: DataFrame, batches: Callable, schema: str | StructType, rows_each: int = 1000) -> DataFrame:
-    """df.mapInArrow with batches of rows_each rows at most, as texts may be long: it bounds what a Python worker holds at a time."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= rows_each:
-        conf.set(name, str(rows_each))
+    """df.mapInArrow with batches of rows_each rows and BATCH_BYTES at most, as texts may be long: it bounds what a Python worker holds at a time.
+
+    Spark reads both bounds when the plan runs, so they stay lowered in the session.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows_each), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(str(conf.get(name)).removesuffix("b")) <= most:
+            conf.set(name, str(most))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(it)
@@ -99,11 +104,12 @@ def range_parts(ids: DataFrame, key: str, rows_each: int, coarse_ranges: int = 1
     cuts = cut_points(ids, key, min(coarse_ranges, -(-n // rows_each)))
     inner = max(1, -(-n // (rows_each * (len(cuts) + 1))))
     spans = ids.withColumn("coarse", part_of(key, cuts)).groupBy("coarse").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    spans = F.broadcast(written(spans.select("coarse", "lo", ((F.col("hi") - F.col("lo") + 1) / inner).alias("width")), "spans"))
+    low, high = F.col("lo").cast("double"), F.col("hi").cast("double")  # of longs, whose difference may not be one
+    spans = F.broadcast(written(spans.select("coarse", low.alias("lo"), ((high - low + 1) / inner).alias("width")), "spans"))
 
     def placed(df: DataFrame) -> DataFrame:
-        fine = F.coalesce(F.floor((F.col(key) - F.col("lo")) / F.col("width")), F.lit(0))
-        return df.withColumn("coarse", part_of(key, cuts)).join(spans, "coarse", "left").withColumn("part", F.col("coarse").cast("long") * inner + F.least(fine, F.lit(inner - 1))).drop("lo", "width")
+        fine = F.least(F.floor((F.col(key).cast("double") - F.col("lo")) / F.col("width")), F.lit(inner - 1))
+        return df.withColumn("coarse", part_of(key, cuts)).join(spans, "coarse", "left").withColumn("part", F.col("coarse").cast("long") * inner + F.coalesce(fine, F.lit(0))).drop("lo", "width")
 
     return placed
 

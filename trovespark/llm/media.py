@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from trovespark.llm import jpeg
 from trovespark.llm.common import in_arrow, with_text
-from trovespark.llm.tokens import batches_of
+from trovespark.llm.tokens import runs
 
 UNIT = 64
 
@@ -26,7 +26,7 @@ def as_jpeg(docs: DataFrame) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            for at, to in batches_of(texts, 1 << 19):
+            for at, to in runs(list(map(len, texts)), 1 << 19):
                 media = jpeg.store([padded(t) for t in texts[at:to]])
                 yield pa.record_batch([b.column(0)[at:to], pa.array([len(t) for t in texts[at:to]], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -40,7 +40,7 @@ def jpeg_features(media: DataFrame) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             stored = b.column(2).to_pylist()
-            for at, to in batches_of(stored, 1 << 19):
+            for at, to in runs(list(map(len, stored)), 1 << 19):
                 some, rows = stored[at:to], []
                 for raw, (grid, sizes) in zip(some, jpeg.thumbnails(some), strict=True):
                     payload = grid.tobytes()
