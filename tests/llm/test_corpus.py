@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tests.llm.test_texts import slow_components, slow_fingerprint, slow_ids
+from tests.llm.test_near_copies import slow_survivors
+from tests.llm.test_texts import slow_ids
 from trovespark.llm import language_id, mixing, packing, sharding, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -179,7 +180,12 @@ def test_pipeline_stages(spark, small, sf):
     kept = corpus_pipeline.language(spark, docs, sf)
     assert kept.columns == docs.columns
     model = language_id.train(docs)
-    want = {r["doc_id"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"]) and model.scores([r["text"].encode()]).max() >= corpus_pipeline.LEAST_LANGUAGE}
+
+    def claimed(text):
+        scores, met = model.measured([text.encode()])
+        return scores.max() >= corpus_pipeline.LEAST_LANGUAGE and scores.max() - scores.mean() >= corpus_pipeline.LEAST_MARGIN and met[0] >= corpus_pipeline.LEAST_MET
+
+    want = {r["doc_id"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"]) and claimed(r["text"])}
     assert {r["doc_id"] for r in kept.collect()} == want
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     clean = corpus_pipeline.toxicity(spark, docs, sf)
@@ -187,9 +193,7 @@ def test_pipeline_stages(spark, small, sf):
     score = {r["doc_id"]: network.score([r["text"].encode()])[0] for r in docs.collect()}
     assert {r["doc_id"] for r in clean.collect()} == {d for d, s in score.items() if s < corpus_pipeline.TOXIC}
     single = corpus_pipeline.near_dedup(spark, docs, sf)
-    pairs = [(r["doc_id"], slow_fingerprint(r["text"])) for r in docs.collect()]
-    first = slow_components(pairs)
-    assert single.columns == docs.columns and {r["doc_id"] for r in single.collect()} == set(first.values())
+    assert single.columns == docs.columns and {r["doc_id"] for r in single.collect()} == {d for d, _ in slow_survivors([(r["doc_id"], r["text"]) for r in docs.collect()])}
     mix = corpus_pipeline.mixing(spark, docs, sf)
     times = {r["doc_id"]: round(r["taken"] / r["size"]) for r in mixing.mix_documents(docs).collect() if r["size"]}
     got = defaultdict(int)

@@ -64,6 +64,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes for df to have no such column."""
+    have = {c.lower() for c in df.columns}
+    return [next(n for k in range(1, len(have) + 2) if (n := "_" * k + name) not in have) for name in names]
+
+
 def with_text(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), and the further columns named; other columns, whatever their names, are left behind."""
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
@@ -129,33 +135,74 @@ def label_sample(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
     return labelled.where(u < F.element_at(share, F.col(label))).limit(2 * per_label * len(counts))
 
 
-def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = hadoop(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def components(links: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of links (a, b longs): (node, root), root the smallest node reachable.
 
-    Alternating large and small stars; every round is a table in the shared folder, so the plan
-    doesn't grow. No node's neighbours are gathered: only their minimum is, by a map-side combined
-    aggregation, and it is joined back, which adaptive execution may split.
+    Alternating large and small stars until nothing changes; every round is a table in the shared
+    folder, so the plan doesn't grow, and goes once the next is written. No node's neighbours are
+    gathered: only their minimum is, by a map-side combined aggregation, and it is joined back, which
+    adaptive execution may split.
     """
+    spark = links.sparkSession
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-links")
 
     def state(e: DataFrame) -> tuple:
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         return r["n"], r["s"]
 
-    before = state(edges)
-    for i in range(rounds):
-        if not before[0]:
-            break
+    before, now = None, state(edges)
+    while now[0] and now != before:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, f"{name}-large{i}")
+        large = written(large, f"{name}-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, f"{name}-small{i}")
-        now = state(edges)
-        if now == before:
-            break
-        before = now
+        small = written(small, f"{name}-small")
+        discard(spark, edges, large)
+        edges, before, now = small, now, state(small)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def shared_cells(cells: DataFrame, name: str) -> DataFrame:
+    """(cell, node, members) of the cells (cell long, node long) that several nodes share."""
+    counts = cells.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
+    return written(cells.join(counts, "cell").select("cell", "node", "members"), f"{name}-shared")
+
+
+def linked_by_cells(shared: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Links (a, b) among nodes (node long, n long, whatever near reads), enough to give the components of all links between nodes that share a cell.
+
+    shared comes of shared_cells. near(x, y) is a condition on two structs of a row of nodes, checked(pairs)
+    the links among distinct pairs (a, b). In a cell all nodes are held against its head, the one that
+    shares cells with most others: a group of near copies gives a star round the text they were made
+    from. Then, in cells whose nodes haven't all met, those that aren't in the head's component are held
+    against the rest: pairs that have met already can't join anything. What remains quadratic is a cell
+    of many nodes of which few are linked to any other.
+    """
+    what = [c for c in nodes.columns if c not in ("node", "n")]
+    degree = shared.groupBy("node").agg(F.sum("members").alias("degree"))
+    held = written(nodes.join(degree, "node").select("node", F.struct("degree", "n", "node", *what).alias("x")), f"{name}-held")
+    members = shared.drop("members").join(held, "node").select("cell", "x")
+    heads = members.groupBy("cell").agg(F.max("x").alias("y"))
+    stars = members.join(heads, "cell").where(F.col("x.node") != F.col("y.node")).where(near("x", "y"))
+    stars = written(checked(stars.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), f"{name}-stars")
+    roots = components(stars, name)
+    rooted = held.join(roots, "node", "left").select("node", F.col("x").withField("root", F.coalesce("root", "node")).alias("x"))
+    members = shared.drop("members").join(rooted, "node").select("cell", "x")
+    apart = members.groupBy("cell").agg(F.max("x").alias("h"), F.min("x.root").alias("low"), F.max("x.root").alias("high")).where("low <> high")
+    members = written(members.join(apart.select("cell", F.col("h.root").alias("main")), "cell"), f"{name}-apart")
+    met = F.col("y.root") == F.col("x.root")
+    once = (F.col("y.root") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
+    rest = members.where("x.root <> main").join(members.select("cell", F.col("x").alias("y")), "cell").where(~met & once & near("x", "y"))
+    return stars.unionByName(checked(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))

@@ -1,62 +1,79 @@
 """Near copies by the Jaccard similarity of word shingles.
 
-Candidates share a cell: the minima of four hashes, one cell for each of 32 bands. A pair of
-similarity s shares none with probability (1 - s^4)^32, which is 5 in 10^8 at 0.8. Every candidate
-pair is then checked on its whole shingle sets, so cells decide what is compared, never what is near.
-
-Copies cost nothing: cells are those of distinct texts. In a cell, all members are checked against
-one of them, the text most documents have; only those that aren't near it are checked against the
-rest of the cell. So a large group of near copies gives a star, and no link that joins two components
-is lost.
+Candidates are texts whose fingerprints the segment-popcount grid links. Two texts of similarity 0.8
+differ in about ten of 64 bits, though, which is more than any grid can look for, so those that share
+a MinHash cell are candidates too: the minima of six hashes, one cell for each of 40 bands. A pair of
+similarity s shares none with probability (1 - s^6)^40, which is 5 in 10^6 at 0.8. A second sketch, one
+bit of each of 128 minima, turns most chance meetings down: near texts differ in 29 bits or fewer but
+for 3 in 10^7. Every pair left is checked on its whole shingle sets, so cells and sketches decide what
+is compared, never what is near.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import floor, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import components, in_arrow, with_text, written
+from trovespark.llm.common import components, in_arrow, linked_by_cells, shared_cells, unused, with_text, written
+from trovespark.llm.near_dedup import fingerprint, fingerprint_links, shingle_hashes
 
-BANDS, ROWS = 32, 4
-BLOCK = 1 << 12
+BANDS, ROWS = 40, 6
+SKETCH = 128
+BLOCK = 1 << 9
 HEAD_PAIRS = 200
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: bytes, words: int = 5) -> np.ndarray:
-    """The distinct shingle hashes of a UTF-8 text, ascending; a text of fewer words is one shingle."""
-    tokens = text.lower().split()  # of bytes: A-Z only, and white space is \x20 and \x09-\x0D
-    n, digest = max(1, len(tokens) - words + 1), xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(tokens[i : i + words]), 42) for i in range(n)), "<u8", n))
+def shingles(blocks: list[np.ndarray]) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending; a text without words has one of its own."""
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(1, np.uint64)
 
 
-def cells_of(found: np.ndarray) -> np.ndarray:
-    """The cells of a shingle set, one for each band."""
-    factors = np.random.default_rng(11).integers(1, 1 << 62, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def minima(found: np.ndarray) -> np.ndarray:
+    """The least value of each hash over a set of shingles."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     mixed = found ^ found >> np.uint64(29)
     for at in range(0, len(mixed), BLOCK):
-        h = mixed[at : at + BLOCK] * factors
-        np.minimum(least, (h ^ h >> np.uint64(32)).min(axis=1), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+        h = mixed[at : at + BLOCK, None] * _FACTORS
+        h ^= h >> np.uint64(32)
+        np.minimum(least, h.min(axis=0), out=least)
+    return least
+
+
+def cells_of(least: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def sketch_of(least: np.ndarray) -> np.ndarray:
+    """One bit of each of the first SKETCH minima, as longs."""
+    return np.packbits((least[:SKETCH] & np.uint64(1)).astype(bool), bitorder="little").view("<i8")
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, th, size, cells) of every row: th a hash of the text, size its distinct shingles."""
+    """(doc_id, th, fp, size, s0, s1, cells) of every row: th a hash of the text, fp its fingerprint, size its distinct shingles."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = [shingles(t.as_py(), words) for t in b.column(1).cast(pa.binary())]
-            cells = pa.array([cells_of(x) for x in found], pa.list_(pa.int64()))
-            yield pa.record_batch([b.column(0), b.column(2), pa.array([len(x) for x in found], pa.int64()), cells], ["doc_id", "th", "size", "cells"])
+            fps, sizes, bits, cells = [], [], [], []
+            for t in b.column(1).cast(pa.binary()):
+                blocks = list(shingle_hashes(t.as_py(), words))
+                found = shingles(blocks)
+                least = minima(found)
+                fps.append(fingerprint(blocks))
+                sizes.append(len(found))
+                bits.append(sketch_of(least))
+                cells.append(cells_of(least))
+            two = np.array(bits, np.int64).reshape(-1, 2)
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "th", "fp", "size", "s0", "s1", "cells"])
 
     rows = with_text(docs).withColumn("th", F.xxhash64("text"))
-    return in_arrow(rows, batches, "doc_id long, th long, size long, cells array<long>")
+    return in_arrow(rows, batches, "doc_id long, th long, fp long, size long, s0 long, s1 long, cells array<long>")
 
 
 def near_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -68,57 +85,71 @@ def near_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float) ->
             near = []
             for k, s, t in zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary()), strict=True):
                 if k != last:
-                    last, y = k, shingles(t.as_py(), words)
-                x = shingles(s.as_py(), words)
+                    last, y = k, shingles(list(shingle_hashes(t.as_py(), words)))
+                x = shingles(list(shingle_hashes(s.as_py(), words)))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(common >= least * (len(x) + len(y) - common))
             yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     deals = pairs.groupBy("b").agg(F.ceil(F.count("*") / HEAD_PAIRS).cast("int").alias("deals"))
-    dealt = deals.join(texts, deals.b == texts.th).select("b", F.col("text").alias("tb"), "deals", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
-    asked = pairs.join(deals, "b").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int")).drop("deals")
-    both = asked.join(texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a").join(dealt.drop("deals"), ["b", "deal"])
+    dealt = deals.join(texts, deals.b == texts.th).select("b", F.col("text").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    asked = pairs.join(deals, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int").alias("deal"))
+    both = asked.join(texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a").join(dealt, ["b", "deal"])
     return in_arrow(both.select("a", "b", "ta", "tb"), batches, "a long, b long", 250)
 
 
-def copy_links(classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b) links among distinct texts (th, n documents, size, cells), enough to give all components."""
-    cells = classes.select("th", "n", "size", F.explode("cells").alias("cell"))
-    order = F.col("n") * (1 << 20) + F.pmod(F.xxhash64("th"), F.lit(1 << 20))
-    heads = cells.groupBy("cell").agg(F.count("*").alias("members"), F.max_by("th", order).alias("head"), F.max_by("size", order).alias("head_size")).where("members > 1")
-    like = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)  # noqa: E731  sets of other sizes can't be near
-    members = written(cells.join(heads, "cell").where("th <> head").select("cell", "th", "size", "head", "head_size", "members"), "copy-cells")
-    first = written(members.where(like(F.col("size"), F.col("head_size"))).select(F.col("th").alias("a"), F.col("head").alias("b")).distinct(), "copy-pairs")
-    stars = written(near_pairs(first, texts, words, least), "copy-stars")
-    crowded = members.where("members > 2").join(stars.select(F.col("a").alias("th"), F.col("b").alias("head"), F.lit(True).alias("near")), ["th", "head"], "left")
-    crowded = written(crowded.select("cell", "th", "size", F.coalesce("near", F.lit(False)).alias("near")), "copy-rest")
-    x = crowded.where("not near").select("cell", F.col("th").alias("a"), F.col("size").alias("x"))
-    y = crowded.select("cell", F.col("th").alias("b"), F.col("size").alias("y"), "near")
-    rest = x.join(y, "cell").where((F.col("a") < F.col("b")) | (F.col("near") & (F.col("a") != F.col("b")))).where(like(F.col("x"), F.col("y")))
-    rest = written(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "copy-pairs-rest")
-    return stars.unionByName(near_pairs(rest, texts, words, least))
-
-
-def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+def fingerprint_pairs(classes: DataFrame, radius: int) -> DataFrame:
+    """(a, b) pairs of texts: of equal fingerprints each with the one that most documents have, and those of linked fingerprints."""
+    fps = classes.groupBy("fp").agg(F.sum("n").alias("n"), F.max_by("th", F.struct("n", "th")).alias("head"))
+    same = classes.join(fps.select("fp", "head"), "fp").where("th <> head").select(F.col("th").alias("a"), F.col("head").alias("b"))
+    links, head = fingerprint_links(fps.select("fp", "n"), radius), fps.select("fp", "head")
+    a, b = head.select(F.col("fp").alias("a"), F.col("head").alias("ha")), head.select(F.col("fp").alias("b"), F.col("head").alias("hb"))
+    return same.union(links.join(a, "a").join(b, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")))
+
+
+def copy_links(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, least: float, radius: int) -> DataFrame:
+    """(a, b) links among distinct texts (th, n documents, fp, size, s0, s1, cells), enough to give all components. texts_of gives (th, text) for a table of th."""
+    agree = (1 + least) / 2
+    differ = floor(SKETCH * (1 - agree + 5 * sqrt(agree * (1 - agree) / SKETCH)))
+
+    def near(x: str, y: str) -> Column:
+        of = lambda c: (F.col(f"{x}.{c}"), F.col(f"{y}.{c}"))
+        bits = sum((F.bit_count(p.bitwiseXOR(q)) for p, q in (of("s0"), of("s1"))), F.lit(0))
+        return (F.least(*of("size")) >= least * F.greatest(*of("size"))) & (bits <= differ)  # sets of other sizes can't be near
+
+    alike = written(fingerprint_pairs(classes, radius), "copy-alike")
+    shared = shared_cells(classes.select(F.explode("cells").alias("cell"), F.col("th").alias("node")), "copies")
+    asked = shared.select(F.col("node").alias("th")).union(alike.select("a")).union(alike.select("b")).distinct()
+    texts = written(texts_of(asked), "copy-texts")
+    checked = lambda pairs: near_pairs(written(pairs, "copy-pairs"), texts, words, least)
+    nodes = classes.select(F.col("th").alias("node"), "n", "size", "s0", "s1")
+    return linked_by_cells(shared, nodes, near, checked, "copies").unionByName(checked(alike))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
     """The rows of docs, all columns, of which each component of near copies keeps one, that of the smallest doc_id.
 
     Texts are near if their sets of shingles of so many words have a Jaccard similarity of least or
-    more. Null texts count as empty; texts without words are near each other. Rows are named by doc_id
-    and a hash of their text, so a null or repeated doc_id costs no other text its row.
+    more. Null texts count as empty; texts without words are near each other; of rows that repeat
+    doc_id and text one stays. Rows are named by doc_id and a hash of their text, so a null or repeated
+    doc_id costs no other text its row. An empty table gives no rows.
     """
     found = written(sketches(docs, words), "copy-sketches", "zstd")
-    classes = written(found.groupBy("th").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("cells").alias("cells")), "copy-classes", "zstd")
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    alike = [F.first(c).alias(c) for c in ("fp", "size", "s0", "s1", "cells")]
+    classes = written(found.groupBy("th").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), *alike), "copy-classes", "zstd")
+    own, th, first_id = unused(docs, "own", "th", "first_id")
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
     def rows_of(some: DataFrame) -> DataFrame:
         """One row of docs for each (th, first_id)."""
-        key = some.select(F.col("th").alias("_t"), F.col("first_id").alias("_id"))
-        return keyed.join(key, (F.col("_th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_th"])
+        key = some.select(F.col("th").alias(th), F.col("first_id").alias(first_id))
+        return keyed.join(key, (F.col(own) == F.col(th)) & F.col("doc_id").eqNullSafe(F.col(first_id)), "left_semi").dropDuplicates([own])
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        named = rows_of(classes.join(asked, "th", "left_semi"))
+        return named.select(F.col(own).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
 
-    shared = classes.select("th", "first_id", F.explode("cells").alias("cell"))
-    shared = shared.join(shared.groupBy("cell").count().where("count > 1"), "cell", "left_semi").select("th", "first_id").distinct()
-    texts = written(rows_of(shared).select(F.col("_th").alias("th"), F.coalesce("text", F.lit("")).alias("text")), "copy-texts")
-    roots = components(copy_links(classes, texts, words, least), "copies")
+    roots = components(copy_links(classes, texts_of, words, least, radius), "copies")
     named = classes.join(roots, classes.th == roots.node, "left").select("th", "first_id", F.coalesce("root", "th").alias("root"))
     first = F.min(F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "th")).alias("first")
-    return rows_of(named.groupBy("root").agg(first).select("first.th", "first.first_id")).drop("_th")
+    return rows_of(named.groupBy("root").agg(first).select("first.th", "first.first_id")).drop(own)

@@ -7,15 +7,13 @@ embedding space is cut into eight groups of four segments; if the distance is at
 8 - r groups. That is the grid: one row for each fingerprint and projection, an equi-join on cells,
 then the Manhattan distance over all segments, then the exact Hamming distance.
 
-Copies cost nothing: the join runs on distinct fingerprints. In a cell, all members are compared with
-one of them, the fingerprint most documents have; only members that don't link to it are compared
-with the rest of the cell. So a large group of near copies gives a star, not all pairs, and no link
-that joins two components is lost.
+Copies cost nothing: the join runs on distinct fingerprints. A large group of near copies gives a
+star, not all pairs, and no link that joins two components is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,22 +22,31 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import components, in_arrow, with_text, written
+from trovespark.llm.common import components, in_arrow, linked_by_cells, shared_cells, with_text, written
 
 ODD_BITS = 0x5555555555555555
 GROUPS = 8
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42, block: int = 1 << 16) -> int:
-    """The signed 64-bit fingerprint of a UTF-8 text: a bit is 1 if over half of the shingle hashes set it."""
+def shingle_hashes(text: bytes, words: int = 4, seed: int = 42, block: int = 1 << 16) -> Iterator[np.ndarray]:
+    """The hashes of a UTF-8 text's shingles, repeats included, in blocks; fewer words are one shingle, no words none."""
     tokens = text.lower().split()  # of bytes: A-Z only, and white space is \x20 and \x09-\x0D
-    if not tokens:
-        return 0
-    n = max(1, len(tokens) - words + 1)
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    n, digest = max(1, len(tokens) - words + 1) if tokens else 0, xxhash.xxh64_intdigest
     for at in range(0, n, block):
-        h = np.fromiter((digest(b" ".join(tokens[i : i + words]), seed) for i in range(at, min(n, at + block))), "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.fromiter((digest(b" ".join(tokens[i : i + words]), seed) for i in range(at, min(n, at + block))), "<u8")
+
+
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes set each of the 64 bits."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(blocks: Iterable[np.ndarray]) -> int:
+    """The signed 64-bit fingerprint of shingle hashes: a bit is 1 if over half of them set it."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in blocks:
+        counts += votes(h)
+        n += len(h)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
@@ -49,63 +56,50 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = b.column(1).cast(pa.binary())
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.int64, len(texts))
+            fps = np.fromiter((fingerprint(shingle_hashes(t.as_py(), words)) for t in texts), np.int64, len(texts))
             yield pa.record_batch([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     return in_arrow(with_text(docs), batches, "doc_id long, fp long")
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def popcounts(fp: Column) -> Column:
     """The bit counts of the 32 two-bit segments, two bits each."""
     low, high = fp.bitwiseAND(F.lit(ODD_BITS)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(ODD_BITS))
     return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def projections(radius: int) -> list[int]:
-    """Masks that keep GROUPS - radius of the eight groups."""
-    return [_signed(sum(0xFF << 8 * g for g in keep)) for keep in combinations(range(GROUPS), GROUPS - radius)]
+def cells_of(v: Column, radius: int) -> Column:
+    """The cells of an embedding, one long for each choice of GROUPS - radius groups: their segments' counts, and the choice's number above them."""
+    out = []
+    for k, keep in enumerate(combinations(range(GROUPS), max(1, GROUPS - radius))):
+        cell = F.lit(k << 8 * (GROUPS - 1))
+        for place, g in enumerate(keep[: GROUPS - 1]):
+            part = F.shiftrightunsigned(v, 8 * g).bitwiseAND(F.lit(0xFF))
+            cell = cell.bitwiseOR(F.shiftleft(part, 8 * place))
+        out.append(cell)
+    return F.array(*out)
 
 
-def manhattan(x: str, y: str) -> Column:
+def manhattan(x: Column, y: Column) -> Column:
     """Manhattan distance of two packed popcount vectors. The segments hold 0 to 2: equal segments give
     xor 0, neighbours 1 or 3, opposite ones 2, so the distance is the count of non-zero segments plus
     that of segments that are 2."""
-    d = F.col(x).bitwiseXOR(F.col(y))
+    d = x.bitwiseXOR(y)
     low, high = d.bitwiseAND(F.lit(ODD_BITS)), F.shiftrightunsigned(d, 1).bitwiseAND(F.lit(ODD_BITS))
     return F.bit_count(low.bitwiseOR(high)) + F.bit_count(high.bitwiseAND(F.bitwise_not(low)))
 
 
 def fingerprint_links(classes: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b) links among distinct fingerprints fp with their document counts n, enough to give all components."""
-    if not 0 <= radius < GROUPS:
-        raise ValueError(f"radius must lie in 0..{GROUPS - 1}")
-    masks = F.array(*[F.lit(m) for m in projections(radius)])
-    cells = (
-        classes.select("fp", "n", popcounts(F.col("fp")).alias("v"))
-        .select("fp", "n", "v", F.explode(masks).alias("grid"))
-        .select("fp", "n", "v", "grid", F.col("v").bitwiseAND(F.col("grid")).alias("cell"))
-    )
-    order = F.col("n") * 1024 + F.pmod(F.xxhash64("fp"), F.lit(1024))
-    heads = cells.groupBy("grid", "cell").agg(F.count("*").alias("members"), F.max_by("fp", order).alias("head")).where("members > 1")
-    members = cells.join(heads, ["grid", "cell"]).where("fp <> head")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= radius
-    members = written(members.withColumn("near", near).where("near or members > 2").select("grid", "cell", "fp", "v", "head", "near"), "cells")
-    stars = members.where("near").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
-    x = members.where("not near").select("grid", "cell", F.col("fp").alias("a"), F.col("v").alias("va"))
-    y = members.select("grid", "cell", F.col("fp").alias("b"), F.col("v").alias("vb"), "near")
-    rest = (
-        x.join(y, ["grid", "cell"])
-        .where((F.col("a") < F.col("b")) | (F.col("near") & (F.col("a") != F.col("b"))))
-        .where(manhattan("va", "vb") <= radius)
-        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-        .select("a", "b")
-        .distinct()
-    )
-    return stars.union(rest)
+    if not 1 <= radius < GROUPS:
+        raise ValueError(f"radius must lie in 1..{GROUPS - 1}")
+    v = popcounts(F.col("fp"))
+    cells = classes.select(F.explode(cells_of(v, radius)).alias("cell"), F.col("fp").alias("node"))
+
+    def near(x: str, y: str) -> Column:
+        return (manhattan(F.col(f"{x}.v"), F.col(f"{y}.v")) <= radius) & (F.bit_count(F.col(f"{x}.node").bitwiseXOR(F.col(f"{y}.node"))) <= radius)
+
+    return linked_by_cells(shared_cells(cells, "grid"), classes.select(F.col("fp").alias("node"), "n", v.alias("v")), near, lambda pairs: pairs, "grid")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
