@@ -202,6 +202,28 @@ def test_pipeline_stages(spark, small, sf):
     assert mix.columns == docs.columns and sum(got.values()) > 0 and all(abs(got[d] - n) <= 1 for d, n in times.items())
 
 
+def test_stages_of_odd_and_empty_tables(spark, odd, nothing, sf):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, sf).count() == 0, name
+        out = stage(spark, odd, sf)
+        if name != "packing":
+            assert out.columns == odd.columns and {r["text"] for r in out.select("text").collect()} <= {r["text"] for r in odd.select("text").collect()}, name
+        assert out.count() > 0, name
+
+
+def test_stages_leave_clashing_columns_alone(spark, sf):
+    rows = [(i, f"some words of text number {i} with others behind it", "en", "ab"[i % 2], 1, 2, 3, 4, 5) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _row int, _same int, _own int, th int, _times int")
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.mixing):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and {tuple(r)[4:] for r in out.collect()} == {(1, 2, 3, 4, 5)}
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(5, "one two three four", "a"), (5, " ".join(["w"] * 200), "a"), (5, "one two three four", "a")], "doc_id long, text string, source string")
+    assert mixing.mixed(docs).count() == 3
+
+
 def test_pipeline_runs(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)

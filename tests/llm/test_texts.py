@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -113,6 +114,34 @@ def test_simhash_rows(small, odd, nothing):
     assert simhash.fingerprints_with_edits(nothing).count() == 0
 
 
+def slow_simhash(text):
+    """Votes of the hashes of each word with its successor, by weight; Spark's xxhash64 chains XXH64, from seed 42, over its arguments."""
+    words = [w for w in re.split("[\\x00-\\x20]+", text) if w]
+    seed, votes, whole = xxhash.xxh64_intdigest(struct.pack("<i", 5), 42), [0] * 64, 0
+    for a, b in zip(words, [*words[1:], None][: len(words)], strict=True):
+        h, weight = xxhash.xxh64_intdigest(a.encode(), seed), len(a.encode()) + len((b or "").encode())
+        h = h if b is None else xxhash.xxh64_intdigest(b.encode(), h)
+        weight = min(16, weight)
+        whole += weight
+        votes = [v + weight * (h >> i & 1) for i, v in enumerate(votes)]
+    return sum(1 << i for i, v in enumerate(votes) if 2 * v > whole)
+
+
+def test_fingerprints_by_loops(small, odd):
+    for df in (small, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        rows = sorted(rows_of(df), key=lambda r: -r["doc_id"])
+        text = [r["text"] or "" for r in rows]
+        edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(text, text[1:] + text[:1], strict=True)]
+        own, other = list(map(slow_simhash, text)), list(map(slow_simhash, edited))
+        like = lambda x, y: 1 - (x ^ y).bit_count() / 64
+        got = {r["doc_id"]: r for r in simhash.fingerprints_with_edits(df).collect()}
+        for i, r in enumerate(rows):
+            g = got[r["doc_id"]]
+            assert (g["fingerprint"], g["edited_fingerprint"]) == (f"{own[i]:016x}", f"{other[i]:016x}")
+            assert (g["near_edited"], g["near_next"]) == (like(own[i], other[i]), like(own[i], own[(i + 1) % len(own)]))
+            assert g["near_within"] == (sum((own[i] ^ x).bit_count() <= 3 for x in own) if r["doc_id"] % 20 == 0 else None)
+
+
 def test_simhash_edits(small):
     rows = sorted(rows_of(small), key=lambda r: -r["doc_id"])
     want = {}
@@ -154,7 +183,7 @@ def test_licences(small, odd, nothing):
 
 def test_licence_templates_and_near_misses():
     ix = licenses.LicenceIndex()
-    for k, (_, t) in enumerate(licenses.TEMPLATES):
+    for k, (_, t, _) in enumerate(licenses.TEMPLATES):
         w = t.split()
         cut = " ".join(w[: len(w) // 2] + ["zebra"] + w[len(w) // 2 :])
         assert any(s[0] == k and s[3] > 0.9 for s in ix.spans(ix.scan(("some words " + t + " after").encode())[2]))
@@ -162,6 +191,47 @@ def test_licence_templates_and_near_misses():
     assert ix.spans(ix.scan(b"permission is hereby given to nobody")[2]) == []
 
 
+@given(st.sets(st.integers(0, 90), max_size=9))
+@settings(max_examples=60, deadline=None)
+def test_covered_share_is_that_of_the_runs_left(gone):
+    """Words of a template are replaced one by one; runs of three or more words between them count, gaps of eight at most are chained."""
+    label, template, must = licenses.TEMPLATES[0]
+    words = licenses.words_of(template.encode())
+    marred = [b"zz" if i in gone else w for i, w in enumerate(words)]
+    runs, i = [], 0
+    while i < len(words):
+        j = i
+        while j < len(words) and j not in gone:
+            j += 1
+        if j - i >= 3:
+            runs.append((i, j - 1))
+        i = max(j, i + 1)
+    tell = words_at(words, must)
+    chains = []
+    for a, z in runs:
+        told = a <= tell[0] and tell[1] <= z
+        if chains and a - chains[-1][1] <= 8:
+            chains[-1] = [chains[-1][0], z, chains[-1][2] + z - a + 1, chains[-1][3] or told]
+        else:
+            chains.append([a, z, z - a + 1, told])
+    want = [(a, z, n / len(words)) for a, z, n, told in chains if told and n / len(words) >= 0.7]
+    ix = licenses.standard_index()
+    assert [(a, z, c) for k, a, z, c in ix.spans(ix.scan(b" ".join(marred))[2]) if k == 0] == want
+
+
+def words_at(words, phrase):
+    p = licenses.words_of(phrase.encode())
+    i = next(i for i in range(len(words)) if words[i : i + len(p)] == p)
+    return i, i + len(p) - 1
+
+
+def test_licences_of_one_family_are_told_apart():
+    ix = licenses.standard_index()
+    for k, (label, text, must) in enumerate(licenses.TEMPLATES):
+        found = {ix.templates[s[0]][0] for s in ix.spans(ix.scan(b"x " + text.encode() + b" y")[2])}
+        assert found == {label}, (label, found)
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=8), st.lists(st.sampled_from("abc"), max_size=8), st.lists(st.sampled_from("abcd"), max_size=12))
 @settings(max_examples=150, deadline=None)
 def test_automaton_matching_statistics(x, y, text):
@@ -223,6 +293,38 @@ def test_jpeg_with_ac_coefficients():
     assert sizes == [(16, 8)] and grid.tolist() == [[138, 138]]
 
 
+def slow_feature(payload):
+    """The size of the image and its average hash, by loops."""
+    rows = [payload[i : i + 64] for i in range(0, len(payload), 64)]
+    at = [[min(k * n // 8, n - 1) for k in range(8)] for n in (len(rows), 64)]
+    cells = []
+    for i in range(8):
+        for j in range(8):
+            down = range(at[0][i], max(at[0][i] + 1, at[0][i + 1] if i < 7 else len(rows)))
+            across = range(at[1][j], at[1][j + 1] if j < 7 else 64)
+            cells.append(sum(rows[y][x] for y in down for x in across) / (len(down) * len(across)))
+    mean = sum(cells) / 64
+    bits = "".join(str(int(c > mean)) for c in cells)
+    return f"512x{8 * len(rows)}:{int(bits, 2):016x}"
+
+
+def test_features_by_loops(small, odd):
+    for df in (small, odd):
+        text = {r["doc_id"]: (r["text"] or "").encode() for r in rows_of(df)}
+        for r in media.media_of_documents(df.where("coalesce(length(text), 0) < 60000")).collect():
+            assert r["feature"] == slow_feature(media.padded(text[r["doc_id"]]))
+
+
+def test_media_that_is_null_malformed_or_progressive(spark):
+    good = jpeg.store([bytes(range(64))])[0]
+    progressive = good.replace(b"\xff\xc0", b"\xff\xc2", 1)
+    rows = [(0, good), (1, None), (2, b""), (3, b"no image"), (4, good[:40]), (5, progressive), (6, good[:-9]), (7, good.replace(b"\xff\xc4", b"\xff\xe0")), (8, good)]
+    df = spark.createDataFrame([(i, 1, None if m is None else bytearray(m)) for i, m in rows], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in media.jpeg_features(df).collect()}
+    assert len(got) == len(rows) and got[0]["feature"] == got[8]["feature"] == slow_feature(bytes(range(64)))
+    assert all(got[i]["payload_bytes"] == 0 and got[i]["feature"] == "0x0:" + "0" * 16 for i in (1, 2, 3, 4, 5, 7))
+
+
 # --- tokens --------------------------------------------------------------------------------------
 
 
@@ -302,6 +404,95 @@ def test_language_of_odd_rows(odd, nothing):
     assert kept.columns == odd.columns and 0 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_language_scores_by_exact_kernel():
+    """Sets of n-grams, unhashed; Nyström features and ridge regression written out. Hash collisions allow a small difference."""
+    rng = np.random.default_rng(8)
+    make = lambda syllables: " ".join("".join(rng.choice(syllables, 3)) for _ in range(30)).encode()
+    tongues = {"xx": ["ba", "do", "mi"], "yy": ["kre", "sul", "ont"], "zz": ["ñe", "qua", "ba"]}
+    sample = [(n, make(s)) for n, s in tongues.items() for _ in range(6)]
+    flags = np.zeros(len(language_id.ORDERS) * language_id.BINS, bool)
+    model = language_id.fit([(n, language_id.present(t, flags)) for n, t in sample], landmarks=9)
+
+    def grams(text):
+        folded = bytes(language_id._FOLD[list(text)].astype(np.uint8))
+        return {folded[i : i + n] for n in (2, 3, 4) for i in range(len(folded) - n + 1)}
+
+    kernel = lambda x, y: len(grams(x) & grams(y)) / np.sqrt(len(grams(x)) * len(grams(y)))
+    marks = [t for i in range(6) for n in tongues for t in [[x for m, x in sample if m == n][i]]][:9]
+    vals, vecs = np.linalg.eigh(np.array([[kernel(x, y) for y in marks] for x in marks]))
+    root = vecs / np.sqrt(np.maximum(vals, 1e-6))
+    phi = np.array([[kernel(t, m) for m in marks] for _, t in sample]) @ root
+    y = np.array([[1.0 if n == m else -1.0 for m in tongues] for n, _ in sample])
+    a = np.linalg.solve(phi.T @ phi / 6 + 0.1 / len(sample) * np.eye(9), phi.T @ y / 6)
+    asked = [make(s) for s in tongues.values()] + [b"", b"ba do", "Ñe QUA".encode()]
+    want = np.array([np.array([kernel(t, m) for m in marks]) @ root @ a if grams(t) else np.zeros(3) for t in asked])
+    assert np.abs(model.scores(asked) - np.clip((want + 1) / 2, 0, 1)).max() < 0.01
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(1, f"text {i % 3}", "ab"[i % 2]) for i in range(400)]  # an id and texts that repeat
+    assert language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=5).names
+
+
+def slow_logit(p, rows):
+    """The network on one window of input rows, word by word."""
+    H = toxicity.HIDDEN
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+    states = np.zeros((len(rows), 2 * H))
+    for d in (0, 1):
+        h = np.zeros(H)
+        for t in range(len(rows)) if d == 0 else reversed(range(len(rows))):
+            x, u = rows[t] @ p[f"x{d}"] + p[f"b{d}"], p[f"u{d}"]
+            r, z = logistic(x[:H] + h @ u[:, :H]), logistic(x[H : 2 * H] + h @ u[:, H : 2 * H])
+            c = np.tanh(x[2 * H :] + r * (h @ u[:, 2 * H :]))
+            h = z * h + (1 - z) * c
+            states[t, d * H : (d + 1) * H] = h
+    e = np.exp(states @ p["att"])
+    return (e / e.sum()) @ states @ p["out"] + p["bias"][0]
+
+
+def test_toxicity_scores_by_loops():
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 7))) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in rng.integers(1, 100, 80)]
+    texts = [t + " grumbog" * (i % 4 == 0) for i, t in enumerate(texts)]
+    model = toxicity.train_model([t.encode() for t in texts], np.array([i % 4 == 0 for i in range(80)]), rounds=1)
+    for t in [*texts[:12], "Unseen WORDS, here!", "grumbog"]:
+        words = toxicity.words_of(t.encode())
+        starts = range(0, max(1, len(words) - 16), 16)
+        want = max(1 / (1 + np.exp(-slow_logit(model.p, [model.inputs([w])[0] for w in words[s : s + 32]]))) for s in starts)
+        assert abs(model.score([t.encode()])[0] - want) < 1e-4
+    assert model.score([b"", b" ,. "]).tolist() == [0, 0]
+
+
+def test_toxicity_gradients_are_numeric():
+    rng = np.random.default_rng(6)
+    H = toxicity.HIDDEN
+    p = {"out": rng.normal(size=2 * H), "att": rng.normal(size=2 * H), "bias": rng.normal(size=1), "u0": rng.normal(size=(H, 3 * H)) / 2, "u1": rng.normal(size=(H, 3 * H)) / 2}
+    px = [rng.normal(size=(3, 6, 3 * H)) for _ in (0, 1)]
+    mask = np.array([[1] * 6, [1] * 4 + [0] * 2, [1] + [0] * 5], float)
+    pull = rng.normal(size=3)
+    loss = lambda: float(toxicity.run(p, px, mask)[0] @ pull)
+    _, *kept = toxicity.run(p, px, mask, keep=True)
+    grads, dpx = toxicity.back(p, pull, mask, *kept)
+    for value, grad in [(p[k], grads[k]) for k in p] + list(zip(px, dpx, strict=True)):
+        for _ in range(12):
+            at = tuple(int(rng.integers(n)) for n in value.shape)
+            was, eps = value[at], 1e-6
+            value[at] = was + eps
+            up = loss()
+            value[at] = was - eps
+            slope, value[at] = (up - loss()) / (2 * eps), was
+            assert abs(slope - grad[at]) < 1e-6 + 1e-4 * abs(slope)
+
+
+def test_long_texts_train_too(spark):
+    long = "mild word " * 3000
+    docs = spark.createDataFrame([(i, long + "grumbog " * 400 * (i % 2) + long) for i in range(40)], "doc_id long, text string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"), most_chars=8000)
+    assert model is not None
+
+
 def test_toxicity_learns(spark, nothing):
     rng = np.random.default_rng(0)
     vocabulary = ["".join(rng.choice(list("abcdefghimnorst"), rng.integers(2, 8))) for _ in range(300)]

@@ -125,14 +125,19 @@ def fold_of(doc_id: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
 
 
-def label_sample(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
-    """A bounded, repeatable sample: of each label value about per_label rows, chosen by a hash of doc_id."""
+def hash_share(*columns: str) -> Column:
+    """A number from 0 to 1 by a hash of columns, for samples that reruns repeat."""
+    return F.xxhash64(F.lit(20_011), *columns).bitwiseAND(F.lit(0x7FFFFFFF)) / F.lit(float(0x80000000))
+
+
+def label_shares(labelled: DataFrame, label: str, per_label: int, most_rows: int) -> tuple[Column, int]:
+    """The share of each label's rows that makes about per_label rows, less if labels are many, and a bound of the whole sample."""
     counts = {r[label]: r["count"] for r in labelled.groupBy(label).count().collect()}
     if not counts:
-        return labelled
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
-    u = F.xxhash64(F.lit(20_011), F.col("doc_id")).bitwiseAND(F.lit(0x7FFFFFFF)) / F.lit(float(0x80000000))
-    return labelled.where(u < F.element_at(share, F.col(label))).limit(2 * per_label * len(counts))
+        return F.lit(0.0), 1
+    each = max(1, min(per_label, most_rows // len(counts)))
+    shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])
+    return F.element_at(shares, F.col(label)), 2 * each * len(counts)
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:

@@ -154,8 +154,17 @@ class Frame:
 
 
 def parse(data: bytes, whole: np.ndarray) -> list[Frame]:
-    """The frames of a JPEG stream. whole: the same bytes as an array. Truncated or foreign data gives the frames before it."""
-    out, at, frame = [], 0, None
+    """The frames of a JPEG stream. whole: the same bytes as an array. Truncated, foreign or malformed data gives the frames before it."""
+    out: list[Frame] = []
+    try:
+        _frames(data, whole, out)
+    except (IndexError, ValueError, struct.error):  # a segment that doesn't hold what it should
+        pass
+    return [f for f in out if f.components and f.scan and all({d, 16 + a} <= f.tables.keys() for _, d, a in f.scan)]
+
+
+def _frames(data: bytes, whole: np.ndarray, out: list[Frame]) -> None:
+    at, frame = 0, None
     ff = np.flatnonzero(whole[:-1] == 0xFF)
     marks = ff[(whole[ff + 1] != 0) & (whole[ff + 1] != 0xFF)]
     while at + 2 <= len(data) and data[at] == 0xFF:
@@ -184,7 +193,7 @@ def parse(data: bytes, whole: np.ndarray) -> list[Frame]:
             _, frame.height, frame.width, k = struct.unpack(">BHHB", body[:6])
             frame.components = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(k)]
         elif m in (0xC1, 0xC2, 0xC3) or 0xC5 <= m <= 0xCF and m not in (0xC8, 0xCC):
-            raise ValueError("only baseline JPEG is read")
+            break  # another kind of JPEG
         elif m == DHT:
             while body:
                 k = sum(body[1:17])
@@ -202,7 +211,6 @@ def parse(data: bytes, whole: np.ndarray) -> list[Frame]:
             starts = np.concatenate([[at], ends[:-1] + 2])
             frame.spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
             at = int(ends[-1])
-    return out
 
 
 def _decode(data: np.ndarray, spans: np.ndarray, plan: list[tuple[int, np.ndarray, np.ndarray]], blocks: int, luminance: int) -> np.ndarray:

@@ -3,14 +3,13 @@
 The kernel of two texts is the blended-spectrum presence kernel: the number of byte n-grams
 (n = 2, 3, 4, over folded text) that both hold, over the root of the product of their own counts.
 Landmarks drawn from the labelled sample give the Nyström features, one-versus-rest kernel ridge
-regression the weights. Scores of a batch are the product P (B A): P holds the n-grams present in
-each text, B those present in each landmark, A the regression on the landmarks; B A is formed once,
-so a batch costs one sparse product. N-grams are hashed to ORDERS x BINS bins.
+regression the weights. Scores of a batch are the product P (B A): P, sparse, holds the n-grams
+present in each text, B those present in each landmark, A the regression on the landmarks; B A is
+formed once, so a batch costs one product. N-grams are hashed to ORDERS x BINS bins.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import fold_of, in_arrow, label_sample
+from trovespark.llm.common import fold_of, hash_share, in_arrow, label_shares
+from trovespark.llm.tokens import runs
 
 ORDERS = (2, 3, 4)
 BINS = 1 << 15
 BLOCK = 1 << 21
+PRODUCT = 1 << 18  # n-grams of a batch that are multiplied at once
 UNDETERMINED = "und"
 
 _FOLD = np.full(256, 0x20, np.uint32)
@@ -57,11 +58,12 @@ class LanguageModel:
     def measured(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Regression values of each text and language, in 0..1 (no n-grams: 0.5), and of each text the share of its n-grams that any landmark holds."""
         flags, out, share = np.zeros(len(ORDERS) * BINS, bool), np.zeros((len(texts), len(self.names)), np.float64), np.zeros(len(texts))
-        for i, t in enumerate(texts):
-            found = present(t, flags)
-            if len(found):
-                out[i] = self.weights[found].sum(axis=0, dtype=np.float64) / np.sqrt(len(found))
-                share[i] = self.met[found].mean()
+        rows = [(i, x) for i, t in enumerate(texts) if len(x := present(t, flags))]
+        for at, to in runs([len(x) for _, x in rows], PRODUCT):
+            place, n = [i for i, _ in rows[at:to]], np.array([len(x) for _, x in rows[at:to]])
+            columns, first = np.concatenate([x for _, x in rows[at:to]]), np.cumsum(n) - n
+            out[place] = np.add.reduceat(self.weights[columns], first, axis=0, dtype=np.float64) / np.sqrt(n)[:, None]
+            share[place] = np.add.reduceat(self.met[columns], first, dtype=np.int64) / n
         return np.clip((out + 1) / 2, 0, 1), share
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -92,19 +94,19 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = 256, ridge: float
     return LanguageModel(names, (b @ (root @ a).astype(np.float32)).astype(np.float32), b.any(axis=1))
 
 
-def train(labelled: DataFrame, per_language: int = 500, landmarks: int = 256) -> LanguageModel | None:
-    """From labelled rows (doc_id, text, lang), about per_language of each language at most. Only bins leave the executors."""
+def train(labelled: DataFrame, per_language: int = 500, landmarks: int = 256, most_rows: int = 20_000) -> LanguageModel | None:
+    """From labelled rows (doc_id, text, lang), about per_language of each language and most_rows in all at most, those of the least hashes. Only bins leave the executors."""
 
     def bins(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(len(ORDERS) * BINS, bool)
         for b in it:
             found = [present(t.as_py(), flags).astype(np.int32) for t in b.column(2).cast(pa.binary())]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "lang", "bins"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["u", "lang", "bins"])
 
-    usable = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    rows = in_arrow(label_sample(usable, "lang", per_language), bins, "doc_id long, lang string, bins array<int>").toArrow()
-    order = sorted(range(len(rows)), key=lambda i: rows["doc_id"][i].as_py() or 0)
-    return fit([(rows["lang"][i].as_py(), rows["bins"][i].values.to_numpy()) for i in order], landmarks)
+    usable = labelled.where("lang is not null and text is not null").select("lang", "text", hash_share("doc_id", "text").alias("u"))
+    share, most = label_shares(usable, "lang", per_language, most_rows)
+    rows = in_arrow(usable.where(F.col("u") < share).select("u", "lang", "text"), bins, "u double, lang string, bins array<int>").orderBy("u", "lang", "bins").limit(most).toArrow()
+    return fit([(n.as_py(), x.values.to_numpy()) for n, x in zip(rows["lang"], rows["bins"], strict=True)], landmarks)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, *more: str) -> DataFrame:
@@ -131,15 +133,16 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None, least: float,
     """The rows of docs, all columns, in whose text a learned language scores least or more, and margin or more above the mean of the
     languages, and of whose n-grams the landmarks hold met or more; null texts and those without letters go. Nothing is shuffled.
 
-    With a single language there is nothing to stand out from, and margin isn't asked.
+    With a single language there is nothing to stand out from, and margin isn't asked; without a model
+    all rows go. Repeated rows are judged alike; an empty table gives no rows; no column is added.
     """
-    place, letter = docs.columns.index("text"), re.compile(r"[^\W\d_]")
+    place = docs.columns.index("text")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = b.column(place).to_pylist()
             for at in range(0, len(texts), 256):
-                some = [t.encode() if t and letter.search(t) else b"" for t in texts[at : at + 256]]
+                some = [t.encode() if t and any(map(str.isalpha, t)) else b"" for t in texts[at : at + 256]]
                 keep = np.array([bool(t) for t in some], bool)
                 if model:
                     scores, share = model.measured(some)

@@ -4,8 +4,8 @@ The templates' words, lower-cased, make one automaton. A text's words run throug
 the state gives the longest run of words, ending there, that stands in some template: the matching
 statistics. Maximal runs of MIN_RUN words or more are located in their templates and chained: runs
 that follow one another in text and template alike, with gaps of at most MAX_GAP words. A template of
-which a chain covers enough adds its label; base phrases are templates of their own, found wherever
-their words stand consecutively.
+which a chain covers enough, the words that tell it from others among them, adds its label; base
+phrases are templates of their own, found wherever their words stand consecutively.
 """
 
 from __future__ import annotations
@@ -26,21 +26,31 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Passages of public licences that identify them, with labels.
+#: Passages of public licences that identify them, with labels, and the words that tell them from others of their kind (or none).
 TEMPLATES = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("lgpl", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "deal in the software"),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "apache license"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", ""),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "gnu general"),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "gnu general"),
+    ("lgpl", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lesser"),
+    ("agpl", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "affero"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ""),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "mozilla"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "granted provided"),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS", "granted the"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", "alter it"),
+    ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software", "person or organization"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "attribution 4"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "sharealike"),
+    ("cc-by", "Licensed under CC BY 4.0", "by 4"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0", "sa 4"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", "nc 4"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0", "nd 4"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "neighboring rights"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", ""),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed", "changing it"),
 )
 MIN_RUN, MAX_GAP, COVERED = 3, 8, 0.7
 #: Bytes that belong to words, lower-cased; all others are blanks. Bytes from 0x80 on are parts of characters beyond ASCII, which belong to words.
@@ -97,11 +107,11 @@ class LicenceIndex:
     """The automaton of phrases and templates, and what its states mean."""
 
     phrases: tuple[tuple[str, str], ...] = tuple(PHRASES.items())
-    templates: tuple[tuple[str, str], ...] = TEMPLATES
+    templates: tuple[tuple[str, str, str], ...] = TEMPLATES
 
     def __post_init__(self) -> None:
         base = [words_of(p.encode()) for p, _ in self.phrases]
-        texts = [words_of(t.encode()) for _, t in self.templates]
+        texts = [words_of(t.encode()) for _, t, _ in self.templates]
         self.ids = {w: i for i, w in enumerate(sorted({w for x in base + texts for w in x}), 1)}
         seqs = [[self.ids[w] for w in x] for x in base + texts]
         self.auto, self.base = SuffixAutomaton(seqs), len(base)
@@ -125,6 +135,12 @@ class LicenceIndex:
             for i, c in enumerate(seq):
                 self.places.setdefault(c, []).append((k, i))
         self.seqs = seqs[self.base :]
+        self.telling = [self._place(seq, words_of(must.encode())) for seq, (_, _, must) in zip(self.seqs, self.templates, strict=True)]
+
+    def _place(self, seq: list[int], must: list[bytes]) -> tuple[int, int]:
+        """First and last place of the telling words in a template; without any, nothing is asked of a chain."""
+        want = [self.ids[w] for w in must]
+        return next((i, i + len(want) - 1) for i in range(len(seq)) if seq[i : i + len(want)] == want) if want else (0, -1)
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, int, int]]]:
         """The number of words; base places as (start, phrase); maximal runs as (start, length, template, start in it)."""
@@ -163,20 +179,22 @@ class LicenceIndex:
         """Chains as (template, first word, last word, share of the template covered), for each template those that cover enough."""
         out = []
         for k in {r[2] for r in runs}:
-            open_: list[list[int]] = []  # first, last, last place in the template, covered
+            open_: list[list[int]] = []  # first, last, last place in the template, covered, whether the telling words are
+            low, high = self.telling[k]
+            settled = lambda chains, k=k: [(k, c[0], c[1], c[3] / len(self.seqs[k])) for c in chains if c[4]]
             for start, n, _, i in sorted(r for r in runs if r[2] == k):
-                best = None
+                best, tells = None, high < 0 or (i <= low and high < i + n)
                 for c in open_:
                     if 0 < start - c[1] <= MAX_GAP and 0 < i - c[2] <= MAX_GAP and (best is None or c[3] > best[3]):
                         best = c
                 if best:
-                    best[1:] = [start + n - 1, i + n - 1, best[3] + n]
+                    best[1:] = [start + n - 1, i + n - 1, best[3] + n, best[4] or tells]
                 else:
-                    open_.append([start, start + n - 1, i + n - 1, n])
+                    open_.append([start, start + n - 1, i + n - 1, n, tells])
                 if len(open_) > 64:  # chains that nothing can extend are settled
-                    out += [(k, c[0], c[1], c[3] / len(self.seqs[k])) for c in open_ if start - c[1] > MAX_GAP]
+                    out += settled(c for c in open_ if start - c[1] > MAX_GAP)
                     open_ = [c for c in open_ if start - c[1] <= MAX_GAP]
-            out += [(k, c[0], c[1], c[3] / len(self.seqs[k])) for c in open_]
+            out += settled(open_)
         return sorted((x for x in out if x[3] >= COVERED), key=lambda x: (x[1], x[0]))
 
 

@@ -20,6 +20,14 @@ def padded(text: bytes) -> bytes:
     return text + bytes((-len(text)) % UNIT if text else UNIT)
 
 
+def read(images: list[bytes]) -> list[tuple]:
+    """Their thumbnails and sizes; an image whose scan can't be decoded has none."""
+    try:
+        return jpeg.thumbnails(images)
+    except (IndexError, ValueError):
+        return [x for i in images for x in read([i])] if len(images) > 1 else jpeg.thumbnails([b""])
+
+
 def as_jpeg(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media) of every row: the text's UTF-8 bytes (null: none), zeros up to a positive multiple of 64, as JPEG."""
 
@@ -34,15 +42,18 @@ def as_jpeg(docs: DataFrame) -> DataFrame:
 
 
 def jpeg_features(media: DataFrame) -> DataFrame:
-    """doc_id and n_bytes with what the stored bytes give: the payload's length, hash and tail, those of the stored form, the image sizes and the thumbnail's hash."""
+    """doc_id and n_bytes with what the stored bytes give: the payload's length, hash and tail, those of the stored form, the image sizes and the thumbnail's hash.
+
+    Null, malformed and other than baseline media have no payload: 0 bytes, size 0x0 and a hash of zeros.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            stored = b.column(2).to_pylist()
+            stored = [x or b"" for x in b.column(2).to_pylist()]
             for at, to in runs(list(map(len, stored)), 1 << 19):
                 some, rows = stored[at:to], []
-                for raw, (grid, sizes) in zip(some, jpeg.thumbnails(some), strict=True):
+                for raw, (grid, sizes) in zip(some, read(some), strict=True):
                     payload = grid.tobytes()
                     size = f"{sizes[0][0]}x{sum(h for _, h in sizes)}" if sizes else "0x0"
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{size}:{jpeg.thumbnail_hash(grid)}"))

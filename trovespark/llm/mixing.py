@@ -15,7 +15,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import hashed_to, written
+from trovespark.llm.common import hashed_to, unused, written
 
 REPEATS = 3
 WEIGHTS = (5, 2, 1)
@@ -119,9 +119,15 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats:
 
 
 def mixed(docs: DataFrame, **how: object) -> DataFrame:
-    """The mix itself: rows of docs as often as the mix takes them, to the nearest whole number. Rows are told apart by doc_id, source and a hash of their text."""
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    times = mix_documents(keyed, more=("_th",), **how).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("_th").alias("_t"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    times = times.where("_times > 0").groupBy("_id", "_of", "_t").agg(F.max("_times").alias("_times"))
-    kept = keyed.join(times, keyed.doc_id.eqNullSafe(F.col("_id")) & keyed.source.eqNullSafe(F.col("_of")) & (F.col("_th") == F.col("_t")))
-    return kept.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[keyed[c] for c in docs.columns])
+    """The mix itself: rows of docs, all columns, as often as the mix takes them, to the nearest whole number.
+
+    Every row counts by itself, whatever its doc_id, so rows are numbered in a written table first. Rows
+    without words, null texts among them, are never taken; an empty table gives no rows.
+    """
+    row, same, times, nth = unused(docs, "row", "same", "times", "nth")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-numbered", "zstd")
+    taken = F.round(F.col("taken") / F.col("size")).cast("int")
+    plan = mix_documents(numbered.select("doc_id", "source", "text", F.col(row).alias("mix_row")), more=("mix_row",), **how).where("size > 0")
+    plan = plan.select(F.col("mix_row").alias(same), taken.alias(times)).where(F.col(times) > 0)
+    kept = numbered.join(plan, F.col(row) == F.col(same)).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return kept.drop(row, same, times, nth)

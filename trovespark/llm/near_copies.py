@@ -27,7 +27,7 @@ BANDS, ROWS = 40, 6
 SKETCH = 128
 BLOCK = 1 << 9
 HEAD_PAIRS = 200
-_FACTORS = np.random.default_rng(11).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingles(blocks: list[np.ndarray]) -> np.ndarray:
@@ -37,12 +37,12 @@ def shingles(blocks: list[np.ndarray]) -> np.ndarray:
 
 def minima(found: np.ndarray) -> np.ndarray:
     """The least value of each hash over a set of shingles."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    mixed = found ^ found >> np.uint64(29)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    mixed = (found ^ found >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(mixed), BLOCK):
-        h = mixed[at : at + BLOCK, None] * _FACTORS
-        h ^= h >> np.uint64(32)
-        np.minimum(least, h.min(axis=0), out=least)
+        h = mixed[None, at : at + BLOCK] * _FACTORS[:, None]
+        h ^= h >> np.uint32(15)
+        np.minimum(least, h.min(axis=1), out=least)
     return least
 
 
@@ -52,7 +52,7 @@ def cells_of(least: np.ndarray) -> np.ndarray:
 
 def sketch_of(least: np.ndarray) -> np.ndarray:
     """One bit of each of the first SKETCH minima, as longs."""
-    return np.packbits((least[:SKETCH] & np.uint64(1)).astype(bool), bitorder="little").view("<i8")
+    return np.packbits((least[:SKETCH] & np.uint32(1)).astype(bool), bitorder="little").view("<i8")
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:

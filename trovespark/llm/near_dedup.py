@@ -68,16 +68,10 @@ def popcounts(fp: Column) -> Column:
     return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def cells_of(v: Column, radius: int) -> Column:
-    """The cells of an embedding, one long for each choice of GROUPS - radius groups: their segments' counts, and the choice's number above them."""
-    out = []
-    for k, keep in enumerate(combinations(range(GROUPS), max(1, GROUPS - radius))):
-        cell = F.lit(k << 8 * (GROUPS - 1))
-        for place, g in enumerate(keep[: GROUPS - 1]):
-            part = F.shiftrightunsigned(v, 8 * g).bitwiseAND(F.lit(0xFF))
-            cell = cell.bitwiseOR(F.shiftleft(part, 8 * place))
-        out.append(cell)
-    return F.array(*out)
+def projections(radius: int) -> list[int]:
+    """Masks that keep GROUPS - radius of the eight groups."""
+    masks = [sum(0xFF << 8 * g for g in keep) for keep in combinations(range(GROUPS), GROUPS - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def manhattan(x: Column, y: Column) -> Column:
@@ -94,7 +88,9 @@ def fingerprint_links(classes: DataFrame, radius: int = 4) -> DataFrame:
     if not 1 <= radius < GROUPS:
         raise ValueError(f"radius must lie in 1..{GROUPS - 1}")
     v = popcounts(F.col("fp"))
-    cells = classes.select(F.explode(cells_of(v, radius)).alias("cell"), F.col("fp").alias("node"))
+    masks = F.array(*[F.lit(m) for m in projections(radius)])
+    grids = classes.select(F.col("fp").alias("node"), v.alias("v"), F.explode(masks).alias("grid"))
+    cells = grids.select(F.xxhash64("grid", F.col("v").bitwiseAND(F.col("grid"))).alias("cell"), "node")  # a chance meeting of two cells costs a comparison
 
     def near(x: str, y: str) -> Column:
         return (manhattan(F.col(f"{x}.v"), F.col(f"{y}.v")) <= radius) & (F.bit_count(F.col(f"{x}.node").bitwiseXOR(F.col(f"{y}.node"))) <= radius)

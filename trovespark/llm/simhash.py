@@ -3,7 +3,7 @@
 A term is a word with its successor; its weight is its length in bytes, at most 16. Every occurrence
 of a term votes with its weight, for or against each of the 64 bits of its hash; a bit is 1 if more
 than half of the weight votes for it. Two 32-bit counters share a long, so 32 sums do for 64 bits;
-they hold texts of up to 2^27 words.
+they hold votes of a weight below 2^32, that is texts of up to 2^28 words; a longer one is an error.
 
 Search uses permuted block tables: the fingerprint is cut into six blocks; fingerprints within radius
 3 agree in three blocks at least, so the tables, one for each choice of 6 - radius blocks, find them
@@ -40,6 +40,8 @@ def votes(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     )
     sums = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(PAIR)) * F.col("_weight")).alias(f"_s{i}") for i in range(32)]
     counted = hashed.groupBy(*keys).agg(F.sum("_weight").alias("_all"), *sums)
+    fits = F.when(F.col("_all") <= LOW, F.col("_all")).otherwise(F.raise_error(F.lit("text of too many words")).cast("long"))
+    counted = counted.withColumn("_all", fits)
     bits = [F.when(2 * F.col(f"_s{i}").bitwiseAND(F.lit(LOW)) > F.col("_all"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(32)]
     bits += [F.when(2 * F.shiftrightunsigned(f"_s{i}", 32) > F.col("_all"), F.lit((1 << (i + 32)) - (1 << 64) * (i == 31))).otherwise(F.lit(0).cast("long")) for i in range(32)]
     return counted.select(*keys, reduce(Column.bitwiseOR, bits).alias("fp"))

@@ -16,10 +16,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import fold_of, in_arrow, label_sample
+from trovespark.llm.common import fold_of, hash_share, in_arrow, label_shares
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD, CHAR, BINS = 8, 12, 8, 1 << 15
@@ -57,9 +57,9 @@ def window_starts(n: int) -> range:
 def run(p: dict[str, np.ndarray], px: list[np.ndarray], mask: np.ndarray, keep: bool = False) -> tuple:
     """Logits of windows. px: per direction, window x step x 3 HIDDEN input projections; mask: window x step."""
     n, steps = mask.shape
-    states, trace = np.zeros((n, steps, 2 * HIDDEN), np.float32), []
+    states, trace = np.zeros((n, steps, 2 * HIDDEN), px[0].dtype), []
     for d in (0, 1):
-        h = np.zeros((n, HIDDEN), np.float32)
+        h = np.zeros((n, HIDDEN), px[0].dtype)
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
             x, u, m = px[d][:, t], h @ p[f"u{d}"], mask[:, t : t + 1]
             gates = sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
@@ -76,6 +76,33 @@ def run(p: dict[str, np.ndarray], px: list[np.ndarray], mask: np.ndarray, keep:
     return pooled @ p["out"] + p["bias"][0], states, a, pooled, trace
 
 
+def back(p: dict[str, np.ndarray], dl: np.ndarray, mask: np.ndarray, states: np.ndarray, a: np.ndarray, pooled: np.ndarray, trace: list[tuple]) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """What run() with keep gave, backwards: from the logits' derivatives those of the weights and, per direction, of the input projections."""
+    grads = {"out": pooled.T @ dl, "bias": np.array([dl.sum()])}
+    dpool = dl[:, None] * p["out"]
+    da = np.einsum("nh,nth->nt", dpool, states)
+    de = a * (da - (a * da).sum(axis=1, keepdims=True))
+    grads["att"] = np.einsum("nt,nth->h", de, states)
+    ds = a[..., None] * dpool[:, None] + de[..., None] * p["att"]
+    dpx = [np.zeros((*mask.shape, 3 * HIDDEN), states.dtype) for _ in (0, 1)]
+    for d in (0, 1):
+        u, du, dh = p[f"u{d}"], np.zeros_like(p[f"u{d}"]), np.zeros((len(mask), HIDDEN), states.dtype)
+        for d_, t, h, r, z, c, uc in reversed(trace):
+            if d_ != d:
+                continue
+            dh = dh + ds[:, t, d * HIDDEN : (d + 1) * HIDDEN]
+            m = mask[:, t : t + 1]
+            dc = dh * m * (1 - z) * (1 - c * c)
+            dz = dh * m * (h - c) * z * (1 - z)
+            dr = dc * uc * r * (1 - r)
+            dpx[d][:, t] = np.concatenate([dr, dz, dc], axis=1)
+            dux = np.concatenate([dr, dz, dc * r], axis=1)
+            du += h.T @ dux
+            dh = dh * (1 - m * (1 - z)) + dux @ u.T
+        grads[f"u{d}"] = du
+    return grads, dpx
+
+
 @dataclass
 class ToxicityModel:
     p: dict[str, np.ndarray]
@@ -194,12 +221,12 @@ def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: in
 
     def forward(w: np.ndarray, dropped: np.ndarray | None, keep: bool) -> tuple:
         mask = (w >= 0).astype(np.float32)
-        ids, back = np.unique(np.where(w >= 0, w, 0), return_inverse=True)
+        ids, back_to = np.unique(np.where(w >= 0, w, 0), return_inverse=True)
         chars, flat, sizes = char_means(ids)
         x = np.concatenate([vectors[ids] * (1 if dropped is None else dropped[ids][:, None]), chars], axis=1).astype(np.float32)
         proj = [x @ p[f"x{d}"] + p[f"b{d}"] for d in (0, 1)]
-        back = back.reshape(w.shape)
-        return (*run(p, [q[back] for q in proj], mask, keep), mask, ids, back, x, flat, sizes)
+        back_to = back_to.reshape(w.shape)
+        return (*run(p, [q[back_to] for q in proj], mask, keep), mask, ids, back_to, x, flat, sizes)
 
     def adam(k: str, grad: np.ndarray, value: np.ndarray, rate: float, rows: np.ndarray | slice = slice(None)) -> None:
         m, v = moments[k]
@@ -211,31 +238,14 @@ def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: in
         nonlocal step
         step += 1
         dropped = (rng.random(len(names)) > 0.1).astype(np.float32)
-        logit, states, a, pooled, trace, mask, ids, back, x, flat, sizes = forward(w, dropped, True)
+        logit, states, a, pooled, trace, mask, ids, back_to, x, flat, sizes = forward(w, dropped, True)
         dl = ((sigmoid(logit) - y) * weight / weight.sum()).astype(np.float32)
-        grads = {"out": pooled.T @ dl, "bias": np.array([dl.sum()])}
-        dpool = dl[:, None] * p["out"]
-        da = np.einsum("nh,nth->nt", dpool, states)
-        de = a * (da - (a * da).sum(axis=1, keepdims=True))
-        grads["att"] = np.einsum("nt,nth->h", de, states)
-        ds = a[..., None] * dpool[:, None] + de[..., None] * p["att"]
+        grads, dpx = back(p, dl, mask, states, a, pooled, trace)
         dx = np.zeros_like(x)
         for d in (0, 1):
-            u, du, dh = p[f"u{d}"], np.zeros_like(p[f"u{d}"]), np.zeros((len(w), HIDDEN), np.float32)
             dproj = np.zeros((len(ids), 3 * HIDDEN), np.float32)
-            for d_, t, h, r, z, c, uc in reversed(trace):
-                if d_ != d:
-                    continue
-                dh = dh + ds[:, t, d * HIDDEN : (d + 1) * HIDDEN]
-                m = mask[:, t : t + 1]
-                dc = dh * m * (1 - z) * (1 - c * c)
-                dz = dh * m * (h - c) * z * (1 - z)
-                dr = dc * uc * r * (1 - r)
-                dg, dux = np.concatenate([dr, dz, dc], axis=1), np.concatenate([dr, dz, dc * r], axis=1)
-                np.add.at(dproj, back[:, t], dg)
-                du += h.T @ dux
-                dh = dh * (1 - m * (1 - z)) + dux @ u.T
-            grads[f"u{d}"], grads[f"x{d}"], grads[f"b{d}"] = du, x.T @ dproj, dproj.sum(axis=0)
+            np.add.at(dproj, back_to.ravel(), dpx[d].reshape(-1, 3 * HIDDEN))
+            grads[f"x{d}"], grads[f"b{d}"] = x.T @ dproj, dproj.sum(axis=0)
             dx += dproj @ p[f"x{d}"].T
         dchars = np.zeros_like(p["chars"])
         np.add.at(dchars, flat, np.repeat(dx[:, WORD:] / sizes[:, None], sizes, axis=0))
@@ -269,14 +279,24 @@ def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: in
     return ToxicityModel(p, {names[j]: i for i, j in enumerate(own)})
 
 
+def excerpt(text: Column, most: int, parts: int = 8) -> Column:
+    """The text, or of one longer than most characters so many equal parts at equal distances."""
+    size, n = most // parts, F.char_length(text)
+    cut = [F.substring(text, (F.lit(1) + F.floor((n - size) * i / (parts - 1))).cast("int"), F.lit(size)) for i in range(parts)]
+    return F.when(n <= most, text).otherwise(F.concat_ws(" ", *cut))
+
+
 def train(docs: DataFrame, marked: DataFrame, per_label: int = 1200, most_chars: int = 100_000) -> ToxicityModel | None:
-    """From the texts of docs that marked (doc_id, toxic) labels: about per_label of each label, and texts of most_chars at most.
+    """From the texts of docs that marked (doc_id, toxic) labels: about per_label of each label, most_chars of each text at most.
 
-    Labels are sampled before their texts are looked up, so the lookup's table is bounded and can be broadcast.
+    Labels are sampled before their texts are looked up, so the lookup's table is bounded and can be
+    broadcast. Only training reads excerpts; scoring reads whole texts.
     """
-    chosen = label_sample(marked.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct(), "toxic", per_label)
-    usable = docs.where(F.char_length("text") <= most_chars).select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = usable.join(F.broadcast(chosen), "doc_id").collect()
+    labels = marked.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct().withColumn("u", hash_share("doc_id"))
+    share, most = label_shares(labels, "toxic", per_label, 2 * per_label)
+    chosen = labels.where(F.col("u") < share).orderBy("u", "doc_id", "toxic").limit(most)
+    rows = docs.where("text is not null").select("doc_id", excerpt(F.col("text"), most_chars).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.orderBy("u", "doc_id", "toxic", "text").limit(most).collect()  # doc_ids may repeat
     rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["text"]), r["toxic"]))
     return train_model([bytes(r["text"]) for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
 
@@ -307,7 +327,11 @@ def score_texts(docs: DataFrame, model: ToxicityModel | None, *more: str) -> Dat
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel | None, most: float) -> DataFrame:
-    """The rows of docs, all columns, that score below most. Nothing is shuffled."""
+    """The rows of docs, all columns, that score below most. Nothing is shuffled.
+
+    Null texts, texts without words, and all texts if there is no model, score 0 and stay. Repeated rows
+    are judged alike; an empty table gives no rows; no column is added.
+    """
     place = docs.columns.index("text")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
