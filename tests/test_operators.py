@@ -138,9 +138,16 @@ def test_event_stream_counts(spark, tmp_path):
 
 def test_compose_is_whole_and_stamped(spark):
     corpus = spark.createDataFrame([(str(i), f"a/f{i}.go", 1, 3, "c", f"Sym{i}", "function", f"func Sym{i} handles gas limit\nbody {i}\nend", [float(i), 1.0]) for i in range(20)], "doc string, file string, start_line int, end_line int, commit_hash string, symbol string, chunk_kind string, text string, vec array<float>")
-    prompts = spark.createDataFrame([("p", "bug_fix", "Where is Sym3 gas limit handled", [3.0, 1.0])], "prompt_id string, intent string, text string, vec array<float>")
-    got = compose.compose(prompts, corpus)
+    prompts = spark.createDataFrame([("p", "Where is Sym3 gas limit handled")], "prompt_id string, text string")
+    anchors = spark.createDataFrame([("bug_fix", "a", [1.0, 0.0]), ("docs_update", "b", [0.0, 1.0])], "intent string, anchor string, vec array<float>")
+    nodes, edges = corpus.select(F.col("doc").alias("id")), spark.createDataFrame([("3", "19", "calls"), ("19", "18", "calls")], "src string, dst string, type string")
+    embed = lambda text: F.array(F.char_length(text).cast("float"), F.lit(1.0).cast("float"))
+    whole = compose.compose(prompts, corpus.withColumn("vec", embed(F.col("text"))), anchors, nodes, edges, [(["gas"], ["Sym4"])], embed=embed, settings=compose.Settings(recall=3, bm25=3))
+    got = whole.packs
     r = got.first()
+    assert r["intent"] == "bug_fix" and whole.intents.first()["intent"] == "bug_fix"
+    assert {x["round"] for x in whole.extraction.rounds.collect()} == {1, 2}
+    assert {x["target"] for x in whole.neighbours.collect()} >= {"19"} and len(r["edges"]) > 0
     assert "a/f3.go:1-3" in r["citations"] and len(r["integrity_hash"]) == 64
     assert pack.verified(got, ["intent", "query", "citations", "bodies", "edges", "used_tokens"]).first()["status"] == "ok"
 
@@ -184,3 +191,36 @@ def test_candidates_of_a_prompt_without_hits_are_its_own_words(spark):
     assert [r["keyword"] for r in words.where("prompt_id = 'p'").sort("pos").collect()] == ["FixParser", "fixParser", "fix", "parser"]
     assert [r["keyword"] for r in words.where("prompt_id = 'q'").sort("pos").collect()] == ["load", "Sym"]
     assert {r["augmented"] for r in augmented(p, words).collect()} == {"fix the parser FixParser fixParser fix", "¿ load Sym"}
+
+
+def test_expansion_by_intent_is_expansion_of_each(spark):
+    import random
+
+    rng = random.Random(2)
+    kinds = ["calls", "invokes", "implements", "extends", "imports", "references", "defines", "spawns"]
+    edges = spark.createDataFrame([(f"n{rng.randrange(40)}", f"n{rng.randrange(44)}", rng.choice(kinds)) for _ in range(160)], "src string, dst string, type string")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(40)], "id string")
+    intents = list(T.INTENT_SHAPE)
+    seeds = spark.createDataFrame([(f"p{i}", intents[i], f"n{rng.randrange(40)}", rng.random()) for i in range(len(intents)) for _ in range(4)], "prompt_id string, intent string, node string, score double").distinct()
+    order = ["prompt_id", "source", "target", "relation", "distance", "score", "seeds", "rank"]
+    got = sorted(map(str, compose.expand_by_intent(seeds, nodes, edges).select(order).collect()))
+    want = []
+    for i, name in enumerate(intents):
+        _, relations, hops = T.INTENT_SHAPE[name]
+        want += compose.expand(seeds.where(F.col("prompt_id") == f"p{i}").drop("intent"), nodes, edges, list(relations), hops=hops).select(order).collect()
+    assert got == sorted(map(str, want)) and len(got) > 20
+
+
+def test_budget_streams_what_choose_takes(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"p{i % 3}", f"f{i}", 1, 2, rng.choice(["", "c"]), rng.choice(["doc", "invariant", "function"]), rng.random() < 0.6, float(rng.randrange(9)), "\n".join("x" * rng.randrange(1, 900) for _ in range(rng.randrange(0, 14)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "prompt_id string, file string, start_line int, end_line int, commit_hash string, chunk_kind string, is_seed boolean, score double, text string")
+    small = budget.Budget(tokens=1500)
+    got = {(r["prompt_id"], r["pos"], r["file"], r["text"], r["tokens"], r["degraded"]) for r in budget.allocate(df.drop("text"), df.select("file", "start_line", "end_line", "text"), small).collect()}
+    want = set()
+    for p in ("p0", "p1", "p2"):
+        mine = sorted((r.asDict() for r in df.collect() if r["prompt_id"] == p), key=lambda r: (-r["score"], r["file"]))
+        want |= {(p, r["pos"], r["file"], r["text"], r["tokens"], r["degraded"]) for r in budget.choose(mine, small)}
+    assert got == want

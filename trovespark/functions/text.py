@@ -12,6 +12,8 @@ INTENTS = ("", "bug_fix", "feature_add", "refactor", "arch_explain", "test_add",
 RELATIONS = ("calls", "called_by", "implements", "imports", "references", "tested_by", "embeds", "defines")
 REDACTIONS = ("mask", "drop", "fail_closed")
 
+#: Fixed value: the path glob of tests.
+TEST_GLOB = "*_test.go"
 SNIPPET_MARK = "\n… [truncated]"
 
 
@@ -220,7 +222,7 @@ def intent_hops(intent: Column) -> Column:
 
 def intent_glob(intent: Column) -> Column:
     """A path glob to search besides; only tests have one."""
-    return F.when(intent == "test_add", F.lit("*_test.go")).otherwise(F.lit(""))
+    return F.when(intent == "test_add", F.lit(TEST_GLOB)).otherwise(F.lit(""))
 
 
 def edge_valid(source: Column, target: Column, relation: Column, distance: Column) -> Column:
@@ -243,3 +245,9 @@ def hashed_vector(text: Column, dimensions: int = 64) -> Column:
     """A deterministic stand-in for an embedder: signed counts of hashed words, as floats."""
     slots = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
     return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(slots, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dimensions)) == i, F.when(h < 0, F.lit(-1.0)).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))).cast("float"))
+
+
+def letter_counts(text: Column) -> Column:
+    """An even simpler stand-in, which any SQL can repeat: how often each letter a to z stands in the text, in lower case."""
+    low = F.lower(text)
+    return F.array(*[(F.char_length(low) - F.char_length(F.replace(low, F.lit(c)))).cast("float") for c in "abcdefghijklmnopqrstuvwxyz"])

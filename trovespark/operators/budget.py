@@ -1,22 +1,22 @@
 """Evidence selection under a token budget: an ordered fold per prompt.
 
-Each choice depends on what was taken before, so a prompt's candidates go through one grouped Pandas
-function; their number is bounded by the caps of the stages before (citations and neighbours).
+Each choice depends on what was taken before, so a prompt's candidates are streamed in order past a
+few counters. Only sizes of texts pass there; the texts of what was taken are joined afterwards.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovespark.functions.text import SNIPPET_MARK
+from trovespark.operators.ordered import columns, folded
 from trovespark.operators.ranking import first_wins
 
 KNOWLEDGE = ("invariant", "convention")
-SELECTED = "prompt_id string, pos int, file string, start_line int, end_line int, commit_hash string, chunk_kind string, is_seed boolean, score double, text string, tokens int, degraded boolean"
+TAKEN = columns(prompt_id="string", pos="integer", file="string", start_line="integer", end_line="integer", commit_hash="string", chunk_kind="string", is_seed="boolean", score="double", tokens="integer", degraded="boolean")
 
 
 @dataclass(frozen=True)
@@ -37,49 +37,65 @@ class Budget:
         return max(self.bodies - self.neighbour_reserve, 1) if self.bodies > 0 and self.neighbour_reserve > 0 else self.bodies
 
 
+class Taker:
+    """The counters of one prompt; call it with its candidates in order."""
+
+    def __init__(self, budget: Budget) -> None:
+        self.budget, self.used, self.seeds, self.taken, self.reserve = budget, 0, 0, 0, budget.knowledge_reserve
+
+    def __call__(self, r: dict) -> dict | None:
+        """The candidate (chars, lines, head_chars, is_seed, chunk_kind, commit_hash, ...) with pos, tokens and whether its text is cut to its head; None if it isn't taken."""
+        b = self.budget
+        if self.taken == b.bodies > 0:
+            return None
+        knowledge = r["chunk_kind"] in KNOWLEDGE or (r["chunk_kind"] == "doc" and not r["commit_hash"])
+        if r["is_seed"] and self.seeds >= b.seed_cap and not (knowledge and self.reserve > 0):
+            return None
+        if not knowledge and self.reserve > 0 and self.taken >= b.bodies - self.reserve:
+            return None
+        if not r["chars"]:
+            return None
+        tokens, degraded = r["chars"] // 4, False
+        if self.used + tokens > b.usable:
+            tokens, degraded = r["head_chars"] // 4, True
+            if r["lines"] <= b.snippet_lines or self.used + tokens > b.usable:
+                return None
+        self.taken += 1
+        self.used += tokens
+        self.seeds += bool(r["is_seed"])
+        self.reserve -= bool(knowledge and self.reserve > 0)
+        return r | {"tokens": tokens, "degraded": degraded, "pos": self.taken}
+
+
+def head(text: str, lines: int) -> str:
+    return "\n".join(text.split("\n")[:lines]) + SNIPPET_MARK
+
+
+def head_of(text: Column, lines: int) -> Column:
+    return F.concat(F.substring_index(text, "\n", lines), F.lit(SNIPPET_MARK))
+
+
 def choose(rows: list[dict], budget: Budget) -> list[dict]:
-    """The candidates that fit, in order, with their text, tokens and whether the text was cut to its head."""
-    out, used, seeds, reserve_left = [], 0, 0, budget.knowledge_reserve
+    """The candidates (with text) that fit, in order, with their text, tokens and whether the text was cut to its head."""
+    out, take = [], Taker(budget)
     for r in rows:
-        knowledge = r["chunk_kind"] in KNOWLEDGE or (r["chunk_kind"] == "doc" and not r["commit_hash"])
-        if r["is_seed"] and seeds >= budget.seed_cap and not (knowledge and reserve_left > 0):
-            continue
-        if not knowledge and reserve_left > 0 and len(out) >= budget.bodies - reserve_left:
-            continue
-        text, degraded = r["text"] or "", False
-        if not text:
-            continue
-        tokens = len(text) // 4
-        if used + tokens > budget.usable:
-            lines = text.split("\n")
-            if len(lines) <= budget.snippet_lines:
-                continue
-            text, degraded = "\n".join(lines[: budget.snippet_lines]) + SNIPPET_MARK, True
-            tokens = len(text) // 4
-            if used + tokens > budget.usable:
-                continue
-        out.append(r | {"text": text, "tokens": tokens, "degraded": degraded, "pos": len(out) + 1})
-        used += tokens
-        seeds += bool(r["is_seed"])
-        reserve_left -= bool(knowledge and reserve_left > 0)
-        if len(out) == budget.bodies:
-            break
+        text = r["text"] or ""
+        got = take(r | {"chars": len(text), "lines": text.count("\n") + 1, "head_chars": len(head(text, budget.snippet_lines))})
+        if got:
+            out.append(got | {"text": head(text, budget.snippet_lines) if got["degraded"] else text})
     return out
 
 
 def allocate(candidates: DataFrame, bodies: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """candidates (prompt_id, file, start_line, end_line, commit_hash, chunk_kind, is_seed, score) and bodies (file, start_line, end_line, text) to the selected bodies."""
+    """candidates (prompt_id, file, start_line, end_line, commit_hash, chunk_kind, is_seed, score) and bodies (file, start_line, end_line, text) to the selected bodies, with text, tokens and degraded."""
     key = ["file", "start_line", "end_line"]
     best = first_wins(candidates, ["prompt_id", *key], [F.desc("score"), F.desc("is_seed")])
-    withtext = best.join(bodies, key, "left")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "file", "start_line", "end_line"], ascending=[False, True, True, True], kind="stable")
-        names = [c.split()[0] for c in SELECTED.split(", ")]
-        return pd.DataFrame(choose(pdf.to_dict("records"), budget), columns=names)
-
-    columns = ["prompt_id", *key, "commit_hash", "chunk_kind", "is_seed", "score", "text"]
-    return withtext.select(F.col("prompt_id").cast("string").alias("prompt_id"), *columns[1:]).groupBy("prompt_id").applyInPandas(fold, SELECTED)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sizes = bodies.select(*key, F.char_length(text).alias("chars"), (F.size(F.split(text, "\n"))).alias("lines"), F.char_length(head_of(text, budget.snippet_lines)).alias("head_chars"))
+    sized = best.join(sizes, key, "left").withColumn("prompt_id", F.col("prompt_id").cast("string"))
+    taken = folded(sized, "prompt_id", [F.desc("score"), *map(F.asc, key)], lambda: Taker(budget), TAKEN)
+    whole = taken.join(bodies.select(*key, text.alias("text")), key)
+    return whole.withColumn("text", F.when(F.col("degraded"), head_of(F.col("text"), budget.snippet_lines)).otherwise(F.col("text")))
 
 
 def usage(selected: DataFrame, budget: Budget = Budget()) -> DataFrame:

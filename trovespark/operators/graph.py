@@ -7,7 +7,9 @@ a table in the shared folder: each hop uses the ones before it twice, and an unb
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovespark.operators.ranking import top_k
@@ -85,6 +87,30 @@ def neighbours(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, relations:
     return top_k(met, ["seed"], [F.asc("distance"), F.asc("source"), F.asc("target"), F.asc("relation")], most, "_r").drop("_r")
 
 
+def neighbours_by_relations(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, most: int = 50, most_hops: int = 2) -> DataFrame:
+    """neighbours() for seeds (seed, node, relations array, hops) that each walk relations of their own: one join a hop for all of them."""
+    relation = F.element_at(F.create_map(*[F.lit(x) for kv in EDGE_RELATION.items() for x in kv]), F.col("type"))
+    forward = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit("forward").alias("way"), relation.alias("relation")).where("relation is not null")
+    called = edges.where(F.col("type").isin(*RELATION_EDGES["called_by"]))
+    reverse = called.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit("reverse").alias("way"), F.lit("called_by").alias("relation"))
+    steps = forward.unionByName(reverse).distinct()
+    walk = ["seed", "way", "relations", "hops"]
+    seen = seeds.select("seed", "node", "relations", "hops", F.explode(F.array(F.lit("forward"), F.lit("reverse"))).alias("way"))
+    frontier, parts = seen, []
+    for hop in range(1, most_hops + 1):
+        met = frontier.where(F.col("hops") >= hop).join(steps.withColumnRenamed("at", "node"), ["node", "way"]).where(F.array_contains("relations", F.col("relation")))
+        parts.append(met.select("seed", F.col("node").alias("source"), F.col("to").alias("target"), "relation", F.lit(hop).alias("distance")))
+        if hop < most_hops:
+            reached = met.select(*walk, F.col("to").alias("node")).distinct()
+            frontier = reached.join(seen.select("seed", "node", "way"), ["seed", "node", "way"], "left_anti").select(*seen.columns)
+            seen = seen.unionByName(frontier)
+    met, ids = reduce(DataFrame.unionByName, parts), nodes.select("id")
+    met = met.join(ids, met["source"] == ids["id"], "left_semi")
+    met = met.join(ids, met["target"] == ids["id"], "left_semi")
+    met = met.groupBy("seed", "source", "target", "relation").agg(F.min("distance").alias("distance"))
+    return top_k(met, ["seed"], [F.asc("distance"), F.asc("source"), F.asc("target"), F.asc("relation")], most, "_r").drop("_r")
+
+
 def interface_seeds(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """For a method T.m of a type that implements I, the node I.m: calls through the interface reach the method."""
     owner = F.regexp_extract("qualified_name", r"^(.*)\.[^.]*$", 1)
@@ -120,20 +146,29 @@ def impact(seeds: DataFrame, edges: DataFrame, depth: int = 2, cap: int = 0) ->
     return met.select("seed", "category", "node", "distance")
 
 
+def _way(node: str, name: str) -> Column:
+    """A node of one direction's walk, apart from the same node of the other's."""
+    return F.struct(F.lit(name).alias("way"), F.col(node).alias("node")).alias(node)
+
+
 def concurrency(seeds: DataFrame, edges: DataFrame, depth: int = 3, cap: int = 0) -> DataFrame:
     """(seed, node, direction, distance): reached over concurrency edges forwards (affects), backwards (affected_by) or both."""
-    ways = [reach(seeds, arrows(edges, way, CONCURRENCY_EDGES), depth).where("distance > 0").withColumn("way", F.lit(name)) for way, name in (("forward", "affects"), ("reverse", "affected_by"))]
-    met = ways[0].unionByName(ways[1]).groupBy("seed", "node").agg(F.min("distance").alias("distance"), F.count_distinct("way").alias("n"), F.min("way").alias("way"))
+    ways = (("forward", "affects"), ("reverse", "affected_by"))
+    steps = reduce(DataFrame.unionByName, [arrows(edges, way, CONCURRENCY_EDGES).select(_way("at", name), _way("to", name), "type") for way, name in ways])
+    both = seeds.select("seed", F.explode(F.array(*[F.lit(name) for _, name in ways])).alias("way"), "node").select("seed", F.struct("way", "node").alias("node"))
+    met = reach(both, steps, depth).where("distance > 0").select("seed", "node.node", "node.way", "distance")
+    met = met.groupBy("seed", "node").agg(F.min("distance").alias("distance"), F.count_distinct("way").alias("n"), F.min("way").alias("way"))
     met = met.select("seed", "node", F.when(F.col("n") == 2, F.lit("both")).otherwise(F.col("way")).alias("direction"), "distance")
     return top_k(met, ["seed"], [F.asc("distance"), F.asc("node")], cap, "_r").drop("_r") if cap > 0 else met
 
 
-def flow_order(steps: DataFrame, roots: DataFrame, hops: int = 16) -> DataFrame:
-    """(flow, step, depth): steps of each flow in call order: least distance from the root over calls, then name; steps (flow, step, calls array)."""
+def flow_order(steps: DataFrame, roots: DataFrame, hops: int | None = None) -> DataFrame:
+    """(flow, step, depth): steps of each flow in call order: least distance from the root over calls, then name; steps (flow, step, calls array). Without hops the walk ends where nothing new is met, cycles included."""
     calls = steps.select("flow", "step", F.explode("calls").alias("to"))
     seen = roots.select("flow", "step", F.lit(0).alias("depth"))
-    frontier = seen
-    for hop in range(1, hops + 1):
+    frontier, hop = seen, 0
+    while hops is None or hop < hops:
+        hop += 1
         met = frontier.select("flow", "step").join(calls, ["flow", "step"]).select("flow", F.col("to").alias("step")).distinct()
         frontier = kept(met.join(seen, ["flow", "step"], "left_anti").withColumn("depth", F.lit(hop)), f"depth{hop}")
         if frontier.isEmpty():

@@ -2,48 +2,54 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trovespark.functions.text import citation_key
+from trovespark.operators.ordered import columns, folded
 
 EDGE_ONLY = 16
 
 
-EDGES = "prompt_id string, pos long, source string, target string, relation string, distance int"
+EDGES = columns(prompt_id="string", pos="long", source="string", target="string", relation="string", distance="integer")
 
 
-def admit(rows: list[dict], known: set[str], most: int = EDGE_ONLY) -> list[dict]:
-    """Edges, in order, whose source is known; the first most targets that aren't become known, and so may be later edges' sources."""
-    out, added, seen = [], 0, set(known)
-    for r in rows:
-        if r["source"] not in seen:
-            continue
-        if r["target"] not in seen:
-            if added >= most:
-                continue
-            seen.add(r["target"])
-            added += 1
-        out.append(r)
-    return out
+class Admission:
+    """The keys known to one prompt; call it with its cited keys, then with its edges in order."""
 
+    def __init__(self, most: int = EDGE_ONLY) -> None:
+        self.seen, self.left = set(), most
 
-def admitted_edges(edges: DataFrame, cited: DataFrame, most: int = EDGE_ONLY) -> DataFrame:
-    """admit() for each prompt: edges (prompt_id, pos, source, target, relation, distance), cited (prompt_id, key).
+    def __call__(self, r: dict) -> dict | None:
+        """An edge whose source is known; the first targets that aren't become known, and so may be later edges' sources."""
+        if r["key"] is not None:
+            self.seen.add(r["key"])
+            return None
+        if r["source"] not in self.seen:
+            return None
+        if r["target"] not in self.seen:
+            if not self.left:
+                return None
+            self.seen.add(r["target"])
+            self.left -= 1
+        return r
 
-    What is admitted depends on what was before, so a prompt's edges are folded in order; they are
-    bounded by the caps of the expansion, and cited keys by the body cap.
-    """
-    names = [c.split()[0] for c in EDGES.split(", ")]
 
-    def fold(key: tuple, e: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        rows = e.sort_values(["pos", "source", "target", "relation"], kind="stable").to_dict("records")
-        return pd.DataFrame(admit(rows, set(c["key"]), most), columns=names)
+def admit(rows: list[dict], known: set[str], most: int = EDGE_ONLY) -> list[dict]:
+    """Edges, in order, that an Admission lets pass."""
+    step = Admission(most)
+    for k in known:
+        step({"key": k})
+    return [r for r in rows if step(r | {"key": None})]
 
-    left = edges.select(F.col("prompt_id").cast("string").alias("prompt_id"), F.col("pos").cast("long").alias("pos"), *names[2:])
-    right = cited.select(F.col("prompt_id").cast("string").alias("prompt_id"), "key")
-    return left.groupBy("prompt_id").cogroup(right.groupBy("prompt_id")).applyInPandas(fold, EDGES)
+
+def admitted_edges(edges: DataFrame, cited: DataFrame, most: int = EDGE_ONLY) -> DataFrame:
+    """admit() for each prompt: edges (prompt_id, pos, source, target, relation, distance), cited (prompt_id, key); a prompt's keys are streamed before its edges."""
+    names = EDGES.fieldNames()
+    left = edges.select(F.col("prompt_id").cast("string").alias("prompt_id"), F.col("pos").cast("long").alias("pos"), *names[2:]).withColumn("key", F.lit(None).cast("string"))
+    right = cited.select(F.col("prompt_id").cast("string").alias("prompt_id"), "key").distinct()
+    both = left.unionByName(right, allowMissingColumns=True)
+    return folded(both, "prompt_id", [F.asc_nulls_last("key"), F.asc("pos"), F.asc("source"), F.asc("target"), F.asc("relation")], lambda: Admission(most), EDGES)
 
 
 def assemble(prompts: DataFrame, bodies: DataFrame, edges: DataFrame, usable: int) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from trovespark.functions.text import code_terms, cosine, plain_words
+from trovespark.functions.text import code_terms, cosine, hashed_vector, is_test_path, plain_words, query_terms
+from trovespark.operators.inventory import expand
 from trovespark.operators.ranking import normalised, top_k
 from trovespark.sources.scratch import kept
 
@@ -28,18 +33,26 @@ def index_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, query: str = "query_id", text: str = "text", k: int = 10, scale: bool = True) -> DataFrame:
+def stats_of(index: DataFrame, docs: DataFrame) -> DataFrame:
+    """The same row from a written index, so that no text is cut into terms again."""
+    return docs.agg(F.count("*").alias("n")).join(F.broadcast(index.agg(F.sum("tf").alias("terms")))).select("n", (F.coalesce("terms", F.lit(0)) / F.col("n")).alias("avgdl"))
+
+
+def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, query: str = "query_id", text: str = "text", k: int = 10, scale: bool = True, within: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, rank): Okapi scores of the k best documents of each query, scaled to 0..1 among them.
 
     The index is cut down to the queries' terms before anything is scored. Document frequencies come
-    from the same postings. The one row of stats is broadcast.
+    from the same postings. The one row of stats is broadcast. k = 0 means 10. within (doc) is a
+    filter: other documents are dropped before the k best are taken, but still count in frequencies.
     """
+    k = k or DEFAULT_K
     asked = kept(queries.select(F.col(query), F.explode(F.array_distinct(code_terms(F.col(text)))).alias("term")), "query-terms")
     hit = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     s = F.broadcast(stats)
+    allowed = hit if within is None else hit.join(within.select("doc"), "doc", "left_semi")
     weighted = (
-        hit.join(df, "term")
+        allowed.join(df, "term")
         .join(s)
         .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         .withColumn("w", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
@@ -50,31 +63,89 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, query: str = "q
 
 
 MOST_QUERIES = 20_000
+MOST_ANCHORS = 10_000
+DEFAULT_K = 10
 
 
 def knn(queries: DataFrame, vectors: DataFrame, query: str = "query_id", k: int = 10) -> DataFrame:
-    """(query, doc, score, rank): the k nearest by cosine, exactly. queries (query, vec) are broadcast to the vectors' partitions in blocks of
-    MOST_QUERIES at most, by hash. Each partition keeps its k best of a query before anything is shuffled."""
-    n = queries.count()
-    blocks = 1 if n <= MOST_QUERIES else -(-n * 5 // (4 * MOST_QUERIES))
-    q = queries.select(F.col(query), F.col("vec").alias("qvec"))
+    """(query, doc, score, rank): the k nearest by cosine, exactly; k = 0 means 10.
 
-    def best(some: DataFrame) -> DataFrame:
-        scored = vectors.join(F.broadcast(some), how="inner").select(query, "doc", cosine(F.col("qvec"), F.col("vec")).alias("score"))
-        return top_k(scored, [query], [F.desc(F.round("score", 9)), F.asc("doc")], k)
-
-    return reduce(DataFrame.unionByName, [best(q.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == i) if blocks > 1 else q) for i in range(blocks)])
+    queries (query, vec) go to the vectors' tasks in blocks of MOST_QUERIES at most. A task normalises
+    every vector once and scores its Arrow batches by matrix products, keeping each query's k best and
+    those that tie with the last; only these are shuffled. Vectors of other dimensions than the query's
+    score 0, as empty ones and those of length 0 do.
+    """
+    k = k or DEFAULT_K
+    asked, kinds = queries.select(query, "vec"), (queries.schema[query].dataType, vectors.schema["doc"].dataType)
+    schema = StructType([StructField(query, kinds[0]), StructField("doc", kinds[1]), StructField("score", DoubleType())])
+    n = asked.count()
+    blocks = 1 if n <= MOST_QUERIES else -(-n * 5 // (4 * MOST_QUERIES))
+    found = []
+    for i in range(blocks):
+        some = (asked.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == i) if blocks > 1 else asked).toArrow()  # bounded by the block
+        found.append(vectors.select("doc", "vec").mapInArrow(nearest_of(some, k, [f.name for f in schema]), schema))
+    return top_k(reduce(DataFrame.unionByName, found), [query], [F.desc(F.round("score", 9)), F.asc("doc")], k)
+
+
+def matrix(vecs: pa.Array, size: int) -> np.ndarray:
+    """Rows of length 1; those of another size or of length 0 are zeros."""
+    lists = vecs.fill_null([]) if vecs.null_count else vecs
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(lists), size))
+    fits = sizes == size
+    if size and fits.any():
+        out[fits] = lists.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0)
+
+
+def nearest_of(asked: pa.Table, k: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (doc, vec): the k best of each query asked among a task's vectors, ties with the k-th included."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vecs = asked.column(1).combine_chunks()
+        vecs = vecs if isinstance(vecs, pa.Array) else pa.concat_arrays(vecs.chunks)
+        sizes = vecs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        by_size = {int(d): np.flatnonzero(sizes == d) for d in np.unique(sizes)}
+        sides = {d: matrix(vecs.take(pa.array(rows)), d) for d, rows in by_size.items()}
+        for b in it:
+            for d, rows in by_size.items():
+                for at in range(0, len(rows), 512):
+                    scores = np.round(sides[d][at : at + 512] @ matrix(b.column(1), d).T, 12)
+                    least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                    q, v = np.nonzero(np.round(scores, 9) >= np.round(least, 9)[:, None])
+                    yield pa.record_batch([asked.column(0).combine_chunks().take(pa.array(rows[at + q])), b.column(0).take(pa.array(v)), pa.array(scores[q, v])], names)
+
+    return batches
 
 
 def classify(prompts: DataFrame, anchors: DataFrame, least: float = UNKNOWN_BELOW) -> DataFrame:
-    """(prompt_id, intent, confidence, anchor): the nearest anchor's intent; below least it is unknown and the anchor blank."""
-    scored = prompts.join(F.broadcast(anchors.select("intent", "anchor", F.col("vec").alias("avec"))), how="inner")
+    """(prompt_id, intent, confidence, anchor): the nearest anchor's intent; below least it is unknown and the anchor blank. Anchors (intent, anchor, vec) are written by hand: more than MOST_ANCHORS are an error."""
+    known = anchors.select("intent", "anchor", "vec").limit(MOST_ANCHORS + 1)
+    if known.count() > MOST_ANCHORS:
+        raise ValueError(f"more than {MOST_ANCHORS} anchors")
+    scored = prompts.join(F.broadcast(known.withColumnRenamed("vec", "avec")), how="inner")
     scored = scored.withColumn("confidence", cosine(F.col("vec"), F.col("avec")))
     best = top_k(scored, ["prompt_id"], [F.desc(F.round("confidence", 9)), F.asc("intent"), F.asc("anchor")], 1)
     sure = F.col("confidence") >= least
     return best.select("prompt_id", F.when(sure, F.col("intent")).otherwise("").alias("intent"), "confidence", F.when(sure, F.col("anchor")).otherwise("").alias("anchor"))
 
 
+def semantic_search(queries: DataFrame, vectors: DataFrame, glossary: list[tuple[list[str], list[str]]] = (), k: int = 10, exclude_tests: bool = False, embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
+    """(query_id, doc, file, score, rank) for queries (query_id, text), expanded by the glossary and embedded, over vectors (doc, file, vec); then without test files, ranks as they were."""
+    asked = expand(queries, list(glossary)).select("query_id", embed(F.col("expanded")).alias("vec"))
+    found = knn(asked, vectors.select("doc", "vec"), k=k).join(vectors.select("doc", "file"), "doc")
+    return (found.where(~is_test_path(F.col("file"))) if exclude_tests else found).select("query_id", "doc", "file", "score", "rank")
+
+
+def text_search(queries: DataFrame, corpus: DataFrame, glossary: list[tuple[list[str], list[str]]] = (), k: int = 10, exclude_tests: bool = False) -> DataFrame:
+    """(query_id, doc, file, score, rank) for queries (query_id, text), expanded by the glossary and made OR queries of their words, by BM25 over corpus (doc, file, text); then without test files."""
+    asked = expand(queries, list(glossary)).select("query_id", F.array_join(query_terms(F.col("expanded")), " ").alias("text"))
+    index = kept(postings(corpus, "doc"), "postings")
+    found = bm25(asked, index, stats_of(index, corpus), k=k).join(corpus.select("doc", "file"), "doc")
+    return (found.where(~is_test_path(F.col("file"))) if exclude_tests else found).select("query_id", "doc", "file", "score", "rank")
+
+
 def suffixes(name: Column) -> Column:
     """The name and what is left as leading dot segments are dropped, longest first."""
     parts = F.split(name, r"\.")
@@ -110,8 +181,8 @@ def match_citations(citations: DataFrame, nodes: DataFrame) -> DataFrame:
     return best.select("file", "start_line", "end_line", "node_id")
 
 
-def change_history(hunks: DataFrame, node_prs: DataFrame, symbols: DataFrame, most: int = 10) -> DataFrame:
-    """Per symbol the pull requests that touched it, newest first."""
+def change_history(node_prs: DataFrame, symbols: DataFrame, most: int = 10) -> DataFrame:
+    """Per symbol the pull requests that touched it, newest first; evidence_for_intents() is the way by intent, change_evidence() both."""
     return top_k(node_prs.join(symbols, "symbol", "left_semi"), ["symbol"], [F.desc("merged_at"), F.asc("number")], most)
 
 
@@ -124,7 +195,7 @@ def evidence_for_intents(hunks: DataFrame, intents: DataFrame, most: int = 10) -
 def change_evidence(hunks: DataFrame, node_prs: DataFrame, symbols: DataFrame, intents: DataFrame, most: int = 10) -> DataFrame:
     """(way, asked, symbol, number, file, start_line, end_line, patch, rank): the pull requests of each symbol asked, newest first, and the hunks of each intent, best first."""
     blank = [F.lit(None).cast(t).alias(c) for c, t in (("file", "string"), ("start_line", "int"), ("end_line", "int"), ("patch", "string"))]
-    prs = change_history(hunks, node_prs, symbols, most).select(F.lit("symbol").alias("way"), F.col("symbol").cast("string").alias("asked"), "symbol", "number", *blank, "rank")
+    prs = change_history(node_prs, symbols, most).select(F.lit("symbol").alias("way"), F.col("symbol").cast("string").alias("asked"), "symbol", "number", *blank, "rank")
     place = [F.col(c).cast(t).alias(c) for c, t in (("start_line", "int"), ("end_line", "int"))]
     near = evidence_for_intents(hunks, intents, most).select(F.lit("intent").alias("way"), F.col("query_id").cast("string").alias("asked"), "symbol", "number", "file", *place, "patch", "rank")
     return prs.unionByName(near)

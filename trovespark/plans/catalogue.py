@@ -154,7 +154,7 @@ _BM25 = f"""tok as (select doc, {_TERMS.format("text")} from corpus),
 )
 def bm25_(spark: SparkSession, sf: str) -> DataFrame:
     c = view(spark, sf, "corpus")
-    found = search.bm25(view(spark, sf, "prompts"), kept(search.postings(c, "doc"), "postings"), search.index_stats(c))
+    found = search.bm25(view(spark, sf, "prompts"), index := kept(search.postings(c, "doc"), "postings"), search.stats_of(index, c))
     return rounded(found.select("query_id", "doc", F.col("rank").cast("long").alias("rank"), "score"), "score")
 
 
@@ -241,7 +241,7 @@ def match_citations_(spark: SparkSession, sf: str) -> DataFrame:
 def change_history_(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("symbol"), F.col("o_orderkey").alias("number"), F.col("o_orderdate").alias("merged_at"))
     s = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), "c_custkey").alias("symbol"))
-    return search.change_history(o, o, s).select("symbol", "number", F.col("rank").cast("long").alias("rank"))
+    return search.change_history(o, s).select("symbol", "number", F.col("rank").cast("long").alias("rank"))
 
 
 @query("r11_t9_change_evidence")
@@ -420,13 +420,13 @@ def _roots(steps: DataFrame) -> DataFrame:
 
 @query(
     "g9_flow_order",
-    """recursive with c as (select flow, step as f, unnest(calls) as g from steps), r as (select flow, min(step) as step, 0 as depth from steps group by flow union select c.flow, c.g, r.depth + 1 from r join c on c.flow = r.flow and c.f = r.step where r.depth < 12)
+    """recursive with c as (select flow, step as f, unnest(calls) as g from steps), r as (select flow, min(step) as step, 0 as depth from steps group by flow union select c.flow, c.g, r.depth + 1 from r join c on c.flow = r.flow and c.f = r.step)
     select flow, step, min(depth) as depth from r group by flow, step""",
     ("steps",),
 )
 def flow_order_(spark: SparkSession, sf: str) -> DataFrame:
     s = view(spark, sf, "steps")
-    return graph.flow_order(s, _roots(s), hops=12)
+    return graph.flow_order(s, _roots(s))
 
 
 @query(
@@ -687,11 +687,20 @@ def sanitize_(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pack_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     c = view(spark, sf, "corpus")
-    candidates = c.select(F.element_at(F.split("file", "/"), 1).alias("prompt_id"), "file", "start_line", "end_line", "commit_hash", "chunk_kind", F.lit(False).alias("is_seed"), (F.crc32(F.col("doc").cast("binary")) % 1000 / 1000.0).alias("score"))
+    candidates = c.select(F.element_at(F.split("file", "/"), 1).alias("prompt_id"), "file", "start_line", "end_line", "commit_hash", "chunk_kind", F.lit(False).alias("is_seed"), (F.col("doc").cast("long") * 7919 % 1000 / 1000.0).alias("score"))
     return candidates, c.select("file", "start_line", "end_line", "text")
 
 
-@query("p1_t5_a17_budget")
+@query(
+    "p1_t5_a17_budget",
+    r"""recursive with k as (select string_split(file, '/')[1] as prompt_id, file, start_line, end_line, chunk_kind in ('invariant', 'convention') or (chunk_kind = 'doc' and commit_hash = '') as kn, length(text) // 4 as tk, length(text) as chars, len(string_split(text, chr(10))) as lines,
+      (length(array_to_string(string_split(text, chr(10))[1:8], chr(10))) + 14) // 4 as hd, (doc::bigint * 7919) % 1000 / 1000.0 as score from corpus), o as (select *, row_number() over (partition by prompt_id order by score desc, file, start_line, end_line) as n from k),
+    d as (select distinct prompt_id, 0::bigint as n, 0::bigint as used, 0::bigint as taken, 2::bigint as reserve, 0::bigint as degraded from o
+      union all select prompt_id, m, used + case t when 1 then tk when 2 then hd else 0 end, taken + case when t > 0 then 1 else 0 end, reserve - case when t > 0 and kn and reserve > 0 then 1 else 0 end, degraded + case when t = 2 then 1 else 0 end
+      from (select d.*, o.n as m, kn, tk, hd, case when taken = 12 or (not kn and reserve > 0 and taken >= 12 - reserve) or chars = 0 then 0 when used + tk <= 7200 then 1 when lines > 8 and used + hd <= 7200 then 2 else 0 end as t from d join o on d.prompt_id = o.prompt_id and o.n = d.n + 1))
+    select prompt_id, taken as bodies, used as used_tokens, round(used / 7200, 6) as utilization, degraded from d where taken > 0 and n = (select max(n) from o where o.prompt_id = d.prompt_id)""",
+    ("corpus",),
+)
 def budget_(spark: SparkSession, sf: str) -> DataFrame:
     candidates, bodies = _pack_candidates(spark, sf)
     return rounded(usage(allocate(candidates, bodies)), "utilization")
@@ -1099,10 +1108,150 @@ def promotion(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("c_custkey", "promoted", "status")
 
 
+# --- the whole pipeline ----------------------------------------------------------------------------
+
+GLOSSARY = [(["the"], ["Sym5", "Sym44"]), (["und", "les"], ["Sym17"])]
+_LETTERS = "[" + ", ".join(f"(length(low) - length(replace(low, '{c}', '')))::double" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+_COS = "coalesce(list_inner_product(a, b) / nullif(sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)), 0), 0)"
+_KW = """regexp_extract_all({text}, '[A-Za-z][A-Za-z0-9_]{{2,}}')"""
+
+
+def _near(name: str, asked: str, vectors: str, k: int) -> str:
+    """The k nearest of vectors (doc, b) for asked (query_id, a)."""
+    return f"{name} as materialized (select * from (select query_id, doc, row_number() over (partition by query_id order by round({_COS}, 9) desc, doc) as rank from {asked}, {vectors}) where rank <= {k})"
+
+
+def _own(name: str, hits: str) -> str:
+    """Keyword candidates (query_id, name, pos from 1) of prompts and their hits (query_id, doc, pos), known to the index."""
+    return f"""{name}_al as (select query_id, o, name from ownal union all select query_id, 1000000000 + pos, symbol from {hits} join corpus using (doc)),
+    {name}_k as (select query_id, name, min(o) as o from {name}_al where name is not null group by all),
+    {name} as materialized (select query_id, name, row_number() over (partition by query_id order by o) as pos from {name}_k where name in (select kw from known))"""
+
+
+_STAGE1 = f"""vec as materialized (select doc, chunk_kind, {_LETTERS} as b from (select doc, chunk_kind, lower(text) as low from corpus)),
+    ex as (select query_id, text, text || ' ' || array_to_string(list_distinct_in_order, ' ') as expanded from (select *, list_filter([case when contains(lower(text), 'the') then 'Sym5' end, case when contains(lower(text), 'the') then 'Sym44' end,
+      case when contains(lower(text), 'und') or contains(lower(text), 'les') then 'Sym17' end], lambda x: x is not null) as list_distinct_in_order from prompts)),
+    q1 as (select query_id, {_LETTERS} as a from (select query_id, lower(expanded) as low from ex)), {_near("r1", "q1", "vec", 20)},
+    own as (select query_id, list_filter({_KW.format(text="text")}, lambda x: lower(x) not in ({_STOP})) as a from prompts),
+    pr as (select query_id, a[1:10] as w, unnest(generate_series(1, greatest(len(a[1:10]) - 1, 0))) as i from own),
+    wc as (select query_id, i, upper(w[i][1]) || w[i][2:] as a, lower(w[i][1]) || w[i][2:] as l, upper(w[i+1][1]) || w[i+1][2:] as b, upper(w[i+2][1]) || w[i+2][2:] as c from pr),
+    ownal as materialized (select query_id, i * 4 as o, a || b as name from wc union all select query_id, i * 4 + 1, l || b from wc union all select query_id, i * 4 + 2, a || b || c from wc union all select query_id, i * 4 + 3, l || b || c from wc
+      union all select query_id, 1000 + generate_subscripts(a, 1), unnest(a) from own),
+    words as (select distinct name as kw from ownal where name is not null union select distinct symbol from corpus),
+    kwt as (select kw, {_TERMS.format("kw")} from words), ct as (select distinct term from (select {_TERMS.format("text")} from corpus) where length(term) >= 2),
+    known as materialized (select distinct kw from kwt where length(term) >= 2 and term in (select term from ct)),
+    h1 as (select query_id, doc, rank as pos from r1), {_own("k1", "h1")},
+    unsure as (select query_id from prompts left join (select query_id, count(*) as n from k1 group by 1) using (query_id) where n is null or n > 2),
+    aug as (select query_id, expanded || ' ' || coalesce(array_to_string((select list(name order by pos) from k1 where k1.query_id = ex.query_id and pos <= 3), ' '), '') as text from ex where query_id in (select query_id from unsure)),
+    q2 as (select query_id, {_LETTERS} as a from (select query_id, lower(text) as low from aug)), {_near("r2", "q2", "vec", 20)},
+    m2 as (select query_id, doc, row_number() over (partition by query_id order by min(round * 1000 + rank)) as pos from (select *, 1 as round from r1 union all select *, 2 from r2) group by query_id, doc),
+    h2 as (select * from m2 where query_id in (select query_id from unsure)), {_own("k2", "h2")},
+    kws as materialized (select query_id, name as keyword, pos - 1 as pos from k1 where query_id not in (select query_id from unsure) and pos <= 8 union all select query_id, name, pos - 1 from k2 where pos <= 8),
+    {_near("r3", "q1", "(select * from vec where chunk_kind in ('invariant', 'convention')) as vec", 6)},
+    hits as materialized (select query_id, doc, row_number() over (partition by query_id order by min(round * 1000 + rank)) as pos
+      from (select *, 1 as round from r1 union all select *, 2 from r2 union all select *, 3 from r3) group by query_id, doc)"""
+_INTENT = """case when query_id::bigint % 3 = 0 then 'bug_fix' when query_id::bigint % 3 = 1 then 'test_add' else '' end"""
+
+
+def _extracted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, compose.Extraction]:
+    """prompts with intents, the corpus with vectors, its index and stage 1, all written."""
+    prompts = view(spark, sf, "prompts").select(F.col("query_id").alias("prompt_id"), "text")
+    n = F.col("prompt_id").cast("long") % 3
+    prompts = prompts.withColumn("intent", F.when(n == 0, "bug_fix").when(n == 1, "test_add").otherwise(""))
+    corpus = kept(view(spark, sf, "corpus").withColumn("vec", T.letter_counts(F.col("text"))), "corpus")
+    index = kept(search.postings(corpus, "doc"), "postings")
+    return prompts, corpus, index, compose.extract(prompts, corpus, index, GLOSSARY, embed=T.letter_counts)
+
+
+@query("p6_u4_stage1_keywords", f"with {_STAGE1} select query_id as prompt_id, pos, keyword from kws", ("corpus", "prompts"))
+def stage1_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    return _extracted(spark, sf)[3].keywords.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("p6_u4_r16_stage1_hits", f"with {_STAGE1} select query_id as prompt_id, doc, pos from hits", ("corpus", "prompts"))
+def stage1_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of both rounds and the knowledge pass, merged."""
+    return _extracted(spark, sf)[3].hits.select("prompt_id", "doc", F.col("pos").cast("long").alias("pos"))
+
+
+@query(
+    "p7_u1_seeds",
+    f"""with {_STAGE1}, kt as (select distinct keyword, term from (select keyword, {_TERMS.format("keyword")} from (select distinct keyword from kws)) where length(term) >= 2),
+    tok as (select doc, {_TERMS.format("text")} from corpus), pt as (select term, doc, count(*) as tf from tok where length(term) >= 2 group by term, doc), dl as (select doc, coalesce(sum(tf), 0) as dl from corpus left join pt using (doc) group by doc),
+    st as (select count(*) as n, avg(dl) as avgdl from dl), df as (select term, count(*) as df from pt group by term),
+    sc as (select keyword, doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from kt join pt using (term) join df using (term) join dl using (doc), st group by keyword, doc),
+    bl as (select * from (select keyword, doc, row_number() over (partition by keyword order by round(score, 9) desc, doc) as rank from sc) where rank <= 10),
+    it as (select query_id, {_INTENT} as intent from prompts),
+    sl as (select * from (select query_id, doc, row_number() over (partition by query_id, keyword order by doc) as rank from kws join it using (query_id) join corpus on symbol = keyword where intent = '' or chunk_kind in ('function', 'method')) where rank <= 10),
+    ls as (select query_id, doc, 1.0 / (60 + rank) as w from kws join bl using (keyword) union all select query_id, doc, 1.5 / (60 + rank) from sl union all select query_id, doc, 5.0 / (60 + pos) from hits),
+    fu as (select query_id, doc, round(sum(w), 12) as score, count(*) as n_lists from ls group by all),
+    dm as (select f.*, file, start_line, case when regexp_matches(file, '_test[.]go$') and intent <> 'test_add' then score * 0.25 else score end as s from fu f join it using (query_id) join corpus using (doc)),
+    rk as (select *, row_number() over (partition by query_id order by s desc, file, start_line) as rank from dm) select query_id as prompt_id, doc, round(s, 8) as score, n_lists, rank from rk where rank <= 30""",
+    ("corpus", "prompts"),
+)
+def seeds_(spark: SparkSession, sf: str) -> DataFrame:
+    prompts, corpus, index, found = _extracted(spark, sf)
+    out = compose.search(prompts, found, corpus, index)
+    return rounded(out.select("prompt_id", "doc", "score", "n_lists", F.col("rank").cast("long").alias("rank")), "score", places=8)
+
+
+@query(
+    "r8_semantic_search",
+    f"""with vec as (select doc, {_LETTERS} as b from (select doc, lower(text) as low from corpus)), q as (select query_id, {_LETTERS} as a from (select query_id, lower(text || ' ' || case when contains(lower(text), 'the') then 'Sym5 Sym44' else '' end
+      || case when contains(lower(text), 'the') and (contains(lower(text), 'und') or contains(lower(text), 'les')) then ' ' else '' end || case when contains(lower(text), 'und') or contains(lower(text), 'les') then 'Sym17' else '' end) as low from prompts)),
+    {_near("r", "q", "vec", 10)} select query_id, doc, rank from r where doc not in (select doc from corpus where regexp_matches(file, '_test[.]go$'))""",
+    ("corpus", "prompts"),
+)
+def semantic_search_(spark: SparkSession, sf: str) -> DataFrame:
+    """Expanded by the glossary, embedded, nearest by vector, then without test files."""
+    corpus = view(spark, sf, "corpus").select("doc", "file", T.letter_counts(F.col("text")).alias("vec"))
+    return search.semantic_search(view(spark, sf, "prompts"), corpus, GLOSSARY, exclude_tests=True, embed=T.letter_counts).select("query_id", "doc", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "r9_text_search",
+    f"""with {_BM25.replace("from prompts", "from (select query_id, text || ' ' || case when contains(lower(text), 'the') then 'Sym5 Sym44 ' else '' end || case when contains(lower(text), 'und') or contains(lower(text), 'les') then 'Sym17' else '' end as text from prompts)")}
+    select query_id, doc, rank from tk where doc not in (select doc from corpus where regexp_matches(file, '_test[.]go$'))""",
+    ("corpus", "prompts"),
+)
+def text_search_(spark: SparkSession, sf: str) -> DataFrame:
+    """Expanded by the glossary, an OR query of its words, by BM25, then without test files."""
+    return search.text_search(view(spark, sf, "prompts"), view(spark, sf, "corpus"), GLOSSARY, exclude_tests=True).select("query_id", "doc", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "f6_filtered_search",
+    f"""with {_BM25.replace("from sc)", "from sc where doc in (select doc from corpus where language = 'en' and regexp_matches(file, '^src1[^/]*/d[^/]*[.]go$')))")} select query_id, doc, rank from tk""",
+    ("corpus", "prompts"),
+)
+def filtered_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A language and a path glob as filters of keyword search, below its top k."""
+    c = view(spark, sf, "corpus")
+    index = kept(search.postings(c, "doc"), "postings")
+    allowed = c.where((F.col("language") == "en") & F.col("file").rlike(T.glob_regex("src1*/d*.go")))
+    return search.bm25(view(spark, sf, "prompts"), index, search.stats_of(index, c), k=0, scale=False, within=allowed).select("query_id", "doc", F.col("rank").cast("long").alias("rank"))
+
+
+def composition(spark: SparkSession, sf: str) -> compose.Composition:
+    """The whole pipeline on local tables: anchors are the first prompts, and a graph links documents."""
+    prompts = view(spark, sf, "prompts").select(F.col("query_id").alias("prompt_id"), "text")
+    corpus = view(spark, sf, "corpus").withColumn("vec", T.letter_counts(F.col("text")))
+    n = F.col("prompt_id").cast("int")
+    named = F.element_at(F.array(*[F.lit(i) for i in T.INTENTS[1:]]), n + 1)
+    anchors = prompts.where(n < len(T.INTENTS) - 1).select(named.alias("intent"), F.col("prompt_id").alias("anchor"), T.letter_counts(F.col("text")).alias("vec"))
+    edges = view(spark, sf, "doc_edges")
+    return compose.compose(prompts, corpus, anchors, corpus.select(F.col("doc").alias("id")), edges, GLOSSARY, embed=T.letter_counts)
+
+
+@query("p8_u3_neighbours_by_intent")
+def neighbours_by_intent(spark: SparkSession, sf: str) -> DataFrame:
+    out = composition(spark, sf).neighbours
+    return rounded(out.withColumn("seeds", F.array_join("seeds", ",")), "score")
+
+
 def composed(spark: SparkSession, sf: str) -> DataFrame:
-    prompts = view(spark, sf, "prompts").select(F.col("query_id").alias("prompt_id"), F.lit("bug_fix").alias("intent"), "text")
-    packs = compose.compose(prompts, view(spark, sf, "corpus"))
-    return packs.select("prompt_id", "query", F.size("citations").alias("n_citations"), "used_tokens", F.round("utilization", 6).alias("utilization"), "integrity_hash")
+    packs = composition(spark, sf).packs
+    return packs.select("prompt_id", "intent", "query", F.size("citations").alias("n_citations"), F.size(F.coalesce("edges", F.array().cast(packs.schema["edges"].dataType))).alias("n_edges"), "used_tokens", F.round("utilization", 6).alias("utilization"), "integrity_hash")
 
 
 QUERIES["p4_p6_compose"] = composed

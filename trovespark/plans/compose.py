@@ -1,22 +1,24 @@
-"""The retrieval pipeline over a batch of prompts: classify, keywords, search and fuse, expand, allocate, sanitize, assemble.
+"""The retrieval pipeline over a batch of prompts: classify, extract keywords in rounds, search and fuse, expand, allocate, sanitize, assemble.
 
-Every stage is a DataFrame of (prompt_id, ...). The corpus is (doc, file, start_line, end_line, commit_hash, symbol, chunk_kind, text, vec).
+Every stage is a DataFrame of (prompt_id, ...). The corpus is (doc, file, start_line, end_line, commit_hash, symbol, chunk_kind, text, vec);
+embed makes vectors of the same kind from prompts. Its graph, nodes (id, ...) and edges (src, dst, type), names nodes by doc.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trovespark.functions.text import basename, citation_key, compounds, identifiers
-from trovespark.operators import graph
-from trovespark.operators.budget import Budget, allocate
+from trovespark.functions.text import INTENT_SHAPE, TEST_GLOB, basename, citation_key, code_terms, compounds, glob_regex, hashed_vector, identifiers, intent_glob, intent_hops, intent_relations, kinds_allowed
+from trovespark.operators import graph, inventory
+from trovespark.operators.budget import KNOWLEDGE, Budget, allocate
 from trovespark.operators.pack import assemble
-from trovespark.operators.ranking import WEIGHTS, citation_order, demote_tests, reciprocal_rank_fusion, top_k
+from trovespark.operators.ranking import WEIGHTS, citation_order, confidence, demote_tests, first_wins, reciprocal_rank_fusion, top_k
 from trovespark.operators.sanitize import BASELINE, Rule, sanitize
-from trovespark.operators.search import bm25, index_stats, knn, postings
+from trovespark.operators.search import bm25, classify, knn, postings, stats_of
 from trovespark.sources.scratch import kept
 
 #: Words that are no keywords.
@@ -33,7 +35,21 @@ class Settings:
     seeds: int = 10
     per_seed: int = 50
     neighbours: int = 50
-    hops: int = 1
+    confidence: float = 0.5
+    augment: int = 3
+    knowledge: int = 6
+
+
+Embed = Callable[[Column], Column]
+
+
+@dataclass(frozen=True)
+class Extraction:
+    """What stage 1 leaves: keywords (prompt_id, pos, keyword), hits (prompt_id, pos, doc), rounds (prompt_id, round, hits, confidence)."""
+
+    keywords: DataFrame
+    hits: DataFrame
+    rounds: DataFrame
 
 
 def keyword_array(text: Column) -> Column:
@@ -41,11 +57,6 @@ def keyword_array(text: Column) -> Column:
     return F.concat(compounds(words), words)
 
 
-def keywords(prompts: DataFrame, most: int = 8) -> DataFrame:
-    """(prompt_id, pos, keyword): compounds of adjacent identifiers, then identifiers; stop words go, the first of repeats stays."""
-    return prompts.select("prompt_id", F.posexplode(F.array_distinct(keyword_array(F.col("text")))).alias("pos", "keyword"))
-
-
 def candidates(prompts: DataFrame, hits: DataFrame) -> DataFrame:
     """(prompt_id, pos, keyword): the prompt's own keywords, then of each hit (prompt_id, rank, symbol, file), at most Settings.recall of a prompt, its symbol or its file's stem."""
     stem = F.regexp_replace(F.regexp_replace(basename(F.col("file")), r"\.[^.]*$", ""), "_test$", "")
@@ -79,42 +90,177 @@ def reranked_keywords(candidates: DataFrame, hits: DataFrame, most: int = 8) ->
     return top_k(candidates.join(best, ["prompt_id", "keyword"]), ["prompt_id"], [F.desc("score"), F.asc("pos")], most)
 
 
-def search(prompts: DataFrame, corpus: DataFrame, settings: Settings = Settings(), intent: str | None = None) -> DataFrame:
-    """(prompt_id, file, start_line, end_line, score, evidence, n_lists, ...): the vector list of each prompt, BM25 lists and symbol lists of its keywords, fused; test paths demoted."""
-    index, stats = kept(postings(corpus, "doc"), "postings"), kept(index_stats(corpus), "index-stats")  # read several times
-    words = keywords(prompts).where(F.col("pos") < settings.keywords).withColumn("query_id", F.concat_ws("|", "prompt_id", "keyword"))
+def known_keywords(words: DataFrame, index: DataFrame) -> DataFrame:
+    """words (prompt_id, pos, keyword) of which keyword search finds anything, with score 1.
+
+    A keyword's score is that of its best hit, and scores of a search are scaled so that the best is 1:
+    so it is enough to ask the index for any of its terms.
+    """
+    terms = words.select("keyword").distinct().select("keyword", F.explode(F.array_distinct(code_terms(F.col("keyword")))).alias("term"))
+    found = terms.join(index.select("term").distinct(), "term", "left_semi").select("keyword").distinct()
+    return words.join(found, "keyword", "left_semi").withColumn("score", F.lit(1.0))
+
+
+def extract(prompts: DataFrame, corpus: DataFrame, index: DataFrame, glossary: list[tuple[list[str], list[str]]] = (), settings: Settings = Settings(), embed: Embed = hashed_vector) -> Extraction:
+    """Keywords and vector hits of prompts (prompt_id, text), in two rounds at most.
+
+    A round recalls by vector, takes keyword candidates from the prompt and all hits so far, and keeps
+    those that keyword search knows. A prompt whose best keyword holds less than Settings.confidence of
+    all scores goes on to a second round with its first keywords added to the expanded text. The
+    knowledge pass then adds the nearest invariants and conventions behind the other hits. Hits are
+    merged by citation, the first of repeats staying.
+    """
+    expanded = kept(inventory.expand(prompts.select("prompt_id", "text"), list(glossary)).select("prompt_id", "text", "expanded"), "expanded")
+    place = corpus.select("doc", "file", "start_line", "end_line", "symbol")
+
+    def recalled(asked: DataFrame, query: str, vectors: DataFrame, k: int, round_: int) -> DataFrame:
+        near = knn(asked.select(F.col("prompt_id").alias("query_id"), embed(F.col(query)).alias("vec")), vectors.select("doc", "vec"), k=k)
+        return near.select(F.col("query_id").alias("prompt_id"), "doc", F.lit(round_).alias("round"), "rank").join(place, "doc")
+
+    def merged(hits: DataFrame) -> DataFrame:
+        """With pos from 1; a prompt has Settings.recall hits a round and Settings.knowledge more, at most."""
+        once = first_wins(hits, ["prompt_id", "file", "start_line", "end_line"], [F.asc("round"), F.asc("rank")])
+        return once.withColumn("pos", F.row_number().over(Window.partitionBy("prompt_id").orderBy("round", "rank")))
+
+    def named(asked: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The keywords of the hits so far, and how sure they are."""
+        found = kept(known_keywords(candidates(asked, merged(hits).select("prompt_id", F.col("pos").alias("rank"), "symbol", "file")), index), "known-keywords")
+        return found, asked.select("prompt_id").join(confidence(found, ["prompt_id"]), "prompt_id", "left").fillna(0.0, ["confidence"])
+
+    first = kept(recalled(expanded, "expanded", corpus, settings.recall, 1), "round1")
+    words1, sure1 = named(expanded, first)
+    again = kept(expanded.join(sure1.where(F.col("confidence") < settings.confidence), "prompt_id", "left_semi"), "unsure")
+    ranked = lambda words: words.withColumn("pos", F.row_number().over(Window.partitionBy("prompt_id").orderBy(F.desc("score"), "pos")) - 1)
+    asked = augmented(again.select("prompt_id", F.col("expanded").alias("text")), ranked(words1), settings.augment)
+    second = kept(recalled(asked, "augmented", corpus, settings.recall, 2), "round2")
+    both = first.join(again, "prompt_id", "left_semi").unionByName(second)
+    words2, sure2 = named(again, both)
+    words = words1.join(again, "prompt_id", "left_anti").unionByName(words2)
+    rules = recalled(expanded, "expanded", corpus.where(F.col("chunk_kind").isin(*KNOWLEDGE)), settings.knowledge, 3)
+    counted = lambda hits, sure, n: sure.join(merged(hits).groupBy("prompt_id").agg(F.count("*").alias("hits")), "prompt_id", "left").select("prompt_id", F.lit(n).alias("round"), F.coalesce("hits", F.lit(0)).alias("hits"), "confidence")
+    return Extraction(
+        ranked(words).where(F.col("pos") < settings.keywords).select("prompt_id", "pos", "keyword"),
+        merged(first.unionByName(second).unionByName(rules)).select("prompt_id", "pos", "doc"),
+        counted(first, sure1, 1).unionByName(counted(both, sure2, 2)),
+    )
+
+
+def search(prompts: DataFrame, found: Extraction, corpus: DataFrame, index: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(prompt_id, doc, file, start_line, end_line, score, evidence, n_lists, ...) for prompts (prompt_id, intent).
+
+    Fused are the merged vector hits, for each keyword a BM25 list and a list of symbols of the kinds its
+    intent looks for, and for intents with a path glob another BM25 list of the files that match it. Test
+    paths count less unless tests are asked for.
+    """
+    words = kept(found.keywords.join(prompts.select("prompt_id", "intent"), "prompt_id"), "keywords")
     place = corpus.select("doc", "file", "start_line", "end_line", "commit_hash", "chunk_kind")
-    by_word = words.select("query_id", F.col("keyword").alias("text")).distinct()
-    lexical = bm25(by_word, index, stats, k=settings.bm25).join(words.select("query_id", "prompt_id"), "query_id")
-    lexical = lexical.select("prompt_id", "doc", "rank", F.lit("bm25").alias("list_kind"), F.lit(WEIGHTS["bm25"]).alias("weight"))
-    named = words.join(corpus.select("doc", F.col("symbol").alias("keyword")), "keyword")
-    named = top_k(named, ["query_id"], [F.asc("doc")], settings.bm25).select("prompt_id", "doc", "rank", F.lit("symbol").alias("list_kind"), F.lit(WEIGHTS["symbol"]).alias("weight"))
-    lists = lexical.unionByName(named)
-    if "vec" in prompts.columns and "vec" in corpus.columns:
-        near = knn(prompts.select(F.col("prompt_id").alias("query_id"), "vec"), corpus.select("doc", "vec"), k=settings.recall)
-        lists = lists.unionByName(near.select(F.col("query_id").alias("prompt_id"), "doc", "rank", F.lit("vector").alias("list_kind"), F.lit(WEIGHTS["vector"]).alias("weight")))
-    fused = reciprocal_rank_fusion(lists, ["prompt_id"], ["doc"]).join(place, "doc")
-    return top_k(demote_tests(fused), ["prompt_id"], citation_order(), settings.citations)
-
-
-def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, relations: list[str], settings: Settings = Settings()) -> DataFrame:
-    """(prompt_id, source, target, relation, distance, score): neighbours of the best seeds (prompt_id, node, score); seeds themselves are no neighbours; a target's best path stays."""
+    named = lambda df, kind: df.select("prompt_id", "doc", "rank", F.lit(kind).alias("list_kind"), F.lit(WEIGHTS[kind]).alias("weight"))
+    stats = stats_of(index, corpus)
+    by_word = words.select(F.col("keyword").alias("query_id"), F.col("keyword").alias("text")).distinct()
+    lexical = bm25(by_word, index, stats, k=settings.bm25).withColumnRenamed("query_id", "keyword")
+    lists = named(lexical.join(words, "keyword"), "bm25")
+    globbed = words.where(intent_glob(F.col("intent")) != "")
+    matching = place.where(F.col("file").rlike(glob_regex(TEST_GLOB)))
+    extra = bm25(globbed.select(F.col("keyword").alias("query_id"), F.col("keyword").alias("text")).distinct(), index, stats, k=settings.bm25, within=matching)
+    lists = lists.unionByName(named(extra.withColumnRenamed("query_id", "keyword").join(globbed, "keyword"), "bm25"))
+    symbols = words.join(corpus.select("doc", "chunk_kind", F.col("symbol").alias("keyword")), "keyword").where(kinds_allowed(F.col("intent"), F.col("chunk_kind")))
+    lists = lists.unionByName(named(top_k(symbols, ["prompt_id", "keyword"], [F.asc("doc")], settings.bm25), "symbol"))
+    lists = lists.unionByName(named(found.hits.withColumnRenamed("pos", "rank"), "vector"))
+    fused = reciprocal_rank_fusion(lists, ["prompt_id"], ["doc"]).withColumn("score", F.round("score", 12)).join(place, "doc").join(prompts.select("prompt_id", "intent"), "prompt_id")
+    return top_k(demote_tests(fused, intent=F.col("intent")), ["prompt_id"], citation_order(), settings.citations)
+
+
+def _neighbours_of(best: DataFrame, met: DataFrame, settings: Settings) -> DataFrame:
+    """What the walks from the best seeds (prompt_id, node, score) met, as scored neighbours."""
+    scored = met.join(best.select(F.concat_ws("|", "prompt_id", "node").alias("seed"), "prompt_id", "node", "score"), "seed").withColumn("score", F.col("score") / (1 + F.col("distance")))
+    scored = scored.withColumnRenamed("node", "from_seed").join(best.select("prompt_id", F.col("node").alias("target")), ["prompt_id", "target"], "left_anti")
+    reached = scored.groupBy("prompt_id", "target").agg(F.array_sort(F.collect_set("from_seed")).alias("seeds"))  # Settings.seeds at most
+    one = top_k(scored, ["prompt_id", "target"], [F.desc("score"), F.asc("source"), F.asc("relation")], 1, "_r").drop("_r", "seed", "from_seed")
+    return top_k(one.join(reached, ["prompt_id", "target"]), ["prompt_id"], [F.desc("score"), F.asc("target")], settings.neighbours)
+
+
+def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, relations: list[str], settings: Settings = Settings(), hops: int = 1) -> DataFrame:
+    """(prompt_id, source, target, relation, distance, score, seeds, rank): neighbours of the best seeds (prompt_id, node, score); seeds themselves are no neighbours.
+
+    Of a target's paths the best stays, and seeds lists all that reach it.
+    """
+    best = top_k(seeds, ["prompt_id"], [F.desc("score"), F.asc("node")], settings.seeds)
+    met = graph.neighbours(best.select(F.concat_ws("|", "prompt_id", "node").alias("seed"), "node"), edges, nodes, relations, hops, settings.per_seed)
+    return _neighbours_of(best, met, settings)
+
+
+def relation_coverage(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, relations: list[str], settings: Settings = Settings(), hops: int = 1) -> DataFrame:
+    """(prompt_id, relation, n): edges of each relation met from the best seeds, before targets are made distinct."""
     best = top_k(seeds, ["prompt_id"], [F.desc("score"), F.asc("node")], settings.seeds)
-    walk = best.select(F.concat_ws("|", "prompt_id", "node").alias("seed"), "node")
-    met = graph.neighbours(walk, edges, nodes, relations, settings.hops, settings.per_seed)
-    scored = met.join(best.select(F.concat_ws("|", "prompt_id", "node").alias("seed"), "prompt_id", "score"), "seed").withColumn("score", F.col("score") / (1 + F.col("distance")))
-    scored = scored.join(best.select("prompt_id", F.col("node").alias("target")), ["prompt_id", "target"], "left_anti")
-    one = top_k(scored, ["prompt_id", "target"], [F.desc("score"), F.asc("source"), F.asc("relation")], 1, "_r").drop("_r", "seed")
-    return top_k(one, ["prompt_id"], [F.desc("score"), F.asc("target")], settings.neighbours)
-
-
-def compose(prompts: DataFrame, corpus: DataFrame, rules: list[Rule] = BASELINE, budget: Budget = Budget(), settings: Settings = Settings(), neighbours: DataFrame | None = None) -> DataFrame:
-    """One stamped pack for each prompt (prompt_id, intent, text[, vec]); neighbours (prompt_id, pos, source, target, relation, distance) by citation key."""
-    found = search(prompts, corpus, settings)
-    candidates = found.select("prompt_id", "file", "start_line", "end_line", "commit_hash", "chunk_kind", F.lit(True).alias("is_seed"), "score")
-    chosen = allocate(candidates, corpus.select("file", "start_line", "end_line", "text"), budget)
-    clean = sanitize(chosen, rules)
-    if neighbours is None:
-        neighbours = clean.select("prompt_id", "pos", citation_key(F.col("file"), F.col("start_line"), F.col("end_line")).alias("source"), F.lit("").alias("target"), F.lit("").alias("relation"), F.lit(1).alias("distance")).where("false")
-    asked = prompts.select(F.col("prompt_id").cast("string").alias("prompt_id"), "intent", F.col("text").alias("query"))
-    return assemble(asked, clean, neighbours, budget.usable)
+    met = graph.neighbours(best.select(F.concat_ws("|", "prompt_id", "node").alias("seed"), "node"), edges, nodes, relations, hops, settings.per_seed)
+    return met.groupBy(F.substring_index("seed", "|", 1).alias("prompt_id"), "relation").agg(F.count("*").alias("n"))
+
+
+def expand_by_intent(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """expand() for seeds (prompt_id, intent, node, score), each prompt over the relations and hops of its intent."""
+    best = kept(top_k(seeds, ["prompt_id"], [F.desc("score"), F.asc("node")], settings.seeds), "best-seeds")
+    intent = F.col("intent")
+    walk = best.select(F.concat_ws("|", "prompt_id", "node").alias("seed"), "node", intent_relations(intent).alias("relations"), intent_hops(intent).alias("hops"))
+    met = graph.neighbours_by_relations(walk, edges, nodes, settings.per_seed, max(hops for _, _, hops in INTENT_SHAPE.values()))
+    return _neighbours_of(best, met, settings)
+
+
+@dataclass(frozen=True)
+class Composition:
+    """The stages of a batch: intents, extraction, seeds, neighbours, selected bodies and packs."""
+
+    intents: DataFrame
+    extraction: Extraction
+    seeds: DataFrame
+    neighbours: DataFrame
+    selected: DataFrame
+    packs: DataFrame
+
+
+def compose(
+    prompts: DataFrame,
+    corpus: DataFrame,
+    anchors: DataFrame | None = None,
+    nodes: DataFrame | None = None,
+    edges: DataFrame | None = None,
+    glossary: list[tuple[list[str], list[str]]] = (),
+    rules: list[Rule] = BASELINE,
+    budget: Budget = Budget(),
+    settings: Settings = Settings(),
+    embed: Embed = hashed_vector,
+) -> Composition:
+    """All stages for prompts (prompt_id, text), which end in one stamped pack for each.
+
+    Without anchors (intent, anchor, vec) every intent is unknown; without a graph there are no
+    neighbours. corpus without vec is embedded first. Stages that others read more than once are written.
+    """
+    if "vec" not in corpus.columns:
+        corpus = corpus.withColumn("vec", embed(F.col("text")))
+    corpus = kept(corpus, "corpus")
+    index = kept(postings(corpus, "doc"), "postings")
+    asked = prompts.select("prompt_id", "text")
+    if anchors is None:
+        intents = asked.select("prompt_id", F.lit("").alias("intent"))
+    else:
+        intents = classify(asked.select("prompt_id", embed(F.col("text")).alias("vec")), anchors).select("prompt_id", "intent")
+    intents = kept(intents, "intents")
+    found = extract(asked, corpus, index, glossary, settings, embed)
+    found = Extraction(kept(found.keywords, "stage1-keywords"), kept(found.hits, "stage1-hits"), found.rounds)
+    seeds = kept(search(intents, found, corpus, index, settings), "seeds")
+    cited = corpus.select("doc", "file", "start_line", "end_line", "commit_hash", "chunk_kind")
+    if nodes is None or edges is None:
+        met = seeds.select("prompt_id", F.col("doc").alias("source"), F.col("doc").alias("target"), F.lit("").alias("relation"), F.lit(1).alias("distance"), "score", F.lit(1).alias("rank")).where("false")
+    else:
+        met = expand_by_intent(seeds.select("prompt_id", "intent", F.col("doc").alias("node"), "score"), nodes, edges, settings)
+    met = kept(met, "neighbours")
+    key = citation_key(F.col("file"), F.col("start_line"), F.col("end_line"))
+    near = met.select("prompt_id", F.col("target").alias("doc"), "score").join(cited, "doc").withColumn("is_seed", F.lit(False))
+    columns = ["prompt_id", "file", "start_line", "end_line", "commit_hash", "chunk_kind", "is_seed", "score"]
+    candidates_ = seeds.withColumn("is_seed", F.lit(True)).select(*columns).unionByName(near.select(*columns))
+    selected = kept(allocate(candidates_, corpus.select("file", "start_line", "end_line", "text"), budget), "selected")
+    keys = cited.select("doc", key.alias("key"))
+    ends = met.join(keys.select(F.col("doc").alias("source"), F.col("key").alias("source_key")), "source").join(keys.select(F.col("doc").alias("target"), F.col("key").alias("target_key")), "target")
+    links = ends.select("prompt_id", F.col("rank").cast("long").alias("pos"), F.col("source_key").alias("source"), F.col("target_key").alias("target"), "relation", "distance")
+    asked = asked.join(intents, "prompt_id").select(F.col("prompt_id").cast("string").alias("prompt_id"), "intent", F.col("text").alias("query"))
+    packs = assemble(asked, sanitize(selected, rules), links, budget.usable)
+    return Composition(intents, found, seeds, met, selected, packs)

@@ -25,6 +25,8 @@ VIEWS = {
         1 as start_line, cast(length(text) - length(replace(text, chr(10), '')) + 1 as int) as end_line, case when doc_id % 3 = 0 then '' else 'c0ffee' end as commit_hash,
         'Sym' || cast(doc_id % 700 as string) as symbol, case doc_id % 5 when 0 then 'function' when 1 then 'method' when 2 then 'invariant' when 3 then 'convention' else 'doc' end as chunk_kind,
         lang as language, text from {documents}""",
+    "doc_edges": f"""select cast(doc_id as string) as src, cast(doc_id * 13 % 991 as string) as dst, case doc_id % {len(EDGE_TYPES)} {_TYPE_OF} end as type from {{documents}}
+        union all select cast(doc_id as string), cast(doc_id * 7 % 199 as string), case doc_id % 3 when 0 then 'calls' when 1 then 'references' else 'implements' end from {{documents}}""",
     "prompts": "select cast(item_id as string) as query_id, text from {benchmark}",
     "citations": """select cast(l_orderkey as string) as scenario, 'src/f' || cast(l_suppkey as string) || '.go' as file, cast(l_quantity as int) as start_line,
         cast(l_quantity as int) + l_linenumber * 3 as end_line, l_returnflag as flag, l_partkey from {lineitem}""",
