@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.functions.text import basename
+from trovespark.functions.text import basename, last_component, normal_path
 
 KEY = ["file", "start_line", "end_line"]
 
@@ -64,6 +64,64 @@ def accuracy_by_mode(answers: DataFrame) -> DataFrame:
     return sets.agg(F.count("*").alias("answers"), F.avg(F.col("located").cast("double")).alias("located"), F.avg(F.col("correct").cast("double")).alias("correct"), F.sum("fabricated").alias("fabricated"))
 
 
+def scored_answers(answers: DataFrame, citations: DataFrame, truth: DataFrame, files: DataFrame, scaffolding: str = "bundles/") -> DataFrame:
+    """answers (id, mode, correctness, ...) with located, n_citations, fabricated and self_cited.
+
+    citations (id, mode, file, start_line, end_line) locate the answer if one overlaps a line of truth
+    (id, file, start_line, end_line) in the same file. One that cites the scaffolding counts as such;
+    others are made up if no file (path, n_lines) of that path, or if there is none of that base name,
+    has the lines.
+    """
+    key = ["id", "mode"]
+    c = citations.select(*key, "file", "start_line", "end_line", F.monotonically_increasing_id().alias("c"), basename(normal_path(F.col("file"))).alias("base"))
+    t = truth.select("id", basename(normal_path(F.col("file"))).alias("base"), F.col("start_line").alias("ts"), F.col("end_line").alias("te"))
+    located = c.join(t, ["id", "base"]).where((F.col("start_line") <= F.col("te")) & (F.col("ts") <= F.col("end_line"))).select(*key).distinct().withColumn("located", F.lit(1))
+    longest = files.groupBy(basename(F.col("path")).alias("base")).agg(F.max("n_lines").alias("base_lines"))
+    exact = files.groupBy(F.col("path").alias("whole")).agg(F.max("n_lines").alias("path_lines"))
+    known = c.join(longest, "base", "left").join(exact, normal_path(F.col("file")) == F.col("whole"), "left")
+    lines = F.coalesce("path_lines", "base_lines", F.lit(0))
+    own = F.contains(F.col("file"), F.lit(scaffolding))
+    bad = ~own & ~((F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")) & (F.col("start_line") <= lines))
+    counted = known.groupBy(*key).agg(F.count("*").alias("n_citations"), F.count_if(bad).alias("fabricated"), F.count_if(own).alias("self_cited"))
+    return answers.join(located, key, "left").join(counted, key, "left").fillna(0, ["located", "n_citations", "fabricated", "self_cited"])
+
+
+def accuracy(scored: DataFrame) -> DataFrame:
+    """By mode: rates of located, correct and passed answers and sums of citations, made-up and self-citing ones."""
+    rate = lambda c: F.avg(c.cast("double"))
+    return scored.groupBy("mode").agg(
+        F.count("*").alias("n"),
+        rate(F.col("located")).alias("location_acc"),
+        rate((F.col("correctness") == "correct").cast("int")).alias("correct_rate"),
+        rate(F.col("correctness").isin("correct", "partial").cast("int")).alias("pass_rate"),
+        *[F.sum(c).alias(c) for c in ("n_citations", "fabricated", "self_cited")],
+    )
+
+
+#: How a member of the truth is reached that only relations lead to.
+RELATIONAL = ("transitive", "interface-impl", "semantic")
+
+
+def scored_impacts(truth: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, mode, n_gt, n_ans, recall, precision, rel_total, rel_hit, dir_total, dir_hit) of answers (id, mode, file, symbol, start_line, end_line) against truth (id, file, symbol, reach, start_line, end_line).
+
+    A member of either side matches one of the other in a file of the same base name, if one's last
+    symbol part holds the other's, else if both have lines and they overlap, else if the truth has no symbol.
+    """
+    last = lambda c: F.lower(last_component(F.col(c)))
+    t = truth.select("id", F.monotonically_increasing_id().alias("t"), basename(F.trim("file")).alias("base"), F.coalesce("symbol", F.lit("")).alias("ts"), F.col("reach").isin(*RELATIONAL).alias("rel"), F.col("start_line").alias("ta"), F.col("end_line").alias("tz"))
+    a = answers.select("id", "mode", F.monotonically_increasing_id().alias("a"), basename(F.trim("file")).alias("base"), F.coalesce("symbol", F.lit("")).alias("as_"), F.col("start_line").alias("aa"), F.col("end_line").alias("az"))
+    named = (F.col("ts") != "") & (F.col("as_") != "") & (F.contains(last("ts"), last("as_")) | F.contains(last("as_"), last("ts")))
+    lined = F.col("ta").isNotNull() & F.col("tz").isNotNull() & F.col("aa").isNotNull() & F.col("az").isNotNull()
+    met = t.join(a, ["id", "base"]).where(named | F.when(lined, (F.col("aa") <= F.col("tz")) & (F.col("ta") <= F.col("az"))).otherwise(F.col("ts") == ""))
+    asked = a.groupBy("id", "mode").agg(F.count("*").alias("n_ans"))
+    sizes = t.groupBy("id").agg(F.count("*").alias("n_gt"), F.count_if("rel").alias("rel_total"), F.count_if(~F.col("rel")).alias("dir_total"))
+    hit = lambda c: F.count_distinct(F.when(c, F.col("t")))
+    got = met.groupBy("id", "mode").agg(F.count_distinct("t").alias("hit"), hit(F.col("rel")).alias("rel_hit"), hit(~F.col("rel")).alias("dir_hit"), F.count_distinct("a").alias("good"))
+    both = asked.join(sizes, "id", "left").join(got, ["id", "mode"], "left").fillna(0, ["n_gt", "rel_total", "dir_total", "hit", "rel_hit", "dir_hit", "good"])
+    return both.select("id", "mode", "n_gt", "n_ans", F.when(F.col("n_gt") > 0, F.col("hit") / F.col("n_gt")).alias("recall"), (F.col("good") / F.col("n_ans")).alias("precision"), "rel_total", "rel_hit", "dir_total", "dir_hit")
+
+
 def impact_scores(rows: DataFrame) -> DataFrame:
     """By mode: macro means of recall and precision, and relational and direct recall as ratios of sums."""
     return rows.groupBy("mode").agg(
@@ -89,5 +147,5 @@ def impact_members(truth: DataFrame, answers: DataFrame, case: str = "case") ->
 
 def unresolved_citations(citations: DataFrame, files: DataFrame) -> DataFrame:
     """Citations that name no file, by path or base name, with at least so many lines: they were made up."""
-    known = files.select(basename(F.col("path")).alias("known"), "n_lines")
+    known = files.groupBy(basename(F.col("path")).alias("known")).agg(F.max("n_lines").alias("n_lines"))  # a row for each name, however many files share it
     return citations.join(known, (basename(F.col("file")) == F.col("known")) & (F.col("start_line") <= F.col("n_lines")), "left_anti")

@@ -43,5 +43,10 @@ def anchor_issues(anchors: DataFrame) -> DataFrame:
     return _broken(anchors, ["intent"], rules)
 
 
+def counts_by_severity(issues: DataFrame) -> DataFrame:
+    """(severity, n) of issues."""
+    return issues.groupBy("severity").agg(F.count("*").alias("n"))
+
+
 def has_errors(issues: DataFrame) -> bool:
     return not issues.where("severity = 'error'").isEmpty()

@@ -197,6 +197,42 @@ def merged_edges(found: DataFrame, group: list[str]) -> DataFrame:
     return found.groupBy(*group, "src", "dst", "type").agg(F.min("distance").alias("distance"))
 
 
+def incident_nodes(found: DataFrame, seeds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(seed, id, ...): the nodes at the ends of subgraph()'s edges, and the seeds themselves."""
+    ends = found.select("seed", F.col("src").alias("id")).unionByName(found.select("seed", F.col("dst").alias("id"))).unionByName(seeds.select("seed", F.col("node").alias("id"))).distinct()
+    return ends.join(nodes, "id").select("seed", *nodes.columns)
+
+
+def flows_by(steps: DataFrame, flow: str | None = None, entry_point: str | None = None, invariant: str | None = None) -> DataFrame:
+    """Steps of the flows asked for by exactly one of a flow's name, the symbol of one of its steps, or an invariant one of them enforces."""
+    given = [x for x in (flow, entry_point, invariant) if x]
+    if len(given) != 1:
+        raise ValueError("ask by a flow, an entry point or an invariant")
+    if flow:
+        return steps.where(F.col("flow") == flow)
+    holds = F.col("symbol") == entry_point if entry_point else F.array_contains("invariants", invariant)
+    return steps.join(steps.where(holds).select("flow").distinct(), "flow", "left_semi")
+
+
+def expanded_flow(steps: DataFrame, origins: DataFrame, hops: int = 1, most: int = 50) -> DataFrame:
+    """(seed, direction, step, distance): steps that origins (seed, step) call (down) and that call them (up), within hops, most of each direction."""
+    call = steps.select(F.explode("calls").alias("to"), F.col("step").alias("at"), F.lit("calls").alias("type"))
+    start, parts = origins.select("seed", F.col("step").alias("node")), []
+    for direction, walked in (("down", call), ("up", call.select(F.col("to").alias("at"), F.col("at").alias("to"), "type"))):
+        met = reach(start, walked, hops).where("distance > 0")
+        best = top_k(met, ["seed"], [F.asc("distance"), F.asc("node")], most, "_r")
+        parts.append(best.select("seed", F.lit(direction).alias("direction"), F.col("node").alias("step"), "distance"))
+    return parts[0].unionByName(parts[1])
+
+
+def record_counts(steps: DataFrame, invariants: DataFrame) -> DataFrame:
+    """(kind, n) of a flow corpus: flows, steps, calls, invariants."""
+    calls = F.sum(F.size("calls")).cast("long")
+    a = steps.agg(F.count_distinct("flow").alias("flow"), F.count("*").alias("step"), F.coalesce(calls, F.lit(0)).alias("call"))
+    a = a.join(F.broadcast(invariants.agg(F.count("*").alias("invariant"))))
+    return a.unpivot([], ["flow", "step", "call", "invariant"], "kind", "n")
+
+
 def integrity(steps: DataFrame, invariants: DataFrame) -> DataFrame:
     """(finding, item, target): calls to steps that aren't there, unknown invariants, invariants no step enforces, and calls whose callee doesn't name the caller."""
     calls = steps.select("step", F.explode("calls").alias("target"))

@@ -99,6 +99,11 @@ def anchor_drift(anchors: DataFrame, definitions: DataFrame, most: int = 15) ->
     return found.select("file", "symbol", "line", F.col("n.start_line").alias("new_line"), bucket.alias("bucket"))
 
 
+def drift_summary(drift: DataFrame) -> DataFrame:
+    """(bucket, n) of anchor_drift's rows."""
+    return drift.groupBy("bucket").agg(F.count("*").alias("n"))
+
+
 def refreshed_anchors(entries: DataFrame, drift: DataFrame) -> DataFrame:
     """entries (id, file, symbol, line, ...) with the new line where drift, from anchor_drift, says that an anchor moved a little."""
     moved = drift.where("bucket = 'drift'").select("file", "symbol", "line", "new_line")

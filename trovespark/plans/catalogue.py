@@ -15,7 +15,7 @@ from trovespark.functions import text as T
 from trovespark.operators import audit, graph, inventory, pack, ranking, render, sanitize, search
 from trovespark.operators.budget import Budget, allocate, usage
 from trovespark.plans import compose
-from trovespark.sources import readers
+from trovespark.sources import documents, readers
 from trovespark.sources.scratch import kept
 from trovespark.sources.tables import table, view, view_sql
 
@@ -1108,6 +1108,175 @@ def promotion(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("c_custkey", "promoted", "status")
 
 
+# --- rules, scores, counts and rewritten documents --------------------------------------------------
+
+_POLICY_SQL = ", ".join(f"struct_pack(rule := '{n}', action := '{a}', matches := len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')))" for n, p, a in sanitize.POLICY)
+
+
+@query(
+    "p2_s12_s13_x13_policy",
+    f"""with m as (select doc_id, text, [{_POLICY_SQL}] as r from documents), h as (select doc_id, text, list_filter(r, lambda x: x.matches > 0 and x.action = 'fail_closed')[1:1] as c, list_filter(r, lambda x: x.matches > 0 and x.action = 'drop') as d from m)
+    select doc_id, len(c) > 0 as aborted, case when len(c) > 0 or len(d) > 0 then '' else text end as text, array_to_string(list_transform(case when len(c) > 0 then c else d end, lambda x: x.rule || ': ' || x.matches || ' match' || case when x.matches = 1 then '' else 'es' end), '; ') as excerpts from h""",
+)
+def policy_(spark: SparkSession, sf: str) -> DataFrame:
+    """The policy's rules, loaded from a rule file, and what they report."""
+    import json
+
+    records = [{"id": n, "pattern": p, "action": a, "severity": "critical"} for n, p, a in sanitize.POLICY]
+    out = sanitize.sanitize(table(spark, sf, "documents").select("doc_id", "text"), documents.rules(json.dumps({"version": 1, "rules": records})))
+    return out.select("doc_id", "aborted", "text", F.array_join(F.transform("redactions", lambda r: r["excerpt"]), "; ").alias("excerpts"))
+
+
+_SCORED = """ans as (select l_orderkey as id, mode, min(case l_partkey % 3 when 0 then 'correct' when 1 then 'partial' else 'incorrect' end) as correctness from (select *, case l_suppkey % 2 when 0 then 'alpha' else 'beta' end as mode from lineitem) group by 1, 2),
+    cit as (select l_orderkey as id, case l_suppkey % 2 when 0 then 'alpha' else 'beta' end as mode, case when l_linenumber = 5 then 'eval/bundles/a.txt' else 'src/f' || cast(l_suppkey as varchar) || '.go' end as file, cast(l_quantity as int) as s, cast(l_quantity as int) + l_linenumber - 1 as e from lineitem),
+    gt as (select distinct l_orderkey as id, 'lib/f' || cast(l_suppkey as varchar) || '.go' as file, cast(l_quantity as int) + l_linenumber % 3 as s, cast(l_quantity as int) + l_linenumber % 3 + 2 as e from lineitem where l_linenumber % 2 = 1),
+    fl as (select 'x/f' || cast(s_suppkey as varchar) || '.go' as path, cast(s_suppkey % 60 as int) as n from supplier where s_suppkey % 7 <> 0)"""
+
+
+@query(
+    "a20_scored_answers",
+    f"""with {_SCORED}, c as (select *, regexp_extract(file, '[^/]*$') as base from cit), t as (select *, regexp_extract(file, '[^/]*$') as base from gt), f as (select regexp_extract(path, '[^/]*$') as base, max(n) as n from fl group by 1),
+    lo as (select distinct c.id, c.mode from c join t on c.id = t.id and c.base = t.base and c.s <= t.e and t.s <= c.e),
+    k as (select c.id, c.mode, count(*) as n_citations, count(*) filter (where not contains(file, 'bundles/') and not (c.s >= 1 and c.e >= c.s and c.s <= coalesce(f.n, 0))) as fabricated, count(*) filter (where contains(file, 'bundles/')) as self_cited from c left join f using (base) group by 1, 2),
+    x as (select a.mode, correctness, case when lo.id is null then 0 else 1 end as located, k.* exclude (id, mode) from ans a left join lo using (id, mode) left join k using (id, mode))
+    select mode, count(*) as n, round(avg(located), 6) as location_acc, round(avg((correctness = 'correct')::int), 6) as correct_rate, round(avg((correctness in ('correct', 'partial'))::int), 6) as pass_rate, sum(n_citations)::bigint as n_citations, sum(fabricated)::bigint as fabricated, sum(self_cited)::bigint as self_cited from x group by mode""",
+)
+def scored_answers_(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    mode, q, file = F.when(F.col("l_suppkey") % 2 == 0, "alpha").otherwise("beta").alias("mode"), F.col("l_quantity").cast("int"), F.concat(F.lit("f"), "l_suppkey", F.lit(".go"))
+    kind = F.when(F.col("l_partkey") % 3 == 0, "correct").when(F.col("l_partkey") % 3 == 1, "partial").otherwise("incorrect")
+    answers = li.select(F.col("l_orderkey").alias("id"), mode, kind.alias("k")).groupBy("id", "mode").agg(F.min("k").alias("correctness"))
+    cited = F.when(F.col("l_linenumber") == 5, F.lit("eval/bundles/a.txt")).otherwise(F.concat(F.lit("src/"), file))
+    citations = li.select(F.col("l_orderkey").alias("id"), mode, cited.alias("file"), q.alias("start_line"), (q + F.col("l_linenumber") - 1).alias("end_line"))
+    at = q + F.col("l_linenumber") % 3
+    truth = li.where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("lib/"), file).alias("file"), at.alias("start_line"), (at + 2).alias("end_line")).distinct()
+    files = table(spark, sf, "supplier").where("s_suppkey % 7 <> 0").select(F.concat(F.lit("x/f"), "s_suppkey", F.lit(".go")).alias("path"), (F.col("s_suppkey") % 60).cast("int").alias("n_lines"))
+    return rounded(metrics.accuracy(metrics.scored_answers(answers, citations, truth, files)), "location_acc", "correct_rate", "pass_rate")
+
+
+@query(
+    "a21_scored_impacts",
+    """with a as (select row_number() over () as a, scenario as id, flag as mode, file, 'T.m' || (l_partkey % 7) as symbol, start_line, end_line from citations where flag <> 'R'),
+    t as (select row_number() over () as t, scenario as id, file, case when l_partkey % 5 = 0 then '' else 'S.m' || (l_partkey % 9) end as symbol, l_partkey % 3 = 0 as rel, case when l_partkey % 2 = 0 then start_line end as start_line, end_line from citations where flag = 'R'),
+    m as (select t.t, a.a, t.id, a.mode, t.rel from t join a on t.id = a.id and regexp_extract(t.file, '[^/]*$') = regexp_extract(a.file, '[^/]*$') where (t.symbol <> '' and (contains(lower(string_split(t.symbol, '.')[-1]), lower(string_split(a.symbol, '.')[-1])) or contains(lower(string_split(a.symbol, '.')[-1]), lower(string_split(t.symbol, '.')[-1]))))
+      or case when t.start_line is not null then a.start_line <= t.end_line and t.start_line <= a.end_line else t.symbol = '' end),
+    q as (select id, mode, count(*) as n_ans from a group by 1, 2), s as (select id, count(*) as n_gt, count(*) filter (where rel) as rel_total, count(*) filter (where not rel) as dir_total from t group by 1),
+    g as (select id, mode, count(distinct t) as hit, count(distinct t) filter (where rel) as rel_hit, count(distinct t) filter (where not rel) as dir_hit, count(distinct a) as good from m group by 1, 2)
+    select q.id, q.mode, coalesce(n_gt, 0) as n_gt, n_ans, case when n_gt > 0 then round(coalesce(hit, 0) / n_gt, 6) end as recall, round(coalesce(good, 0) / n_ans, 6) as precision, coalesce(rel_total, 0) as rel_total, coalesce(rel_hit, 0) as rel_hit, coalesce(dir_total, 0) as dir_total, coalesce(dir_hit, 0) as dir_hit
+    from q left join s using (id) left join g on g.id = q.id and g.mode = q.mode""",
+    ("citations",),
+)
+def scored_impacts_(spark: SparkSession, sf: str) -> DataFrame:
+    c, k = view(spark, sf, "citations").withColumnRenamed("scenario", "id"), F.col("l_partkey")
+    answers = c.where("flag <> 'R'").select("id", F.col("flag").alias("mode"), "file", F.concat(F.lit("T.m"), k % 7).alias("symbol"), "start_line", "end_line")
+    symbol, reach = F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("S.m"), k % 9)), F.when(k % 3 == 0, F.lit("semantic")).otherwise(F.lit("direct"))
+    truth = c.where("flag = 'R'").select("id", "file", symbol.alias("symbol"), reach.alias("reach"), F.when(k % 2 == 0, F.col("start_line")).alias("start_line"), "end_line")
+    return rounded(metrics.scored_impacts(truth, answers), "recall", "precision")
+
+
+@query("a22_issue_counts", f"select severity, count(*) as n from ({ORACLES['f14_f15_a22_issues']}) group by severity")
+def issue_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return validation.counts_by_severity(issues_(spark, sf))
+
+
+@query("a23_drift_summary", f"select bucket, count(*) as n from ({ORACLES['g14_j16_a23_w9_anchor_drift']}) group by bucket")
+def drift_summary_(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.drift_summary(anchor_drift_(spark, sf))
+
+
+@query(
+    "a24_record_counts",
+    "select 'flow' as kind, count(distinct flow) as n from steps union all select 'step', count(*) from steps union all select 'call', sum(len(calls))::bigint from steps union all select 'invariant', count(*) from nation",
+    ("steps",),
+)
+def record_counts_(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.record_counts(view(spark, sf, "steps"), table(spark, sf, "nation"))
+
+
+@query("a25_redaction_totals", "with r as (select unnest([" + ", ".join(f"struct_pack(rule := '{n}', action := '{a}', closed := {str(a == 'fail_closed').lower()}, matches := len(regexp_extract_all(text, '{p}')))" for n, p, a in sanitize.BASELINE) + """]) as r, doc_id, text from documents),
+    h as (select doc_id, r.rule as rule, r.action as action, r.matches as matches, max(r.action = 'fail_closed' and r.matches > 0) over (partition by doc_id) as c, max(r.action = 'drop' and r.matches > 0) over (partition by doc_id) as d from r)
+    select rule, action, count(*) as texts, sum(matches)::bigint as matches from h where matches > 0 and action = case when c then 'fail_closed' when d then 'drop' else 'mask' end group by rule, action""")
+def redaction_totals(spark: SparkSession, sf: str) -> DataFrame:
+    c = sanitize.redaction_counts(sanitize.sanitize(table(spark, sf, "documents").select("doc_id", "text")))
+    return c.withColumn("matches", F.col("matches").cast("long"))
+
+
+@query(
+    "a5_relation_coverage",
+    """with sd as (select 'p' || s_nationkey as prompt_id, 'n' || s_suppkey * 7 as node, s_acctbal as score from supplier), b as (select * from (select *, row_number() over (partition by prompt_id order by score desc, node) as rank from sd) where rank <= 10),
+    m as (select distinct b.prompt_id, b.node as source, e.dst as target, case e.type when 'invokes' then 'calls' else e.type end as relation from b join edges e on e.src = b.node and e.type in ('calls', 'invokes', 'references') where e.dst in (select id from nodes) and e.src in (select id from nodes)),
+    c as (select *, row_number() over (partition by prompt_id, source order by target, relation) as r from m) select prompt_id, relation, count(*) as n from c where r <= 3 group by all""",
+    ("nodes", "edges"),
+)
+def relation_coverage_(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("p"), "s_nationkey").alias("prompt_id"), F.concat(F.lit("n"), F.col("s_suppkey") * 7).alias("node"), F.col("s_acctbal").alias("score"))
+    return compose.relation_coverage(s, view(spark, sf, "nodes"), view(spark, sf, "edges"), ["calls", "references"], compose.Settings(per_seed=3))
+
+
+@query(
+    "t4_a4_capped_expansion",
+    """with sd as (select 'p' || s_nationkey as prompt_id, 'n' || s_suppkey * 7 as node, s_acctbal as score from supplier), b as (select * from (select *, row_number() over (partition by prompt_id order by score desc, node) as rank from sd) where rank <= 10),
+    m as (select distinct b.prompt_id, b.score, b.node as source, e.dst as target, case e.type when 'invokes' then 'calls' else e.type end as relation from b join edges e on e.src = b.node and e.type in ('calls', 'invokes', 'references') where e.dst in (select id from nodes) and e.src in (select id from nodes)),
+    c as (select * from (select *, row_number() over (partition by prompt_id, source order by target, relation) as r from m) where r <= 2),
+    k as (select prompt_id, source, target, relation, score / 2 as score from c where (prompt_id, target) not in (select (prompt_id, node) from b)),
+    o as (select *, row_number() over (partition by prompt_id, target order by score desc, source, relation) as r, string_agg(distinct source, ',' order by source) over (partition by prompt_id, target) as x from k),
+    a as (select prompt_id, target, array_to_string(list_sort(list(distinct source)), ',') as seeds from k group by 1, 2),
+    t as (select o.*, seeds, row_number() over (partition by prompt_id order by score desc, target) as rank from (select * exclude (x) from o where r = 1) o join a using (prompt_id, target)) select prompt_id, source, target, relation, seeds, rank from t where rank <= 50""".replace(", string_agg(distinct source, ',' order by source) over (partition by prompt_id, target) as x", "").replace("(select * exclude (x) from o where r = 1)", "(select * from o where r = 1)"),
+    ("nodes", "edges"),
+)
+def capped_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    """Two edges of a seed at most, and all seeds that reach a target."""
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("p"), "s_nationkey").alias("prompt_id"), F.concat(F.lit("n"), F.col("s_suppkey") * 7).alias("node"), F.col("s_acctbal").alias("score"))
+    out = compose.expand(s, view(spark, sf, "nodes"), view(spark, sf, "edges"), ["calls", "references"], compose.Settings(per_seed=2))
+    return out.select("prompt_id", "source", "target", "relation", F.array_join("seeds", ",").alias("seeds"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "g10_expanded_flow",
+    """recursive with c as (select step as f, unnest(calls) as g from steps), o as (select distinct step from steps where flow = 'f1'), d as (select step as seed, step, 0 as n from o union select d.seed, c.g, n + 1 from d join c on c.f = d.step where n < 2), u as (select step as seed, step, 0 as n from o union select u.seed, c.f, n + 1 from u join c on c.g = u.step where n < 2),
+    a as (select seed, 'down' as direction, step, min(n) as distance from d group by all union all select seed, 'up', step, min(n) from u group by all), r as (select *, row_number() over (partition by seed, direction order by distance, step) as r from a where distance > 0) select seed, direction, step, cast(distance as int) as distance from r where r <= 3""",
+    ("steps",),
+)
+def expanded_flow_(spark: SparkSession, sf: str) -> DataFrame:
+    s = view(spark, sf, "steps")
+    return graph.expanded_flow(s, s.where("flow = 'f1'").select(F.col("step").alias("seed"), "step").distinct(), hops=2, most=3)
+
+
+@query(
+    "g6_t6_deep_subgraph",
+    """with e0 as (select distinct src, dst, type from edges), n0 as (select seed, node, 0 as d from seeds), b as (select src as x, dst as y from e0 union select dst, src from e0), n1 as (select seed, y as node, 1 as d from n0 join b on x = node), n2 as (select seed, y as node, 2 as d from n1 join b on x = node),
+    n as (select seed, node, min(d) as d from (select * from n0 union all select * from n1 union all select * from n2) group by all), i as (select a.seed, e.src, e.dst, e.type, least(a.d, z.d) as d from e0 e join n a on a.node = e.src join n z on z.node = e.dst and z.seed = a.seed),
+    r as (select *, row_number() over (partition by seed order by d, src, dst, type) as r from i), k as (select * from r where r <= 80), m as (select distinct seed, src as id from k union select distinct seed, dst from k union select seed, node from seeds) select seed, id from m where id in (select id from nodes)""",
+    ("nodes", "edges", "seeds"),
+)
+def deep_subgraph(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the subgraphs of depth 2."""
+    s = view(spark, sf, "seeds")
+    return graph.incident_nodes(graph.subgraph(s, view(spark, sf, "edges"), depth=2), s, view(spark, sf, "nodes").select("id"))
+
+
+@query(
+    "s19_s20_s22_s25_f24_documents",
+    """select c_custkey, 'files:' || chr(10) || '- "' || file || '"' || chr(10) || 'related: []' || chr(10) as yaml, 'id: ' || id || chr(10) || 'status: verified' || chr(10) || 'last_verified_at: "2026-03-01"' || chr(10) || 'reviewer: kim' || chr(10) as marked,
+    '# Board' || chr(10) || '## Status' || chr(10) || chr(10) || status || chr(10) || chr(10) || '## Notes' || chr(10) || 'keep' as board, case when c_custkey % 2 = 0 then 'v' || c_custkey else '' end as version, file || '@c0ffee' as cited from entries""",
+    ("entries",),
+)
+def documents_(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts derived from entries, rewritten in place."""
+    e = view(spark, sf, "entries").withColumn("old", F.concat(F.lit("id: "), "id", F.lit("\nstatus: draft\nlast_verified_at: soon\nreviewer: none\n")))
+    path = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("/data/@v"), "c_custkey", F.lit("/graph"))).otherwise(F.lit("/data/current/graph"))
+    pinned = spark.createDataFrame([("c0ffee",)], "src_commit string")
+    e = documents.cited_nodes(e.withColumnsRenamed({"file": "file_path", "line": "start_line"}).withColumn("end_line", F.col("start_line")), pinned)
+    return e.select(
+        "c_custkey",
+        documents.as_yaml({"files": F.array("file_path"), "related": F.array().cast("array<string>")}).alias("yaml"),
+        documents.marked_verified(F.col("old"), "2026-03-01", "kim").alias("marked"),
+        documents.with_sections(F.lit("# Board\n## Status\nold\n\n## Notes\nkeep"), {"Status": F.col("status"), "Gone": F.lit("x")}).alias("board"),
+        documents.version_label(path).alias("version"),
+        F.concat_ws("@", "citation.file", "citation.commit_hash").alias("cited"),
+    )
+
+
 # --- the whole pipeline ----------------------------------------------------------------------------
 
 GLOSSARY = [(["the"], ["Sym5", "Sym44"]), (["und", "les"], ["Sym17"])]

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovespark.functions.text import alignment_errors, line_slice
+from trovespark.operators.audit import chained
+
+LEVELS = ("debug", "info", "warn", "error")
 
 NODE = "id string, type string, name string, qualified_name string, canonical_id string, file_path string, start_line int, end_line int, language string"
 EDGE = "src string, dst string, type string, count int"
@@ -72,7 +75,8 @@ def flow_notes(files: DataFrame) -> DataFrame:
 
     (flow, pos, step, symbol, calls array, invariants array, branches array of when/then)."""
     flow = F.regexp_extract("text", r"(?m)^flow_id:\s*(\S+)", 1)
-    blocks = F.slice(F.split("text", r"(?m)^### STEP "), 2, 1 << 20)
+    cut = F.split("text", r"(?m)^### STEP ")
+    blocks = F.slice(cut, 2, F.size(cut))
     steps = files.select(flow.alias("flow"), F.posexplode(blocks).alias("pos", "block"))
     value = lambda key: F.trim(F.regexp_extract("block", rf"(?m)^- {key}:(.*)$", 1))
     many = lambda key: F.filter(F.split(value(key), r"\s*,\s*"), lambda x: x != "")
@@ -101,6 +105,20 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def record_events(events: DataFrame, log: str, audit: str, chain: str = "trace_id", least: str = "info") -> str:
+    """Events of level least or more to the event log, then to the audit log, hash-chained by chain; the event log stays written if the audit fails, and what failed is returned (blank: nothing)."""
+    level = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.lower("level"))
+    rows = events.where(level >= LEVELS.index(least) + 1)
+    append_events(rows, log)
+    try:
+        body = F.to_json(F.struct("ts", "event", "fields"))
+        order = F.row_number().over(Window.partitionBy(chain).orderBy("ts", "event"))
+        chained(rows.select(chain, order.cast("long").alias("seq"), body.alias("body")), chain, "seq", "body").write.mode("append").json(audit)
+    except Exception as e:  # noqa: BLE001  whatever the audit's store raises
+        return str(e).split("\n")[0] or type(e).__name__
+    return ""
+
+
 def report(df: DataFrame, most: int = 10_000) -> str:
     """A bounded report as indented JSON and a line end; more rows than most are an error."""
     rows = df.limit(most + 1).toJSON().collect()
@@ -117,15 +135,16 @@ def publish(df: DataFrame, root: str, commit: str, digest: str) -> str:
 
 
 def promote(spark: SparkSession, root: str, label: str, checks: dict[str, bool]) -> None:
-    """Points current at a version if every check holds: a small table is rewritten, readers see the old or the new one."""
+    """Points current at a version if every check holds. Labels are appended, each in a file that appears whole, so readers see the one before or this one."""
     failed = sorted(k for k, ok in checks.items() if not ok)
     if failed:
         raise ValueError(f"not promoted: {', '.join(failed)}")
-    spark.createDataFrame([(label,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    spark.createDataFrame([(label,)], "version string").withColumn("at", F.unix_micros(F.current_timestamp())).coalesce(1).write.mode("append").json(f"{root}/current")
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/version={spark.read.schema('version string').json(f'{root}/current').first()['version']}")
+    last = spark.read.schema("version string, at long").json(f"{root}/current").orderBy(F.desc("at")).first()
+    return spark.read.parquet(f"{root}/version={last['version']}")
 
 
 def changed_files(indexed: DataFrame, now: DataFrame) -> DataFrame:
