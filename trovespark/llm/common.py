@@ -185,15 +185,16 @@ def shared_cells(cells: DataFrame, name: str) -> DataFrame:
     return written(cells.join(counts, "cell").select("cell", "node", "members"), f"{name}-shared")
 
 
-def linked_by_cells(shared: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def linked_by_cells(shared: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str, lists: DataFrame | None = None) -> DataFrame:
     """Links (a, b) among nodes (node long, n long, whatever near reads), enough to give the components of all links between nodes that share a cell.
 
     shared comes of shared_cells. near(x, y) is a condition on two structs of a row of nodes, checked(pairs)
     the links among distinct pairs (a, b). In a cell all nodes are held against its head, the one that
     shares cells with most others: a group of near copies gives a star round the text they were made
     from. Then, in cells whose nodes haven't all met, those that aren't in the head's component are held
-    against the rest: pairs that have met already can't join anything. What remains quadratic is a cell
-    of many nodes of which few are linked to any other.
+    against the rest: pairs that have met already can't join anything. With lists (node, cells), of each
+    node's cells in one order, a pair comes out of the first cell it shares only. What remains quadratic
+    is the number of tries of near in a cell of many nodes of which few are linked to any other.
     """
     what = [c for c in nodes.columns if c not in ("node", "n")]
     degree = shared.groupBy("node").agg(F.sum("members").alias("degree"))
@@ -206,8 +207,14 @@ def linked_by_cells(shared: DataFrame, nodes: DataFrame, near: Callable[[str, st
     rooted = held.join(roots, "node", "left").select("node", F.col("x").withField("root", F.coalesce("root", "node")).alias("x"))
     members = shared.drop("members").join(rooted, "node").select("cell", "x")
     apart = members.groupBy("cell").agg(F.max("x").alias("h"), F.min("x.root").alias("low"), F.max("x.root").alias("high")).where("low <> high")
-    members = written(members.join(apart.select("cell", F.col("h.root").alias("main")), "cell"), f"{name}-apart")
+    members = members.join(apart.select("cell", F.col("h.root").alias("main")), "cell")
+    first = F.lit(True)
+    if lists is not None:
+        members = members.join(lists.select(F.col("node").alias("of"), F.col("cells").alias("listed")), F.col("x.node") == F.col("of")).withColumn("x", F.col("x").withField("cells", F.col("listed"))).drop("of", "listed")
+        same = F.zip_with("x.cells", "y.cells", lambda p, q: F.when(p == q, p))
+        first = F.get(F.filter(same, lambda c: c.isNotNull()), F.lit(0)) == F.col("cell")
+    members = written(members, f"{name}-apart")
     met = F.col("y.root") == F.col("x.root")
     once = (F.col("y.root") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
-    rest = members.where("x.root <> main").join(members.select("cell", F.col("x").alias("y")), "cell").where(~met & once & near("x", "y"))
+    rest = members.where("x.root <> main").join(members.select("cell", F.col("x").alias("y")), "cell").where(~met & once & near("x", "y") & first)
     return stars.unionByName(checked(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))

@@ -3,10 +3,10 @@
 Candidates are texts whose fingerprints the segment-popcount grid links. Two texts of similarity 0.8
 differ in about ten of 64 bits, though, which is more than any grid can look for, so those that share
 a MinHash cell are candidates too: the minima of six hashes, one cell for each of 40 bands. A pair of
-similarity s shares none with probability (1 - s^6)^40, which is 5 in 10^6 at 0.8. A second sketch, one
-bit of each of 128 minima, turns most chance meetings down: near texts differ in 29 bits or fewer but
-for 3 in 10^7. Every pair left is checked on its whole shingle sets, so cells and sketches decide what
-is compared, never what is near.
+similarity s shares none with probability (1 - s^6)^40, which is 5 in 10^6 at 0.8. A sketch, four bits
+of each minimum, turns most chance meetings down: what it estimates from lies 4.5 standard deviations
+below what near texts have. Every pair left is checked on its whole shingle sets, so cells and
+sketches decide what is compared, never what is near.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from trovespark.llm.common import components, in_arrow, linked_by_cells, shared_
 from trovespark.llm.near_dedup import fingerprint, fingerprint_links, shingle_hashes
 
 BANDS, ROWS = 40, 6
-SKETCH = 128
+SKETCH_BITS = 4  # of each minimum; a row's sketch is so many longs
+SKETCH = BANDS * ROWS * SKETCH_BITS // 64
+SURE = 4.5
 BLOCK = 1 << 9
 HEAD_PAIRS = 200
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -51,12 +53,20 @@ def cells_of(least: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(least: np.ndarray) -> np.ndarray:
-    """One bit of each of the first SKETCH minima, as longs."""
-    return np.packbits((least[:SKETCH] & np.uint32(1)).astype(bool), bitorder="little").view("<i8")
+    """Bits of all minima, as longs."""
+    bits = (least[:, None] >> np.arange(SKETCH_BITS, dtype=np.uint32)) & np.uint32(1)
+    return np.packbits(bits.astype(bool).ravel(), bitorder="little").view("<i8")
+
+
+def most_different(least: float) -> int:
+    """The bits in which sketches of texts of that similarity differ, SURE standard deviations above the mean: of unequal minima every other bit."""
+    n = BANDS * ROWS
+    spread = sqrt((least * (1 - least) / 4 + (1 - least) / (4 * SKETCH_BITS)) / n)
+    return floor(n * SKETCH_BITS * ((1 - least) / 2 + SURE * spread))
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, th, fp, size, s0, s1, cells) of every row: th a hash of the text, fp its fingerprint, size its distinct shingles."""
+    """(doc_id, th, fp, size, sketch, cells) of every row: th a hash of the text, fp its fingerprint, size its distinct shingles."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -69,11 +79,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 sizes.append(len(found))
                 bits.append(sketch_of(least))
                 cells.append(cells_of(least))
-            two = np.array(bits, np.int64).reshape(-1, 2)
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "th", "fp", "size", "s0", "s1", "cells"])
+            many = pa.list_(pa.int64())
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, many), pa.array(cells, many)], ["doc_id", "th", "fp", "size", "sketch", "cells"])
 
     rows = with_text(docs).withColumn("th", F.xxhash64("text"))
-    return in_arrow(rows, batches, "doc_id long, th long, fp long, size long, s0 long, s1 long, cells array<long>")
+    return in_arrow(rows, batches, "doc_id long, th long, fp long, size long, sketch array<long>, cells array<long>")
 
 
 def near_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -108,13 +118,12 @@ def fingerprint_pairs(classes: DataFrame, radius: int) -> DataFrame:
 
 
 def copy_links(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, least: float, radius: int) -> DataFrame:
-    """(a, b) links among distinct texts (th, n documents, fp, size, s0, s1, cells), enough to give all components. texts_of gives (th, text) for a table of th."""
-    agree = (1 + least) / 2
-    differ = floor(SKETCH * (1 - agree + 5 * sqrt(agree * (1 - agree) / SKETCH)))
+    """(a, b) links among distinct texts (th, n documents, fp, size, sketch, cells), enough to give all components. texts_of gives (th, text) for a table of th."""
+    differ = most_different(least)
 
     def near(x: str, y: str) -> Column:
         of = lambda c: (F.col(f"{x}.{c}"), F.col(f"{y}.{c}"))
-        bits = sum((F.bit_count(p.bitwiseXOR(q)) for p, q in (of("s0"), of("s1"))), F.lit(0))
+        bits = sum((F.bit_count(p.bitwiseXOR(q)) for p, q in (of(f"s{i}") for i in range(SKETCH))), F.lit(0))
         return (F.least(*of("size")) >= least * F.greatest(*of("size"))) & (bits <= differ)  # sets of other sizes can't be near
 
     alike = written(fingerprint_pairs(classes, radius), "copy-alike")
@@ -122,8 +131,9 @@ def copy_links(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], w
     asked = shared.select(F.col("node").alias("th")).union(alike.select("a")).union(alike.select("b")).distinct()
     texts = written(texts_of(asked), "copy-texts")
     checked = lambda pairs: near_pairs(written(pairs, "copy-pairs"), texts, words, least)
-    nodes = classes.select(F.col("th").alias("node"), "n", "size", "s0", "s1")
-    return linked_by_cells(shared, nodes, near, checked, "copies").unionByName(checked(alike))
+    nodes = classes.select(F.col("th").alias("node"), "n", "size", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+    lists = classes.select(F.col("th").alias("node"), "cells")
+    return linked_by_cells(shared, nodes, near, checked, "copies", lists).unionByName(checked(alike))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
@@ -135,7 +145,7 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     doc_id costs no other text its row. An empty table gives no rows.
     """
     found = written(sketches(docs, words), "copy-sketches", "zstd")
-    alike = [F.first(c).alias(c) for c in ("fp", "size", "s0", "s1", "cells")]
+    alike = [F.first(c).alias(c) for c in ("fp", "size", "sketch", "cells")]
     classes = written(found.groupBy("th").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), *alike), "copy-classes", "zstd")
     own, th, first_id = unused(docs, "own", "th", "first_id")
     keyed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
