@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,24 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_LOCAL_SCRATCH: list[str] = []
-BATCH_BYTES = 32 << 20
-
+from trovespark.sources.scratch import shared_folder
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Only a local session without one gets a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/trovespark"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="trovespark-"))
-    return _LOCAL_SCRATCH[0]
+BATCH_BYTES = 32 << 20
 
 
 def new_scratch(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/trovespark/{uuid.uuid4().hex}/{name}"
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -131,8 +119,8 @@ def hash_share(*columns: str) -> Column:
 
 
 def label_shares(labelled: DataFrame, label: str, per_label: int, most_rows: int) -> tuple[Column, int]:
-    """The share of each label's rows that makes about per_label rows, less if labels are many, and a bound of the whole sample."""
-    counts = {r[label]: r["count"] for r in labelled.groupBy(label).count().collect()}
+    """The share of each label's values of u that makes about per_label of them, less if labels are many, and a bound of the whole sample."""
+    counts = {r[label]: max(1, r["n"]) for r in labelled.groupBy(label).agg(F.approx_count_distinct("u").alias("n")).collect()}
     if not counts:
         return F.lit(0.0), 1
     each = max(1, min(per_label, most_rows // len(counts)))

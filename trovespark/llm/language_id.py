@@ -103,9 +103,10 @@ def train(labelled: DataFrame, per_language: int = 500, landmarks: int = 256, mo
             found = [present(t.as_py(), flags).astype(np.int32) for t in b.column(2).cast(pa.binary())]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["u", "lang", "bins"])
 
-    usable = labelled.where("lang is not null and text is not null").select("lang", "text", hash_share("doc_id", "text").alias("u"))
+    usable = labelled.where("lang is not null and text is not null").select("lang", "text", hash_share("text").alias("u"))
     share, most = label_shares(usable, "lang", per_language, most_rows)
-    rows = in_arrow(usable.where(F.col("u") < share).select("u", "lang", "text"), bins, "u double, lang string, bins array<int>").orderBy("u", "lang", "bins").limit(most).toArrow()
+    chosen = usable.where(F.col("u") < share).dropDuplicates(["u", "lang"]).select("u", "lang", "text")  # copies count once
+    rows = in_arrow(chosen, bins, "u double, lang string, bins array<int>").orderBy("u", "lang", "bins").limit(most).toArrow()
     return fit([(n.as_py(), x.values.to_numpy()) for n, x in zip(rows["lang"], rows["bins"], strict=True)], landmarks)
 
 
