@@ -167,16 +167,23 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def shared_cells(cells: DataFrame, name: str) -> DataFrame:
-    """(cell, node, members) of the cells (cell long, node long) that several nodes share."""
-    counts = cells.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
-    return written(cells.join(counts, "cell").select("cell", "node", "members"), f"{name}-shared")
+def shared_cells(cells: DataFrame, name: str, maybe: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of cells (cell long, node long): the pairs (a, b) that share a cell with no third, and (cell, node, members) of the cells that more nodes share.
+
+    Most meetings are of two by chance; they come out of the aggregation, without a join. maybe is a
+    condition on a and b that turns them down there.
+    """
+    counts = cells.groupBy("cell").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b")).where("members > 1")
+    counts = counts if maybe is None else counts.where((F.col("members") > 2) | maybe)
+    counts = written(counts, f"{name}-cells")
+    crowded = counts.where("members > 2").select("cell", "members")
+    return counts.where("members = 2").select("a", "b").distinct(), written(cells.join(crowded, "cell").select("cell", "node", "members"), f"{name}-shared")
 
 
-def linked_by_cells(shared: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str, lists: DataFrame | None = None) -> DataFrame:
+def linked_by_cells(pairs: DataFrame, shared: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str, lists: DataFrame | None = None) -> DataFrame:
     """Links (a, b) among nodes (node long, n long, whatever near reads), enough to give the components of all links between nodes that share a cell.
 
-    shared comes of shared_cells. near(x, y) is a condition on two structs of a row of nodes, checked(pairs)
+    pairs and shared come of shared_cells. near(x, y) is a condition on two structs of a row of nodes, checked(pairs)
     the links among distinct pairs (a, b). In a cell all nodes are held against its head, the one that
     shares cells with most others: a group of near copies gives a star round the text they were made
     from. Then, in cells whose nodes haven't all met, those that aren't in the head's component are held
@@ -190,7 +197,10 @@ def linked_by_cells(shared: DataFrame, nodes: DataFrame, near: Callable[[str, st
     members = shared.drop("members").join(held, "node").select("cell", "x")
     heads = members.groupBy("cell").agg(F.max("x").alias("y"))
     stars = members.join(heads, "cell").where(F.col("x.node") != F.col("y.node")).where(near("x", "y"))
-    stars = written(checked(stars.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), f"{name}-stars")
+    side = lambda end, as_: nodes.select(F.col("node").alias(end), F.struct("node", *what).alias(as_))
+    twos = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y")).select("a", "b")
+    stars = stars.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).union(twos).distinct()
+    stars = written(checked(stars), f"{name}-stars")
     roots = components(stars, name)
     rooted = held.join(roots, "node", "left").select("node", F.col("x").withField("root", F.coalesce("root", "node")).alias("x"))
     members = shared.drop("members").join(rooted, "node").select("cell", "x")

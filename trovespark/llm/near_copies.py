@@ -127,13 +127,14 @@ def copy_links(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], w
         return (F.least(*of("size")) >= least * F.greatest(*of("size"))) & (bits <= differ)  # sets of other sizes can't be near
 
     alike = written(fingerprint_pairs(classes, radius), "copy-alike")
-    shared = shared_cells(classes.select(F.explode("cells").alias("cell"), F.col("th").alias("node")), "copies")
-    asked = shared.select(F.col("node").alias("th")).union(alike.select("a")).union(alike.select("b")).distinct()
+    twos, shared = shared_cells(classes.select(F.explode("cells").alias("cell"), F.col("th").alias("node")), "copies")
+    pairs = alike.union(twos)
+    asked = shared.select(F.col("node").alias("th")).union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = written(texts_of(asked), "copy-texts")
     checked = lambda pairs: near_pairs(written(pairs, "copy-pairs"), texts, words, least)
     nodes = classes.select(F.col("th").alias("node"), "n", "size", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
     lists = classes.select(F.col("th").alias("node"), "cells")
-    return linked_by_cells(shared, nodes, near, checked, "copies", lists).unionByName(checked(alike))
+    return linked_by_cells(twos, shared, nodes, near, checked, "copies", lists).unionByName(checked(alike))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:

@@ -92,10 +92,14 @@ def fingerprint_links(classes: DataFrame, radius: int = 4) -> DataFrame:
     grids = classes.select(F.col("fp").alias("node"), v.alias("v"), F.explode(masks).alias("grid"))
     cells = grids.select(F.xxhash64("grid", F.col("v").bitwiseAND(F.col("grid"))).alias("cell"), "node")  # a chance meeting of two cells costs a comparison
 
+    def linked(x: Column, y: Column, vx: Column, vy: Column) -> Column:
+        return (manhattan(vx, vy) <= radius) & (F.bit_count(x.bitwiseXOR(y)) <= radius)
+
     def near(x: str, y: str) -> Column:
-        return (manhattan(F.col(f"{x}.v"), F.col(f"{y}.v")) <= radius) & (F.bit_count(F.col(f"{x}.node").bitwiseXOR(F.col(f"{y}.node"))) <= radius)
+        return linked(*(F.col(f"{s}.{c}") for c in ("node", "v") for s in (x, y)))
 
-    return linked_by_cells(shared_cells(cells, "grid"), classes.select(F.col("fp").alias("node"), "n", v.alias("v")), near, lambda pairs: pairs, "grid")
+    a, b = F.col("a"), F.col("b")
+    return linked_by_cells(*shared_cells(cells, "grid", linked(a, b, popcounts(a), popcounts(b))), classes.select(F.col("fp").alias("node"), "n", v.alias("v")), near, lambda pairs: pairs, "grid")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
