@@ -244,12 +244,18 @@ def change_history_(spark: SparkSession, sf: str) -> DataFrame:
     return search.change_history(o, s).select("symbol", "number", F.col("rank").cast("long").alias("rank"))
 
 
-@query("r11_t9_change_evidence")
+@query(
+    "r11_t9_change_evidence",
+    f"""with {_BM25}, pr as (select 'c' || o_custkey as symbol, o_orderkey as number, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rank from orders where o_custkey in (select c_custkey from customer))
+    select 'symbol' as way, symbol as asked, symbol, number, null::varchar as file, null::int as start_line, null::int as end_line, null::varchar as patch, rank from pr where rank <= 10
+    union all select 'intent', query_id, symbol, doc::bigint * 31 % 977, file, start_line, end_line, text, rank from tk join corpus using (doc)""",
+    ("corpus", "prompts"),
+)
 def change_evidence_(spark: SparkSession, sf: str) -> DataFrame:
     """Both ways over all symbols: pull requests by symbol, hunks by intent."""
     o = table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("symbol"), F.col("o_orderkey").alias("number"), F.col("o_orderdate").alias("merged_at"))
     s = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("symbol"))
-    hunks = view(spark, sf, "corpus").select(F.col("doc").alias("hunk"), "symbol", F.crc32(F.col("doc").cast("binary")).alias("number"), "file", "start_line", "end_line", F.col("text").alias("patch"))
+    hunks = view(spark, sf, "corpus").select(F.col("doc").alias("hunk"), "symbol", (F.col("doc").cast("long") * 31 % 977).alias("number"), "file", "start_line", "end_line", F.col("text").alias("patch"))
     return search.change_evidence(hunks, o, s, view(spark, sf, "prompts")).withColumn("number", F.col("number").cast("long"))
 
 
@@ -832,7 +838,15 @@ def best_anchor(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.top_k(s, ["conv_id", "turn"], [F.desc("overlap"), F.asc("item_id")], 1, "_r").drop("_r")
 
 
-@query("a19_x26_best_anchor_of_all")
+_ALL_STOP = ", ".join(f"'{w}'" for w in compose.STOPWORDS)
+
+
+@query(
+    "a19_x26_best_anchor_of_all",
+    f"""with w as (select distinct conv_id, turn, unnest([x for x in string_split_regex(lower(text), '[^a-z0-9]+') if length(x) >= 3 and x not in ({_ALL_STOP})]) as x from conversations),
+    v as (select distinct item_id, unnest([x for x in string_split_regex(lower(text), '[^a-z0-9]+') if length(x) >= 3 and x not in ({_ALL_STOP})]) as x from benchmark),
+    c as (select conv_id, turn, item_id, count(*) as overlap from w join v using (x) group by all), r as (select *, row_number() over (partition by conv_id, turn order by overlap desc, item_id) as n from c) select conv_id, turn, item_id, overlap from r where n = 1""",
+)
 def best_anchor_of_all(spark: SparkSession, sf: str) -> DataFrame:
     """Every turn against all items, without stop words; turns that share no word have no row."""
     anchors = table(spark, sf, "benchmark").select(F.col("item_id").alias("anchor"), "text")
@@ -840,7 +854,9 @@ def best_anchor_of_all(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumnRenamed("anchor", "item_id")
 
 
-@query("a25_redaction_counts")
+@query("a25_redaction_counts", "with r as (select unnest([" + ", ".join(f"struct_pack(rule := '{n}', action := '{a}', closed := {str(a == 'fail_closed').lower()}, matches := len(regexp_extract_all(text, '{p}')))" for n, p, a in sanitize.BASELINE) + """]) as r, doc_id, text from documents),
+    h as (select doc_id, r.rule as rule, r.action as action, r.matches as matches, max(r.action = 'fail_closed' and r.matches > 0) over (partition by doc_id) as c, max(r.action = 'drop' and r.matches > 0) over (partition by doc_id) as d from r)
+    select rule, action, count(*) as texts, sum(matches)::bigint as matches from h where matches > 0 and action = case when c then 'fail_closed' when d then 'drop' else 'mask' end group by rule, action""")
 def redaction_counts_(spark: SparkSession, sf: str) -> DataFrame:
     return sanitize.redaction_counts(sanitize.sanitize(table(spark, sf, "documents").select("doc_id", "text")))
 
@@ -1193,14 +1209,6 @@ def record_counts_(spark: SparkSession, sf: str) -> DataFrame:
     return graph.record_counts(view(spark, sf, "steps"), table(spark, sf, "nation"))
 
 
-@query("a25_redaction_totals", "with r as (select unnest([" + ", ".join(f"struct_pack(rule := '{n}', action := '{a}', closed := {str(a == 'fail_closed').lower()}, matches := len(regexp_extract_all(text, '{p}')))" for n, p, a in sanitize.BASELINE) + """]) as r, doc_id, text from documents),
-    h as (select doc_id, r.rule as rule, r.action as action, r.matches as matches, max(r.action = 'fail_closed' and r.matches > 0) over (partition by doc_id) as c, max(r.action = 'drop' and r.matches > 0) over (partition by doc_id) as d from r)
-    select rule, action, count(*) as texts, sum(matches)::bigint as matches from h where matches > 0 and action = case when c then 'fail_closed' when d then 'drop' else 'mask' end group by rule, action""")
-def redaction_totals(spark: SparkSession, sf: str) -> DataFrame:
-    c = sanitize.redaction_counts(sanitize.sanitize(table(spark, sf, "documents").select("doc_id", "text")))
-    return c.withColumn("matches", F.col("matches").cast("long"))
-
-
 @query(
     "a5_relation_coverage",
     """with sd as (select 'p' || s_nationkey as prompt_id, 'n' || s_suppkey * 7 as node, s_acctbal as score from supplier), b as (select * from (select *, row_number() over (partition by prompt_id order by score desc, node) as rank from sd) where rank <= 10),

@@ -110,7 +110,7 @@ def extract(prompts: DataFrame, corpus: DataFrame, index: DataFrame, glossary: l
     knowledge pass then adds the nearest invariants and conventions behind the other hits. Hits are
     merged by citation, the first of repeats staying.
     """
-    expanded = kept(inventory.expand(prompts.select("prompt_id", "text"), list(glossary)).select("prompt_id", "text", "expanded"), "expanded")
+    expanded = inventory.expand(prompts.select("prompt_id", "text"), list(glossary)).select("prompt_id", "text", "expanded")
     place = corpus.select("doc", "file", "start_line", "end_line", "symbol")
 
     def recalled(asked: DataFrame, query: str, vectors: DataFrame, k: int, round_: int) -> DataFrame:
@@ -198,7 +198,7 @@ def relation_coverage(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, rela
 
 def expand_by_intent(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """expand() for seeds (prompt_id, intent, node, score), each prompt over the relations and hops of its intent."""
-    best = kept(top_k(seeds, ["prompt_id"], [F.desc("score"), F.asc("node")], settings.seeds), "best-seeds")
+    best = top_k(seeds, ["prompt_id"], [F.desc("score"), F.asc("node")], settings.seeds)
     intent = F.col("intent")
     walk = best.select(F.concat_ws("|", "prompt_id", "node").alias("seed"), "node", intent_relations(intent).alias("relations"), intent_hops(intent).alias("hops"))
     met = graph.neighbours_by_relations(walk, edges, nodes, settings.per_seed, max(hops for _, _, hops in INTENT_SHAPE.values()))
@@ -245,7 +245,6 @@ def compose(
         intents = classify(asked.select("prompt_id", embed(F.col("text")).alias("vec")), anchors).select("prompt_id", "intent")
     intents = kept(intents, "intents")
     found = extract(asked, corpus, index, glossary, settings, embed)
-    found = Extraction(kept(found.keywords, "stage1-keywords"), kept(found.hits, "stage1-hits"), found.rounds)
     seeds = kept(search(intents, found, corpus, index, settings), "seeds")
     cited = corpus.select("doc", "file", "start_line", "end_line", "commit_hash", "chunk_kind")
     if nodes is None or edges is None:
