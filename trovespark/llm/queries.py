@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trovespark.llm import hard_negatives
 from trovespark.llm.common import documents, labels
 from trovespark.llm.language_id import language_of_documents
 from trovespark.llm.licenses import scan_licences
@@ -65,6 +66,10 @@ def op10_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_of_documents(documents(spark, sf_dir), labels(spark, sf_dir), folds=3, held_out=1, threshold=0.7)
 
 
+def op11_summa_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined_from_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), anchor_every=100, noise_every=7, labels=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minimax_shards": op1_minimax_shards,
     "op2_bm25_packing": op2_bm25_packing,
@@ -76,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_jpeg_media": op9_jpeg_media,
     "op10_recurrent_toxicity": op10_recurrent_toxicity,
+    "op11_summa_hard_negatives": op11_summa_hard_negatives,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_summa_hard_negatives": hard_negatives.SQL}
