@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trovespark.llm import bit_sliced, hard_negatives
+from trovespark.llm import bit_sliced, hard_negatives, substring_dedup
 from trovespark.llm.common import documents, labels
 from trovespark.llm.language_id import language_of_documents
 from trovespark.llm.licenses import scan_licences
@@ -70,6 +70,10 @@ def op11_summa_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined_from_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), anchor_every=100, noise_every=7, labels=10)
 
 
+def op12_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(documents(spark, sf_dir), window=50).drop("kept")
+
+
 def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jpeg_media": op9_jpeg_media,
     "op10_recurrent_toxicity": op10_recurrent_toxicity,
     "op11_summa_hard_negatives": op11_summa_hard_negatives,
+    "op12_recompression_dedup": op12_recompression_dedup,
     "op13_bit_sliced_search": op13_bit_sliced_search,
 }
-ORACLES: dict[str, str] = {"op11_summa_hard_negatives": hard_negatives.SQL, "op13_bit_sliced_search": bit_sliced.SQL}
+ORACLES: dict[str, str] = {"op11_summa_hard_negatives": hard_negatives.SQL, "op12_recompression_dedup": substring_dedup.SQL, "op13_bit_sliced_search": bit_sliced.SQL}
