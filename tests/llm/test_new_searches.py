@@ -167,7 +167,7 @@ def test_pieces_of_long_texts(monkeypatch):
     for piece in (1 << 15, 64):
         monkeypatch.setattr(substring_dedup, "PIECE", piece)
         anchors = defaultdict(list)
-        for d, (anchor, *_, start, n) in substring_dedup.parsed(substring_dedup.Words(texts), 10, powers):
+        for d, (anchor, _, start, n) in substring_dedup.parsed(substring_dedup.Words(texts), 10, powers):
             for a, s, k in zip(anchor, start, n, strict=True):
                 anchors[d] += [(int(w), int(a)) for w in range(s, s + k)]
         found.append(anchors)

@@ -9,7 +9,7 @@ of words that settles it, and whatever holds that interval, wherever it stands,
 
 The symbols settled inside a window are thus the same wherever the window stands. Each window takes
 the one of least hash as its anchor. Windows of a document that share an anchor are a segment, named by
-a 128-bit hash of its words. One aggregation finds the anchors that stand in two documents; all other
+128 bits, of its anchor and of its words. One aggregation finds the anchors that stand in two documents; all other
 segments are done with. Of the rest, segments of one name give themselves up to their first document,
 and only where one anchor has several segment names are single windows compared, again by 128-bit
 hashes, from one segment of each name. So copies meet in one row, and no pairs are made.
@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,13 +37,13 @@ LEVELS = (1, 3, 6)
 PIECE = 1 << 17
 #: Bytes of text that a task cuts into words at a time; a longer text is cut alone.
 CUT = 4 << 20
-#: A table of fewer bytes than this goes to all tasks instead of texts being shuffled to it.
-BESIDE = 64 << 20
+#: Bits of the filter that goes before texts are shuffled: so many for each key, in words of 64, at most FILTER_WORDS.
+FILTER_BITS, FILTER_HASHES, FILTER_WORDS = 12, 4, 1 << 23
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 #: Multipliers of the two lanes of word hashes, odd.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-SEGMENT = "struct<anchor:bigint,c1:bigint,c2:bigint,start:int,n:int>"
+SEGMENT = "struct<anchor:bigint,name:bigint,start:int,n:int>"
 U = np.uint64
 
 
@@ -191,7 +192,7 @@ def least_in(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
 
 
 def segments(words: np.ndarray, fences: np.ndarray, window: int, powers: Powers) -> tuple[np.ndarray, ...]:
-    """(anchor, c1, c2, start, n) of the segments of a piece: words [lane, place], where fences stand between documents and at both ends.
+    """(anchor, name, start, n) of the segments of a piece: words [lane, place], where fences stand between documents and at both ends.
 
     Windows in which no symbol is settled are their own anchors; n equal ones in a row are one segment, named by the first.
     """
@@ -207,7 +208,7 @@ def segments(words: np.ndarray, fences: np.ndarray, window: int, powers: Powers)
     starts = places[: max(0, total - window + 1)]
     starts = starts[before[starts + window] == before[starts]]
     if not len(starts):
-        return (np.empty(0, np.int64),) * 5
+        return (np.empty(0, np.int64),) * 4
     anchor, low, high = (np.full(len(starts), -1, np.int64) for _ in range(3))
     rest = np.arange(len(starts))
     for level, (symbols, lows, highs) in enumerate(levels):
@@ -225,9 +226,9 @@ def segments(words: np.ndarray, fences: np.ndarray, window: int, powers: Powers)
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(starts)))
     start, alone = starts[first], alone[first]
-    c1, c2 = (hashes.of(start, start + np.where(alone, 1, n) + window - 1, lane) for lane in (0, 1))
-    key = np.where(alone, c1, hashes.of(np.maximum(low[first], 0), np.maximum(high[first], 0), 0))
-    return key.view(np.int64), c1.view(np.int64), c2.view(np.int64), start, n
+    name = hashes.of(start, start + np.where(alone, 1, n) + window - 1, 1)
+    key = hashes.of(np.where(alone, start, low[first]), np.where(alone, start + window, high[first]), 0)
+    return key.view(np.int64), name.view(np.int64), start, n
 
 
 def pieces(n_words: int, window: int) -> Iterator[tuple[int, int]]:
@@ -245,9 +246,9 @@ def parsed(words: Words, window: int, powers: Powers) -> Iterator[tuple[int, tup
         flat = np.concatenate([x for d, a, b in held for x in (barrier, hashed[:, words.first[d] + a : words.first[d] + b])] + [barrier], axis=1)
         fences = np.cumsum([0, *(b - a + 1 for _, a, b in held)])
         got = segments(flat, fences, window, powers)
-        cuts = np.searchsorted(got[3], fences)
+        cuts = np.searchsorted(got[2], fences)
         for (d, a, _), fence, i, j in zip(held, fences, cuts[:-1], cuts[1:], strict=False):
-            yield d, (*(x[i:j] for x in got[:3]), got[3][i:j] - fence - 1 + a, got[4][i:j])
+            yield d, (got[0][i:j], got[1][i:j], got[2][i:j] - fence - 1 + a, got[3][i:j])
 
     held, size = [], 0
     for d, n in enumerate(np.diff(words.first)):
@@ -263,14 +264,14 @@ def parsed(words: Words, window: int, powers: Powers) -> Iterator[tuple[int, tup
 
 def scan(named: DataFrame, window: int) -> DataFrame:
     """(doc_id, th, n_words, digest, segments) of every row of named (doc_id, th, text): digest is the hash of all its words, joined by one space."""
-    kind = pa.struct([("anchor", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+    kind = pa.struct([("anchor", pa.int64()), ("name", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(2 * PIECE)
         for b in it:
             for row, words in cut(b.column(2)):
                 n = np.diff(words.first)
-                whose, columns = [np.empty(0, np.int64)], [[np.empty(0, np.int64)] for _ in range(5)]
+                whose, columns = [np.empty(0, np.int64)], [[np.empty(0, np.int64)] for _ in range(4)]
                 for d, got in parsed(words, window, powers):
                     whose.append(np.full(len(got[0]), d))
                     for c, x in zip(columns, got, strict=True):
@@ -285,7 +286,7 @@ def scan(named: DataFrame, window: int) -> DataFrame:
 
 
 def window_hashes(texts: DataFrame, window: int) -> DataFrame:
-    """(c1, c2, at, w1, w2, doc_id) of every window of the segments in texts (doc_id, text, segments array<struct<c1, c2, start, n>>); at counts from the segment's start."""
+    """(id, at, w1, w2, doc_id) of every window of the segments in texts (doc_id, text, segments array<struct<id, start, n>>); at counts from the segment's start."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(PIECE)  # a segment is within a piece
@@ -293,7 +294,7 @@ def window_hashes(texts: DataFrame, window: int) -> DataFrame:
 
         def flat(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            return pa.record_batch([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(columns)], ["c1", "c2", "at", "w1", "w2", "doc_id"])
+            return pa.record_batch([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)], ["id", "at", "w1", "w2", "doc_id"])
 
         for b in it:
             for row, words in cut(b.column(1)):
@@ -303,7 +304,7 @@ def window_hashes(texts: DataFrame, window: int) -> DataFrame:
                     for s in b.column(2)[row + d].as_py():
                         hashes, at = Hashes(inside[:, s["start"] : s["start"] + s["n"] + window - 1], powers), np.arange(s["n"])
                         w1, w2 = (hashes.of(at, at + window, lane).view(np.int64) for lane in (0, 1))
-                        held.append((np.full(s["n"], s["c1"]), np.full(s["n"], s["c2"]), at, w1, w2, np.full(s["n"], doc_id)))
+                        held.append((np.full(s["n"], s["id"]), at, w1, w2, np.full(s["n"], doc_id)))
                         size += s["n"]
                         if size >= PIECE:
                             yield flat(held)
@@ -311,7 +312,7 @@ def window_hashes(texts: DataFrame, window: int) -> DataFrame:
         if held:
             yield flat(held)
 
-    return in_arrow(texts, batches, "c1 long, c2 long, at int, w1 long, w2 long, doc_id long")
+    return in_arrow(texts, batches, "id long, at int, w1 long, w2 long, doc_id long")
 
 
 def without(texts: DataFrame) -> DataFrame:
@@ -336,26 +337,42 @@ def without(texts: DataFrame) -> DataFrame:
     return in_arrow(texts, batches, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
-def beside(small: DataFrame, items: str) -> DataFrame:
-    """A written table to join texts with: sent to all tasks if its measured size is small, else Spark's choice."""
-    size = small.agg(F.count("*").alias("rows"), F.sum(F.size(items)).alias("items")).first()
-    return F.broadcast(small) if 64 * size["rows"] + 64 * (size["items"] or 0) <= BESIDE else small
+def worth_joining(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """texts (doc_id, th, ...) without most of those whose key isn't in keys (doc_id, th), so that they needn't be shuffled to a join with keys.
+
+    A Bloom filter of FILTER_WORDS words at most; where there are too many keys for it, more texts than need be go on to the join, which alone decides.
+    """
+    words = min(FILTER_WORDS, 1 + keys.count() * FILTER_BITS // 64)
+    spots = [F.pmod(F.xxhash64(F.lit(i), "doc_id", "th"), F.lit(words * 64)) for i in range(FILTER_HASHES)]
+    spot = keys.select(F.explode(F.array(*spots)).alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+    set_ = spot.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # words at most
+    bits = np.zeros(words, np.int64)
+    bits[set_["w"].to_numpy()] = set_["b"].to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def perhaps(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for places in it:
+            yield pd.Series(np.logical_and.reduce([sent.value[p.to_numpy() >> 6] >> (p.to_numpy() & 63) & 1 == 1 for p in places]))
+
+    return texts.where(perhaps(*spots))
 
 
 def earlier_windows(found: DataFrame, texts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, th, start, end) of word spans that windows of a smaller doc_id cover; found is (doc_id, th, anchor, c1, c2, start, n), texts (doc_id, th, text)."""
+    """(doc_id, th, start, end) of word spans that windows of a smaller doc_id cover; found is (doc_id, th, anchor, name, start, n), texts (doc_id, th, text)."""
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     met = written(found.join(shared, "anchor", "left_semi"), "met")
-    names = met.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "th", "start", "n", "anchor")).alias("s"))
-    names = written(names.select("c1", "c2", "s.*"), "names")
-    several = names.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    asked = names.join(several, "anchor", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("c1", "c2", "start", "n")).alias("segments"))  # of one document
-    asked = texts.join(beside(written(asked, "asked"), "segments"), ["doc_id", "th"]).select("doc_id", "text", "segments")
+    names = met.groupBy("anchor", "name").agg(F.min(F.struct("doc_id", "th", "start", "n")).alias("s"))
+    names = written(names.select("anchor", "name", "s.*", F.monotonically_increasing_id().alias("id")), "names")
+    several = names.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    asked = names.join(several, "anchor", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("id", "start", "n")).alias("segments"))  # of one document
+    asked = written(asked, "asked")
+    asked = worth_joining(texts, asked).join(asked, ["doc_id", "th"]).select("doc_id", "text", "segments")
     windows = written(window_hashes(asked, window), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    late = windows.join(first, ["w1", "w2"]).where("first < doc_id").groupBy("c1", "c2").agg(F.collect_set("at").alias("late"))  # of one segment
-    told = names.select("c1", "c2", F.col("doc_id").alias("owner")).join(late, ["c1", "c2"], "left")
-    spans = met.join(told, ["c1", "c2"])
+    late = windows.join(first, ["w1", "w2"]).where("first < doc_id").groupBy("id").agg(F.collect_set("at").alias("late"))  # of one segment
+    told = names.join(late, "id", "left").select("anchor", "name", F.col("doc_id").alias("owner"), "late")
+    spans = met.join(told, ["anchor", "name"])
     whole = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("n") + (window - 1)).alias("end")))
     single = F.transform("late", lambda x: F.struct((F.col("start") + x).alias("start"), (F.col("start") + x + window).alias("end")))
     return spans.select("doc_id", "th", F.inline(F.when(F.col("owner") < F.col("doc_id"), whole).otherwise(single)))
@@ -375,8 +392,8 @@ def deduplicated(docs: DataFrame, window: int = 50) -> DataFrame:
     scanned = written(scan(named, window), "scanned")
     found = scanned.where("doc_id is not null").select("doc_id", "th", F.inline("segments"))
     spans = earlier_windows(found, named, window).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # of one document
-    spans = beside(written(spans, "spans"), "spans")
-    shorter = without(named.join(spans, ["doc_id", "th"]).select("doc_id", "text", "spans"))
+    spans = written(spans, "spans")
+    shorter = without(worth_joining(named, spans).join(spans, ["doc_id", "th"]).select("doc_id", "text", "spans"))
     whole = scanned.join(spans.select("doc_id", "th"), ["doc_id", "th"], "left_anti")
     return shorter.unionByName(whole.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept")))
 
