@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from trovespark.functions.text import code_terms, cosine, hashed_vector, is_test_path, plain_words, query_terms
 from trovespark.operators.inventory import expand
 from trovespark.operators.ranking import normalised, top_k
+from trovespark.sources.index import Index
 from trovespark.sources.scratch import kept
 
 K1, B = 1.5, 0.75
@@ -62,6 +63,12 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, query: str = "q
     return normalised(best, [query]) if scale else best
 
 
+def search_index(queries: DataFrame, index: Index, query: str = "query_id", text: str = "text", k: int = 10, scale: bool = True, within: DataFrame | None = None) -> DataFrame:
+    """bm25 over a standing index, of which only the buckets of the queries' terms are read."""
+    terms = kept(queries.select(F.explode(F.array_distinct(code_terms(F.col(text)))).alias("term")).distinct(), "asked-terms")
+    return bm25(queries, index.postings(terms), index.stats(), query, text, k, scale, within)
+
+
 MOST_QUERIES = 20_000
 MOST_ANCHORS = 10_000
 DEFAULT_K = 10

@@ -22,7 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/trovespark/{uuid.uuid4().hex}/{name}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/trovespark/{uuid.uuid4().hex}/{name}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
