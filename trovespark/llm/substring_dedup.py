@@ -361,6 +361,7 @@ def worth_joining(texts: DataFrame, keys: DataFrame) -> DataFrame:
 def earlier_windows(found: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     """(doc_id, th, start, end) of word spans that windows of a smaller doc_id cover; found is (doc_id, th, anchor, name, start, n), texts (doc_id, th, text)."""
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    shared = written(shared, "shared")  # else its aggregation would bind the join to one task for an anchor
     met = written(found.join(shared, "anchor", "left_semi"), "met")
     names = met.groupBy("anchor", "name").agg(F.min(F.struct("doc_id", "th", "start", "n")).alias("s"))
     names = written(names.select("anchor", "name", "s.*", F.monotonically_increasing_id().alias("id")), "names")
