@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from trovespark.operators import graph, sanitize, search
+from trovespark.operators import audit, graph, sanitize, search
 from trovespark.sources import documents, readers
 
 
@@ -65,7 +65,7 @@ def test_events_stay_logged_if_the_audit_fails(spark, tmp_path):
     (tmp_path / "file").write_text("not a folder")
     assert readers.record_events(events, str(tmp_path / "log"), str(tmp_path / "file" / "audit")) != ""
     assert spark.read.json(str(tmp_path / "log")).count() == 4
-    assert readers.record_events(events, str(tmp_path / "log2"), str(tmp_path / "audit")) == "" and spark.read.json(str(tmp_path / "audit")).count() == 4
+    assert readers.record_events(events, str(tmp_path / "log2"), str(tmp_path / "audit")) == "" and audit.read_log(spark, str(tmp_path / "audit")).count() == 4
 
 
 def test_flows_by_one_way_only(spark):

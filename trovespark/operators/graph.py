@@ -64,8 +64,12 @@ def reach(seeds: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def neighbours(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, relations: list[str], hops: int = 1, most: int = 50) -> DataFrame:
-    """(seed, source, target, relation, distance): edges met within hops, mapped to relations; ends must be nodes; most per seed."""
+def neighbours(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, relations: list[str], hops: int = 1, most: int = 50, interfaces: bool = False) -> DataFrame:
+    """(seed, source, target, relation, distance): edges met within hops, mapped to relations; ends must be nodes; most per seed.
+
+    With interfaces, a walk back from a method begins at the interface methods it serves as well, so that
+    callers through an interface are met; an edge met from several of a seed's starts counts once.
+    """
     hops = max(1, hops)
     parts = []
     for reverse in (False, True):
@@ -73,7 +77,8 @@ def neighbours(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, relations:
         types = tuple(sorted({t for r in wanted for t in RELATION_EDGES[r]}))
         if types:
             steps = arrows(edges, "reverse" if reverse else "forward", types)
-            inner = reach(seeds, steps, hops - 1)
+            starts = with_interfaces(seeds, nodes, edges) if interfaces and reverse else seeds
+            inner = reach(starts, steps, hops - 1)
             met = inner.join(steps, inner["node"] == steps["at"]).select("seed", F.col("at").alias("source"), F.col("to").alias("target"), "type", (F.col("distance") + 1).alias("distance"))
             mapping = F.create_map(*[x for k, v in EDGE_RELATION.items() for x in (F.lit(k), F.lit({"calls": "called_by"}.get(v) if reverse else v))])
             parts.append(met.withColumn("relation", F.element_at(mapping, F.col("type"))).where("relation is not null"))
@@ -96,6 +101,10 @@ def neighbours_by_relations(seeds: DataFrame, edges: DataFrame, nodes: DataFrame
     steps = forward.unionByName(reverse).distinct()
     walk = ["seed", "way", "relations", "hops"]
     seen = seeds.select("seed", "node", "relations", "hops", F.explode(F.array(F.lit("forward"), F.lit("reverse"))).alias("way"))
+    if "qualified_name" in nodes.columns:  # walks back begin at the interface methods too
+        served = with_interfaces(seeds.where(F.array_contains("relations", "called_by")), nodes, edges)
+        served = served.join(seeds.select("seed", "relations", "hops").distinct(), "seed").select("seed", "node", "relations", "hops", F.lit("reverse").alias("way"))
+        seen = seen.unionByName(served).distinct()
     frontier, parts = seen, []
     for hop in range(1, most_hops + 1):
         met = frontier.where(F.col("hops") >= hop).join(steps.withColumnRenamed("at", "node"), ["node", "way"]).where(F.array_contains("relations", F.col("relation")))
@@ -123,6 +132,12 @@ def interface_seeds(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     return wanted.join(nodes, "qualified_name").select("seed", F.col("id").alias("node")).distinct()
 
 
+def with_interfaces(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """seeds (seed, node) and the interface methods that their methods serve."""
+    asked = interface_seeds(seeds.select(F.struct("seed", "node").alias("seed"), "node"), nodes, edges)
+    return seeds.select("seed", "node").unionByName(asked.select("seed.seed", "node")).distinct()
+
+
 def subgraph(seeds: DataFrame, edges: DataFrame, depth: int = 1, most: int = SUBGRAPH_EDGES) -> DataFrame:
     """(seed, src, dst, type): at most so many edges between nodes within depth of the seed, nearest first, directions ignored."""
     near = reach(seeds, arrows(edges, "both"), max(1, depth))
@@ -177,6 +192,97 @@ def flow_order(steps: DataFrame, roots: DataFrame, hops: int | None = None) -> D
     return seen
 
 
+def _core(edges: DataFrame) -> DataFrame:
+    """Of edges (a, b), those on cycles or between cycles: what is left when nodes without a way in or a way out are taken off, again and again."""
+    edges, before = kept(edges, "core"), None
+    while (now := edges.count()) and now != before:
+        a, b = edges.select(F.col("a").alias("x")), edges.select(F.col("b").alias("x"))
+        edges = kept(edges.join(b.withColumnRenamed("x", "a"), "a", "left_semi").join(a.withColumnRenamed("x", "b"), "b", "left_semi").select("a", "b"), "core")
+        before = now
+    return edges
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle) of the nodes of edges (a, b) that lie on cycles: nodes that reach each other have the cycle's greatest node in common.
+
+    Each round colours every node of the core with the greatest node that reaches it; whatever of a
+    colour reaches back to the node that gave it is a cycle. A self-call makes no cycle. The core loses at least its greatest
+    colours each round, so rounds end; all of them are joins on (a, b).
+    """
+    found = None
+    rest = _core(edges.where("a <> b").distinct())
+    while not rest.isEmpty():
+        nodes = rest.select(F.col("a").alias("node")).unionByName(rest.select(F.col("b").alias("node"))).distinct()
+        colour, before = kept(nodes.withColumn("colour", F.col("node")), "colour"), None
+        while True:
+            met = rest.join(colour.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "colour")
+            colour = kept(colour.unionByName(met).groupBy("node").agg(F.max("colour").alias("colour")), "colour")
+            now = colour.agg(F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)"))).first()[0]
+            if now == before:
+                break
+            before = now
+        of = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias(f"c{end}"))
+        inside = kept(rest.join(of("a"), "a").join(of("b"), "b").where("ca = cb").select(F.col("b").alias("node"), F.col("a").alias("back"), F.col("ca").alias("cycle")), "inside")
+        reached = inside.select(F.col("cycle").alias("node"), "cycle").distinct()
+        frontier = reached
+        while True:
+            frontier = frontier.join(inside, ["node", "cycle"]).select(F.col("back").alias("node"), "cycle").distinct()
+            frontier = kept(frontier.join(reached, ["node", "cycle"], "left_anti"), "back")
+            if frontier.isEmpty():
+                break
+            reached = kept(reached.unionByName(frontier), "reached")
+        found = reached if found is None else kept(found.unionByName(reached), "cycles")
+        taken = reached.select("node")
+        rest = _core(rest.join(taken.withColumnRenamed("node", "a"), "a", "left_anti").join(taken.withColumnRenamed("node", "b"), "b", "left_anti"))
+    if found is None:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("cycle")).where("false")
+    sizes = found.groupBy("cycle").agg(F.count("*").alias("n")).where("n > 1")
+    return found.join(sizes, "cycle", "left_semi").select("node", "cycle")
+
+
+def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, layer) of nodes (node): the longest way to each over edges (a, b) without cycles.
+
+    A layer is peeled off at a time: edges from nodes that no edge that is left leads to. A node's layer
+    is one more than the last round in which an edge to it went; nodes without one are of layer 0.
+    """
+    rest, gone, n = edges.select("a", "b").distinct(), [], None
+    while True:
+        led = rest.select(F.col("b").alias("a")).distinct().withColumn("stays", F.lit(True))
+        now = kept(rest.join(led, "a", "left").select("a", "b", F.col("stays").isNotNull().alias("stays"), F.lit(len(gone) + 1).alias("layer")), f"round{len(gone)}")
+        sizes = now.groupBy("stays").count().collect()
+        left = sum(r["count"] for r in sizes if r["stays"])
+        if left and left == n:
+            raise ValueError("the edges have a cycle")
+        gone.append(now.where("not stays").select(F.col("b").alias("node"), "layer"))
+        rest, n = now.where("stays").select("a", "b"), left
+        if not left:
+            break
+    deepest = reduce(DataFrame.unionByName, gone).groupBy("node").agg(F.max("layer").alias("layer"))
+    return nodes.join(deepest, "node", "left").select("node", F.coalesce("layer", F.lit(0)).alias("layer"))
+
+
+def call_order(steps: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(flow, step, layer, cycle) of steps (flow, step, calls array): in order of layer, then cycle, no call runs backwards outside a cycle.
+
+    The layer is the longest way of calls that leads to a step within its flow, cycles counting as
+    one step; steps of a cycle share a layer and the cycle's name, its greatest step; others are their own. Calls to steps
+    that the flow lacks don't count. With roots (flow, step), only steps that these reach stand in the result, and count.
+    """
+    if roots is not None:
+        steps = steps.join(flow_order(steps, roots).select("flow", "step"), ["flow", "step"], "left_semi")
+    place = lambda step: F.struct(F.col("flow"), F.col(step).alias("step"))
+    nodes = kept(steps.select(place("step").alias("node")).distinct(), "steps")
+    calls = steps.select("flow", "step", F.explode("calls").alias("to")).select(place("step").alias("a"), place("to").alias("b")).distinct()
+    calls = kept(calls.join(nodes.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"), "calls")
+    on = kept(cycles(calls), "on-cycles")
+    whole = kept(nodes.join(on, "node", "left").select("node", F.coalesce("cycle", "node").alias("cycle")), "whole")
+    end = lambda x: whole.select(F.col("node").alias(x), F.col("cycle").alias(f"c{x}"))
+    between = calls.join(end("a"), "a").join(end("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    deep = layers(between, whole.select(F.col("cycle").alias("node")).distinct())
+    return whole.join(deep.withColumnRenamed("node", "cycle"), "cycle").select("node.flow", "node.step", "layer", F.col("cycle.step").alias("cycle"))
+
+
 def enforcement(steps: DataFrame, most: int = 20) -> DataFrame:
     """(inv, pos, flow, step): where each invariant is enforced, most places of each; steps (flow, step, invariants array)."""
     sites = steps.select(F.explode("invariants").alias("inv"), "flow", "step").distinct()

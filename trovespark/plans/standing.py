@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trovespark.operators import search
+from trovespark.operators import audit, graph, search
 from trovespark.plans.catalogue import _BM25, query, rounded
 from trovespark.sources import index
 from trovespark.sources.scratch import new_folder
-from trovespark.sources.tables import view
+from trovespark.sources.tables import table, view
 
 
 def refreshed_index(spark: SparkSession, sf: str) -> index.Index:
@@ -43,3 +43,63 @@ def standing_search(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword search that reads the buckets of the prompts' terms of an index it didn't build."""
     found = search.search_index(view(spark, sf, "prompts"), refreshed_index(spark, sf))
     return rounded(found.select("query_id", "doc", F.col("rank").cast("long").alias("rank"), "score"), "score")
+
+
+@query(
+    "x14_s16_o2_appended_audit",
+    """recursive with o as (select *, row_number() over (partition by trace_id order by seq) as n from audit),
+    c as (select trace_id, n, sha256(repeat('0', 64) || '|' || body) as hash from o where n = 1 union all select o.trace_id, o.n, sha256(c.hash || '|' || o.body) from c join o on o.trace_id = c.trace_id and o.n = c.n + 1)
+    select trace_id as chain, max(n) as records, cast(null as bigint) as first_break, max_by(hash, n) as last_hash from c group by trace_id""",
+    ("audit",),
+)
+def appended_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches, of which the second is given twice, and their chains verified as one."""
+    rows, path = view(spark, sf, "audit"), new_folder(spark, "audit")
+    bounds = rows.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    third = ((bounds["b"] or 0) - (bounds["a"] or 0)) // 3 + 1
+    for i in (0, 1, 1, 2):
+        some = rows.where(F.floor((F.col("seq") - (bounds["a"] or 0)) / third) == i)
+        audit.append(some, path, "trace_id", [F.col("seq")], F.col("body"), f"part-{i}")
+    return audit.chain_breaks(audit.read_log(spark, path), "chain", "seq", "body")
+
+
+_CALLS = """with s as (select 'f' || cast(o_custkey % 50 as varchar) as flow, row_number() over (partition by o_custkey % 50 order by o_orderkey) as r, count(*) over (partition by o_custkey % 50) as n from orders),
+    e as (select distinct flow, r as a, b from (select flow, r, n, 2 * r as b from s union all select flow, r, n, 2 * r + 1 from s union all select flow, r, n, r + 3 from s where r % 5 = 0
+        union all select flow, r, n, r // 2 from s where r % 13 = 0 union all select flow, r, n, r - 7 from s where r % 17 = 0) x where b between 1 and n and b <> r)"""
+
+
+def flow_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """(flow, step, calls) of flows that branch, meet again and run in cycles."""
+    w = Window.partitionBy("flow")
+    s = table(spark, sf, "orders").select(F.concat(F.lit("f"), F.col("o_custkey") % 50).alias("flow"), "o_orderkey").withColumns({"r": F.row_number().over(w.orderBy("o_orderkey")), "n": F.count("*").over(w)})
+    r = F.col("r")
+    calls = F.array(2 * r, 2 * r + 1, F.when(r % 5 == 0, r + 3), F.when(r % 13 == 0, F.floor(r / 2).cast("int")), F.when(r % 17 == 0, r - 7))
+    kept_calls = F.filter(calls, lambda b: b.isNotNull() & (b >= 1) & (b <= F.col("n")) & (b != r))
+    return s.select("flow", r.cast("long").alias("step"), F.array_distinct(kept_calls).cast("array<bigint>").alias("calls"))
+
+
+@query(
+    "g9_call_order",
+    f"""{_CALLS.replace("with ", "with recursive ", 1)}, p as (select flow, a, b from e union select p.flow, p.a, e.b from p join e on e.flow = p.flow and e.a = p.b),
+    c as (select s.flow, s.r as step, coalesce(max(x.b), s.r) as cycle from s left join (select p.flow, p.a, p.b from p join p q on q.flow = p.flow and q.a = p.b and q.b = p.a) x on x.flow = s.flow and x.a = s.r group by s.flow, s.r),
+    d as (select distinct e.flow, x.cycle as a, y.cycle as b from e join c x on x.flow = e.flow and x.step = e.a join c y on y.flow = e.flow and y.step = e.b where x.cycle <> y.cycle),
+    l as (select distinct flow, cycle as node, 0 as layer from c union select l.flow, d.b, l.layer + 1 from l join d on d.flow = l.flow and d.a = l.node),
+    m as (select flow, node, max(layer) as layer from l group by flow, node)
+    select c.flow, c.step, cast(m.layer as int) as layer, c.cycle from c join m on m.flow = c.flow and m.node = c.cycle""",
+)
+def call_order_(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.call_order(flow_calls(spark, sf))
+
+
+@query(
+    "g1_j10_callers_through_interfaces",
+    """with m as (select s.seed, n.id, regexp_extract(n.qualified_name, '^(.*)\\.[^.]*$', 1) as owner, regexp_extract(n.qualified_name, '([^.]*)$', 1) as method from seeds s join nodes n on n.id = s.node),
+    f as (select distinct m.seed, i.id as node from m join nodes t on t.qualified_name = m.owner join edges e on e.src = t.id and e.type = 'implements' join nodes x on x.id = e.dst join nodes i on i.qualified_name = x.qualified_name || '.' || m.method),
+    s as (select seed, node from seeds union select seed, node from f),
+    c as (select distinct s.seed, e.dst as source, e.src as target from s join edges e on e.dst = s.node and e.type in ('calls', 'invokes') where e.src in (select id from nodes) and e.dst in (select id from nodes)),
+    r as (select *, row_number() over (partition by seed order by source, target) as r from c)
+    select seed, source, target, 'called_by' as relation, 1 as distance from r where r <= 50""".replace("\\\\", "\\"),
+    ("seeds", "nodes", "edges"),
+)
+def callers_through_interfaces(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.neighbours(view(spark, sf, "seeds"), view(spark, sf, "edges"), view(spark, sf, "nodes"), ["called_by"], interfaces=True)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovespark.functions.text import alignment_errors, line_slice
-from trovespark.operators.audit import chained
+from trovespark.operators.audit import append
 
 LEVELS = ("debug", "info", "warn", "error")
 
@@ -106,14 +106,12 @@ def append_events(events: DataFrame, path: str) -> None:
 
 
 def record_events(events: DataFrame, log: str, audit: str, chain: str = "trace_id", least: str = "info") -> str:
-    """Events of level least or more to the event log, then to the audit log, hash-chained by chain; the event log stays written if the audit fails, and what failed is returned (blank: nothing)."""
+    """Events of level least or more to the event log, then to the audit log (audit.read_log), whose chains go on from batch to batch; the event log stays written if the audit fails, and what failed is returned (blank: nothing)."""
     level = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.lower("level"))
     rows = events.where(level >= LEVELS.index(least) + 1)
     append_events(rows, log)
     try:
-        body = F.to_json(F.struct("ts", "event", "fields"))
-        order = F.row_number().over(Window.partitionBy(chain).orderBy("ts", "event"))
-        chained(rows.select(chain, order.cast("long").alias("seq"), body.alias("body")), chain, "seq", "body").write.mode("append").json(audit)
+        append(rows, audit, chain, [F.col("ts"), F.col("event"), F.to_json("fields")], F.to_json(F.struct("ts", "event", "fields")))
     except Exception as e:  # noqa: BLE001  whatever the audit's store raises
         return str(e).split("\n")[0] or type(e).__name__
     return ""
