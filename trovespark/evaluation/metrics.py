@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovespark.functions.text import basename, last_component, normal_path
+from trovespark.operators import intervals
 
 KEY = ["file", "start_line", "end_line"]
 
@@ -19,13 +20,8 @@ def retrieval_quality(expected: DataFrame, actual: DataFrame, case: str = "scena
     if strict:
         e_hit, a_hit = e.join(a, [case, *KEY], "left_semi"), a.join(e, [case, *KEY], "left_semi")
     else:
-
-        def overlaps(x: DataFrame, y: DataFrame) -> DataFrame:
-            x, y = x.alias("x"), y.alias("y")
-            on = (F.col(f"x.{case}") == F.col(f"y.{case}")) & (F.col("x.file") == F.col("y.file")) & (F.col("x.start_line") <= F.col("y.end_line")) & (F.col("y.start_line") <= F.col("x.end_line"))
-            return x.join(y, on, "left_semi")
-
-        e_hit, a_hit = overlaps(e, a), overlaps(a, e)
+        lines = ("start_line", "end_line")
+        e_hit, a_hit = intervals.met(e, a, [case, "file"], lines, lines), intervals.met(a, e, [case, "file"], lines, lines)
     counted = None
     for name, df in (("n_expected", e), ("n_actual", a), ("recalled", e_hit), ("hits", a_hit)):
         one = df.groupBy(case).agg(F.count("*").alias(name))
@@ -75,7 +71,7 @@ def scored_answers(answers: DataFrame, citations: DataFrame, truth: DataFrame, f
     key = ["id", "mode"]
     c = citations.select(*key, "file", "start_line", "end_line", F.monotonically_increasing_id().alias("c"), basename(normal_path(F.col("file"))).alias("base"))
     t = truth.select("id", basename(normal_path(F.col("file"))).alias("base"), F.col("start_line").alias("ts"), F.col("end_line").alias("te"))
-    located = c.join(t, ["id", "base"]).where((F.col("start_line") <= F.col("te")) & (F.col("ts") <= F.col("end_line"))).select(*key).distinct().withColumn("located", F.lit(1))
+    located = intervals.met(c, t, ["id", "base"], ("start_line", "end_line"), ("ts", "te")).select(*key).distinct().withColumn("located", F.lit(1))
     longest = files.groupBy(basename(F.col("path")).alias("base")).agg(F.max("n_lines").alias("base_lines"))
     exact = files.groupBy(F.col("path").alias("whole")).agg(F.max("n_lines").alias("path_lines"))
     known = c.join(longest, "base", "left").join(exact, normal_path(F.col("file")) == F.col("whole"), "left")
@@ -138,8 +134,9 @@ def impact_members(truth: DataFrame, answers: DataFrame, case: str = "case") ->
     """Members of the truth that an answer names: the same base name of file, and the same symbol part or overlapping lines; (case, n_gt, n_ans, found, precise)."""
     t = truth.select(case, F.monotonically_increasing_id().alias("t"), basename(F.col("file")).alias("base"), F.col("symbol").alias("ts"), F.col("start_line").alias("ta"), F.col("end_line").alias("tz"))
     a = answers.select(case, F.monotonically_increasing_id().alias("a"), basename(F.col("file")).alias("base"), F.col("symbol").alias("as_"), F.col("start_line").alias("aa"), F.col("end_line").alias("az"))
-    same = (F.element_at(F.split("ts", r"\."), -1) == F.element_at(F.split("as_", r"\."), -1)) | ((F.col("ta") <= F.col("az")) & (F.col("aa") <= F.col("tz")))
-    met = t.join(a, [case, "base"]).where(same)
+    last = lambda c: F.element_at(F.split(c, r"\."), -1).alias("last")
+    named = t.withColumn("last", last("ts")).join(a.withColumn("last", last("as_")), [case, "base", "last"]).select(case, "t", "a")
+    met = named.unionByName(intervals.overlapping(t, a, [case, "base"], ("ta", "tz"), ("aa", "az")).select(case, "t", "a"))
     sizes = t.groupBy(case).agg(F.count("*").alias("n_gt")).join(a.groupBy(case).agg(F.count("*").alias("n_ans")), case, "full_outer").fillna(0)
     got = met.groupBy(case).agg(F.count_distinct("t").alias("found"), F.count_distinct("a").alias("precise"))
     return sizes.join(got, case, "left").fillna(0, ["found", "precise"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trovespark.functions.text import code_terms, cosine, hashed_vector, is_test_path, plain_words, query_terms
+from trovespark.operators.intervals import overlapping
 from trovespark.operators.inventory import expand
 from trovespark.operators.ranking import normalised, top_k
 from trovespark.sources.index import Index
@@ -182,7 +183,8 @@ def resolve(names: DataFrame, nodes: DataFrame) -> DataFrame:
 def match_citations(citations: DataFrame, nodes: DataFrame) -> DataFrame:
     """Citations with the node they cite: the one with exactly their lines, else the narrowest that contains them."""
     n = nodes.select(F.col("id").alias("node_id"), F.col("file_path").alias("nf"), F.col("start_line").alias("ns"), F.col("end_line").alias("ne"))
-    inside = citations.join(n, (F.col("file") == F.col("nf")) & (F.col("ns") <= F.col("start_line")) & (F.col("ne") >= F.col("end_line")))
+    met = overlapping(citations, n.withColumnRenamed("nf", "file"), ["file"], ("start_line", "end_line"), ("ns", "ne"))  # what holds lines overlaps them
+    inside = met.where((F.col("ns") <= F.col("start_line")) & (F.col("ne") >= F.col("end_line")))
     exact = (F.col("ns") == F.col("start_line")) & (F.col("ne") == F.col("end_line"))
     best = top_k(inside, ["file", "start_line", "end_line"], [F.desc(exact), F.asc(F.col("ne") - F.col("ns")), F.asc("node_id")], 1, "_r")
     return best.select("file", "start_line", "end_line", "node_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trovespark.operators import audit, graph, search
+from trovespark.operators import audit, graph, intervals, search, vector_index, vocabulary
 from trovespark.plans.catalogue import _BM25, query, rounded
 from trovespark.sources import index
 from trovespark.sources.scratch import new_folder
@@ -103,3 +103,43 @@ def call_order_(spark: SparkSession, sf: str) -> DataFrame:
 )
 def callers_through_interfaces(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbours(view(spark, sf, "seeds"), view(spark, sf, "edges"), view(spark, sf, "nodes"), ["called_by"], interfaces=True)
+
+
+@query("r4_inverted_file_search")
+def inverted_file_search(spark: SparkSession, sf: str) -> DataFrame:
+    """r4_x2_knn's queries in an inverted file; tests measure its recall and the share of vectors scored."""
+    e = table(spark, sf, "embeddings")
+    ix = vector_index.temporary(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    found = vector_index.search(ix, asked)
+    return rounded(found.select("query_id", "doc", F.col("rank").cast("long").alias("rank"), "score"), "score")
+
+
+@query(
+    "j11_x10_large_glossary",
+    """with g as (select doc_id as entry, lower(substr(text, 11, 14)) as a, lower(substr(text, 41, 9)) as b, 'group' || cast(doc_id % 50 as varchar) as k, 'doc' || cast(doc_id as varchar) as l from documents where doc_id % 2 = 0),
+    m as (select conv_id, turn, d.text as body, entry, k, l from conversations d join g on (trim(a) <> '' and contains(lower(d.text), a)) or (trim(b) <> '' and contains(lower(d.text), b))),
+    w as (select conv_id, turn, kw, min(place) as place from (select conv_id, turn, k as kw, entry * 2 as place from m union all select conv_id, turn, l, entry * 2 + 1 from m) group by all)
+    select conv_id, turn, coalesce(string_agg(kw, ' ' order by place), '') as kw from conversations left join w using (conv_id, turn) group by conv_id, turn""",
+)
+def large_glossary(spark: SparkSession, sf: str) -> DataFrame:
+    """A glossary that grows with the documents, from stretches of their texts, over all turns of all conversations."""
+    d = table(spark, sf, "documents").where("doc_id % 2 = 0")
+    entries = d.select(F.col("doc_id").alias("entry"), F.array(F.substring("text", 11, 14), F.substring("text", 41, 9)).alias("aliases"), F.array(F.concat(F.lit("group"), F.col("doc_id") % 50), F.concat(F.lit("doc"), "doc_id")).alias("keywords"))
+    out = vocabulary.expand_all(table(spark, sf, "conversations"), entries)
+    return out.select("conv_id", "turn", F.array_join("keywords", " ").alias("kw"))
+
+
+@query(
+    "j3_j4_overlapping_ranges",
+    """with a as (select distinct o_custkey % 7 as f, o_orderkey % 20000 as s, o_orderkey % 20000 + case when o_orderkey % 50 = 0 then 5000 else o_orderkey % 40 end as e from orders),
+    b as (select distinct c_custkey % 7 as f, c_custkey * 11 % 20000 as s, c_custkey * 11 % 20000 + c_custkey % 60 as e from customer)
+    select a.f, a.s, a.e, cast(count(*) as bigint) as met, cast(min(b.s) as bigint) as least, cast(max(b.e) as bigint) as most from a join b on a.f = b.f and a.s <= b.e and b.s <= a.e group by all""",
+)
+def overlapping_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of a few crowded files, some of them wide."""
+    s = F.col("o_orderkey") % 20000
+    a = table(spark, sf, "orders").select((F.col("o_custkey") % 7).alias("f"), s.alias("s"), (s + F.when(F.col("o_orderkey") % 50 == 0, 5000).otherwise(F.col("o_orderkey") % 40)).alias("e")).distinct()
+    t = F.col("c_custkey") * 11 % 20000
+    b = table(spark, sf, "customer").select((F.col("c_custkey") % 7).alias("f"), t.alias("bs"), (t + F.col("c_custkey") % 60).alias("be")).distinct()
+    return intervals.overlapping(a, b, ["f"], ("s", "e"), ("bs", "be")).groupBy("f", "s", "e").agg(F.count("*").alias("met"), F.min("bs").alias("least"), F.max("be").alias("most"))
