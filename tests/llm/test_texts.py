@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -10,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -486,11 +488,55 @@ def test_toxicity_gradients_are_numeric():
             assert abs(slope - grad[at]) < 1e-6 + 1e-4 * abs(slope)
 
 
-def test_long_texts_train_too(spark):
-    long = "mild word " * 3000
-    docs = spark.createDataFrame([(i, long + "grumbog " * 400 * (i % 2) + long) for i in range(40)], "doc_id long, text string")
-    model = toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"), most_chars=8000)
-    assert model is not None
+def test_a_word_in_the_middle_of_a_long_text_teaches(spark):
+    """Labels are of whole texts: one marker amid a megabyte is found among all windows, in training as in scoring."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefghimnorst"), rng.integers(3, 8))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n))
+    rows = [(i, f"{prose(90_000)} grumbog {prose(90_000)}" if i < 4 else f"{prose(300)} {'grumbog ' * (i % 2 == 0)}{prose(300)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert max(len(t) for _, t in rows) > 1_000_000
+    marked = spark.createDataFrame([(i, int(i < 4 or i % 2 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marked, most_windows=8)
+    assert b"grumbog" in model.ids
+    scores = model.score([t.encode() for _, t in rows])
+    assert scores[[0, 1, 2, 3, 8, 20]].min() > 0.7 > scores[[5, 7, 9, 31]].max()
+
+
+def test_windows_that_tell_are_chosen_from_the_whole_text():
+    evidence = toxicity.Evidence({b"grumbog": 3.0}, np.zeros(toxicity.BINS))
+    text = b"word " * 5000 + b"grumbog " + b"word " * 5000
+    got = toxicity.telling_windows(text, evidence, 8)
+    assert len(got) == 8 and sum(b"grumbog" in w for _, w in got) == 2 and len({i for i, _ in got}) == 8
+    assert [i for i, _ in toxicity.telling_windows(b"a b c", evidence, 8)] == [0] and toxicity.telling_windows(b" ,.", evidence, 8) == []
+
+
+def test_evidence_in_tasks_equals_evidence_in_memory(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 7))) for _ in range(200)]
+    texts = [" ".join(rng.choice(vocabulary, 40)) + " grumbog snarvel" * (i % 3 == 0) for i in range(120)] + ["", " ,. "]
+    toxic = [i % 3 == 0 for i in range(120)] + [True, False]
+    got = toxicity.evidence_of(spark.createDataFrame([(int(y), bytearray(t.encode())) for t, y in zip(texts, toxic, strict=True)], "toxic int, text binary").repartition(3), 20)
+    counts, bins, n = toxicity.present([t.encode() for t in texts], toxic)
+    words = sorted({w for w, _ in counts})
+    want = toxicity.Evidence.weighed(words, np.array([[counts.get((w, y), 0) for w in words] for y in (False, True)]), bins, n, 20)
+    assert got.words.keys() == want.words.keys() and len(want.words) == 20 and all(abs(got.words[w] - x) < 1e-9 for w, x in want.words.items())
+    assert np.allclose(got.grams, want.grams)
+
+
+@pytest.mark.parametrize("texts", [{1: ["", " "], 0: ["a b c"]}, {1: [""], 0: [" "]}, {1: ["word"], 0: ["", ",.;"]}, {1: [None, "toxic word"], 0: [None]}])
+def test_labels_without_words_give_no_model(spark, texts):
+    rows = [(i, t, y) for i, (t, y) in enumerate((t, y) for y, some in texts.items() for t in some)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    marked = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    assert toxicity.train(docs, marked) is None
+    assert [r["score"] for r in toxicity.toxicity_of_documents(docs, marked).collect()] == [0.0] * len(rows)
+
+
+def test_two_labelled_texts_train_soon():
+    began = time.time()
+    assert toxicity.train_model([b"bad words here", b"good words there"], np.array([True, False])) is not None
+    assert time.time() - began < 10
 
 
 def test_toxicity_learns(spark, nothing):

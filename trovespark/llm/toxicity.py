@@ -16,10 +16,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import fold_of, hash_share, in_arrow, label_shares
+from trovespark.llm.common import fold_of, hash_share, in_arrow, label_shares, written
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD, CHAR, BINS = 8, 12, 8, 1 << 15
@@ -160,35 +160,88 @@ class ToxicityModel:
         return np.clip(out, 0, 1)
 
 
-def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: int = 4, most_own: int = 20_000, decay: float = 1e-3) -> ToxicityModel | None:
-    """None unless the sample holds both labels."""
-    if not len(texts) or toxic.all() or not toxic.any():
+def present(texts: list[bytes], toxic: list[bool]) -> tuple[dict[tuple[bytes, bool], int], np.ndarray, np.ndarray]:
+    """In how many texts of either label each word and each 5-gram bin stands, and how many texts of either label have words."""
+    words: dict[tuple[bytes, bool], int] = {}
+    bins, n = np.zeros((2, BINS), np.int64), np.zeros(2, np.int64)
+    for t, y in zip(texts, toxic, strict=True):
+        if unique := list(set(words_of(t))):
+            n[int(y)] += 1
+            for w in unique:
+                words[w, y] = words.get((w, y), 0) + 1
+            bins[int(y), np.unique(gram_bins(unique)[0])] += 1
+    return words, bins, n
+
+
+def log_odds(held: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-odds in toxic texts of things that held[label] of the n[label] texts hold, 0 unless sure and of more than a few texts."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rate = held / n[:, None]
+        evidence = 2 * np.nansum(held * np.log(rate / (held.sum(axis=0) / n.sum())), axis=0)
+    odds = np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1))
+    return odds * (evidence > 12) * np.minimum(1, rate.max(axis=0) / 0.03)
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """What tells toxic texts from others: log-odds of the words that get vectors of their own, and of 5-gram bins."""
+
+    words: dict[bytes, float]
+    grams: np.ndarray
+
+    def of(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The log-odds of words, and with the means of their 5-grams'."""
+        odds = np.array([self.words.get(w, 0.0) for w in names])
+        bins, at = gram_bins(names)
+        return odds, odds + np.add.reduceat(self.grams[bins], at) / (np.append(at[1:], len(bins)) - at)
+
+    @staticmethod
+    def weighed(words: list[bytes], held: np.ndarray, bins: np.ndarray, n: np.ndarray, most_own: int) -> Evidence:
+        odds, df = log_odds(held, n), held.sum(axis=0)
+        own = np.flatnonzero((df >= 2) & ((odds > 0) | (df >= 0.05 * n.sum())))
+        own = own[np.lexsort((own, -np.abs(odds[own]) - np.log(df[own]) / 100))][:most_own]
+        return Evidence({words[j]: float(odds[j]) for j in own}, log_odds(bins, n))
+
+
+def telling_windows(text: bytes, evidence: Evidence, most: int) -> list[tuple[int, list[bytes]]]:
+    """(number, words) of all windows of a text, or of its most: three quarters those with the most telling word, the rest spread evenly over all others."""
+    words = words_of(text)
+    if not words:
+        return []
+    names = sorted(set(words))
+    place = dict(zip(names, range(len(names)), strict=True))
+    evident = evidence.of(names)[1][np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
+    starts = np.array(window_starts(len(words)))
+    best = np.array([evident[s : s + WINDOW].max() for s in starts])
+    chosen = np.argsort(-best, kind="stable")
+    if len(chosen) > most:
+        first, rest = chosen[: most * 3 // 4], np.sort(chosen[most * 3 // 4 :])
+        chosen = np.concatenate([first, rest[np.linspace(0, len(rest) - 1, most - len(first)).astype(int)]])
+    return [(int(i), words[starts[i] : starts[i] + WINDOW]) for i in np.sort(chosen)]
+
+
+def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: int = 4, most_own: int = 20_000, most_windows: int = 64) -> ToxicityModel | None:
+    """From texts in memory; None unless texts of both labels have words."""
+    counts, bins, n = present(texts, [bool(y) for y in toxic])
+    if not n.all():
         return None
+    words = sorted({w for w, _ in counts})
+    held = np.array([[counts.get((w, y), 0) for w in words] for y in (False, True)])
+    evidence = Evidence.weighed(words, held, bins, n, most_own)
+    lists = [[w for _, w in telling_windows(t, evidence, most_windows)] for t in texts]
+    return fit([x for x in lists if x], np.array([y for y, x in zip(toxic, lists, strict=True) if x], bool), evidence, seed, rounds)
+
+
+def fit(texts: list[list[list[bytes]]], toxic: np.ndarray, evidence: Evidence, seed: int = 5, rounds: int = 4, most_passes: int = 64, decay: float = 1e-3) -> ToxicityModel:
+    """The network from the windows of texts (window's words) and the texts' labels, of which both occur."""
     rng = np.random.default_rng(seed)
-    lists = [words_of(t) for t in texts]
-    names = sorted({w for x in lists for w in x})
+    names = sorted({w for windows in texts for x in windows for w in x})
     index = {w: i for i, w in enumerate(names)}
-    docs = [np.fromiter((index[w] for w in x), np.int64, len(x)) for x in lists]
     bins, at = gram_bins(names)
     ends = np.append(at[1:], len(bins))
-
-    def odds_of(sets: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds in toxic texts of each of n things, 0 unless sure and of more than a few texts; how many texts of either label hold it."""
-        held = np.zeros((2, n))
-        for d, y in zip(sets, toxic, strict=True):
-            held[int(y), d] += 1
-        rate = held / [[(~toxic).sum()], [toxic.sum()]]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            evidence = 2 * np.nansum(held * np.log(rate / (held.sum(axis=0) / len(sets))), axis=0)
-        odds = np.log((held[1] + 0.5) / (toxic.sum() + 1)) - np.log((held[0] + 0.5) / ((~toxic).sum() + 1))
-        return odds * (evidence > 12) * np.minimum(1, rate.max(axis=0) / 0.03), held
-
-    unique = [np.unique(d) for d in docs]
-    odds, held = odds_of(unique, len(names))
-    gram_odds, _ = odds_of([np.unique(np.concatenate([bins[at[w] : ends[w]] for w in u] or [bins[:0]])) for u in unique], BINS)
-    df = held.sum(axis=0)
-    own = np.flatnonzero((df >= 2) & ((odds > 0) | (df >= 0.05 * len(docs))))
-    own = own[np.argsort(-np.abs(odds[own]) - np.log(df[own]) / 100, kind="stable")][:most_own]
+    odds, evident = evidence.of(names)
+    own = np.array([index[w] for w in evidence.words if w in index], np.int64)
+    gram_odds = evidence.grams
     active = np.zeros(len(names), np.float32)
     active[own] = 1
     g = lambda *s, k=0.3: (rng.standard_normal(s) * k).astype(np.float32)
@@ -198,18 +251,11 @@ def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: in
     vectors[:, 0] = np.clip(odds, -2, 4)
     vectors *= active[:, None]
     p["chars"][:, 0] = 2 * np.clip(gram_odds, -1, 5)
-    word_grams = np.add.reduceat(gram_odds[bins], at) / (ends - at)
-    evident = odds + word_grams
-
-    windows, owner = [], []
-    for i, d in enumerate(docs):
-        for s in window_starts(len(d)):
-            w = np.full(WINDOW, -1)
-            w[: len(d[s : s + WINDOW])] = d[s : s + WINDOW]
-            if len(d):
-                windows.append(w)
-                owner.append(i)
-    windows, owner = np.array(windows), np.array(owner)
+
+    owner = np.repeat(np.arange(len(texts)), [len(windows) for windows in texts])
+    windows = np.full((len(owner), WINDOW), -1)
+    for i, x in enumerate(x for of_text in texts for x in of_text):
+        windows[i, : len(x)] = [index[w] for w in x]
     best_first = np.where(windows >= 0, evident[windows], -9).max(axis=1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()} | {"words": [np.zeros_like(vectors), np.zeros_like(vectors)]}
     step = 0
@@ -269,7 +315,7 @@ def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: in
         sure = np.clip(rank[chosen] / max(1e-3, np.quantile(rank[chosen][y > 0], 0.75)), 0, 1) if not k else sigmoid(rank[chosen])
         sure = np.where(y > 0, sure, 1.0) + 1e-3
         weight = np.where(y > 0, 0.5 * sure / (sure * y).sum(), 0.5 / max(1, (1 - y).sum()))
-        passes = max(2, 40 * 128 // len(chosen))
+        passes = min(most_passes, max(2, 40 * 128 // len(chosen)))
         for _ in range(passes):
             shuffled = rng.permutation(len(chosen))
             for i in range(0, len(shuffled), 256):
@@ -279,26 +325,65 @@ def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: in
     return ToxicityModel(p, {names[j]: i for i, j in enumerate(own)})
 
 
-def excerpt(text: Column, most: int, parts: int = 8) -> Column:
-    """The text, or of one longer than most characters so many equal parts at equal distances."""
-    size, n = most // parts, F.char_length(text)
-    cut = [F.substring(text, (F.lit(1) + F.floor((n - size) * i / (parts - 1))).cast("int"), F.lit(size)) for i in range(parts)]
-    return F.when(n <= most, text).otherwise(F.concat_ws(" ", *cut))
+def evidence_of(sample: DataFrame, most_own: int) -> Evidence | None:
+    """The evidence of sample (toxic, text binary), counted in tasks; most_own words come to the driver. None unless texts of both labels have words."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            words, bins, n = present([t.as_py() for t in b.column(1)], [y.as_py() == 1 for y in b.column(0)])
+            of = [(w, y, k) for (w, y), k in words.items()]
+            of += [(b"", bool(y), int(bins[y, i]), int(i)) for y, i in zip(*np.nonzero(bins), strict=True)] + [(b"", bool(y), int(n[y]), -1) for y in (0, 1)]
+            yield pa.record_batch([pa.array([x[0] for x in of], pa.binary()), pa.array([x[3] if len(x) > 3 else None for x in of], pa.int32()), pa.array([x[1] for x in of], pa.bool_()), pa.array([x[2] for x in of], pa.int64())], ["word", "bin", "toxic", "n"])
+
+    counted = in_arrow(sample.select("toxic", "text"), batches, "word binary, bin int, toxic boolean, n long", 100)
+    label = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0))
+    counted = written(counted.groupBy("word", "bin").agg(label(False).alias("clean"), label(True).alias("toxic")), "evidence")
+    bins, n = np.zeros((2, BINS), np.int64), np.zeros(2, np.int64)
+    for r in counted.where("bin is not null").collect():  # BINS rows and one
+        (n if r["bin"] < 0 else bins[:, r["bin"]])[:] = r["clean"], r["toxic"]
+    if not n.all():
+        return None
+    # log_odds() as columns, so that only the words it picks leave the tasks
+    c, t, df = F.col("clean"), F.col("toxic"), F.col("clean") + F.col("toxic")
+    part = lambda k, of: F.when(k > 0, k * F.log(k / F.lit(float(of)) / (df / F.lit(float(n.sum()))))).otherwise(0.0)
+    odds = F.log((t + 0.5) / F.lit(float(n[1] + 1))) - F.log((c + 0.5) / F.lit(float(n[0] + 1)))
+    odds = F.when(2 * (part(c, n[0]) + part(t, n[1])) > 12, odds * F.least(F.lit(1.0), F.greatest(c / float(n[0]), t / float(n[1])) / 0.03)).otherwise(0.0)
+    picked = counted.where(F.col("bin").isNull() & (df >= 2)).withColumn("odds", odds).where((F.col("odds") > 0) | (df >= 0.05 * float(n.sum())))
+    picked = picked.orderBy((-F.abs("odds") - F.log(df) / 100), "word").limit(most_own).collect()
+    return Evidence({bytes(r["word"]): r["odds"] for r in picked}, log_odds(bins, n))
 
 
-def train(docs: DataFrame, marked: DataFrame, per_label: int = 1200, most_chars: int = 100_000) -> ToxicityModel | None:
-    """From the texts of docs that marked (doc_id, toxic) labels: about per_label of each label, most_chars of each text at most.
+def train(docs: DataFrame, marked: DataFrame, per_label: int = 1200, most_own: int = 20_000, most_windows: int = 64) -> ToxicityModel | None:
+    """From the texts of docs that marked (doc_id, toxic) labels: about per_label texts of each label.
 
     Labels are sampled before their texts are looked up, so the lookup's table is bounded and can be
-    broadcast. Only training reads excerpts; scoring reads whole texts.
+    broadcast. Words and 5-grams are counted over the sample's whole texts in tasks, and all their windows are weighed there; what the driver
+    gets is the picked words and of each text the most_windows windows that tell most.
     """
     labels = marked.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct().withColumn("u", hash_share("doc_id"))
     share, most = label_shares(labels, "toxic", per_label, 2 * per_label)
     chosen = labels.where(F.col("u") < share).orderBy("u", "doc_id", "toxic").limit(most)
-    rows = docs.where("text is not null").select("doc_id", excerpt(F.col("text"), most_chars).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.orderBy("u", "doc_id", "toxic", "text").limit(most).collect()  # doc_ids may repeat
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["text"]), r["toxic"]))
-    return train_model([bytes(r["text"]) for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
+    named = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    keys = named.select("doc_id", "th").join(F.broadcast(chosen), "doc_id").select("u", "doc_id", "th", "toxic").distinct()  # doc_ids may repeat
+    keys = keys.orderBy("u", "doc_id", "th", "toxic").limit(most)
+    sample = named.join(F.broadcast(written(keys, "labelled")), ["doc_id", "th"]).repartition(16, "doc_id", "th").groupBy("doc_id", "th", "toxic").agg(F.first("text").alias("text"))
+    sample = written(sample, "sample")
+    evidence = evidence_of(sample, most_own)
+    if evidence is None:
+        return None
+    sent = docs.sparkSession.sparkContext.broadcast(evidence)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for r in b.to_pylist():
+                found = telling_windows(r["text"], sent.value, most_windows)
+                yield pa.record_batch([pa.array([r[c]] * len(found), b.schema.field(c).type) for c in ("doc_id", "th", "toxic")] + [pa.array([i for i, _ in found], pa.int64()), pa.array([b" ".join(w) for _, w in found], pa.binary())], ["doc_id", "th", "toxic", "number", "window"])
+
+    kinds = ", ".join(f"{c} {sample.schema[c].dataType.simpleString()}" for c in ("doc_id", "th", "toxic"))
+    texts: dict[tuple, list] = {}
+    for r in sorted(in_arrow(sample.select("doc_id", "th", "toxic", "text"), batches, f"{kinds}, number long, window binary", 100).collect(), key=lambda r: tuple(r)[:4]):
+        texts.setdefault((r["doc_id"], r["th"], r["toxic"]), []).append(bytes(r["window"]).split(b" "))
+    return fit(list(texts.values()), np.array([y == 1 for _, _, y in texts], bool), evidence)
 
 
 def scored_batches(texts: pa.Array, model: ToxicityModel | None) -> np.ndarray:
