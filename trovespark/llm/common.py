@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql.types import StructType
 from trovespark.sources.scratch import shared_folder
 
 BATCH_BYTES = 32 << 20
+#: Bits of the filter that goes before a large side is shuffled: so many for each key, in words of 64, at most FILTER_WORDS.
+FILTER_BITS, FILTER_HASHES, FILTER_WORDS = 12, 4, 1 << 23
 
 
 def new_scratch(spark: SparkSession, name: str) -> str:
@@ -128,6 +132,27 @@ def label_shares(labelled: DataFrame, label: str, per_label: int, most_rows: int
     return F.element_at(shares, F.col(label)), 2 * each * len(counts)
 
 
+def worth_joining(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """rows without most of those whose columns on aren't in the written table keys, so that they needn't be shuffled to a join with it.
+
+    A Bloom filter of FILTER_WORDS words at most; where there are too many keys for it, more rows than need be go on to the join, which alone decides.
+    """
+    words = min(FILTER_WORDS, 1 + keys.count() * FILTER_BITS // 64)
+    spots = [F.pmod(F.xxhash64(F.lit(i), *on), F.lit(words * 64)) for i in range(FILTER_HASHES)]
+    spot = keys.select(F.explode(F.array(*spots)).alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+    set_ = spot.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # words at most
+    bits = np.zeros(words, np.int64)
+    bits[set_["w"].to_numpy()] = set_["b"].to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def perhaps(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for places in it:
+            yield pd.Series(np.logical_and.reduce([sent.value[p.to_numpy() >> 6] >> (p.to_numpy() & 63) & 1 == 1 for p in places]))
+
+    return rows.where(perhaps(*spots))
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes scratch tables that nothing reads any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -168,16 +193,20 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def shared_cells(cells: DataFrame, name: str, maybe: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Of cells (cell long, node long): the pairs (a, b) that share a cell with no third, and (cell, node, members) of the cells that more nodes share.
+    """Of cells (cell long, node long, and root long if some are known): the pairs (a, b) that share a cell with no third, and (cell, node, members) of the cells that more nodes share.
 
     Most meetings are of two by chance; they come out of the aggregation, without a join. maybe is a
-    condition on a and b that turns them down there.
+    condition on a and b that turns them down there. Cells whose nodes are all of one root are left out. As few cells
+    are crowded, a filter of them goes over all rows before the rest is shuffled to a join.
     """
-    counts = cells.groupBy("cell").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b")).where("members > 1")
+    apart = "low < high" if "root" in cells.columns else "a < b"
+    roots = [F.min("root").alias("low"), F.max("root").alias("high")] if "root" in cells.columns else []
+    counts = cells.groupBy("cell").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b"), *roots).where("members > 1").where(apart)
     counts = counts if maybe is None else counts.where((F.col("members") > 2) | maybe)
     counts = written(counts, f"{name}-cells")
-    crowded = counts.where("members > 2").select("cell", "members")
-    return counts.where("members = 2").select("a", "b").distinct(), written(cells.join(crowded, "cell").select("cell", "node", "members"), f"{name}-shared")
+    crowded = written(counts.where("members > 2").select("cell", "members"), f"{name}-crowded")
+    shared = worth_joining(cells.select("cell", "node"), crowded, "cell").join(crowded, "cell").select("cell", "node", "members")
+    return counts.where("members = 2").select("a", "b").distinct(), written(shared, f"{name}-shared")
 
 
 def linked_by_cells(pairs: DataFrame, shared: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str, lists: DataFrame | None = None) -> DataFrame:

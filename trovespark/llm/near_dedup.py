@@ -83,14 +83,16 @@ def manhattan(x: Column, y: Column) -> Column:
     return F.bit_count(low.bitwiseOR(high)) + F.bit_count(high.bitwiseAND(F.bitwise_not(low)))
 
 
-def fingerprint_links(classes: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b) links among distinct fingerprints fp with their document counts n, enough to give all components."""
+def fingerprint_links(classes: DataFrame, radius: int = 4, rounds: int = 2) -> DataFrame:
+    """(a, b) links among distinct fingerprints fp with their document counts n, enough to give all components.
+
+    The projections are taken in rounds. Near copies share most of their cells, so a round links
+    most of them; the next looks only at cells in which nodes of different components meet.
+    """
     if not 1 <= radius < GROUPS:
         raise ValueError(f"radius must lie in 1..{GROUPS - 1}")
-    v = popcounts(F.col("fp"))
-    masks = F.array(*[F.lit(m) for m in projections(radius)])
-    grids = classes.select(F.col("fp").alias("node"), v.alias("v"), F.explode(masks).alias("grid"))
-    cells = grids.select(F.xxhash64("grid", F.col("v").bitwiseAND(F.col("grid"))).alias("cell"), "node")  # a chance meeting of two cells costs a comparison
+    v, masks = popcounts(F.col("fp")), projections(radius)
+    nodes = classes.select(F.col("fp").alias("node"), "n", v.alias("v"))
 
     def linked(x: Column, y: Column, vx: Column, vy: Column) -> Column:
         return (manhattan(vx, vy) <= radius) & (F.bit_count(x.bitwiseXOR(y)) <= radius)
@@ -98,8 +100,17 @@ def fingerprint_links(classes: DataFrame, radius: int = 4) -> DataFrame:
     def near(x: str, y: str) -> Column:
         return linked(*(F.col(f"{s}.{c}") for c in ("node", "v") for s in (x, y)))
 
-    a, b = F.col("a"), F.col("b")
-    return linked_by_cells(*shared_cells(cells, "grid", linked(a, b, popcounts(a), popcounts(b))), classes.select(F.col("fp").alias("node"), "n", v.alias("v")), near, lambda pairs: pairs, "grid")
+    a, b, links = F.col("a"), F.col("b"), None
+    for i in range(min(rounds, len(masks))):
+        rows = nodes.select("node", "v", F.col("node").alias("root"))
+        if links is not None:
+            rows = written(nodes.select("node", "v").join(components(links, "near-round"), "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
+        grids = rows.select("node", "v", "root", F.explode(F.array(*[F.lit(m) for m in masks[i::rounds]])).alias("grid"))
+        cells = grids.select(F.xxhash64("grid", F.col("v").bitwiseAND(F.col("grid"))).alias("cell"), "node", "root")  # a chance meeting of two cells costs a comparison
+        cells = cells if links is not None else cells.drop("root")
+        found = linked_by_cells(*shared_cells(cells, "grid", linked(a, b, popcounts(a), popcounts(b))), nodes, near, lambda pairs: pairs, "grid")
+        links = written(found if links is None else links.unionByName(found), "near-links")
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:

@@ -21,13 +21,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import in_arrow, with_text, written
+from trovespark.llm.common import in_arrow, with_text, worth_joining, written
 
 #: Rounds from words up: a symbol of the top stands for about three words.
 ROUNDS = ("run", "pair", "pair", "run", "pair", "pair")
@@ -37,8 +36,6 @@ LEVELS = (1, 3, 6)
 PIECE = 1 << 17
 #: Bytes of text that a task cuts into words at a time; a longer text is cut alone.
 CUT = 4 << 20
-#: Bits of the filter that goes before texts are shuffled: so many for each key, in words of 64, at most FILTER_WORDS.
-FILTER_BITS, FILTER_HASHES, FILTER_WORDS = 12, 4, 1 << 23
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 #: Multipliers of the two lanes of word hashes, odd.
@@ -337,27 +334,6 @@ def without(texts: DataFrame) -> DataFrame:
     return in_arrow(texts, batches, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
-def worth_joining(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """texts (doc_id, th, ...) without most of those whose key isn't in keys (doc_id, th), so that they needn't be shuffled to a join with keys.
-
-    A Bloom filter of FILTER_WORDS words at most; where there are too many keys for it, more texts than need be go on to the join, which alone decides.
-    """
-    words = min(FILTER_WORDS, 1 + keys.count() * FILTER_BITS // 64)
-    spots = [F.pmod(F.xxhash64(F.lit(i), "doc_id", "th"), F.lit(words * 64)) for i in range(FILTER_HASHES)]
-    spot = keys.select(F.explode(F.array(*spots)).alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
-    set_ = spot.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # words at most
-    bits = np.zeros(words, np.int64)
-    bits[set_["w"].to_numpy()] = set_["b"].to_numpy()
-    sent = texts.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def perhaps(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for places in it:
-            yield pd.Series(np.logical_and.reduce([sent.value[p.to_numpy() >> 6] >> (p.to_numpy() & 63) & 1 == 1 for p in places]))
-
-    return texts.where(perhaps(*spots))
-
-
 def earlier_windows(found: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     """(doc_id, th, start, end) of word spans that windows of a smaller doc_id cover; found is (doc_id, th, anchor, name, start, n), texts (doc_id, th, text)."""
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
@@ -368,7 +344,7 @@ def earlier_windows(found: DataFrame, texts: DataFrame, window: int) -> DataFram
     several = names.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     asked = names.join(several, "anchor", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("id", "start", "n")).alias("segments"))  # of one document
     asked = written(asked, "asked")
-    asked = worth_joining(texts, asked).join(asked, ["doc_id", "th"]).select("doc_id", "text", "segments")
+    asked = worth_joining(texts, asked, "doc_id", "th").join(asked, ["doc_id", "th"]).select("doc_id", "text", "segments")
     windows = written(window_hashes(asked, window), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     late = windows.join(first, ["w1", "w2"]).where("first < doc_id").groupBy("id").agg(F.collect_set("at").alias("late"))  # of one segment
@@ -394,7 +370,7 @@ def deduplicated(docs: DataFrame, window: int = 50) -> DataFrame:
     found = scanned.where("doc_id is not null").select("doc_id", "th", F.inline("segments"))
     spans = earlier_windows(found, named, window).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # of one document
     spans = written(spans, "spans")
-    shorter = without(worth_joining(named, spans).join(spans, ["doc_id", "th"]).select("doc_id", "text", "spans"))
+    shorter = without(worth_joining(named, spans, "doc_id", "th").join(spans, ["doc_id", "th"]).select("doc_id", "text", "spans"))
     whole = scanned.join(spans.select("doc_id", "th"), ["doc_id", "th"], "left_anti")
     return shorter.unionByName(whole.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept")))
 
