@@ -1,8 +1,8 @@
 """Sharding by a minimax contiguous partition.
 
-Rows with equal texts are one atomic group; groups are ordered by a 64-bit hash of the text. The
-smallest feasible shard capacity is binary-searched: a capacity is feasible if the greedy cut (fill a
-shard until the next group doesn't fit) needs no more shards than asked for. The groups never meet in
+Rows with equal texts are one atomic group; groups are ordered by a 64-bit hash of the text, after those that
+alone fill a shard's fair share. The smallest feasible shard capacity is binary-searched: a capacity is feasible if the greedy cut (fill a
+shard until the next group doesn't fit) needs no more shards than asked for; with that capacity as a bound, shards are cut at their fair shares. The groups never meet in
 one place: the driver holds sums of cells of the hash space, at most CELLS of them and SPLIT for each
 cell it refines. A cell of several groups is counted once as if it could be cut anywhere (a lower
 bound of the capacity) and once as if it couldn't be cut (an upper bound); only cells in which a cut
@@ -11,7 +11,7 @@ can lie are split further, by the next bits of the hash, until both bounds meet.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from itertools import accumulate
 
@@ -47,6 +47,26 @@ def cuts_for(cells: list[Cell], before: list[int], shards: int, capacity: int, d
     return out if at >= before[-1] else None
 
 
+def even_cuts(before: list[int], shards: int, capacity: int) -> list[int]:
+    """The cells at which shards 1, 2, ... begin, for a capacity that suffices; before holds the bytes before each cell, and all.
+
+    Each shard is cut at the boundary nearest to its fair share of what is left, as far as it keeps the capacity and what
+    remains still fits in the remaining shards.
+    """
+    needed = [len(before) - 1]  # what k shards can hold begins at needed[k] or later
+    for _ in range(shards - 1):
+        needed.append(bisect_left(before, before[needed[-1]] - capacity))
+    at, out = 0, []
+    for left in range(shards - 1, 0, -1):
+        fair = before[at] + (before[-1] - before[at]) / (left + 1)
+        last = bisect_right(before, before[at] + capacity) - 1
+        near = bisect_left(before, fair)
+        near -= near > at + 1 and fair - before[near - 1] <= before[min(near, len(before) - 1)] - fair
+        at = min(max(near, at + 1, needed[left]), last)
+        out.append(at)
+    return out
+
+
 def smallest(lo: int, hi: int, ok: Callable[[int], bool]) -> int:
     while lo < hi:
         mid = (lo + hi) // 2
@@ -75,8 +95,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         lower = smallest(floor, upper, lambda c: cuts_for(cells, before, shards, c, True) is not None)
         early, late = cuts_for(cells, before, shards, lower, False), cuts_for(cells, before, shards, upper, True)
         if lower == upper:
-            cuts = cuts_for(cells, before, shards, upper, False) or []
-            return upper, [cells[i][0] for i, _ in cuts if i < len(cells)]
+            return upper, [cells[i][0] for i in even_cuts(before, shards, upper) if i < len(cells)]
         early = early or []
         open_ = set()
         at = 0
@@ -105,6 +124,16 @@ def shard_of(u: str, cuts: list[int]) -> Column:
     return out
 
 
+def heavy_first(rows: DataFrame, shards: int) -> DataFrame:
+    """rows (h, size, ...) in whose order the groups of a shard's fair share or more, shards at most, come before the rest, so that the rest may be cut evenly."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    heavy = rows.groupBy("h").agg(F.sum("size").alias("s")).where(F.col("s") >= -(-total // shards)).orderBy("h").collect()
+    place = F.col("h")
+    for i, r in enumerate(heavy):
+        place = F.when(F.col("h") == r["h"], F.lit(i)).otherwise(place)  # no other group is likely to have so low a hash; one that has joins it
+    return rows.withColumn("h", place.cast("long"))
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, rows_each: int = 4000) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row; the law is bytes.
 
@@ -120,7 +149,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, rows_each: int = 4000) ->
         F.crc32(raw).alias("text_crc32"),
         F.xxhash64(F.lit(11), F.col("text").isNull(), "text").alias("h"),
     )
-    rows = written(rows, "shard-rows")
+    rows = heavy_first(written(rows, "shard-rows"), shards)
     _, cuts = minimax_cuts(rows, shards)
     buckets = hashed_to(rows, rows_each * shards, least=32)
     placed = rows.withColumn("u", unsigned("h")).withColumn("shard", shard_of("u", cuts)).withColumn("bucket", F.pmod(F.xxhash64(F.lit(13), "doc_id", "h"), F.lit(buckets)))
