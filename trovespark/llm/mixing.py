@@ -75,7 +75,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats:
     itself; an empty table gives no rows; other columns are ignored. The driver holds a row for each
     source, no more.
     """
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.octet_length("text")).alias("h"), *more)
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), *more)  # rows that tie are copies
     rows = written(rows, "mix-rows")
     named = sorted(((r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in named]
