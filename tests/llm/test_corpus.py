@@ -70,6 +70,34 @@ def test_shards(small, odd, nothing):
     assert sharding.shard_documents(nothing).count() == 0
 
 
+def loads_of(got):
+    loads = defaultdict(int)
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    return [loads[i] for i in range(16)]
+
+
+def test_shards_beside_a_heavy_group_are_even(spark):
+    """With a group of a fifth of all bytes the other shards differ by at most the largest other group."""
+    rows = [(i, f"{i:09d}") for i in range(4000)] + [(9000 + i, "h" * 99) for i in range(100)]
+    loads = loads_of(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert max(loads) == 10_000 and sum(loads) == 50_000
+    others = sorted(loads)[:-1]
+    assert others[-1] - others[0] <= 16 * 10  # cuts lie between cells of some groups
+    few = loads_of(sharding.shard_documents(spark.createDataFrame(rows[:4], "doc_id long, text string")).collect())
+    assert sorted(few)[-4:] == [10, 10, 10, 10]
+
+
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=60), st.integers(1, 16))
+@settings(max_examples=200, deadline=None)
+def test_even_cuts_keep_the_capacity(sizes, shards):
+    before = [0, *np.cumsum(sizes).tolist()]
+    capacity = slow_capacity(sizes, shards)
+    cuts = [0, *sharding.even_cuts(before, shards, capacity), len(sizes)]
+    assert cuts == sorted(cuts) and len(cuts) == shards + 1
+    assert all(before[b] - before[a] <= capacity for a, b in zip(cuts, cuts[1:], strict=False))
+
+
 # --- mixes ---------------------------------------------------------------------------------------
 
 
@@ -108,6 +136,17 @@ def test_mix(small, odd, nothing):
     assert mixing.mix_documents(nothing).count() == 0
 
 
+def test_mix_of_tied_rows_agrees_over_reruns(spark):
+    """Rows that share doc_id and byte length, in two sources, are taken alike however they are dealt."""
+    rows = [(1, f"{'ab'[i % 2]}{i % 7:03d} w w", "xy"[i % 2]) for i in range(27)]
+    runs = set()
+    for seed in range(4):
+        df = spark.createDataFrame([rows[i] for i in np.random.default_rng(seed).permutation(27)], "doc_id long, text string, source string").repartition(seed + 1)
+        got = mixing.mix_documents(df, more=("text",)).collect()
+        runs.add(tuple(sorted((r["source"], r["text"], r["taken"]) for r in got)))
+    assert len(runs) == 1
+
+
 # --- packing -------------------------------------------------------------------------------------
 
 
