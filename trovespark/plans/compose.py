@@ -6,10 +6,11 @@ embed makes vectors of the same kind from prompts. Its graph, nodes (id, ...) an
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovespark.functions.text import INTENT_SHAPE, TEST_GLOB, basename, citation_key, code_terms, compounds, glob_regex, hashed_vector, identifiers, intent_glob, intent_hops, intent_relations, kinds_allowed
@@ -45,11 +46,13 @@ Embed = Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class Extraction:
-    """What stage 1 leaves: keywords (prompt_id, pos, keyword), hits (prompt_id, pos, doc), rounds (prompt_id, round, hits, confidence)."""
+    """What stage 1 leaves: keywords (prompt_id, pos, keyword), hits (prompt_id, pos, doc), rounds (prompt_id, round, hits, confidence), asked (prompt_id, round, query), vocabulary (prompt_id, added array)."""
 
     keywords: DataFrame
     hits: DataFrame
     rounds: DataFrame
+    asked: DataFrame
+    vocabulary: DataFrame
 
 
 def keyword_array(text: Column) -> Column:
@@ -110,7 +113,8 @@ def extract(prompts: DataFrame, corpus: DataFrame, index: DataFrame, glossary: l
     knowledge pass then adds the nearest invariants and conventions behind the other hits. Hits are
     merged by citation, the first of repeats staying.
     """
-    expanded = inventory.expand(prompts.select("prompt_id", "text"), list(glossary)).select("prompt_id", "text", "expanded")
+    with_words = inventory.expand(prompts.select("prompt_id", "text"), list(glossary))
+    expanded = with_words.select("prompt_id", "text", "expanded")
     place = corpus.select("doc", "file", "start_line", "end_line", "symbol")
 
     def recalled(asked: DataFrame, query: str, vectors: DataFrame, k: int, round_: int) -> DataFrame:
@@ -142,9 +146,71 @@ def extract(prompts: DataFrame, corpus: DataFrame, index: DataFrame, glossary: l
         ranked(words).where(F.col("pos") < settings.keywords).select("prompt_id", "pos", "keyword"),
         merged(first.unionByName(second).unionByName(rules)).select("prompt_id", "pos", "doc"),
         counted(first, sure1, 1).unionByName(counted(both, sure2, 2)),
+        expanded.select("prompt_id", F.lit(1).alias("round"), F.col("expanded").alias("query")).unionByName(asked.select("prompt_id", F.lit(2).alias("round"), F.col("augmented").alias("query"))),
+        with_words.select("prompt_id", F.col("keywords").alias("added")),
     )
 
 
+def traces(prompts: DataFrame, found: Extraction, seeds: DataFrame, corpus: DataFrame, index: DataFrame) -> DataFrame:
+    """How each prompt (prompt_id, intent, text) came by its seeds: one row (prompt_id, producer, intent, prompt, vocab_expanded, vocab_keywords, steps, final_seeds, failed_keywords, rounds, vector_calls, graph_calls).
+
+    steps has a recall step for each round, the last accepted with keywords, confidence and hits, the one before
+    augmented, then a keyword step. A keyword failed if the index holds none of its terms. All arrays are bounded by Settings.
+    """
+    key = citation_key(F.col("file"), F.col("start_line"), F.col("end_line"))
+    place = corpus.select("doc", key.alias("key"))
+    in_order = lambda df, by, what, name: df.groupBy("prompt_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(by, what))), lambda x: x[what]).alias(name))
+    words = in_order(found.keywords, "pos", "keyword", "keywords")
+    hits = in_order(found.hits.join(place, "doc"), "pos", "key", "hits")
+    best = in_order(seeds.select("prompt_id", "rank", key.alias("key")), "rank", "key", "final_seeds")
+    terms = found.keywords.select("prompt_id", "pos", "keyword", F.explode_outer(F.array_distinct(code_terms(F.col("keyword")))).alias("term")).join(index.select("term").distinct().withColumn("_there", F.lit(True)), "term", "left")
+    failed = in_order(terms.groupBy("prompt_id", "pos", "keyword").agg(F.max("_there").alias("there")).where("there is null"), "pos", "keyword", "failed_keywords")
+    rounds = found.rounds.join(found.asked, ["prompt_id", "round"], "left").groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct("round", "query", "confidence"))).alias("rounds"))
+    out = prompts.select("prompt_id", "intent", "text").join(rounds, "prompt_id")
+    for part in (words, hits, best, failed, found.vocabulary.withColumnRenamed("added", "vocab_keywords")):
+        out = out.join(part, "prompt_id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("keywords", "hits", "final_seeds", "failed_keywords", "vocab_keywords")})
+    none, n = F.array().cast("array<string>"), F.size("rounds")
+
+    def step(r: Column) -> Column:
+        last = r["round"] == n
+        told = lambda x: F.when(last, x).otherwise(none)
+        return F.struct(r["round"].cast("int").alias("n"), F.lit("recall").alias("kind"), r["query"].alias("query"), F.lit("vector").alias("source"), F.when(last, "accept").otherwise("augment").alias("decision"), told(F.col("keywords")).alias("keywords"), F.when(last, r["confidence"]).alias("confidence"), told(F.col("hits")).alias("hits"))
+
+    kind = "array<struct<n:int,kind:string,query:string,source:string,decision:string,keywords:array<string>,confidence:double,hits:array<string>>>"
+    words_step = F.array(F.struct((n + 1).cast("int"), F.lit("keyword"), F.array_join("keywords", " "), F.lit("graph"), F.lit("expand"), F.col("keywords"), F.lit(None).cast("double"), F.col("final_seeds"))).cast(kind)
+    return out.select(
+        "prompt_id", F.lit("composer").alias("producer"), "intent", F.col("text").alias("prompt"), (F.size("vocab_keywords") > 0).alias("vocab_expanded"), "vocab_keywords",
+        F.concat(F.transform("rounds", step).cast(kind), words_step).alias("steps"), "final_seeds", "failed_keywords", n.alias("rounds"), n.alias("vector_calls"), F.lit(0).alias("graph_calls"),
+    )
+
+
+def outcomes(prompts: DataFrame, clean: DataFrame) -> DataFrame:
+    """(prompt_id, status, rule) of every prompt (prompt_id, text): ok, empty_prompt (null or blank), or fail_closed with the rule that the first of its bodies (prompt_id, pos, aborted, redactions) to be refused broke."""
+    refused = clean.where("aborted").groupBy("prompt_id").agg(F.min_by(F.col("redactions")[0]["rule"], "pos").alias("rule"))
+    out = prompts.select(F.col("prompt_id").cast("string").alias("prompt_id"), F.trim(F.coalesce("text", F.lit(""))).alias("_text")).join(refused, "prompt_id", "left")
+    status = F.when(F.col("_text") == "", "empty_prompt").when(F.col("rule").isNotNull(), "fail_closed").otherwise("ok")
+    return out.select("prompt_id", status.alias("status"), "rule")
+
+
+class StageEvents:
+    """Counts of a batch's stages, observed while the stages are written: they cost no job of their own."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+
+    def watch(self, event: str, df: DataFrame, **counts: Column) -> DataFrame:
+        self.seen[event] = Observation()
+        return df.observe(self.seen[event], F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in counts.items()])
+
+    def rows(self, spark: SparkSession, run_id: str) -> DataFrame:
+        """One event a stage, in order, in the shape of event logs. Every stage must have been written."""
+        rows = [(i, event, {k: str(v) for k, v in o.get.items() if v is not None}) for i, (event, o) in enumerate(self.seen.items())]
+        logged = spark.createDataFrame(rows, "place int, event string, fields map<string,string>")
+        ts = F.current_timestamp() + F.make_interval(secs=F.col("place") / 1e6)
+        return logged.select(ts.alias("ts"), F.lit("info").alias("level"), "event", F.lit(run_id).alias("trace_id"), F.lit(run_id).alias("run_id"), F.lit(False).alias("dry_run"), "fields")
+
+
 def search(prompts: DataFrame, found: Extraction, corpus: DataFrame, index: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(prompt_id, doc, file, start_line, end_line, score, evidence, n_lists, ...) for prompts (prompt_id, intent).
 
@@ -207,7 +273,7 @@ def expand_by_intent(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, setti
 
 @dataclass(frozen=True)
 class Composition:
-    """The stages of a batch: intents, extraction, seeds, neighbours, selected bodies and packs."""
+    """The stages of a batch: intents, extraction, seeds, neighbours, selected bodies and packs; outcomes has a row for every prompt, traces for those that were searched."""
 
     intents: DataFrame
     extraction: Extraction
@@ -215,6 +281,8 @@ class Composition:
     neighbours: DataFrame
     selected: DataFrame
     packs: DataFrame
+    outcomes: DataFrame
+    traces: DataFrame
 
 
 def compose(
@@ -228,12 +296,17 @@ def compose(
     budget: Budget = Budget(),
     settings: Settings = Settings(),
     embed: Embed = hashed_vector,
+    events: StageEvents | None = None,
 ) -> Composition:
-    """All stages for prompts (prompt_id, text), which end in one stamped pack for each.
+    """All stages for prompts (prompt_id, text), which end in one stamped pack for each, or in an outcome that says why there is none.
 
     Without anchors (intent, anchor, vec) every intent is unknown; without a graph there are no
-    neighbours. corpus without vec is embedded first. Stages that others read more than once are written.
+    neighbours. corpus without vec is embedded first. Stages that others read more than once are written, and with
+    events, whose counts they give, all of them. Blank prompts aren't searched.
     """
+    every, prompts = prompts, prompts.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    watch = events.watch if events else lambda event, df, **counts: df
+    some = lambda df, name: kept(df, name) if events else df
     if "vec" not in corpus.columns:
         corpus = corpus.withColumn("vec", embed(F.col("text")))
     corpus = kept(corpus, "corpus")
@@ -243,23 +316,46 @@ def compose(
         intents = asked.select("prompt_id", F.lit("").alias("intent"))
     else:
         intents = classify(asked.select("prompt_id", embed(F.col("text")).alias("vec")), anchors).select("prompt_id", "intent")
-    intents = kept(intents, "intents")
+    intents = kept(watch("composer.intent_classified", intents, unknown=F.count_if(F.col("intent") == "")), "intents")
     found = extract(asked, corpus, index, glossary, settings, embed)
-    seeds = kept(search(intents, found, corpus, index, settings), "seeds")
+    words = some(watch("composer.stage1_extracted", found.keywords, first=F.count_if(F.col("pos") == 0)), "stage1-keywords")
+    found = Extraction(words, some(found.hits, "stage1-hits"), some(found.rounds, "stage1-rounds"), found.asked, found.vocabulary)
+    seeds = kept(watch("composer.stage2_searched", search(intents, found, corpus, index, settings), top=F.count_if(F.col("rank") == 1), best=F.max("score")), "seeds")
     cited = corpus.select("doc", "file", "start_line", "end_line", "commit_hash", "chunk_kind")
     if nodes is None or edges is None:
         met = seeds.select("prompt_id", F.col("doc").alias("source"), F.col("doc").alias("target"), F.lit("").alias("relation"), F.lit(1).alias("distance"), "score", F.lit(1).alias("rank")).where("false")
     else:
         met = expand_by_intent(seeds.select("prompt_id", "intent", F.col("doc").alias("node"), "score"), nodes, edges, settings)
-    met = kept(met, "neighbours")
+    met = kept(watch("composer.stage3_expanded", met, hops=F.max("distance")), "neighbours")
     key = citation_key(F.col("file"), F.col("start_line"), F.col("end_line"))
     near = met.select("prompt_id", F.col("target").alias("doc"), "score").join(cited, "doc").withColumn("is_seed", F.lit(False))
     columns = ["prompt_id", "file", "start_line", "end_line", "commit_hash", "chunk_kind", "is_seed", "score"]
     candidates_ = seeds.withColumn("is_seed", F.lit(True)).select(*columns).unionByName(near.select(*columns))
-    selected = kept(allocate(candidates_, corpus.select("file", "start_line", "end_line", "text"), budget), "selected")
+    selected = allocate(candidates_, corpus.select("file", "start_line", "end_line", "text"), budget)
+    selected = kept(watch("composer.stage4_allocated", selected, used_tokens=F.sum("tokens"), degraded=F.count_if("degraded"), seeds=F.count_if("is_seed")), "selected")
+    clean = watch("composer.stage5_sanitized", sanitize(selected, rules), dropped=F.count_if(F.col("text") == ""), aborted=F.count_if("aborted"), redactions=F.sum(F.size("redactions")))
+    clean = some(clean, "clean")
     keys = cited.select("doc", key.alias("key"))
     ends = met.join(keys.select(F.col("doc").alias("source"), F.col("key").alias("source_key")), "source").join(keys.select(F.col("doc").alias("target"), F.col("key").alias("target_key")), "target")
     links = ends.select("prompt_id", F.col("rank").cast("long").alias("pos"), F.col("source_key").alias("source"), F.col("target_key").alias("target"), "relation", "distance")
     asked = asked.join(intents, "prompt_id").select(F.col("prompt_id").cast("string").alias("prompt_id"), "intent", F.col("text").alias("query"))
-    packs = assemble(asked, sanitize(selected, rules), links, budget.usable)
-    return Composition(intents, found, seeds, met, selected, packs)
+    packs = watch("composer.compose_complete", assemble(asked, clean, links, budget.usable), citations=F.sum(F.size(F.coalesce("citations", F.array().cast("array<string>")))), used_tokens=F.sum("used_tokens"), edges=F.sum(F.size(F.coalesce(F.transform("edges", lambda e: e["source"]), F.array().cast("array<string>")))))
+    traced = traces(prompts.join(intents, "prompt_id"), found, seeds, corpus, index)
+    return Composition(intents, found, seeds, met, selected, some(packs, "packs"), outcomes(every, clean), traced)
+
+
+def composing_tool(corpus: DataFrame, **how: object) -> Callable[[DataFrame], DataFrame]:
+    """A tool for evaluation.runner: runs (run_id, prompt) go through compose() as one batch; a pack is a payload, any other outcome an error. Latency is the batch's, shared evenly."""
+
+    def tool(runs: DataFrame) -> DataFrame:
+        began = time.monotonic()
+        done = compose(runs.select(F.col("run_id").alias("prompt_id"), F.col("prompt").alias("text")), corpus, **how)
+        packs = kept(done.packs, "packs")
+        cited = F.transform("citations", lambda k: F.struct(F.regexp_extract(k, r"^(.*):\d+-\d+$", 1).alias("file"), F.regexp_extract(k, r":(\d+)-\d+$", 1).cast("int").alias("start_line"), F.regexp_extract(k, r"-(\d+)$", 1).cast("int").alias("end_line")))
+        payload = F.to_json(F.struct(F.col("query"), F.col("intent"), F.coalesce(cited, F.array().cast("array<struct<file:string,start_line:int,end_line:int>>")).alias("citations"), F.col("bodies"), F.struct(F.col("used_tokens"), F.col("utilization").alias("utilization_ratio")).alias("metadata")))
+        rows = done.outcomes.join(packs.select("prompt_id", payload.alias("structured")), "prompt_id", "left")
+        wrong = F.when(F.col("status") != "ok", F.concat_ws(": rule=", "status", "rule"))
+        each = int(1000 * (time.monotonic() - began) / max(1, packs.count()))
+        return rows.select(F.col("prompt_id").alias("run_id"), "structured", F.lit(None).cast("string").alias("text"), wrong.alias("error"), F.lit(each).cast("long").alias("latency_ms"))
+
+    return tool
