@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trovespark.evaluation import runner
 from trovespark.operators import audit, graph, intervals, search, vector_index, vocabulary
-from trovespark.plans.catalogue import _BM25, query, rounded
-from trovespark.sources import index
+from trovespark.plans.catalogue import _BM25, composition, query, rounded
+from trovespark.sources import flow_corpus, index, versions
 from trovespark.sources.scratch import new_folder
 from trovespark.sources.tables import table, view
 
@@ -143,3 +144,97 @@ def overlapping_ranges(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("c_custkey") * 11 % 20000
     b = table(spark, sf, "customer").select((F.col("c_custkey") % 7).alias("f"), t.alias("bs"), (t + F.col("c_custkey") % 60).alias("be")).distinct()
     return intervals.overlapping(a, b, ["f"], ("s", "e"), ("bs", "be")).groupBy("f", "s", "e").agg(F.count("*").alias("met"), F.min("bs").alias("least"), F.max("be").alias("most"))
+
+
+def flow_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Notes of flows, a step for each order, and of invariants, one for each customer, as Markdown."""
+    n = F.col("o_custkey") % 50
+    step = F.concat(
+        F.lit("### STEP s-"), "o_orderkey", F.lit("\n- symbol: `Sym"), F.col("o_orderkey") % 700, F.lit("` # order\n- at: `src/f"), F.col("o_orderkey") % 40, F.lit(".go:"), F.col("o_orderkey") % 900 + 1,
+        F.lit("`\n- calls: [s-"), F.col("o_orderkey") + 1, F.lit(", ep-"), n, F.lit("]\n- branches:\n  - when: \"late\" → then: \"retry\" at: `src/g.go:"), F.col("o_orderkey") % 90, F.lit("`\n- invariant: "), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("[INV-KEY-"), F.col("o_custkey"), F.lit("]"))).otherwise(F.lit("—")), F.lit("\n"),
+    )
+    orders = table(spark, sf, "orders").select(n.alias("n"), "o_orderkey", step.alias("step"))
+    text = F.concat(F.lit("---\nflow: ep-"), "n", F.lit("\ncalled_by: [ep-"), (F.col("n") + 1) % 50, F.lit("]\n---\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "step"))), lambda x: x["step"]), ""))
+    notes = orders.groupBy("n").agg(text.alias("text")).select(F.format_string("flows/%d.md", "n").alias("path"), "text")
+    rules = table(spark, sf, "customer").select(F.col("c_custkey").alias("path"), F.concat(F.lit("### INV-KEY-"), "c_custkey", F.lit(" — key of "), "c_name", F.lit("\n- statement: holds\n- enforced_at:\n  - `src/k.go:1` `ep-"), F.col("c_custkey") % 50, F.lit(":s-"), "c_custkey", F.lit("`\n")).alias("text"))
+    return notes, rules
+
+
+@query(
+    "s15_flow_corpus",
+    """with s as (select 'ep-' || (o_custkey % 50) as flow, 's-' || o_orderkey as id, 'Sym' || (o_orderkey % 700) as symbol, 'src/f' || (o_orderkey % 40) || '.go' as file, o_orderkey % 900 + 1 as line, o_orderkey % 90 as g,
+        case when o_orderkey % 3 = 0 then 'INV-KEY-' || o_custkey else '' end as inv, 's-' || (o_orderkey + 1) as next from orders)
+    select 'step' as kind, flow as a, id as b, symbol || '@' || file || ':' || line || ' late>retry@src/g.go:' || g || ' ' || inv as c from s
+    union all select 'edge', 'calls', flow || ':' || id, flow || ':' || next from s union all select 'edge', 'calls_flow', flow || ':' || id, flow from s
+    union all select distinct 'edge', 'called_by', 'ep-' || (o_custkey % 50), 'ep-' || ((o_custkey % 50 + 1) % 50) from orders
+    union all select 'edge', 'enforces', 'INV-KEY-' || c_custkey, 'ep-' || (c_custkey % 50) || ':s-' || c_custkey from customer
+    union all select 'invariant', 'INV-KEY-' || c_custkey, 'KEY', 'key of ' || c_name from customer""",
+)
+def flow_corpus_(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes written from tables, and what is read from them again."""
+    records = flow_corpus.corpus(*flow_files(spark, sf))
+    branch = F.transform("branches", lambda b: F.concat(b["when"], F.lit(">"), b["then"], F.lit("@"), b["at"]))
+    told = F.concat("symbol", F.lit("@"), "file", F.lit(":"), "line", F.lit(" "), F.array_join(branch, "|"), F.lit(" "), F.array_join("invariants", "|"))
+    out = records["step"].select(F.lit("step").alias("kind"), F.col("flow").alias("a"), F.col("id").alias("b"), told.alias("c"))
+    out = out.unionByName(records["edge"].select(F.lit("edge").alias("kind"), F.col("rel").alias("a"), F.col("from").alias("b"), F.col("to").alias("c")))
+    return out.unionByName(records["invariant"].select(F.lit("invariant").alias("kind"), F.col("id").alias("a"), F.col("domain").alias("b"), F.col("title").alias("c")))
+
+
+@query(
+    "s24_gate",
+    """with c as (select 'example.com/Brand#' || (length(text) % 25) || '/pkg' || (length(text) % 50) || '.Sym' || (length(text) % 37) as canonical_id from corpus),
+    l as (select count(*) as n from (select src as id from edges union all select dst from edges) x where id not in (select id from nodes)), t as (select count(*) as n from (select id from nodes group by id having count(*) > 1) x),
+    n as (select count(*) as n, sum(case when canonical_id in (select canonical_id from nodes) then 1 else 0 end) as known from c), p as (select count(distinct file_path) as n from nodes), q as (select count(distinct file_path) as n from nodes where start_line < 500)
+    select 1 as place, 'valid' as check, l.n = 0 and t.n = 0 as ok, false as soft, t.n || ' repeated nodes, ' || l.n || ' loose ends' as detail from l, t
+    union all select 2, 'aligned', false, false, 'digest mismatch' union all select 3, 'counts', n > 0, false, n || ' chunks' from n
+    union all select 4, 'bridge', known >= 0.9 * n, false, cast(known as bigint) || ' of ' || n from n union all select 5, 'audit', p.n = q.n, true, (p.n - q.n) || ' files gone, 0 not indexed' from p, q""",
+    ("corpus", "nodes", "edges"),
+)
+def gate_(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, n = view(spark, sf, "nodes"), F.length("text")
+    chunks = view(spark, sf, "corpus").select(F.concat(F.lit("example.com/Brand#"), n % 25, F.lit("/pkg"), n % 50, F.lit(".Sym"), n % 37).alias("canonical_id"))
+    one = lambda digest: spark.createDataFrame([("c0ffee", "1.19", digest)], "src_commit string, schema_version string, graph_digest string")
+    return versions.gate(nodes, view(spark, sf, "edges"), chunks, one("d1"), one("d2"), nodes.where("start_line < 500").select(F.col("file_path").alias("path")))
+
+
+_SCENARIO = "'s' || cast(c_custkey as varchar)"
+
+
+@query(
+    "p13_scenario_runs",
+    f"""with s as (select c_custkey as k, {_SCENARIO} as name, 1 + c_custkey % 3 as runs, c_custkey % 4 = 0 as strict from customer), j as (select unnest(range(0, 3)) as j),
+    r as (select s.*, run, (k + run) % 7 as fate, k * run % 100 as ms from (select *, unnest(range(1, runs + 1)) as run from s) s),
+    a as (select distinct name, run, strict, 'f' || ((k + run * j) % 5) as f, k * j % 40 + 1 as x, k * j % 40 + 1 + j * 3 as y from r, j where fate > 1),
+    e as (select distinct name, run, strict, 'f' || ((k + j) % 5) as f, k * j % 40 + 1 + k % 2 as x, k * j % 40 + 5 as y from r, j where fate > 1 and j < 2),
+    m as (select a.name, a.run, a.f, a.x, a.y, e.x as ex, e.y as ey from a join e on a.name = e.name and a.run = e.run and a.f = e.f and case when a.strict then a.x = e.x and a.y = e.y else a.x <= e.y and e.x <= a.y end),
+    p as (select r.name, r.run, ms, na, ne, coalesce(ha, 0) / na as precision, coalesce(he, 0) / ne as recall from r
+        join (select name, run, count(*) as na from a group by all) using (name, run) join (select name, run, count(*) as ne from e group by all) using (name, run)
+        left join (select name, run, count(distinct (f, x, y)) as ha, count(distinct (f, ex, ey)) as he from m group by all) using (name, run)),
+    g as (select name, median(precision) as precision, median(recall) as recall, median(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end) as f1,
+        quantile_disc(ms, 0.5) as latency_p50, max(ms) as latency_max, 3 as citation_count from p group by name),
+    b as (select name, count(*) as failed, string_agg('run ' || run || case when fate = 0 then ': timeout' else ': decode text pack' end, '; ' order by run) as error from r where fate < 2 group by name)
+    select s.name, s.runs, coalesce(b.failed, 0) as failed, coalesce(b.error, '') as error, round(g.precision, 6) as precision, round(g.recall, 6) as recall, round(g.f1, 6) as f1, g.latency_p50, g.latency_max, cast(g.citation_count as bigint) as citation_count
+    from s left join g using (name) left join b using (name)""",
+)
+def scenario_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """A scenario for each customer, put one to three times to a tool that answers in structure, as text, wrongly or not at all."""
+    k = F.col("c_custkey")
+    hit = lambda f, x, y: F.struct(F.concat(F.lit("f"), f).alias("file"), x.cast("int").alias("start_line"), y.cast("int").alias("end_line"))
+    expected = F.array(*[hit((k + j) % 5, k * j % 40 + 1 + k % 2, k * j % 40 + 5) for j in (0, 1)])
+    scenarios = table(spark, sf, "customer").select(F.concat(F.lit("s"), k).alias("name"), k.cast("string").alias("prompt"), F.when(k % 4 == 0, "strict").otherwise("overlap").alias("match_mode"), (1 + k % 3).cast("int").alias("runs"), expected.alias("expected_citations"))
+
+    def tool(runs: DataFrame) -> DataFrame:
+        n, run = F.col("prompt").cast("long"), F.substring_index("run_id", "#", -1).cast("long")
+        pack = F.to_json(F.struct(F.array(*[hit((n + run * j) % 5, n * j % 40 + 1, n * j % 40 + 1 + j * 3) for j in (0, 1, 2)]).alias("citations")))
+        fate = (n + run) % 7
+        return runs.select("run_id", F.when(fate > 2, pack).alias("structured"), F.when(fate == 1, "not json").when(fate == 2, pack).alias("text"), F.when(fate == 0, "timeout").alias("error"), (n * run % 100).alias("latency_ms"))
+
+    out = runner.run_scenarios(scenarios, tool)
+    return rounded(out.select("name", "runs", "failed", "error", "precision", "recall", "f1", "latency_p50", "latency_max", "citation_count"), "precision", "recall", "f1")
+
+
+@query("p4_p5_outcomes_and_traces")
+def outcomes_and_traces(spark: SparkSession, sf: str) -> DataFrame:
+    done = composition(spark, sf)
+    traced = done.traces.select("prompt_id", "rounds", "vocab_expanded", F.size("steps").alias("n_steps"), F.size("final_seeds").alias("n_seeds"), F.size("failed_keywords").alias("n_failed"))
+    return done.outcomes.join(traced, "prompt_id", "left")
