@@ -177,18 +177,22 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         return r["n"], r["s"]
 
-    before, now = None, state(edges)
-    while now[0] and now != before:
+    now = state(edges)
+    while now[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = written(large, f"{name}-large")
+        if state(large) == now and large.select("u").distinct().count() == now[0]:  # every node has one neighbour, and that is no one's but a root
+            break
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = written(small, f"{name}-small")
         discard(spark, edges, large)
         edges, before, now = small, now, state(small)
+        if now == before:
+            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -209,6 +213,28 @@ def shared_cells(cells: DataFrame, name: str, maybe: Column | None = None) -> tu
     return counts.where("members = 2").select("a", "b").distinct(), written(shared, f"{name}-shared")
 
 
+def stars_of(pairs: DataFrame, shared: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
+    """The links of pairs, and of all nodes of a cell with its head, the node that shares cells with most others; and (node, x), the rows of nodes that share cells, with degree in x first. As linked_by_cells has it."""
+    what = [c for c in nodes.columns if c not in ("node", "n")]
+    degree = shared.groupBy("node").agg(F.sum("members").alias("degree"))
+    held = written(nodes.join(degree, "node").select("node", F.struct("degree", "n", "node", *what).alias("x")), f"{name}-held")
+    members = shared.drop("members").join(held, "node").select("cell", "x")
+    heads = members.groupBy("cell").agg(F.max("x").alias("y"))
+    stars = members.join(heads, "cell").where(F.col("x.node") != F.col("y.node")).where(near("x", "y"))
+    side = lambda end, as_: nodes.select(F.col("node").alias(end), F.struct("node", *what).alias(as_))
+    twos = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y")).select("a", "b")
+    stars = stars.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).union(twos).distinct()
+    return written(checked(stars), f"{name}-stars"), held
+
+
+def merged_roots(rooted: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """rooted (node, root, of all nodes) after links (a, b) have joined their ends' components. Only links between different roots are followed."""
+    of = lambda end: rooted.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    over = components(between, name).select(F.col("node").alias("root"), F.col("root").alias("over"))
+    return written(rooted.select("node", "root").join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")), f"{name}-merged")
+
+
 def linked_by_cells(pairs: DataFrame, shared: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str, lists: DataFrame | None = None) -> DataFrame:
     """Links (a, b) among nodes (node long, n long, whatever near reads), enough to give the components of all links between nodes that share a cell.
 
@@ -220,17 +246,13 @@ def linked_by_cells(pairs: DataFrame, shared: DataFrame, nodes: DataFrame, near:
     node's cells in one order, a pair comes out of the first cell it shares only. What remains quadratic
     is the number of tries of near in a cell of many nodes of which few are linked to any other.
     """
-    what = [c for c in nodes.columns if c not in ("node", "n")]
-    degree = shared.groupBy("node").agg(F.sum("members").alias("degree"))
-    held = written(nodes.join(degree, "node").select("node", F.struct("degree", "n", "node", *what).alias("x")), f"{name}-held")
-    members = shared.drop("members").join(held, "node").select("cell", "x")
-    heads = members.groupBy("cell").agg(F.max("x").alias("y"))
-    stars = members.join(heads, "cell").where(F.col("x.node") != F.col("y.node")).where(near("x", "y"))
-    side = lambda end, as_: nodes.select(F.col("node").alias(end), F.struct("node", *what).alias(as_))
-    twos = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y")).select("a", "b")
-    stars = stars.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).union(twos).distinct()
-    stars = written(checked(stars), f"{name}-stars")
+    stars, held = stars_of(pairs, shared, nodes, near, checked, name)
     roots = components(stars, name)
+    return stars.unionByName(rest_of(shared, held, roots, near, checked, name, lists))
+
+
+def rest_of(shared: DataFrame, held: DataFrame, roots: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str, lists: DataFrame | None = None) -> DataFrame:
+    """The links, beyond stars_of's, in cells whose nodes are of several roots (node, root): between nodes outside the head's component and the others."""
     rooted = held.join(roots, "node", "left").select("node", F.col("x").withField("root", F.coalesce("root", "node")).alias("x"))
     members = shared.drop("members").join(rooted, "node").select("cell", "x")
     apart = members.groupBy("cell").agg(F.max("x").alias("h"), F.min("x.root").alias("low"), F.max("x.root").alias("high")).where("low <> high")
@@ -244,4 +266,4 @@ def linked_by_cells(pairs: DataFrame, shared: DataFrame, nodes: DataFrame, near:
     met = F.col("y.root") == F.col("x.root")
     once = (F.col("y.root") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
     rest = members.where("x.root <> main").join(members.select("cell", F.col("x").alias("y")), "cell").where(~met & once & near("x", "y") & first)
-    return stars.unionByName(checked(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
+    return checked(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import components, in_arrow, linked_by_cells, shared_cells, with_text, written
+from trovespark.llm.common import components, in_arrow, merged_roots, rest_of, shared_cells, stars_of, with_text, written
 
 ODD_BITS = 0x5555555555555555
 GROUPS = 8
@@ -83,11 +83,11 @@ def manhattan(x: Column, y: Column) -> Column:
     return F.bit_count(low.bitwiseOR(high)) + F.bit_count(high.bitwiseAND(F.bitwise_not(low)))
 
 
-def fingerprint_links(classes: DataFrame, radius: int = 4, rounds: int = 2) -> DataFrame:
-    """(a, b) links among distinct fingerprints fp with their document counts n, enough to give all components.
+def fingerprint_roots(classes: DataFrame, radius: int = 4, ahead: int = 5) -> DataFrame:
+    """(node, root) of all distinct fingerprints fp with their document counts n: root is the smallest of those it is linked with, over any number of links.
 
-    The projections are taken in rounds. Near copies share most of their cells, so a round links
-    most of them; the next looks only at cells in which nodes of different components meet.
+    Near copies share most of their cells. So each ahead-th projection goes ahead, and links them as
+    stars; then all projections look only at cells in which nodes of different components meet. From step to step only links between different roots are followed.
     """
     if not 1 <= radius < GROUPS:
         raise ValueError(f"radius must lie in 1..{GROUPS - 1}")
@@ -100,17 +100,24 @@ def fingerprint_links(classes: DataFrame, radius: int = 4, rounds: int = 2) -> D
     def near(x: str, y: str) -> Column:
         return linked(*(F.col(f"{s}.{c}") for c in ("node", "v") for s in (x, y)))
 
-    a, b, links = F.col("a"), F.col("b"), None
-    for i in range(min(rounds, len(masks))):
-        rows = nodes.select("node", "v", F.col("node").alias("root"))
-        if links is not None:
-            rows = written(nodes.select("node", "v").join(components(links, "near-round"), "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
-        grids = rows.select("node", "v", "root", F.explode(F.array(*[F.lit(m) for m in masks[i::rounds]])).alias("grid"))
-        cells = grids.select(F.xxhash64("grid", F.col("v").bitwiseAND(F.col("grid"))).alias("cell"), "node", "root")  # a chance meeting of two cells costs a comparison
-        cells = cells if links is not None else cells.drop("root")
-        found = linked_by_cells(*shared_cells(cells, "grid", linked(a, b, popcounts(a), popcounts(b))), nodes, near, lambda pairs: pairs, "grid")
-        links = written(found if links is None else links.unionByName(found), "near-links")
-    return links
+    def cells(rows: DataFrame, some: list[int], *more: str) -> DataFrame:
+        grids = rows.select("node", "v", *more, F.explode(F.array(*[F.lit(m) for m in some])).alias("grid"))
+        return grids.select(F.xxhash64("grid", F.col("v").bitwiseAND(F.col("grid"))).alias("cell"), "node", *more)  # a chance meeting of two cells costs a comparison
+
+    a, b = F.col("a"), F.col("b")
+    maybe = linked(a, b, popcounts(a), popcounts(b))
+    exact = lambda pairs: pairs
+    stars, _ = stars_of(*shared_cells(cells(nodes, masks[::ahead]), "ahead", maybe), nodes, near, exact, "ahead")
+    rooted = written(nodes.select("node").join(components(stars, "ahead"), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
+    pairs, shared = shared_cells(cells(rooted.withColumn("v", popcounts(F.col("node"))), masks, "root"), "grid", maybe)
+    stars, held = stars_of(pairs, shared, nodes, near, exact, "grid")
+    rooted = merged_roots(rooted, stars, "grid")
+    return merged_roots(rooted, rest_of(shared, held, rooted, near, exact, "grid"), "near")
+
+
+def fingerprint_links(classes: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b) links of each distinct fingerprint fp, with document counts n, with the root of its component."""
+    return fingerprint_roots(classes, radius).where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -122,9 +129,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     """
     fps = written(fingerprints(docs, words), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")), "classes")
-    roots = components(fingerprint_links(classes, radius), "near")
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "named")
+    roots = fingerprint_roots(classes, radius)
+    named = written(classes.join(roots, classes.fp == roots.node).select("fp", "first_id", "root"), "named")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = named.join(least, "root").select("fp", "component_id")
     return fps.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
