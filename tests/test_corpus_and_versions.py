@@ -3,8 +3,7 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
+from trovespark.operators import inventory
 from trovespark.sources import commits, flow_corpus, versions
 
 NOTE = '''---
@@ -138,4 +137,20 @@ def test_promotion(spark, tmp_path, monkeypatch):
         versions.promote(spark, root, "v1", good)
     monkeypatch.undo()
     versions.promote(spark, root, "v1", good)
-    assert versions.current(spark, root) == "v1" and F.col("x") is not None
+    assert versions.current(spark, root) == "v1"
+
+
+def test_export_writes_a_file_an_entry(spark, tmp_path):
+    kind = "id string, title string, summary string, status string, related array<string>, pitfalls array<string>"
+    entries = spark.createDataFrame([("A1", "One", "first", "verified", [], ["mind\nthis"]), ("A2", "Two", "second", "draft", [], []), ("A3", "Three", "third", "needs_verification", ["A1"], [])], kind)
+    docs = spark.createDataFrame([("x/spec.md", "a\nb")], "path string, text string")
+    for some in (entries, entries.where("id <> 'A3'")):  # what the first left is swept
+        inventory.export(some, str(tmp_path / "out"), docs)
+    files = sorted(tmp_path.glob("out/*/*/part-*"))
+    assert [f.parent.name for f in files] == ["path=spec.md", "id=A1"] and files[0].read_text() == "a\nb\n" and files[1].read_text().startswith("# One\n\nfirst")
+
+
+def test_scope_is_of_whole_segments(spark):
+    files = spark.createDataFrame([("a/x.go",), ("ab/y.go",), ("a/b/z.go",), ("a/x.go",), ("c",)], "path string")
+    got = lambda *how: sorted(r[0] for r in inventory.in_scope(files, *how).collect())
+    assert got() == ["a/b/z.go", "a/x.go", "ab/y.go", "c"] and got(("a", "c")) == ["a/b/z.go", "a/x.go", "c"] and got(("a/",), ("a/b",)) == ["a/x.go"]

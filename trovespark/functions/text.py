@@ -229,6 +229,31 @@ def edge_valid(source: Column, target: Column, relation: Column, distance: Colum
     return F.coalesce((source != "") & (target != "") & relation.isin(*RELATIONS) & (distance >= 1), F.lit(False))
 
 
+#: Kinds of steps of a trace.
+STEP_KINDS = ("recall", "keyword", "find_symbol", "subgraph", "impact")
+
+
+def hit_valid(file: Column, start: Column, end: Column, rank: Column) -> Column:
+    """A valid citation at rank 1 or later; any score will do."""
+    return citation_valid(file, start, end) & F.coalesce(rank >= 1, F.lit(False))
+
+
+def neighbour_valid(source: Column, target: Column, relation: Column, distance: Column) -> Column:
+    """Two valid citations (structs of file, start_line, end_line), a known relation, a distance of 1 or more."""
+    ends = [citation_valid(c["file"], c["start_line"], c["end_line"]) for c in (source, target)]
+    return ends[0] & ends[1] & F.coalesce(relation.isin(*RELATIONS) & (distance >= 1), F.lit(False))
+
+
+def intent_valid(intent: Column) -> Column:
+    return F.coalesce(intent.isin(*INTENTS), F.lit(False))
+
+
+def trace_valid(prompt: Column, producer: Column, kinds: Column) -> Column:
+    """A prompt, a producer, and steps, all of known kinds (array of strings)."""
+    steps = (F.size(kinds) > 0) & F.forall(kinds, lambda k: F.coalesce(k.isin(*STEP_KINDS), F.lit(False)))
+    return F.coalesce((prompt != "") & (producer != "") & steps, F.lit(False))
+
+
 def pack_valid(query: Column, intent: Column, citations: Column, bodies: Column, edges: Column) -> Column:
     """A query, a known intent, bodies among the citations and both ends of every edge among them."""
     inside = F.forall(bodies, lambda b: F.array_contains(citations, b))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,3 +130,17 @@ def markdown(entries: DataFrame) -> DataFrame:
     section = lambda title, items: F.when(F.size(items) > 0, F.concat(F.lit(f"\n\n## {title}\n\n- "), F.array_join(items, "\n- "))).otherwise(F.lit(""))
     page = F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("summary"), section("Related", F.array_sort("related")), section("Pitfalls", F.col("pitfalls")))
     return entries.where(F.col("status").isin(*EMBEDDABLE)).select("id", page.alias("text"))
+
+
+def export(entries: DataFrame, folder: str, documents: DataFrame | None = None) -> None:
+    """markdown()'s pages, each a file of its own at entries/id=<id>, and documents (path, text) at docs/path=<base name>. What the folder held goes first."""
+    for rows, key, name in ((markdown(entries), "id", "entries"), (documents.select(F.regexp_extract("path", "[^/]*$", 0).alias("path"), "text") if documents is not None else None, "path", "docs")):
+        if rows is not None:
+            rows.dropDuplicates([key]).repartition(key).write.mode("overwrite").partitionBy(key).text(f"{folder}/{name}")
+
+
+def in_scope(files: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct files (path) under any included folder (none named: all) and under no excluded one; a prefix is whole path segments."""
+    under = lambda folders: reduce(lambda p, q: p | q, [F.col("path").startswith(f.rstrip("/") + "/") | (F.col("path") == f.rstrip("/")) for f in folders], F.lit(False))
+    chosen = files.where(under(include)) if include else files
+    return chosen.where(~under(exclude)).select("path").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from trovespark.functions.text import code_terms, cosine, hashed_vector, is_test_path, plain_words, query_terms
+from trovespark.functions.text import code_terms, cosine, glob_regex, hashed_vector, is_test_path, plain_words, query_terms
 from trovespark.operators.intervals import overlapping
 from trovespark.operators.inventory import expand
 from trovespark.operators.ranking import normalised, top_k
@@ -95,6 +95,19 @@ def knn(queries: DataFrame, vectors: DataFrame, query: str = "query_id", k: int
     return top_k(reduce(DataFrame.unionByName, found), [query], [F.desc(F.round("score", 9)), F.asc("doc")], k)
 
 
+def filtered_knn(queries: DataFrame, chunks: DataFrame, language: str = "", path_glob: str = "", commit: str = "", symbol_kinds: tuple[str, ...] = (), chunk_kinds: tuple[str, ...] = (), query: str = "query_id", k: int = 10) -> DataFrame:
+    """knn among the chunks (doc, vec, language, file, commit_hash, symbol_kind, chunk_kind) that pass every filter given: the filters reach the scan, so they go before the k nearest are taken.
+
+    A glob's * stays within a path segment; kinds are compared without case.
+    """
+    among = lambda column, kinds: F.lower(column).isin(*[x.lower() for x in kinds])
+    rules = [(language, lambda: F.col("language") == language), (path_glob, lambda: F.col("file").rlike(glob_regex(path_glob))), (commit, lambda: F.col("commit_hash") == commit), (symbol_kinds, lambda: among("symbol_kind", symbol_kinds)), (chunk_kinds, lambda: among("chunk_kind", chunk_kinds))]
+    for given, rule in rules:
+        if given:
+            chunks = chunks.where(rule())
+    return knn(queries, chunks.select("doc", "vec"), query, k)
+
+
 def matrix(vecs: pa.Array, size: int) -> np.ndarray:
     """Rows of length 1; those of another size or of length 0 are zeros."""
     lists = vecs.fill_null([]) if vecs.null_count else vecs

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovespark.evaluation import runner
-from trovespark.operators import audit, graph, intervals, search, vector_index, vocabulary
+from trovespark.functions import text as T
+from trovespark.operators import audit, graph, intervals, inventory, search, vector_index, vocabulary
 from trovespark.plans.catalogue import _BM25, composition, query, rounded
 from trovespark.sources import flow_corpus, index, versions
 from trovespark.sources.scratch import new_folder
@@ -238,3 +239,50 @@ def outcomes_and_traces(spark: SparkSession, sf: str) -> DataFrame:
     done = composition(spark, sf)
     traced = done.traces.select("prompt_id", "rounds", "vocab_expanded", F.size("steps").alias("n_steps"), F.size("final_seeds").alias("n_seeds"), F.size("failed_keywords").alias("n_failed"))
     return done.outcomes.join(traced, "prompt_id", "left")
+
+
+@query(
+    "f4_validity",
+    """select l_orderkey, l_linenumber, l_suppkey > 3 and l_quantity > 5 and l_linenumber > 1 as hit, l_suppkey > 3 and l_quantity > 5 and l_partkey % 7 > 0 and l_partkey % 3 <> 1 and l_linenumber > 1 as neighbour,
+    l_partkey % 3 <> 1 as intent, l_partkey % 7 > 0 and l_partkey % 5 > 0 and l_suppkey > 3 as trace from lineitem""",
+)
+def validity(spark: SparkSession, sf: str) -> DataFrame:
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    k, s = F.col("l_partkey"), F.col("l_suppkey")
+    file = F.when(s > 3, F.lit("a.go")).otherwise("")
+    start = (F.col("l_quantity") - 5).cast("int")
+    cite = lambda path: F.struct(path.alias("file"), start.alias("start_line"), (start + 2).alias("end_line"))
+    relation = F.when(k % 3 == 0, "calls").when(k % 3 == 2, "tested_by").otherwise("knows")
+    intent = F.when(k % 3 == 0, "bug_fix").when(k % 3 == 2, "").otherwise("guess")
+    kinds = F.when(k % 7 == 0, F.array().cast("array<string>")).when(k % 5 == 0, F.array(F.lit("recall"), F.lit("other"))).otherwise(F.array(F.lit("recall"), F.lit("keyword")))
+    return l.select(
+        "l_orderkey", "l_linenumber", T.hit_valid(file, start, start + 2, F.col("l_linenumber") - 1).alias("hit"),
+        T.neighbour_valid(cite(file), cite(F.when(k % 7 == 0, "").otherwise("b.go")), relation, F.col("l_linenumber") - 1).alias("neighbour"), T.intent_valid(intent).alias("intent"), T.trace_valid(file, F.lit("composer"), kinds).alias("trace"),
+    )
+
+
+@query(
+    "f9_filtered_vectors",
+    """with c as (select vec_id as doc, embedding as b, doc_id % 3 <> 0 as pinned, source || '/d' || doc_id || '.go' as file, lang, doc_id % 2 as kind from embeddings join documents on doc_id = vec_id),
+    q as (select vec_id as q, embedding as a from embeddings where vec_id % 20 = 0),
+    s as (select q, doc, list_inner_product(a::double[], b::double[]) / (sqrt(list_inner_product(a::double[], a::double[])) * sqrt(list_inner_product(b::double[], b::double[]))) as score from q, c
+        where pinned and lang = 'en' and kind = 1 and regexp_matches(file, '^[^/]*/d[^/]*[.]go$')),
+    r as (select *, row_number() over (partition by q order by round(score, 9) desc, doc) as rank from s) select q as query_id, doc, rank, round(score, 6) as score from r where rank <= 10""",
+)
+def filtered_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.when(F.col("doc_id") % 3 != 0, "c0ffee").otherwise("").alias("commit_hash"), F.concat("source", F.lit("/d"), "doc_id", F.lit(".go")).alias("file"), F.col("lang").alias("language"), F.when(F.col("doc_id") % 2 == 1, "Function").otherwise("type").alias("symbol_kind"))
+    chunks = e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")).join(d, "doc")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    found = search.filtered_knn(asked, chunks, "en", "*/d*.go", "c0ffee", ("function",))
+    return rounded(found.select("query_id", "doc", F.col("rank").cast("long").alias("rank"), "score"), "score")
+
+
+@query(
+    "s26_files_in_scope",
+    "select distinct file_path as path from nodes where (file_path like 'src/pkg1/%' or file_path like 'src/pkg2/%' or file_path like 'src/pkg30/%') and file_path not like 'src/pkg2/%' and file_path <> 'src/pkg1/f7.go'",
+    ("nodes",),
+)
+def files_in_scope(spark: SparkSession, sf: str) -> DataFrame:
+    files = view(spark, sf, "nodes").select(F.col("file_path").alias("path"))
+    return inventory.in_scope(files, ("src/pkg1", "src/pkg2/", "src/pkg30"), ("src/pkg2", "src/pkg1/f7.go"))
