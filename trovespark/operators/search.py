@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from trovespark.functions.text import code_terms, cosine, glob_regex, hashed_vector, is_test_path, plain_words, query_terms
+from trovespark.functions.text import code_terms, glob_regex, hashed_vector, is_test_path, plain_words, query_terms
 from trovespark.operators.intervals import overlapping
 from trovespark.operators.inventory import expand
 from trovespark.operators.ranking import normalised, top_k
@@ -78,7 +78,8 @@ DEFAULT_K = 10
 def knn(queries: DataFrame, vectors: DataFrame, query: str = "query_id", k: int = 10) -> DataFrame:
     """(query, doc, score, rank): the k nearest by cosine, exactly; k = 0 means 10.
 
-    queries (query, vec) go to the vectors' tasks in blocks of MOST_QUERIES at most. A task normalises
+    queries (query, vec) go to the vectors' tasks in blocks of MOST_QUERIES at most; of several blocks each is run and
+    written before the next comes to the driver. A task normalises
     every vector once and scores its Arrow batches by matrix products, keeping each query's k best and
     those that tie with the last; only these are shuffled. Vectors of other dimensions than the query's
     score 0, as empty ones and those of length 0 do.
@@ -91,7 +92,8 @@ def knn(queries: DataFrame, vectors: DataFrame, query: str = "query_id", k: int
     found = []
     for i in range(blocks):
         some = (asked.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == i) if blocks > 1 else asked).toArrow()  # bounded by the block
-        found.append(vectors.select("doc", "vec").mapInArrow(nearest_of(some, k, [f.name for f in schema]), schema))
+        near = vectors.select("doc", "vec").mapInArrow(nearest_of(some, k, [f.name for f in schema]), schema)
+        found.append(near if blocks == 1 else kept(top_k(near, [query], [F.desc(F.round("score", 9)), F.asc("doc")], k).drop("rank"), f"nearest{i}"))
     return top_k(reduce(DataFrame.unionByName, found), [query], [F.desc(F.round("score", 9)), F.asc("doc")], k)
 
 
@@ -141,15 +143,27 @@ def nearest_of(asked: pa.Table, k: int, names: list[str]) -> Callable[[Iterator[
 
 
 def classify(prompts: DataFrame, anchors: DataFrame, least: float = UNKNOWN_BELOW) -> DataFrame:
-    """(prompt_id, intent, confidence, anchor): the nearest anchor's intent; below least it is unknown and the anchor blank. Anchors (intent, anchor, vec) are written by hand: more than MOST_ANCHORS are an error."""
-    known = anchors.select("intent", "anchor", "vec").limit(MOST_ANCHORS + 1)
-    if known.count() > MOST_ANCHORS:
+    """(prompt_id, intent, confidence, anchor): the nearest anchor's intent; below least it is unknown and the anchor blank. Anchors (intent, anchor, vec) are written by hand: more than MOST_ANCHORS are an error. They go to the prompts' tasks, which score batches by matrix products; nothing is shuffled."""
+    known = anchors.select("intent", "anchor", "vec").limit(MOST_ANCHORS + 1).toArrow().combine_chunks()
+    if len(known) > MOST_ANCHORS:
         raise ValueError(f"more than {MOST_ANCHORS} anchors")
-    scored = prompts.join(F.broadcast(known.withColumnRenamed("vec", "avec")), how="inner")
-    scored = scored.withColumn("confidence", cosine(F.col("vec"), F.col("avec")))
-    best = top_k(scored, ["prompt_id"], [F.desc(F.round("confidence", 9)), F.asc("intent"), F.asc("anchor")], 1)
-    sure = F.col("confidence") >= least
-    return best.select("prompt_id", F.when(sure, F.col("intent")).otherwise("").alias("intent"), "confidence", F.when(sure, F.col("anchor")).otherwise("").alias("anchor"))
+    known = known.sort_by([("intent", "ascending"), ("anchor", "ascending")]).combine_chunks()
+    schema = StructType([prompts.schema["prompt_id"], *StructType.fromDDL("intent string, confidence double, anchor string")])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vecs = known["vec"].combine_chunks() if len(known) else None
+        sizes = vecs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) if len(known) else np.zeros(0, np.int64)
+        sides = [(np.flatnonzero(sizes == d), matrix(vecs.filter(pa.array(sizes == d)), int(d))) for d in np.unique(sizes)]
+        for b in (whole.slice(i, 512) for whole in it for i in range(0, whole.num_rows if len(known) else 0, 512)):
+            scores = np.zeros((b.num_rows, len(known)))  # vectors of other dimensions score 0
+            for at, side in sides:
+                scores[:, at] = np.round(matrix(b.column(1), side.shape[1]) @ side.T, 12)
+            best = np.round(scores, 9).argmax(axis=1)  # the first of equals, in order of intent and anchor
+            top = scores[np.arange(b.num_rows), best]
+            named = lambda c: pa.array(np.where(top >= least, np.array(known[c].to_pylist(), object)[best], ""), pa.string())
+            yield pa.record_batch([b.column(0), named("intent"), pa.array(top), named("anchor")], schema.names)
+
+    return prompts.select("prompt_id", "vec").mapInArrow(batches, schema)
 
 
 def semantic_search(queries: DataFrame, vectors: DataFrame, glossary: list[tuple[list[str], list[str]]] = (), k: int = 10, exclude_tests: bool = False, embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
