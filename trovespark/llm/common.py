@@ -214,7 +214,12 @@ def shared_cells(cells: DataFrame, name: str, maybe: Column | None = None) -> tu
 
 
 def stars_of(pairs: DataFrame, shared: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
-    """The links of pairs, and of all nodes of a cell with its head, the node that shares cells with most others; and (node, x), the rows of nodes that share cells, with degree in x first. As linked_by_cells has it."""
+    """Links (a, b) of nodes (node long, n long, whatever near reads) that share cells: of pairs, and of all nodes of a cell with its head, the one that shares cells with most others; and (node, x), the rows of nodes that share cells, with degree in x first.
+
+    pairs and shared come of shared_cells. near(x, y) is a condition on two structs of a row of nodes, checked(pairs)
+    the links among distinct pairs (a, b). A group of near copies gives a star round the text they were made from. With rest_of
+    these are enough to give the components of all links between nodes that share a cell.
+    """
     what = [c for c in nodes.columns if c not in ("node", "n")]
     degree = shared.groupBy("node").agg(F.sum("members").alias("degree"))
     held = written(nodes.join(degree, "node").select("node", F.struct("degree", "n", "node", *what).alias("x")), f"{name}-held")
@@ -235,24 +240,12 @@ def merged_roots(rooted: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return written(rooted.select("node", "root").join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")), f"{name}-merged")
 
 
-def linked_by_cells(pairs: DataFrame, shared: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str, lists: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) among nodes (node long, n long, whatever near reads), enough to give the components of all links between nodes that share a cell.
+def rest_of(shared: DataFrame, held: DataFrame, roots: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str, lists: DataFrame | None = None) -> DataFrame:
+    """The links, beyond stars_of's, in cells whose nodes are of several roots (node, root): nodes outside the head's component are held against the rest, as pairs that have met already can't join anything.
 
-    pairs and shared come of shared_cells. near(x, y) is a condition on two structs of a row of nodes, checked(pairs)
-    the links among distinct pairs (a, b). In a cell all nodes are held against its head, the one that
-    shares cells with most others: a group of near copies gives a star round the text they were made
-    from. Then, in cells whose nodes haven't all met, those that aren't in the head's component are held
-    against the rest: pairs that have met already can't join anything. With lists (node, cells), of each
-    node's cells in one order, a pair comes out of the first cell it shares only. What remains quadratic
-    is the number of tries of near in a cell of many nodes of which few are linked to any other.
+    With lists (node, cells), of each node's cells in one order, a pair comes out of the first cell it shares only. What remains
+    quadratic is the number of tries of near in a cell of many nodes of which few are linked to any other.
     """
-    stars, held = stars_of(pairs, shared, nodes, near, checked, name)
-    roots = components(stars, name)
-    return stars.unionByName(rest_of(shared, held, roots, near, checked, name, lists))
-
-
-def rest_of(shared: DataFrame, held: DataFrame, roots: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str, lists: DataFrame | None = None) -> DataFrame:
-    """The links, beyond stars_of's, in cells whose nodes are of several roots (node, root): between nodes outside the head's component and the others."""
     rooted = held.join(roots, "node", "left").select("node", F.col("x").withField("root", F.coalesce("root", "node")).alias("x"))
     members = shared.drop("members").join(rooted, "node").select("cell", "x")
     apart = members.groupBy("cell").agg(F.max("x").alias("h"), F.min("x.root").alias("low"), F.max("x.root").alias("high")).where("low <> high")

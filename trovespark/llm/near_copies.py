@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import components, in_arrow, linked_by_cells, shared_cells, unused, with_text, written
+from trovespark.llm.common import in_arrow, merged_roots, rest_of, shared_cells, stars_of, unused, with_text, written
 from trovespark.llm.near_dedup import fingerprint, fingerprint_links, shingle_hashes
 
 BANDS, ROWS = 40, 6
@@ -117,8 +117,8 @@ def fingerprint_pairs(classes: DataFrame, radius: int) -> DataFrame:
     return same.union(links.join(a, "a").join(b, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")))
 
 
-def copy_links(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, least: float, radius: int) -> DataFrame:
-    """(a, b) links among distinct texts (th, n documents, fp, size, sketch, cells), enough to give all components. texts_of gives (th, text) for a table of th."""
+def copy_roots(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, least: float, radius: int) -> DataFrame:
+    """(node, root) of all distinct texts (th, n documents, fp, size, sketch, cells): root is the smallest of those near it, over any number of steps. texts_of gives (th, text) for a table of th."""
     differ = most_different(least)
 
     def near(x: str, y: str) -> Column:
@@ -134,7 +134,9 @@ def copy_links(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], w
     checked = lambda pairs: near_pairs(written(pairs, "copy-pairs"), texts, words, least)
     nodes = classes.select(F.col("th").alias("node"), "n", "size", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
     lists = classes.select(F.col("th").alias("node"), "cells")
-    return linked_by_cells(twos, shared, nodes, near, checked, "copies", lists).unionByName(checked(alike))
+    stars, held = stars_of(twos, shared, nodes, near, checked, "copies")
+    rooted = merged_roots(nodes.select("node", F.col("node").alias("root")), stars.unionByName(checked(alike)), "copies")
+    return merged_roots(rooted, rest_of(shared, held, rooted, near, checked, "copies", lists), "copies-rest")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
@@ -160,7 +162,7 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
         named = rows_of(classes.join(asked, "th", "left_semi"))
         return named.select(F.col(own).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
 
-    roots = components(copy_links(classes, texts_of, words, least, radius), "copies")
-    named = classes.join(roots, classes.th == roots.node, "left").select("th", "first_id", F.coalesce("root", "th").alias("root"))
+    roots = copy_roots(classes, texts_of, words, least, radius)
+    named = classes.join(roots, classes.th == roots.node).select("th", "first_id", "root")
     first = F.min(F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "th")).alias("first")
     return rows_of(named.groupBy("root").agg(first).select("first.th", "first.first_id")).drop(own)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovespark.llm.common import components, in_arrow, merged_roots, rest_of, shared_cells, stars_of, with_text, written
+from trovespark.llm.common import in_arrow, merged_roots, rest_of, shared_cells, stars_of, with_text, written
 
 ODD_BITS = 0x5555555555555555
 GROUPS = 8
@@ -83,10 +83,10 @@ def manhattan(x: Column, y: Column) -> Column:
     return F.bit_count(low.bitwiseOR(high)) + F.bit_count(high.bitwiseAND(F.bitwise_not(low)))
 
 
-def fingerprint_roots(classes: DataFrame, radius: int = 4, ahead: int = 5) -> DataFrame:
-    """(node, root) of all distinct fingerprints fp with their document counts n: root is the smallest of those it is linked with, over any number of links.
+def grid_links(classes: DataFrame, radius: int, ahead: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of distinct fingerprints fp with their document counts n: links (a, b), the roots (node, root) of all after these, and further links; all together give all components.
 
-    Near copies share most of their cells. So each ahead-th projection goes ahead, and links them as
+    Near copies share most of their cells. So, unless ahead is 0, each ahead-th projection goes ahead, and links them as
     stars; then all projections look only at cells in which nodes of different components meet. From step to step only links between different roots are followed.
     """
     if not 1 <= radius < GROUPS:
@@ -107,17 +107,26 @@ def fingerprint_roots(classes: DataFrame, radius: int = 4, ahead: int = 5) -> Da
     a, b = F.col("a"), F.col("b")
     maybe = linked(a, b, popcounts(a), popcounts(b))
     exact = lambda pairs: pairs
-    stars, _ = stars_of(*shared_cells(cells(nodes, masks[::ahead]), "ahead", maybe), nodes, near, exact, "ahead")
-    rooted = written(nodes.select("node").join(components(stars, "ahead"), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
+    rooted = nodes.select("node", F.col("node").alias("root"))
+    if ahead:
+        stars, _ = stars_of(*shared_cells(cells(nodes, masks[::ahead]), "ahead", maybe), nodes, near, exact, "ahead")
+        rooted = merged_roots(rooted, stars, "ahead")
     pairs, shared = shared_cells(cells(rooted.withColumn("v", popcounts(F.col("node"))), masks, "root"), "grid", maybe)
     stars, held = stars_of(pairs, shared, nodes, near, exact, "grid")
     rooted = merged_roots(rooted, stars, "grid")
-    return merged_roots(rooted, rest_of(shared, held, rooted, near, exact, "grid"), "near")
+    return stars, rooted, rest_of(shared, held, rooted, near, exact, "grid")
+
+
+def fingerprint_roots(classes: DataFrame, radius: int = 4, ahead: int = 5) -> DataFrame:
+    """(node, root) of all distinct fingerprints fp with their document counts n: root is the smallest of those it is linked with, over any number of links."""
+    _, rooted, rest = grid_links(classes, radius, ahead)
+    return merged_roots(rooted, rest, "near")
 
 
 def fingerprint_links(classes: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b) links of each distinct fingerprint fp, with document counts n, with the root of its component."""
-    return fingerprint_roots(classes, radius).where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    """(a, b) links among distinct fingerprints fp with their document counts n, each within the radius, enough to give all components."""
+    stars, _, rest = grid_links(classes, radius)
+    return stars.unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
