@@ -24,12 +24,13 @@ from trovespark.llm.common import in_arrow, merged_roots, rest_of, shared_cells,
 from trovespark.llm.near_dedup import fingerprint, fingerprint_links, shingle_hashes
 
 BANDS, ROWS = 40, 6
+MINIMA = 480  # of a text: the first BANDS * ROWS make its cells, all of them its sketch
 SKETCH_BITS = 4  # of each minimum; a row's sketch is so many longs
-SKETCH = BANDS * ROWS * SKETCH_BITS // 64
+SKETCH = MINIMA * SKETCH_BITS // 64
 SURE = 4.5
-BLOCK = 1 << 9
+BLOCK = 1 << 8
 HEAD_PAIRS = 200
-_FACTORS = np.random.default_rng(11).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingles(blocks: list[np.ndarray]) -> np.ndarray:
@@ -39,7 +40,7 @@ def shingles(blocks: list[np.ndarray]) -> np.ndarray:
 
 def minima(found: np.ndarray) -> np.ndarray:
     """The least value of each hash over a set of shingles."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    least = np.full(MINIMA, np.iinfo(np.uint32).max, np.uint32)
     mixed = (found ^ found >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(mixed), BLOCK):
         h = mixed[None, at : at + BLOCK] * _FACTORS[:, None]
@@ -49,7 +50,7 @@ def minima(found: np.ndarray) -> np.ndarray:
 
 
 def cells_of(least: np.ndarray) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
 def sketch_of(least: np.ndarray) -> np.ndarray:
@@ -60,7 +61,7 @@ def sketch_of(least: np.ndarray) -> np.ndarray:
 
 def most_different(least: float) -> int:
     """The bits in which sketches of texts of that similarity differ, SURE standard deviations above the mean: of unequal minima every other bit."""
-    n = BANDS * ROWS
+    n = MINIMA
     spread = sqrt((least * (1 - least) / 4 + (1 - least) / (4 * SKETCH_BITS)) / n)
     return floor(n * SKETCH_BITS * ((1 - least) / 2 + SURE * spread))
 
