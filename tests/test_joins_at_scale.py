@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trovespark.evaluation import metrics
-from trovespark.operators import intervals, inventory, search, vector_index, vocabulary
+from trovespark.operators import graph, intervals, inventory, ranking, render, search, vector_index, vocabulary
 
 X, Y = ("s", "e"), ("c", "d")
 
@@ -137,3 +137,10 @@ def test_copies_and_odd_vectors(spark, monkeypatch):
     assert few.probes <= len(few.centroids) // 8  # vectors that lie in clusters need few cells
     none = vector_index.temporary(vectors.where("false"))
     assert vector_index.search(none, asked).count() == 0
+
+
+def test_worksheets_of_equal_ids_go_by_file_and_line(spark):
+    rows = [("bad id", "s", "aa", "z.go", 2), ("bad id", "s", "bb", "a.go", 10), ("bad id", "s", "cc", "a.go", 9), ("A1", "s", "dd", "y.go", 1)]
+    entries = spark.createDataFrame(rows, "id string, subsystem string, title string, file string, line int").withColumns({"symbol": F.lit("f"), "status": F.lit("needs_verification")})
+    text = render.worksheet(entries).first()["worksheet"]
+    assert [x.split("; ")[1] for x in text.split("\n")[1:]] == ["y.go:1 (f)", "a.go:9 (f)", "a.go:10 (f)", "z.go:2 (f)"]

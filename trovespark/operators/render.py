@@ -62,8 +62,8 @@ def pack_markdown(packs: DataFrame, citations: DataFrame, bodies: DataFrame, edg
 
 
 def worksheet(entries: DataFrame, status: str = "needs_verification") -> DataFrame:
-    """(subsystem, n, worksheet): the entries of a status with their anchor and what to check, by id, for each subsystem."""
+    """(subsystem, n, worksheet): the entries of a status with their anchor and what to check, by id, file and line, for each subsystem."""
     anchor = F.format_string("%s:%d (%s)", F.col("file"), F.col("line"), F.col("symbol"))
     item = F.concat(F.lit("- [ ] "), F.col("id"), F.lit(": "), F.when(F.trim("title") == "", F.lit("—")).otherwise(F.col("title")), F.lit("; "), anchor)
-    waiting = entries.where(F.col("status") == status).groupBy("subsystem").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", item.alias("item")))).alias("items"))
+    waiting = entries.where(F.col("status") == status).groupBy("subsystem").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", "file", "line", item.alias("item")))).alias("items"))
     return waiting.select("subsystem", "n", F.concat(F.lit("## "), F.col("subsystem"), F.lit("\n"), F.array_join(F.transform("items", lambda x: x["item"]), "\n")).alias("worksheet"))
