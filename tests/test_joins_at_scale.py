@@ -144,3 +144,30 @@ def test_worksheets_of_equal_ids_go_by_file_and_line(spark):
     entries = spark.createDataFrame(rows, "id string, subsystem string, title string, file string, line int").withColumns({"symbol": F.lit("f"), "status": F.lit("needs_verification")})
     text = render.worksheet(entries).first()["worksheet"]
     assert [x.split("; ")[1] for x in text.split("\n")[1:]] == ["y.go:1 (f)", "a.go:9 (f)", "a.go:10 (f)", "z.go:2 (f)"]
+
+
+def test_first_of_lists_is_the_head_of_their_union(spark):
+    rng = random.Random(5)
+    lists = [(key, rng.randint(0, 300)) for key in range(12) for _ in range(rng.choice([0, 1, 5, 90]))]
+    asked = {(g, rng.randrange(14)) for g in range(10) for _ in range(rng.choice([1, 3, 8]))}
+    for k in (1, 4, 60):
+        got = ranking.first_of_lists(spark.createDataFrame(sorted(asked), "g int, key int"), spark.createDataFrame(lists, "key int, x int"), ["g"], "key", ["x"], k).collect()
+        want = [(g, x) for g in range(10) for x in sorted({x for key, x in lists if (g, key) in asked})[:k]]
+        assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("depth, most", [(1, 4), (2, 6), (3, 15), (3, 1000)])
+def test_subgraphs_are_the_nearest_edges_within_depth(spark, depth, most):
+    rng = random.Random(depth * most)
+    edges = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", rng.choice("ab")) for _ in range(45)} | {("n1", "n1", "a"), ("n50", "n51", "a")}
+    seeds = [("s0", "n1"), ("s1", "n7"), ("s1", "n8"), ("s2", "n50"), ("s3", "none"), *[(f"t{i}", f"n{i}") for i in range(40)]]
+    want = []
+    for seed in {s for s, _ in seeds}:
+        far, front = {}, {n for s, n in seeds if s == seed}
+        for d in range(depth + 1):
+            far |= dict.fromkeys(front, d)
+            front = {y for a, b, _ in edges for x, y in ((a, b), (b, a)) if x in front} - far.keys()
+        inside = sorted((min(far[e[0]], far[e[1]]), *e) for e in edges if e[0] in far and e[1] in far)
+        want += [(seed, *e[1:]) for e in inside[:most]]
+    got = graph.subgraph(spark.createDataFrame(seeds, "seed string, node string"), spark.createDataFrame(sorted(edges), "src string, dst string, type string"), depth, most)
+    assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -25,6 +25,22 @@ def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return top_k(df, key, order, 1, "_first").drop("_first")
 
 
+def first_of_lists(asked: DataFrame, lists: DataFrame, group: list[str], key: str, order: list[str], k: int, copies: int = 1) -> DataFrame:
+    """(group, order): the first k distinct rows, in order, of all the lists (key, order) that each group (group, key) asks for.
+
+    No list gives more than its first k rows. The heads of a group's lists that hold k rows together give a bound: what
+    lies behind it isn't joined to the group. copies: of how many of a group's lists a row tends to be; a wrong guess costs time only.
+    """
+    ascending, place = [F.asc(c) for c in order], F.struct(*order)
+    ranked = top_k(lists.select(key, *order).distinct(), [key], ascending, k, "_r")
+    sizes = asked.groupBy(*group).agg(F.count("*").alias("_n"))
+    heads = asked.join(sizes, group).join(ranked, key).where((F.col("_r") - 1) * F.col("_n") < copies * k).select(*group, *order)
+    nth = F.dense_rank().over(Window.partitionBy(*group).orderBy(*ascending))
+    bounds = heads.withColumn("_h", nth).where(F.col("_h") <= k).where(F.col("_h") == k).select(*group, place.alias("_bound")).distinct()
+    near = asked.join(bounds, group, "left").join(ranked, key).where(F.col("_bound").isNull() | (place <= F.col("_bound"))).select(*group, *order)
+    return near.withColumn("_h", nth).where(F.col("_h") <= k).drop("_h").distinct()
+
+
 def normalised(df: DataFrame, group: list[str], score: str = "score") -> DataFrame:
     """score scaled to 0..1 within each group, 1 where all are equal; for groups a top-k has bounded, whose partitioning it reuses."""
     w = Window.partitionBy(*group)
