@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trovespark.llm import jpeg, language_id, licenses, media, near_dedup, simhash, token_files, tokens, toxicity
-from trovespark.llm.common import components
+from trovespark.llm.common import components, shared_cells
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -90,6 +90,21 @@ def test_links_of_a_loose_cluster(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_crowded_cells_are_kept_by_node(spark):
+    """60 near copies share most of their cells: what is joined to them is joined to 60 rows, not to one for each cell."""
+    fps = [1 << i for i in range(60)]
+    v = near_dedup.popcounts(F.col("node"))
+    grid = F.explode(F.array(*[F.lit(m) for m in near_dedup.projections(4)]))
+    nodes = spark.createDataFrame([(x, 1) for x in fps], "node long, n long").withColumn("v", v)
+    cells = nodes.select("node", "v", grid.alias("g")).select(F.xxhash64("g", F.col("v").bitwiseAND(F.col("g"))).alias("cell"), "node")
+    _, shared = shared_cells(cells, "few")
+    got = {r["node"]: r["met"] for r in shared.collect()}
+    assert shared.count() == len(fps) and set(got) == set(fps)
+    counts = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}
+    for r in cells.groupBy("node").agg(F.collect_set("cell").alias("cells")).collect():
+        assert sorted((m["cell"], m["members"]) for m in got[r["node"]]) == sorted((c, counts[c]) for c in r["cells"] if counts[c] > 2)
+
+
 @given(st.integers(0, (1 << 64) - 1), st.integers(0, (1 << 64) - 1))
 @settings(max_examples=200, deadline=None)
 def test_manhattan_bounds_hamming(a, b):

@@ -197,7 +197,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def shared_cells(cells: DataFrame, name: str, maybe: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Of cells (cell long, node long, and root long if some are known): the pairs (a, b) that share a cell with no third, and (cell, node, members) of the cells that more nodes share.
+    """Of cells (cell long, node long, and root long if some are known): the pairs (a, b) that share a cell with no third, and (node, met), a row for each node that shares cells with more: met are these cells with their members, no more of them than cells of the node.
 
     Most meetings are of two by chance; they come out of the aggregation, without a join. maybe is a
     condition on a and b that turns them down there. Cells whose nodes are all of one root are left out. As few cells
@@ -209,21 +209,22 @@ def shared_cells(cells: DataFrame, name: str, maybe: Column | None = None) -> tu
     counts = counts if maybe is None else counts.where((F.col("members") > 2) | maybe)
     counts = written(counts, f"{name}-cells")
     crowded = written(counts.where("members > 2").select("cell", "members"), f"{name}-crowded")
-    shared = worth_joining(cells.select("cell", "node"), crowded, "cell").join(crowded, "cell").select("cell", "node", "members")
+    shared = worth_joining(cells.select("cell", "node"), crowded, "cell").join(crowded, "cell").groupBy("node").agg(F.collect_list(F.struct("cell", "members")).alias("met"))
     return counts.where("members = 2").select("a", "b").distinct(), written(shared, f"{name}-shared")
 
 
 def stars_of(pairs: DataFrame, shared: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of nodes (node long, n long, whatever near reads) that share cells: of pairs, and of all nodes of a cell with its head, the one that shares cells with most others; and (node, x), the rows of nodes that share cells, with degree in x first.
+    """Links (a, b) of nodes (node long, n long, whatever near reads) that share cells: of pairs, and of all nodes of a cell with its head, the one that shares cells with most others; and (node, x, met), the rows of nodes that share cells, with degree in x first.
 
     pairs and shared come of shared_cells. near(x, y) is a condition on two structs of a row of nodes, checked(pairs)
     the links among distinct pairs (a, b). A group of near copies gives a star round the text they were made from. With rest_of
-    these are enough to give the components of all links between nodes that share a cell.
+    these are enough to give the components of all links between nodes that share a cell. What is known of a node is joined to its one
+    row and dealt to its cells afterwards.
     """
     what = [c for c in nodes.columns if c not in ("node", "n")]
-    degree = shared.groupBy("node").agg(F.sum("members").alias("degree"))
-    held = written(nodes.join(degree, "node").select("node", F.struct("degree", "n", "node", *what).alias("x")), f"{name}-held")
-    members = shared.drop("members").join(held, "node").select("cell", "x")
+    degree = F.aggregate("met", F.lit(0).cast("long"), lambda n, c: n + c["members"])
+    held = written(nodes.join(shared, "node").select("node", F.struct(degree.alias("degree"), "n", "node", *what).alias("x"), F.col("met.cell").alias("met")), f"{name}-held")
+    members = held.select(F.explode("met").alias("cell"), "x")
     heads = members.groupBy("cell").agg(F.max("x").alias("y"))
     stars = members.join(heads, "cell").where(F.col("x.node") != F.col("y.node")).where(near("x", "y"))
     side = lambda end, as_: nodes.select(F.col("node").alias(end), F.struct("node", *what).alias(as_))
@@ -240,14 +241,13 @@ def merged_roots(rooted: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return written(rooted.select("node", "root").join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")), f"{name}-merged")
 
 
-def rest_of(shared: DataFrame, held: DataFrame, roots: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str, lists: DataFrame | None = None) -> DataFrame:
+def rest_of(held: DataFrame, roots: DataFrame, near: Callable[[str, str], Column], checked: Callable[[DataFrame], DataFrame], name: str, lists: DataFrame | None = None) -> DataFrame:
     """The links, beyond stars_of's, in cells whose nodes are of several roots (node, root): nodes outside the head's component are held against the rest, as pairs that have met already can't join anything.
 
     With lists (node, cells), of each node's cells in one order, a pair comes out of the first cell it shares only. What remains
     quadratic is the number of tries of near in a cell of many nodes of which few are linked to any other.
     """
-    rooted = held.join(roots, "node", "left").select("node", F.col("x").withField("root", F.coalesce("root", "node")).alias("x"))
-    members = shared.drop("members").join(rooted, "node").select("cell", "x")
+    members = held.join(roots, "node", "left").select(F.explode("met").alias("cell"), F.col("x").withField("root", F.coalesce("root", "node")).alias("x"))
     apart = members.groupBy("cell").agg(F.max("x").alias("h"), F.min("x.root").alias("low"), F.max("x.root").alias("high")).where("low <> high")
     members = members.join(apart.select("cell", F.col("h.root").alias("main")), "cell")
     first = F.lit(True)

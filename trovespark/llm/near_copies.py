@@ -137,7 +137,7 @@ def copy_roots(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], w
     lists = classes.select(F.col("th").alias("node"), "cells")
     stars, held = stars_of(twos, shared, nodes, near, checked, "copies")
     rooted = merged_roots(nodes.select("node", F.col("node").alias("root")), stars.unionByName(checked(alike)), "copies")
-    return merged_roots(rooted, rest_of(shared, held, rooted, near, checked, "copies", lists), "copies-rest")
+    return merged_roots(rooted, rest_of(held, rooted, near, checked, "copies", lists), "copies-rest")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:

@@ -114,7 +114,7 @@ def grid_links(classes: DataFrame, radius: int, ahead: int = 0) -> tuple[DataFra
     pairs, shared = shared_cells(cells(rooted.withColumn("v", popcounts(F.col("node"))), masks, "root"), "grid", maybe)
     stars, held = stars_of(pairs, shared, nodes, near, exact, "grid")
     rooted = merged_roots(rooted, stars, "grid")
-    return stars, rooted, rest_of(shared, held, rooted, near, exact, "grid")
+    return stars, rooted, rest_of(held, rooted, near, exact, "grid")
 
 
 def fingerprint_roots(classes: DataFrame, radius: int = 4, ahead: int = 5) -> DataFrame:
