@@ -99,6 +99,27 @@ def test_a_hundred_thousand_aliases_are_one_step(spark):
     assert len(out._jdf.queryExecution().toString()) < 20_000 and out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
+def test_a_task_holds_one_block_of_a_glossary(spark, monkeypatch):
+    """However many blocks there are, the last plan has one step over the prompts, as those before are written; aliases of many lengths, in long texts and across their cuts, are those that the texts contain."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abé\0 ") for _ in range(n))
+    texts = [word(rng.choice([0, 3, 40, 700])) for _ in range(60)] + ["", None, "é" * 300]
+    entries = [([word(n) for n in rng.choices(range(1, 12), k=2)], [f"k{i % 30}", f"e{i}"]) for i in range(80)] + [(["é" * 299, "é" * 301], ["long"])]
+    prompts = spark.createDataFrame(list(enumerate(texts)), "prompt_id int, text string")
+    want = {i: list(dict.fromkeys(k for aliases, keywords in entries if any(a.strip(" ") and a in (t or "") for a in aliases) for k in keywords)) for i, t in enumerate(texts)}
+    for chars, held in ((1 << 20, 1 << 20), (1 << 20, 64), (1000, 64)):
+        monkeypatch.setattr(vocabulary, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(vocabulary, "TEXT_BYTES", held)
+        assert (len(list(vocabulary.blocks(glossary_table(spark, entries)))) > 2) == (chars == 1000)
+        out = vocabulary.expand_all(prompts, glossary_table(spark, entries))
+        assert {r["prompt_id"]: r["keywords"] for r in out.collect()} == want
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    aliases = vocabulary.Aliases([b for block in vocabulary.blocks(glossary_table(spark, entries)) for b in block.value])
+    lower = [(t or "").encode() for t in texts]
+    monkeypatch.setattr(vocabulary, "TEXT_BYTES", 64)  # in this process, where it holds for the lookup too
+    assert [[k for e in found for k in entries[e][1]] and list(dict.fromkeys(k for e in found for k in aliases.keywords[e].as_py())) for found in vocabulary.entries_of(vocabulary.pa.array(lower), aliases)] == [want[i] for i in range(len(texts))]
+
+
 # --- vectors ---------------------------------------------------------------------------------------
 
 
