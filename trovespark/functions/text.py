@@ -102,6 +102,18 @@ def code_terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(spaced), r"[^\p{L}\p{N}]+"), lambda t: F.char_length(t) >= 2)
 
 
+def term_counts(terms: Column) -> Column:
+    """Each distinct term with how often it stands among the terms, as an array of (term, tf) in order of term: counted where the text is, without a shuffle."""
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  so that value is worked out once
+
+    def runs(o: Column) -> Column:
+        begins = F.filter(F.transform(o, lambda x, i: F.when((i == 0) | (x != F.get(o, i - 1)), i)), lambda i: i.isNotNull())
+        tf = lambda b, i, k: (F.coalesce(F.get(b, k + 1), F.size(o)) - i).cast("long")
+        return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(o, i).alias("term"), tf(b, i, k).alias("tf"))))
+
+    return let(F.sort_array(terms), runs)
+
+
 def query_terms(text: Column) -> Column:
     """Distinct terms of an OR query: runs of letters, digits and underscores; the whole query if there are none."""
     words = F.array_distinct(F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda t: t != ""))
