@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Enumerations of the evidence contract.
 INTENTS = ("", "bug_fix", "feature_add", "refactor", "arch_explain", "test_add", "concurrency_safety", "security", "docs_update", "qa_review")
@@ -96,22 +100,61 @@ def compounds(words: Column, most: int = 10) -> Column:
     return F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), at)))
 
 
-def code_terms(text: Column) -> Column:
-    """Lower-case index terms of two characters or more; camel case, snake case, dots and slashes separate."""
-    spaced = F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2")
-    return F.filter(F.split(F.lower(spaced), r"[^\p{L}\p{N}]+"), lambda t: F.char_length(t) >= 2)
+#: Bytes of text that a task cuts into terms at once, and counts letters of.
+TEXT_SLICE = 1 << 22
+_COUNTS = ArrayType(StructType([StructField("term", StringType()), StructField("tf", LongType())]))
+
+
+def _slices(texts: pa.Array) -> list[pa.Array]:
+    """texts in runs of rows of about TEXT_SLICE bytes, a longer text alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.unique(np.searchsorted(ends, np.arange(TEXT_SLICE, int(ends[-1]) if len(ends) else 0, TEXT_SLICE)))
+    cuts = [0, *[int(c) for c in cuts if c > 0], len(texts)]
+    return [texts.slice(i, j - i) for i, j in zip(cuts, cuts[1:])]
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The row and the term of all terms of texts, in order: by the same regular expressions and case mapping as the SQL's engine."""
+    low = pc.utf8_lower(pc.replace_substring_regex(pc.fill_null(texts.cast(pa.string()), ""), "([a-z0-9])([A-Z])", r"\1 \2"))
+    parts = pc.split_pattern_regex(low, r"[^\pL\pN]+")
+    rows, terms = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False), pc.list_flatten(parts).dictionary_encode()
+    long = pc.greater_equal(pc.utf8_length(terms.dictionary), 2).to_numpy(zero_copy_only=False)[terms.indices.to_numpy(zero_copy_only=False)]
+    return rows[long], terms.filter(pa.array(long))
+
+
+def _offsets(rows: np.ndarray, n: int) -> pa.Array:
+    return pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32))
+
 
+@F.arrow_udf(ArrayType(StringType()))
+def _terms(texts: pa.Array) -> pa.Array:
+    def of(some: pa.Array) -> pa.Array:
+        rows, terms = _cut(some)
+        return pa.ListArray.from_arrays(_offsets(rows, len(some)), terms.dictionary_decode(), mask=some.is_null())
 
-def term_counts(terms: Column) -> Column:
-    """Each distinct term with how often it stands among the terms, as an array of (term, tf) in order of term: counted where the text is, without a shuffle."""
-    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  so that value is worked out once
+    return pa.concat_arrays([of(some) for some in _slices(texts)])
 
-    def runs(o: Column) -> Column:
-        begins = F.filter(F.transform(o, lambda x, i: F.when((i == 0) | (x != F.get(o, i - 1)), i)), lambda i: i.isNotNull())
-        tf = lambda b, i, k: (F.coalesce(F.get(b, k + 1), F.size(o)) - i).cast("long")
-        return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(o, i).alias("term"), tf(b, i, k).alias("tf"))))
 
-    return let(F.sort_array(terms), runs)
+@F.arrow_udf(StructType([StructField("dl", IntegerType()), StructField("counts", _COUNTS)]))
+def _counted(texts: pa.Array) -> pa.Array:
+    def of(some: pa.Array) -> pa.Array:
+        rows, terms = _cut(some)
+        keys, tf = np.unique(rows.astype(np.int64) << 32 | terms.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        counts = pa.StructArray.from_arrays([terms.dictionary.take(pa.array(keys & 0xFFFFFFFF)), pa.array(tf, pa.int64())], ["term", "tf"])
+        dl = pa.array(np.bincount(rows, minlength=len(some)), pa.int32())
+        return pa.StructArray.from_arrays([dl, pa.ListArray.from_arrays(_offsets(keys >> 32, len(some)), counts)], ["dl", "counts"])
+
+    return pa.concat_arrays([of(some) for some in _slices(texts)])
+
+
+def code_terms(text: Column) -> Column:
+    """Lower-case index terms of two characters or more; camel case, snake case, dots and slashes separate."""
+    return _terms(text)
+
+
+def term_counts(text: Column) -> Column:
+    """The text's code_terms counted where it is, without a shuffle: (dl, counts), the number of them all and an array of each distinct (term, tf)."""
+    return _counted(text)
 
 
 def query_terms(text: Column) -> Column:
@@ -284,7 +327,22 @@ def hashed_vector(text: Column, dimensions: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(slots, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dimensions)) == i, F.when(h < 0, F.lit(-1.0)).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))).cast("float"))
 
 
+@F.arrow_udf(ArrayType(FloatType()))
+def _letters(texts: pa.Array) -> pa.Array:
+    wide = texts.cast(pa.large_binary())
+    at = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
+    data = np.frombuffer(wide.buffers()[2] or b"", np.uint8)
+    out = np.zeros((len(wide), 26))
+    for i in range(len(wide)):
+        for begin in range(at[i], at[i + 1], TEXT_SLICE):
+            n = np.bincount(data[begin : min(begin + TEXT_SLICE, at[i + 1])], minlength=128)
+            out[i] += n[97:123] + n[65:91]
+    for letter, other in ((8, "\u0130"), (10, "\u212a")):  # the only others that are a to z in lower case
+        out[:, letter] += pc.fill_null(pc.count_substring(texts, other), 0).to_numpy(zero_copy_only=False)
+    none = pa.array(np.repeat(texts.is_null().to_numpy(zero_copy_only=False), 26))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(wide) + 1, dtype=np.int32) * 26), pc.if_else(none, pa.scalar(None, pa.float32()), pa.array(out.ravel(), pa.float32())))
+
+
 def letter_counts(text: Column) -> Column:
-    """An even simpler stand-in, which any SQL can repeat: how often each letter a to z stands in the text, in lower case."""
-    low = F.lower(text)
-    return F.array(*[(F.char_length(low) - F.char_length(F.replace(low, F.lit(c)))).cast("float") for c in "abcdefghijklmnopqrstuvwxyz"])
+    """An even simpler stand-in, which any SQL can repeat: how often each letter a to z stands in the text, in lower case; nulls for a null."""
+    return _letters(text)

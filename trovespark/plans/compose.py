@@ -93,14 +93,19 @@ def reranked_keywords(candidates: DataFrame, hits: DataFrame, most: int = 8) ->
     return top_k(candidates.join(best, ["prompt_id", "keyword"]), ["prompt_id"], [F.desc("score"), F.asc("pos")], most)
 
 
+def present(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """The distinct terms of asked (term), a written table, that the index holds: its other terms don't come to a shuffle."""
+    return index.select("term").join(asked.select("term").distinct(), "term", "left_semi").distinct()
+
+
 def known_keywords(words: DataFrame, index: DataFrame) -> DataFrame:
     """words (prompt_id, pos, keyword) of which keyword search finds anything, with score 1.
 
     A keyword's score is that of its best hit, and scores of a search are scaled so that the best is 1:
     so it is enough to ask the index for any of its terms.
     """
-    terms = words.select("keyword").distinct().select("keyword", F.explode(F.array_distinct(code_terms(F.col("keyword")))).alias("term"))
-    found = terms.join(index.select("term").distinct(), "term", "left_semi").select("keyword").distinct()
+    terms = kept(words.select("keyword").distinct().select("keyword", F.explode(F.array_distinct(code_terms(F.col("keyword")))).alias("term")), "asked-terms")
+    found = terms.join(present(terms, index), "term", "left_semi").select("keyword").distinct()
     return words.join(found, "keyword", "left_semi").withColumn("score", F.lit(1.0))
 
 
@@ -163,7 +168,8 @@ def traces(prompts: DataFrame, found: Extraction, seeds: DataFrame, corpus: Data
     words = in_order(found.keywords, "pos", "keyword", "keywords")
     hits = in_order(found.hits.join(place, "doc"), "pos", "key", "hits")
     best = in_order(seeds.select("prompt_id", "rank", key.alias("key")), "rank", "key", "final_seeds")
-    terms = found.keywords.select("prompt_id", "pos", "keyword", F.explode_outer(F.array_distinct(code_terms(F.col("keyword")))).alias("term")).join(index.select("term").distinct().withColumn("_there", F.lit(True)), "term", "left")
+    terms = kept(found.keywords.select("prompt_id", "pos", "keyword", F.explode_outer(F.array_distinct(code_terms(F.col("keyword")))).alias("term")), "traced-terms")
+    terms = terms.join(present(terms, index).withColumn("_there", F.lit(True)), "term", "left")
     failed = in_order(terms.groupBy("prompt_id", "pos", "keyword").agg(F.max("_there").alias("there")).where("there is null"), "pos", "keyword", "failed_keywords")
     rounds = found.rounds.join(found.asked, ["prompt_id", "round"], "left").groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct("round", "query", "confidence"))).alias("rounds"))
     out = prompts.select("prompt_id", "intent", "text").join(rounds, "prompt_id")
