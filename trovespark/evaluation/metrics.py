@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovespark.functions.text import basename, last_component, normal_path
 from trovespark.operators import intervals
+from trovespark.sources.scratch import kept
 
 KEY = ["file", "start_line", "end_line"]
 
@@ -16,17 +19,24 @@ def retrieval_quality(expected: DataFrame, actual: DataFrame, case: str = "scena
 
     Duplicates count once. Nothing expected and nothing found is perfect; only one of them empty gives 0.
     """
-    e, a = expected.select(case, *KEY).distinct(), actual.select(case, *KEY).distinct()
+    sided = lambda df, e: df.select(case, *KEY, F.lit(e).alias("_e"), F.lit(not e).alias("_a"))
+    cited = sided(expected, True).unionByName(sided(actual, False)).groupBy(case, *KEY).agg(F.max("_e").alias("_e"), F.max("_a").alias("_a"))
+    whole = reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in (case, *KEY)])
     if strict:
-        e_hit, a_hit = e.join(a, [case, *KEY], "left_semi"), a.join(e, [case, *KEY], "left_semi")
+        cited = cited.withColumn("_same", F.col("_e") & F.col("_a") & whole)
     else:
-        lines = ("start_line", "end_line")
-        e_hit, a_hit = intervals.met(e, a, [case, "file"], lines, lines), intervals.met(a, e, [case, "file"], lines, lines)
-    counted = None
-    for name, df in (("n_expected", e), ("n_actual", a), ("recalled", e_hit), ("hits", a_hit)):
-        one = df.groupBy(case).agg(F.count("*").alias(name))
-        counted = one if counted is None else counted.join(one, case, "full_outer")
-    counted = counted.fillna(0, ["n_expected", "n_actual", "recalled", "hits"])
+        cited = kept(cited.withColumn("_same", F.col("_e") & F.col("_a") & whole & F.coalesce(F.col("start_line") <= F.col("end_line"), F.lit(False))), "cited")
+    counts = ["n_expected", "n_actual", "recalled", "hits"]
+    marked = lambda df, *marks: df.select(case, *[m.cast("long").alias(c) for c, m in zip(counts, marks)])
+    parts = [marked(cited, F.col("_e"), F.col("_a"), F.col("_same"), F.col("_same"))]
+    if not strict:  # what both have matches itself; the rest is looked up, in files that both cite
+        files = cited.groupBy(case, "file").agg(F.max("_e").alias("e"), F.max("_a").alias("a"), F.min("_same").alias("s")).where(F.col("e") & F.col("a") & ~F.col("s"))
+        cited = kept(cited.join(kept(files.select(case, "file"), "shared-files"), [case, "file"], "left_semi"), "shared")
+        lines, none = ("start_line", "end_line"), F.lit(0)
+        for mine, other, marks in (("_e", "_a", (none, none, F.lit(1), none)), ("_a", "_e", (none, none, none, F.lit(1)))):
+            alone = cited.where(F.col(mine) & ~F.col("_same")).select(case, *KEY)
+            parts.append(marked(intervals.met(alone, cited.where(other).select(case, *KEY), [case, "file"], lines, lines), *marks))
+    counted = reduce(DataFrame.unionByName, parts).groupBy(case).agg(*[F.sum(c).alias(c) for c in counts])
     ratio = lambda hit, n, other: F.when(F.col(n) > 0, F.col(hit) / F.col(n)).when(F.col(other) == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     counted = counted.withColumn("precision", ratio("hits", "n_actual", "n_expected")).withColumn("recall", ratio("recalled", "n_expected", "n_actual"))
     both = F.col("precision") + F.col("recall")

@@ -31,12 +31,14 @@ def _ranged(df: DataFrame, start: str, end: str, side: str) -> DataFrame:
     return df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumns({f"_lo{side}": lo, "_level": _level(lo, hi), f"_hi{side}": hi})
 
 
-def _binned(df: DataFrame, levels: list[int], side: str, home: bool) -> DataFrame:
-    """df in the bins of its own level (home), or of the coarser ones among levels."""
-    at = F.array(F.col("_level")) if home else F.filter(F.array(*[F.lit(m) for m in levels]).cast("array<int>"), lambda m: m > F.col("_level"))
+def _binned(df: DataFrame, levels: list[int], side: str, home: bool | None = None) -> DataFrame:
+    """df in the bins of its own level (home), or of the coarser ones among levels; or, with _home to tell them, both."""
+    own, coarser = F.array(F.col("_level")), F.filter(F.array(*[F.lit(m) for m in levels]).cast("array<int>"), lambda m: m > F.col("_level"))
+    at = {True: own, False: coarser, None: F.concat(own, coarser)}[home]
     width = F.pow(F.lit(float(GROWTH)), F.col("_m")).cast("long")
     first, last = F.floor(F.col(f"_lo{side}") / width), F.floor(F.col(f"_hi{side}") / width)
-    return df.withColumn("_m", F.explode(at)).withColumn("_bin", F.explode(F.sequence(first, last))).withColumn(f"_first{side}", first).drop("_level")
+    binned = df.withColumn("_m", F.explode(at)).withColumn("_bin", F.explode(F.sequence(first, last))).withColumn(f"_first{side}", first)
+    return (binned if home is not None else binned.withColumn("_home", F.col("_m") == F.col("_level"))).drop("_level")
 
 
 def overlapping(x: DataFrame, y: DataFrame, on: list[str], xs: tuple[str, str], ys: tuple[str, str]) -> DataFrame:
@@ -56,13 +58,11 @@ def overlapping(x: DataFrame, y: DataFrame, on: list[str], xs: tuple[str, str],
 
 
 def met(x: DataFrame, y: DataFrame, on: list[str], xs: tuple[str, str], ys: tuple[str, str]) -> DataFrame:
-    """The distinct rows of x that overlap any of y, as overlapping() has it, found by semi joins: however many of y they overlap, they come once."""
+    """The distinct rows of x that overlap any of y, as overlapping() has it, found by one semi join: however many of y they overlap, they come once."""
     columns = x.columns
     x, y = _ranged(x, *xs, "x"), _ranged(y.select(*on, *[F.col(c).alias(f"_y{i}") for i, c in enumerate(ys)]).distinct(), "_y0", "_y1", "y")
     mx, my = _levels(x), _levels(y)
-    parts = []
-    for home_x, home_y in ((True, True), (False, True), (True, False)):
-        a, b = _binned(x, my, "x", home_x).alias("a"), _binned(y, mx, "y", home_y).alias("b")
-        equal = reduce(lambda p, q: p & q, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*on, "_m", "_bin"]])
-        parts.append(a.join(b, equal & (F.col(f"a.{xs[0]}") <= F.col("b._y1")) & (F.col("b._y0") <= F.col(f"a.{xs[1]}")), "left_semi").select(*columns))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    a, b = _binned(x, my, "x").alias("a"), _binned(y, mx, "y").alias("b")
+    equal = reduce(lambda p, q: p & q, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*on, "_m", "_bin"]])
+    same = (F.col("a._home") | F.col("b._home")) & (F.col(f"a.{xs[0]}") <= F.col("b._y1")) & (F.col("b._y0") <= F.col(f"a.{xs[1]}"))
+    return a.join(b, equal & same, "left_semi").select(*columns).distinct()
