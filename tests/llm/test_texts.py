@@ -1,9 +1,11 @@
 """Operators that read each text by itself, and those that link fingerprints, against brute force."""
 
 import hashlib
+import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -580,3 +582,35 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert {r["score"] for r in got.where("doc_id in (0, 1, 2)").collect()} == {0.0}
     none = toxicity.toxicity_of_documents(odd, labels.where("toxic = 1"))
     assert none.agg(F.max("score")).first()[0] == 0.0
+
+
+@pytest.fixture
+def traced():
+    """A function that gives the most memory, in MB, that Python and numpy have taken in this process since the test began."""
+    tracemalloc.start()
+    yield lambda: tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+
+
+def test_language_training_takes_little_of_the_driver(traced):
+    rng = np.random.default_rng(8)
+    sample = [(f"l{i % 3}", np.flatnonzero(rng.random(len(language_id.ORDERS) * language_id.BINS) < 0.01).astype(np.int32)) for i in range(400)]
+    model = language_id.fit(sample)
+    assert traced() < 64  # 256 landmarks as floats alone were 100
+    assert np.array_equal(model.met, np.isin(np.arange(len(model.met)), np.concatenate([x for n in ("l0", "l1", "l2") for x in [y for m, y in sample if m == n][: 86 if n == "l0" else 85]])))
+
+
+def test_windows_of_the_toxicity_sample_take_little_of_the_driver(spark, traced, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(1000))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, evidence: got.append((texts, toxic, traced())))
+    tracemalloc.clear_traces(), tracemalloc.reset_peak()
+    toxicity.train(docs, marked)
+    texts, toxic, peak = got[0]
+    assert peak < 25
+    words = {tuple(t.encode().split()): i % 2 == 1 for i, t in rows}
+    whole = lambda windows: tuple(w for x in windows[:-1] for w in x.split()[: toxicity.STRIDE]) + tuple(windows[-1].split())
+    assert {whole(x): bool(y) for x, y in zip(texts, toxic, strict=True)} == words and sum(map(len, texts)) == 600 * 62

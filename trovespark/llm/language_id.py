@@ -25,6 +25,7 @@ ORDERS = (2, 3, 4)
 BINS = 1 << 15
 BLOCK = 1 << 21
 PRODUCT = 1 << 18  # n-grams of a batch that are multiplied at once
+ROWS = 1 << 13  # bins that are floats at once in training
 UNDETERMINED = "und"
 
 _FOLD = np.full(256, 0x20, np.uint32)
@@ -79,11 +80,12 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = 256, ridge: float
         return None
     by = {n: [x for m, x in sample if m == n] for n in names}
     chosen = [x for i in range(max(map(len, by.values()))) for n in names for x in by[n][i : i + 1]][:landmarks]
-    b = np.zeros((len(ORDERS) * BINS, len(chosen)), np.float32)
+    held = np.zeros((len(ORDERS) * BINS, len(chosen)), bool)  # of the bins and landmarks; as floats only in blocks, as the driver's memory is small
     for j, x in enumerate(chosen):
-        b[x, j] = 1 / np.sqrt(len(x))
-    k = np.stack([b[x].sum(axis=0, dtype=np.float64) / np.sqrt(len(x)) for _, x in sample])
-    own = np.stack([b[x].sum(axis=0, dtype=np.float64) / np.sqrt(len(x)) for x in chosen])
+        held[x, j] = True
+    scale = np.array([1 / np.sqrt(len(x)) for x in chosen], np.float32)
+    k = np.stack([held[x].sum(axis=0) * scale.astype(np.float64) / np.sqrt(len(x)) for _, x in sample])
+    own = np.stack([held[x].sum(axis=0) * scale.astype(np.float64) / np.sqrt(len(x)) for x in chosen])
     vals, vecs = np.linalg.eigh(own)
     root = vecs / np.sqrt(np.maximum(vals, 1e-6))
     phi = k @ root
@@ -91,7 +93,9 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = 256, ridge: float
     share = np.array([len(by[n]) for n, _ in sample], float)
     phi_w = phi / share[:, None]  # languages weigh the same, however many texts they have
     a = np.linalg.solve(phi_w.T @ phi + ridge / len(sample) * np.eye(phi.shape[1]), phi_w.T @ y)
-    return LanguageModel(names, (b @ (root @ a).astype(np.float32)).astype(np.float32), b.any(axis=1))
+    on_landmarks = (root @ a).astype(np.float32)
+    weights = np.concatenate([(held[i : i + ROWS] * scale) @ on_landmarks for i in range(0, len(held), ROWS)])
+    return LanguageModel(names, weights, held.any(axis=1))
 
 
 def train(labelled: DataFrame, per_language: int = 500, landmarks: int = 256, most_rows: int = 20_000) -> LanguageModel | None:

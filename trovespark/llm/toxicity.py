@@ -228,14 +228,14 @@ def train_model(texts: list[bytes], toxic: np.ndarray, seed: int = 5, rounds: in
     words = sorted({w for w, _ in counts})
     held = np.array([[counts.get((w, y), 0) for w in words] for y in (False, True)])
     evidence = Evidence.weighed(words, held, bins, n, most_own)
-    lists = [[w for _, w in telling_windows(t, evidence, most_windows)] for t in texts]
+    lists = [[b" ".join(w) for _, w in telling_windows(t, evidence, most_windows)] for t in texts]
     return fit([x for x in lists if x], np.array([y for y, x in zip(toxic, lists, strict=True) if x], bool), evidence, seed, rounds)
 
 
-def fit(texts: list[list[list[bytes]]], toxic: np.ndarray, evidence: Evidence, seed: int = 5, rounds: int = 4, most_passes: int = 64, decay: float = 1e-3) -> ToxicityModel:
-    """The network from the windows of texts (window's words) and the texts' labels, of which both occur."""
+def fit(texts: list[list[bytes]], toxic: np.ndarray, evidence: Evidence, seed: int = 5, rounds: int = 4, most_passes: int = 64, decay: float = 1e-3) -> ToxicityModel:
+    """The network from the windows of texts (a window's words, joined by spaces, as objects of their own they would take ten times the memory) and the texts' labels, of which both occur."""
     rng = np.random.default_rng(seed)
-    names = sorted({w for windows in texts for x in windows for w in x})
+    names = sorted({w for windows in texts for x in windows for w in x.split()})
     index = {w: i for i, w in enumerate(names)}
     bins, at = gram_bins(names)
     ends = np.append(at[1:], len(bins))
@@ -253,10 +253,11 @@ def fit(texts: list[list[list[bytes]]], toxic: np.ndarray, evidence: Evidence, s
     p["chars"][:, 0] = 2 * np.clip(gram_odds, -1, 5)
 
     owner = np.repeat(np.arange(len(texts)), [len(windows) for windows in texts])
-    windows = np.full((len(owner), WINDOW), -1)
+    windows, best_first = np.full((len(owner), WINDOW), -1, np.int32), np.zeros(len(owner))
     for i, x in enumerate(x for of_text in texts for x in of_text):
-        windows[i, : len(x)] = [index[w] for w in x]
-    best_first = np.where(windows >= 0, evident[windows], -9).max(axis=1)
+        ids = [index[w] for w in x.split()]
+        windows[i, : len(ids)] = ids
+        best_first[i] = evident[ids].max() if len(ids) == WINDOW else max(-9.0, evident[ids].max())
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()} | {"words": [np.zeros_like(vectors), np.zeros_like(vectors)]}
     step = 0
 
@@ -339,8 +340,9 @@ def evidence_of(sample: DataFrame, most_own: int) -> Evidence | None:
     label = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0))
     counted = written(counted.groupBy("word", "bin").agg(label(False).alias("clean"), label(True).alias("toxic")), "evidence")
     bins, n = np.zeros((2, BINS), np.int64), np.zeros(2, np.int64)
-    for r in counted.where("bin is not null").collect():  # BINS rows and one
-        (n if r["bin"] < 0 else bins[:, r["bin"]])[:] = r["clean"], r["toxic"]
+    got = counted.where("bin is not null").select("bin", "clean", "toxic").toArrow()  # BINS rows and one
+    place, both = got["bin"].to_numpy(), np.array([got["clean"].to_numpy(), got["toxic"].to_numpy()])
+    bins[:, place[place >= 0]], n[:] = both[:, place >= 0], both[:, place < 0].sum(axis=1)
     if not n.all():
         return None
     # log_odds() as columns, so that only the words it picks leave the tasks
@@ -349,8 +351,8 @@ def evidence_of(sample: DataFrame, most_own: int) -> Evidence | None:
     odds = F.log((t + 0.5) / F.lit(float(n[1] + 1))) - F.log((c + 0.5) / F.lit(float(n[0] + 1)))
     odds = F.when(2 * (part(c, n[0]) + part(t, n[1])) > 12, odds * F.least(F.lit(1.0), F.greatest(c / float(n[0]), t / float(n[1])) / 0.03)).otherwise(0.0)
     picked = counted.where(F.col("bin").isNull() & (df >= 2)).withColumn("odds", odds).where((F.col("odds") > 0) | (df >= 0.05 * float(n.sum())))
-    picked = picked.orderBy((-F.abs("odds") - F.log(df) / 100), "word").limit(most_own).collect()
-    return Evidence({bytes(r["word"]): r["odds"] for r in picked}, log_odds(bins, n))
+    picked = picked.orderBy((-F.abs("odds") - F.log(df) / 100), "word").limit(most_own).select("word", "odds").toArrow()
+    return Evidence(dict(zip(picked["word"].to_pylist(), picked["odds"].to_pylist(), strict=True)), log_odds(bins, n))
 
 
 def train(docs: DataFrame, marked: DataFrame, per_label: int = 1200, most_own: int = 20_000, most_windows: int = 64) -> ToxicityModel | None:
@@ -380,9 +382,12 @@ def train(docs: DataFrame, marked: DataFrame, per_label: int = 1200, most_own: i
                 yield pa.record_batch([pa.array([r[c]] * len(found), b.schema.field(c).type) for c in ("doc_id", "th", "toxic")] + [pa.array([i for i, _ in found], pa.int64()), pa.array([b" ".join(w) for _, w in found], pa.binary())], ["doc_id", "th", "toxic", "number", "window"])
 
     kinds = ", ".join(f"{c} {sample.schema[c].dataType.simpleString()}" for c in ("doc_id", "th", "toxic"))
-    texts: dict[tuple, list] = {}
-    for r in sorted(in_arrow(sample.select("doc_id", "th", "toxic", "text"), batches, f"{kinds}, number long, window binary", 100).collect(), key=lambda r: tuple(r)[:4]):
-        texts.setdefault((r["doc_id"], r["th"], r["toxic"]), []).append(bytes(r["window"]).split(b" "))
+    found = in_arrow(sample.select("doc_id", "th", "toxic", "text"), batches, f"{kinds}, number long, window binary", 100).toArrow()
+    found = found.sort_by([(c, "ascending") for c in ("doc_id", "th", "toxic", "number")])
+    texts: dict[tuple, list[bytes]] = {}
+    for *key, window in zip(*(found[c].to_pylist() for c in ("doc_id", "th", "toxic", "window")), strict=True):
+        texts.setdefault(tuple(key), []).append(window)
+    del found
     return fit(list(texts.values()), np.array([y == 1 for _, _, y in texts], bool), evidence)
 
 
