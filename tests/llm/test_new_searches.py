@@ -11,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from trovespark.llm import bit_sliced, hard_negatives, substring_dedup
+from pyspark.sql import functions as F
+
+from trovespark.llm import bit_sliced, common, hard_negatives, substring_dedup
 
 
 def by_sql(sql, sf, *tables):
@@ -79,6 +81,31 @@ def test_products_are_exact_or_end():
         hard_negatives.product(a * 64, a * 64, 1)
 
 
+@pytest.mark.parametrize("most", [9, 1 << 18, 1 << 25])  # sums in floats, doubles and longs
+def test_negatives_in_chunks_and_strips(spark, monkeypatch, most):
+    for name, n in (("PANEL", 9), ("BLOCK", 30), ("STRIP", 8), ("FIRST_STRIP", 2), ("CHUNK", 16)):
+        monkeypatch.setattr(hard_negatives, name, n)
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(3), [rng.randint(-most, most) for _ in range(40)]) for i in range(70)]
+    rows += [(100 + i, rng.randrange(3), rows[i % 9][2]) for i in range(40)]  # equal scores
+    got = rows_of(hard_negatives.hard_negatives(spark.createDataFrame(rows, "vec_id long, label long, q array<long>").repartition(3), F.col("vec_id") % 3 == 0))
+    want = []
+    for a, label, x in rows:
+        scored = sorted((-sum(p * q for p, q in zip(x, y, strict=True)), b, other) for b, other, y in rows if b != a and a % 3 == 0)
+        for place, (p, positive, _) in enumerate([r for r in scored if r[2] == label][:5]):
+            window = [(n, b) for n, b, other in scored if other != label and 30 * -p <= 100 * -n <= 90 * -p][:10]
+            want += [(a, positive, k + 1, b, -p, -n, place + 1) for k, (n, b) in enumerate(window)]
+    assert len(want) > 300 and ordered(got) == ordered(want)
+
+
+def test_negatives_write_no_scores(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
+    x = np.random.default_rng(2).integers(-250, 250, (1500, 16))
+    df = spark.createDataFrame([(i, i % 4, v) for i, v in enumerate(x.tolist())], "vec_id long, label long, q array<long>")
+    assert hard_negatives.hard_negatives(df, F.lit(True)).count() > 50_000
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 1 << 20  # of 18 MB of scores
+
+
 # --- substring dedup -------------------------------------------------------------------------------
 
 
